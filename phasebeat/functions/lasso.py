@@ -8,10 +8,8 @@ candidate with the least objective is taken; on ties the earlier one.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Below this share of S11 * S22 the determinant counts as zero.
@@ -19,8 +17,8 @@ SINGULAR = 1e-12
 SIGNS = ((1.0, 1.0), (1.0, -1.0), (-1.0, 1.0), (-1.0, -1.0))
 
 
-def _total(columns: Sequence[Column]) -> Column:
-    return reduce(add, columns)
+def _sum(terms: Sequence[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
 def with_lasso(df: DataFrame, points: dict[str, list[tuple[str, str, str]]], alpha: float) -> DataFrame:
@@ -29,50 +27,40 @@ def with_lasso(df: DataFrame, points: dict[str, list[tuple[str, str, str]]], alp
     ``points[r]`` names the (prev2, prev1, target) columns of each training point of a row.
     Steps are separate projections, so that no expression is evaluated twice.
     """
-    a = F.lit(alpha)
-    means, moments, dets, best, out = {}, {}, {}, {}, {}
+    steps: list[dict[str, str]] = [{}, {}, {}, {}, {}, {}]
+    means, moments, single, pairs, fits, result = steps
     for r, rows in points.items():
-        n = F.lit(float(len(rows)))
+        n = f"{float(len(rows))}D"
         for k, name in enumerate(("m1", "m2", "my")):
-            means[f"{r}_{name}"] = _total([F.col(p[k]) for p in rows]) / n
-        d1 = [F.col(p[0]) - F.col(f"{r}_m1") for p in rows]
-        d2 = [F.col(p[1]) - F.col(f"{r}_m2") for p in rows]
-        dy = [F.col(p[2]) - F.col(f"{r}_my") for p in rows]
+            means[f"{r}_{name}"] = f"{_sum([p[k] for p in rows])} / {n}"
+        centred = [[f"({p[k]} - {r}_{m})" for p in rows] for k, m in enumerate(("m1", "m2", "my"))]
+        d1, d2, dy = centred
         for name, u, v in (("s11", d1, d1), ("s12", d1, d2), ("s22", d2, d2), ("c1", d1, dy), ("c2", d2, dy)):
-            moments[f"{r}_{name}"] = _total([p * q for p, q in zip(u, v)]) / n
-        s11, s12, s22, c1, c2, det = (F.col(f"{r}_{x}") for x in ("s11", "s12", "s22", "c1", "c2", "det"))
-        dets[f"{r}_det"] = s11 * s22 - s12 * s12
+            moments[f"{r}_{name}"] = f"{_sum([f'{p} * {q}' for p, q in zip(u, v)])} / {n}"
+        s11, s12, s22, c1, c2, det = (f"{r}_{x}" for x in ("s11", "s12", "s22", "c1", "c2", "det"))
+        single[det] = f"{s11} * {s22} - {s12} * {s12}"
         for name, c, s in (("only1", c1, s11), ("only2", c2, s22)):
-            soft = F.greatest(F.abs(c) - a, F.lit(0.0)) * F.signum(c)
-            dets[f"{r}_{name}"] = F.when(s > 0, soft / s).otherwise(F.lit(0.0))
+            soft = f"greatest(abs({c}) - {alpha}D, 0D) * signum({c})"
+            single[f"{r}_{name}"] = f"CASE WHEN {s} > 0 THEN {soft} / {s} ELSE 0D END"
+        candidates = [("0D", "0D", "true"), (f"{r}_only1", "0D", "true"), ("0D", f"{r}_only2", "true")]
         for i, (g1, g2) in enumerate(SIGNS):
-            e1, e2 = c1 - a * F.lit(g1), c2 - a * F.lit(g2)
-            best[f"{r}_p{i}"] = (s22 * e1 - s12 * e2) / det
-            best[f"{r}_q{i}"] = (s11 * e2 - s12 * e1) / det
-        zero, only1, only2 = F.lit(0.0), F.col(f"{r}_only1"), F.col(f"{r}_only2")
-        candidates = [(zero, zero, None), (only1, zero, None), (zero, only2, None)]
-        for i, (g1, g2) in enumerate(SIGNS):
-            w1, w2 = F.col(f"{r}_p{i}"), F.col(f"{r}_q{i}")
-            valid = (det > F.lit(SINGULAR) * s11 * s22) & (w1 * F.lit(g1) > 0) & (w2 * F.lit(g2) > 0)
-            candidates.append((w1, w2, valid))
+            e1, e2 = f"({c1} - {alpha * g1}D)", f"({c2} - {alpha * g2}D)"
+            p, q = f"{r}_p{i}", f"{r}_q{i}"
+            solvable = f"{det} > {SINGULAR}D * {s11} * {s22}"
+            pairs[p] = f"CASE WHEN {solvable} THEN ({s22} * {e1} - {s12} * {e2}) / {det} END"
+            pairs[q] = f"CASE WHEN {solvable} THEN ({s11} * {e2} - {s12} * {e1}) / {det} END"
+            candidates.append((p, q, f"{p} * {g1}D > 0 AND {q} * {g2}D > 0"))
         ranked = []
-        for rank, (w1, w2, valid) in enumerate(candidates):
-            gain = c1 * w1 + c2 * w2 - a * (F.abs(w1) + F.abs(w2))
-            cost = F.lit(0.5) * (s11 * w1 * w1 + F.lit(2.0) * s12 * w1 * w2 + s22 * w2 * w2) - gain
-            entry = F.struct(cost.alias("cost"), F.lit(rank).alias("rank"), w1.alias("w1"), w2.alias("w2"))
-            ranked.append(entry if valid is None else F.when(valid, entry))
-        out[f"{r}_fit"] = F.array_min(F.array(*ranked))
-    df = df.withColumns(means).withColumns(moments).withColumns(dets)
-    # try_divide: a singular batch has no candidate with both features.
-    det_of = {name: F.col(f"{name.rsplit('_', 1)[0]}_det") for name in best}
-    df = df.withColumns({n: F.when(det_of[n] != 0, c) for n, c in best.items()}).withColumns(out)
-    result = {}
-    for r in points:
-        w1, w2 = F.col(f"{r}_fit.w1"), F.col(f"{r}_fit.w2")
-        result[f"{r}_w_prev2"], result[f"{r}_w_prev1"] = w1, w2
-        result[f"{r}_intercept"] = F.col(f"{r}_my") - w1 * F.col(f"{r}_m1") - w2 * F.col(f"{r}_m2")
-    helpers = [*means, *moments, *dets, *best, *out]
-    return df.withColumns(result).drop(*helpers)
+        for rank, (u, v, valid) in enumerate(candidates):
+            gain = f"({c1} * {u} + {c2} * {v} - {alpha}D * (abs({u}) + abs({v})))"
+            cost = f"0.5D * ({s11} * {u} * {u} + 2D * {s12} * {u} * {v} + {s22} * {v} * {v}) - {gain}"
+            ranked.append(f"CASE WHEN {valid} THEN struct({cost} AS cost, {rank} AS rank, {u} AS w1, {v} AS w2) END")
+        fits[f"{r}_fit"] = f"array_min(array({', '.join(ranked)}))"
+        result[f"{r}_w_prev2"], result[f"{r}_w_prev1"] = f"{r}_fit.w1", f"{r}_fit.w2"
+        result[f"{r}_intercept"] = f"{r}_my - {r}_fit.w1 * {r}_m1 - {r}_fit.w2 * {r}_m2"
+    for step in steps:
+        df = df.withColumns({name: F.expr(e) for name, e in step.items()})
+    return df.drop(*[name for step in steps[:-1] for name in step])
 
 
 def fit_points(points: Sequence[tuple[float, float, float]], alpha: float) -> tuple[float, float, float]:

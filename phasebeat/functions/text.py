@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks in thread dumps, samples and logs.
@@ -97,3 +99,19 @@ def stat_value(line: Column, stat: str) -> Column:
     """Value after the ``<stat> Prediction Accuracy: `` label, null if the label is missing."""
     found = F.regexp_extract(line, rf"\Q{stat}\E Prediction Accuracy: (\S+)", 1)
     return F.when(found != "", to_number(found))
+
+
+def closed_chunks(log: Column, mark: str = "Refreshing:") -> Column:
+    """Texts between the mark lines of a whole log; what follows the last mark is not closed yet."""
+    parts = F.split(log, rf"(?m)^\Q{mark}\E\n", -1)
+    return F.slice(parts, 1, F.size(parts) - 1)
+
+
+def with_blocks(df: DataFrame, column: str, is_mark: Callable[[Column], Column]) -> DataFrame:
+    """Add ``blocks``: the lines of a text cut before every line that is a mark, in the row, without a shuffle."""
+    lines = df.withColumn("lines", F.split(column, "\n", -1))
+    marks = F.filter(F.transform("lines", lambda line, i: F.when(is_mark(line), i + 1)), lambda i: i.isNotNull())
+    starts = lines.withColumn("starts", F.array_distinct(F.concat(F.array(F.lit(1)), marks)))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("lines") + 1))
+    cut = F.zip_with("starts", ends, lambda s, e: F.slice(F.col("lines"), s, e - s))
+    return starts.withColumn("blocks", cut).drop("lines", "starts")

@@ -59,7 +59,7 @@ def batches(visits: DataFrame, settings: Settings = Settings()) -> DataFrame:
         *{_visit_column(r, p) for r in RESOURCES for p in PARTS},
     )
     placed = [
-        F.max(F.when(F.col("pos") == i, F.col(_visit_column(r, p)))).alias(f"{r}_{p}_{i}")
+        F.expr(f"max(CASE WHEN pos = {i} THEN {_visit_column(r, p)} END) AS {r}_{p}_{i}")
         for r in RESOURCES
         for p in PARTS
         for i in range(settings.batch_size)

@@ -110,7 +110,9 @@ def cluster_ticks(
     parsed = parse_resources(rows.select(*TICK, "worker", "resource_data"))
     filled = parsed if v1 else fill_forward(parsed, segment_rows)
     ticks = cluster_means(filled, expected, flag_malformed=v1)
-    ticks = ticks.join(function_union(rows, with_counts=v1), TICK, "left")
+    # Silent workers add no function unless asked to, so the texts are read from the samples alone.
+    functions = function_union(rows if empty_function else samples, with_counts=v1)
+    ticks = ticks.join(functions, TICK, "left")
     empty = F.array().cast("array<string>")
     sets = ["funcs", "counted"] if v1 else ["funcs"]
     return ticks.withColumns({s: F.coalesce(F.col(s), empty) for s in sets})
