@@ -136,7 +136,7 @@ oracle("report_call", f"""
     FROM (SELECT avg(value / 1000.0::DOUBLE) AS m FROM one GROUP BY {bucket('6 hours')}) WHERE m <> 0""", "one")
 oracle("step_latency", f"""
   SELECT host, experiment_name, measurement || '_latency' AS measurement, strftime({bucket('1 hour')}, {STAMP}) AS window_start,
-         round(avg(CAST(round(value * 1000) AS BIGINT) / 1e6::DOUBLE), 6) AS mean
+         round(avg(CAST(round(value * 1000) AS BIGINT) / 1e6::DOUBLE), 9) AS mean
   FROM points GROUP BY 1, 2, 3, 4 HAVING avg(value) <> 0""", "points")
 oracle("local_time", f"""
   SELECT measurement, strftime(w, '%Y-%m-%dT%H:%M:%SZ') AS utc,

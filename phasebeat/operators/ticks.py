@@ -85,14 +85,15 @@ def function_union(samples: DataFrame, with_counts: bool = False) -> DataFrame:
     """Distinct functions per cluster and tick over all workers, sorted.
 
     ``with_counts`` also keeps the lines with their thread counts, as the first variant
-    compares them.  Duplicates are removed before the shuffle, so the set kept per tick is no
-    larger than the result.
+    compares them.  Duplicates go by a plain hash aggregation before and after the shuffle; only
+    what remains is put into arrays, so no group is larger than its result.
     """
     lines = samples.select(*TICK, F.explode(function_lines(samples)).alias("line"))
     cut = text.drop_thread_count(F.col("line"))
     if not with_counts:
-        return lines.groupBy(*TICK).agg(F.array_sort(F.collect_set(cut)).alias("funcs"))
-    sets = lines.groupBy(*TICK).agg(F.array_sort(F.collect_set("line")).alias("counted"))
+        found = lines.select(*TICK, cut.alias("line")).distinct()
+        return found.groupBy(*TICK).agg(F.array_sort(F.collect_list("line")).alias("funcs"))
+    sets = lines.distinct().groupBy(*TICK).agg(F.array_sort(F.collect_list("line")).alias("counted"))
     plain = F.array_sort(F.array_distinct(F.transform("counted", text.drop_thread_count)))
     return sets.withColumn("funcs", plain)
 

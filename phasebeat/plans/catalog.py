@@ -93,7 +93,8 @@ def report_call(spark, sf):
 def step_latency(spark, sf):
     points = reports.step_latencies(data.steps(spark, sf))
     windows = reports.window_means(points, ("latency",), [*TAGS, "measurement"], "1 hour")
-    return windows.select(*TAGS, "measurement", stamp("window_start").alias("window_start"), r6("mean").alias("mean"))
+    mean = F.round("mean", 9).alias("mean")
+    return windows.select(*TAGS, "measurement", stamp("window_start").alias("window_start"), mean)
 
 
 @query
@@ -469,10 +470,7 @@ ALGOS = ["F", "O", "P"]
 
 def repeats(spark: SparkSession, sf: str) -> DataFrame:
     lines = data.stats_lines(spark, sf)
-    # Five lines per order; the numbers of the orders bound the length of a file.
-    last = data.table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0] * 5
-    cut = None if last < Settings().segment_rows else Settings().segment_rows
-    return compare.parse_stats(lines, STATS, (data.FAILED_RUN,), cut)
+    return compare.parse_stats(lines, STATS, (data.FAILED_RUN,), segments_needed(lines, "line_no"))
 
 
 @query
@@ -615,11 +613,6 @@ def timed_samples(samples: DataFrame) -> DataFrame:
     return samples.select("cluster", "worker", ts.alias("ts"), "resource_data", "threaddump_data")
 
 
-def workers_by_cluster(expected: DataFrame) -> dict[str, list[str]]:
-    """The configured workers, a short list that the stream handler carries."""
-    return {r["cluster"]: r["workers"] for r in ticks.expected_by_cluster(expected).collect()}
-
-
 @query
 def stream_window_mean(spark, sf):
     """Five-minute means of a stream of points; windows that the watermark has passed."""
@@ -635,13 +628,12 @@ def stream_window_mean(spark, sf):
 def watched_stream(spark: SparkSession, sf: str, arrivals: list[str]) -> DataFrame:
     """Run the online form over samples that arrive in parts, stopping and going on after each part."""
     samples, expected = recorded(spark, sf)
-    workers = workers_by_cluster(expected)
     source, path, check = (new_dir(spark, n) for n in ("live", "watched", "check"))
     for part in arrivals:
         timed_samples(samples.where(part)).write.mode("append").json(source)
         stream = src.stream_samples(spark, source, TIMED_SAMPLES)
-        ticks_ = live.tick_stream(stream, "1 hour", "0 seconds")
-        live.run_available(live.watch_stream(ticks_, workers, DENSE), path, check)
+        arrived = live.tick_stream(stream, expected, "1 hour", "0 seconds")
+        live.run_available(live.watch_stream(arrived, DENSE), path, check)
     rows = spark.read.parquet(path)
     rows = rows.select(
         "cluster", "tick_no", stamp("tick").alias("tick"), "phase_id", "idle", "seen", "version",

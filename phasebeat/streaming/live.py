@@ -18,6 +18,7 @@ from phasebeat.functions.errors import SMAPE_EPSILON, ZERO_STAND_IN
 from phasebeat.functions.lasso import fit_points
 from phasebeat.functions.phases import ARROW
 from phasebeat.operators.replay import synthetic_points
+from phasebeat.operators.ticks import expected_by_cluster
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -37,33 +38,62 @@ def window_mean_stream(
     return means.select(*by, F.col("w.start").alias("window_start"), "mean")
 
 
-def tick_stream(samples: DataFrame, interval: str = "2 seconds", delay: str = "2 seconds") -> DataFrame:
-    """Per cluster and interval: what each worker said, and the distinct functions.
+def tick_stream(
+    samples: DataFrame, expected: DataFrame, interval: str = "2 seconds", delay: str = "2 seconds"
+) -> DataFrame:
+    """Per cluster and interval: the last reading of each worker, the distinct functions, the configured workers.
 
-    A worker that says more than once in an interval counts with its last sample.
+    Newer samples of a worker overwrite older ones first, then workers are put together, so the text of a
+    function is kept once per cluster and interval however many workers run it.
     """
     line = F.col("resource_data")
-    reading = F.struct(
-        "worker", F.unix_micros("ts").alias("at"), *[text.resource_field(line, i).alias(r) for i, r in enumerate(RESOURCES)]
+    newest = F.struct("resource_data", "threaddump_data")
+    by_worker = (
+        samples.withWatermark("ts", delay)
+        .groupBy("cluster", "worker", F.window("ts", interval).alias("w"))
+        .agg(F.max_by(newest, "ts").alias("s"))
+        .select("cluster", "worker", F.window_time("w").alias("at"), "s.*")
     )
+    reading = F.struct("worker", *[text.resource_field(line, i).alias(r) for i, r in enumerate(RESOURCES)])
     functions = F.transform("threaddump_data", lambda f: text.drop_thread_count(text.strip(f)))
-    live = samples.withWatermark("ts", delay).groupBy("cluster", F.window("ts", interval).alias("w"))
-    said = F.collect_list(F.struct(reading.alias("reading"), functions.alias("functions"))).alias("said")
-    return live.agg(said).select(
-        "cluster",
-        F.col("w.start").alias("tick"),
-        F.transform("said", lambda s: s["reading"]).alias("readings"),
-        F.transform("said", lambda s: F.concat_ws("\x1f", F.lit(""), s["functions"])).alias("functions"),
+    rows = by_worker.select("cluster", "at", reading.alias("reading"), F.posexplode_outer(functions).alias("pos", "func"))
+    once = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("reading"))
+    live = rows.groupBy("cluster", F.window("at", interval).alias("w")).agg(
+        F.collect_list(once).alias("readings"), F.collect_set("func").alias("functions")
+    )
+    return live.select("cluster", F.col("w.start").alias("tick"), "readings", "functions").join(
+        expected_by_cluster(expected), "cluster"
     )
 
 
+class _Entries:
+    """A map state seen through what one call has read and changed; written back at its end."""
+
+    def __init__(self, state):
+        self.state, self.values, self.changed = state, {}, set()
+
+    def get(self, key: str):
+        if key not in self.values:
+            self.values[key] = self.state.getValue((key,)) if self.state.containsKey((key,)) else None
+        return self.values[key]
+
+    def put(self, key: str, value: tuple) -> None:
+        if self.values.get(key) != value:
+            self.values[key] = value
+            self.changed.add(key)
+
+    def write(self) -> None:
+        for key in self.changed:
+            self.state.updateValue((key,), self.values[key])
+
+
 class ClusterWatcher(StatefulProcessor):
     """Phase, prediction, training and confidence of one cluster, tick by tick."""
 
-    def __init__(self, settings: Settings, workers: dict[str, list[str]], empty_function: bool = False):
+    def __init__(self, settings: Settings, empty_function: bool = False):
         if settings.variant != "v2":
             raise ValueError("the online form has the semantics of the second variant")
-        self.settings, self.workers, self.empty_function = settings, workers, empty_function
+        self.settings, self.empty_function = settings, empty_function
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState(
@@ -71,52 +101,46 @@ class ClusterWatcher(StatefulProcessor):
             "snapshots long, cpu1 double, mem1 double, cpu2 double, mem2 double, functions array<string>, "
             "confidence long, ticks long, error_cpu double, error_mem double",
         )
-        self.last = handle.getMapState("last", "worker string", "cpu double, mem double")
-        self.phases = handle.getMapState(
+        self.last_state = handle.getMapState("last", "worker string", "cpu double, mem double")
+        self.phase_state = handle.getMapState(
             "phases", "phase string", "visits long, pending array<double>, model array<double>"
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         cluster = key[0]
         ticks = pd.concat(list(rows)).sort_values("tick")
+        self.last, self.phases = _Entries(self.last_state), _Entries(self.phase_state)
         run = list(self.run.get()) if self.run.exists() else [0, 0.0, 0.0, 0.0, 0.0, [], 0, 0, 0.0, 0.0]
         out = []
         for tick in ticks.itertuples(index=False):
-            cpu, mem, functions = self._snapshot(cluster, tick)
+            cpu, mem, functions = self._snapshot(tick)
             before = set(run[5])
             run[0] += 1
             if run[0] % self.settings.stride == 0:
                 out.append((cluster, tick.tick, *self._evaluate(run, cpu, mem, before, functions)))
             run[1:6] = [cpu, mem, run[1], run[2], sorted(functions)]
         self.run.update(tuple(run))
+        self.last.write()
+        self.phases.write()
         if out:
             names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
             yield pd.DataFrame(out, columns=names)
 
-    def _snapshot(self, cluster: str, tick) -> tuple[float, float, set[str]]:
-        newest: dict[str, tuple] = {}
-        functions: set[str] = set()
-        spoken: dict[str, list[str]] = {}
-        for reading, joined in zip(tick.readings, tick.functions):
-            old = newest.get(reading["worker"])
-            if old is None or old[0] < reading["at"]:
-                newest[reading["worker"]] = (reading["at"], reading["cpu"], reading["mem"])
-                spoken[reading["worker"]] = joined.split("\x1f")[1:]
+    def _snapshot(self, tick) -> tuple[float, float, set[str]]:
+        said = {r["worker"]: (r["cpu"], r["mem"]) for r in tick.readings}
+        functions = set(tick.functions)
         sums = [0.0, 0.0]
-        expected = self.workers[cluster]
-        for worker in expected:
-            if worker not in newest:
+        for worker in tick.workers:
+            if worker in said:
+                old = self.last.get(worker) or (0.0, 0.0)
+                value = tuple(o if s is None or math.isnan(s) else s for s, o in zip(said[worker], old))
+            else:
                 value = (0.0, 0.0)
                 if self.empty_function:
                     functions.add("")
-            else:
-                old = self.last.getValue((worker,)) if self.last.containsKey((worker,)) else (0.0, 0.0)
-                said = newest[worker][1:]
-                value = tuple(o if s is None or math.isnan(s) else s for s, o in zip(said, old))
-                functions.update(spoken[worker])
-            self.last.updateValue((worker,), value)
+            self.last.put(worker, value)
             sums = [s + v for s, v in zip(sums, value)]
-        cpu, mem = (round(s, 9) / len(expected) for s in sums)
+        cpu, mem = (round(s, 9) / len(tick.workers) for s in sums)
         return cpu, mem, functions
 
     def _evaluate(self, run: list, cpu: float, mem: float, before: set[str], now: set[str]) -> tuple:
@@ -127,10 +151,8 @@ class ClusterWatcher(StatefulProcessor):
         phase_set = now if larger and len(common) / larger < s.threshold else common
         phase = "".join(f + ARROW for f in sorted(phase_set))
         idle = phase == ""
-        visits, pending, model = 0, [], []
-        if not idle and self.phases.containsKey((phase,)):
-            visits, pending, model = self.phases.getValue((phase,))
-            pending, model = list(pending), list(model)
+        known = None if idle else self.phases.get(phase)
+        visits, pending, model = (known[0], list(known[1]), list(known[2])) if known else (0, [], [])
         seen = visits > 0
         version = visits // s.cycle
         if idle:
@@ -158,7 +180,7 @@ class ClusterWatcher(StatefulProcessor):
             if len(pending) == 6 * s.batch_size:
                 model = self._train(phase_id, version + 1, pending, model)
                 pending = []
-            self.phases.updateValue((phase,), (visits + 1, pending, model))
+            self.phases.put(phase, (visits + 1, pending, model))
         return (
             run[7], phase_id, idle, seen, 0 if idle else version, cpu, mem, *predicted, mape, step,
             run[6], run[6] > s.confidence_limit, *accuracy,
@@ -179,16 +201,14 @@ class ClusterWatcher(StatefulProcessor):
         return fitted
 
 
-def watch_stream(
-    ticks: DataFrame, workers: dict[str, list[str]], settings: Settings = Settings(), empty_function: bool = False
-) -> DataFrame:
+def watch_stream(ticks: DataFrame, settings: Settings = Settings(), empty_function: bool = False) -> DataFrame:
     """Evaluated ticks of a stream of cluster ticks.
 
     Input is aggregated already, one row per cluster and interval, so even a cluster that
     sends a third of all samples is a thin sequence here.
     """
     return ticks.groupBy("cluster").transformWithStateInPandas(
-        statefulProcessor=ClusterWatcher(settings, workers, empty_function),
+        statefulProcessor=ClusterWatcher(settings, empty_function),
         outputStructType=RESULT_SCHEMA,
         outputMode="append",
         timeMode="none",
@@ -197,14 +217,21 @@ def watch_stream(
 
 @contextmanager
 def state_store(spark: SparkSession):
-    """The state store that keyed state needs, while a query is started."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
+    """Settings of keyed state while a query is started: its store, and no more partitions than cores."""
+    cores = spark.sparkContext.defaultParallelism
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(cores, 1))
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
