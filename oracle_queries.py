@@ -432,6 +432,12 @@ oracle("anomaly_first_alert", """
   WHERE tick_no <= coalesce((SELECT min(tick_no) FROM scored_s2 f WHERE f.cluster = s.cluster AND f.confidence > 5), tick_no)""",
        "scored_s2")
 
+oracle("watch_minutes", """
+  SELECT cluster, tick, tick_no, phase_id, seen, version, confidence, confidence > 5 AS alert, round(cpu, 6) AS cpu, round(mem, 6) AS mem,
+         round(predicted_cpu, 6) AS predicted_cpu, round(predicted_mem, 6) AS predicted_mem,
+         round(acc_cpu, 6) AS acc_cpu, round(acc_mem, 6) AS acc_mem FROM scored_s2""", "scored_s2")
+ORACLES["watch_minutes"] = ORACLES["watch_minutes"].replace("date_diff('hour'", "date_diff('minute'")
+
 # --- runs, processes, traffic -------------------------------------------------------------------
 
 part("process_rows", """

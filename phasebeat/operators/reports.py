@@ -71,6 +71,49 @@ def _spread(wide: DataFrame, keys: list[str], metrics: tuple[str, ...], value: s
     return wide.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.metric", f"e.{value}")
 
 
+def report(points: DataFrame, metric: str, op: str, by: list[str] = TAGS, window: str = Settings.window) -> DataFrame:
+    """One report call: ``max``, ``min``, ``freq``, or ``avg`` / ``latency`` (windows and their mean)."""
+    if op in ("max", "min", "freq"):
+        column = "count" if op == "freq" else op
+        return extremes(points, (metric,), by).select(*by, "metric", F.col(column).cast("double").alias("value"))
+    if op in ("avg", "latency"):
+        windows = window_means(points, ("latency",) if op == "latency" else (metric,), by, window)
+        windows = windows.withColumn("metric", F.lit(metric))
+        return _windows_and_mean(windows, by)
+    raise ValueError(f"unknown operation {op!r}")
+
+
+def summary(points: DataFrame, metrics: tuple[str, ...], by: list[str], window: str = Settings.window) -> DataFrame:
+    """Everything a report says about a measurement, from one scan: ``(kind, metric, window_start, value)``.
+
+    Kinds are ``window`` (mean of one window), ``mean`` (mean of the kept windows), ``max``, ``min`` and
+    ``count``; only ``window`` rows have a window.
+    """
+    stats = points.groupBy(*by, F.window("time", window).alias("w")).agg(
+        *[f(m).alias(f"{m}_{k}") for m in metrics for k, f in _PARTIAL.items()]
+    )
+    # Both levels come from one pass over the windows, still one row per window for all metrics.
+    wide = stats.withColumn("window_start", F.col("w.start")).drop("w")
+    both = wide.groupingSets([[*by, "window_start"], by], *by, "window_start").agg(
+        *[F.avg(F.when(F.col(f"{m}_mean") != 0, F.col(f"{m}_mean"))).alias(f"{m}_mean") for m in metrics],
+        *[f(F.col(f"{m}_{k}")).cast("double").alias(f"{m}_{k}") for m in metrics for k, f in _TOTAL.items()],
+        F.grouping("window_start").alias("total"),
+    )
+    whole = F.col("total") == 1
+    entries = []
+    for m in metrics:
+        for kind in ("window", "mean", "max", "min", "count"):
+            value = F.col(f"{m}_mean" if kind == "window" else f"{m}_{kind}")
+            entry = F.struct(F.lit(kind).alias("kind"), F.lit(m).alias("metric"), value.alias("value"))
+            entries.append(F.when((~whole if kind == "window" else whole) & value.isNotNull(), entry))
+    rows = both.select(*by, "window_start", F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    return rows.select(*by, "e.kind", "e.metric", "window_start", "e.value")
+
+
+_PARTIAL = {"mean": F.avg, "max": F.max, "min": F.min, "count": F.count}
+_TOTAL = {"max": F.max, "min": F.min, "count": F.sum}
+
+
 def report(points: DataFrame, metric: str, op: str, by: list[str] = TAGS, window: str = Settings.window) -> DataFrame:
     """One report call: ``max``, ``min``, ``freq``, or ``avg`` / ``latency`` (windows and their mean)."""
     if op in ("max", "min", "freq"):
@@ -148,9 +191,12 @@ def full_report(points: dict[str, DataFrame], by: list[str] = TAGS, window: str
         ),
         accuracy.withColumn("section", F.when(averages, F.lit("accuracy"))),
     ]
-    for name in LATENCY_POINTS:
-        latency = summary(points[name].withColumnRenamed("latency", name), (name,), by, window)
-        parts.append(latency.withColumn("section", F.when(averages, F.lit("latency"))))
+    latency = reduce(
+        DataFrame.unionByName,
+        [points[name].select(*by, "time", "latency", F.lit(name).alias("step")) for name in LATENCY_POINTS],
+    )
+    latency = summary(latency, ("latency",), [*by, "step"], window).withColumn("metric", F.col("step")).drop("step")
+    parts.append(latency.withColumn("section", F.when(averages, F.lit("latency"))))
     rows = reduce(DataFrame.unionByName, parts).where(F.col("section").isNotNull())
     return rows.select(*by, "section", "metric", "window_start", "value")
 

@@ -121,9 +121,9 @@ def formatted_output(spark, sf):
 # --- samples, snapshots, phases ---------------------------------------------------------
 
 
-def recorded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def recorded(spark: SparkSession, sf: str, unit: str = "HOUR") -> tuple[DataFrame, DataFrame]:
     """Samples as a stored table, and the expected workers."""
-    return store(data.samples(spark, sf), "samples"), data.workers(spark, sf)
+    return store(data.samples(spark, sf, unit=unit), "samples"), data.workers(spark, sf)
 
 
 def cut_of(samples: DataFrame) -> int | None:
@@ -345,6 +345,15 @@ def anomaly_first_alert(spark, sf):
     return rows.select("cluster", "tick_no", "confidence", "alert")
 
 
+@query
+def watch_minutes(spark, sf):
+    """The whole analysis with a sample every minute."""
+    rows = watch(*recorded(spark, sf, "MINUTE")).scored
+    names = ("cpu", "mem", "predicted_cpu", "predicted_mem", "acc_cpu", "acc_mem")
+    keep = ("cluster", "tick", "tick_no", "phase_id", "seen", "version", "confidence", "alert")
+    return rounded(rows.select(*keep, *names), *names)
+
+
 # --- runs, processes, traffic -------------------------------------------------------------------
 
 

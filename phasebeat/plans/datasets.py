@@ -19,13 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with the number of their hour and the whole-number property."""
+def events(spark: SparkSession, sf_dir: str, unit: str = "HOUR") -> DataFrame:
+    """Events with the number of their hour (or other unit) and the whole-number property."""
     rows = table(spark, sf_dir, "events")
     return rows.withColumns(
         {
             "k": F.get_json_object("props", "$.k").cast("long"),
-            "tick": F.expr(f"timestampdiff(HOUR, TIMESTAMP_NTZ '{ORIGIN} 00:00:00', ts)").cast("long"),
+            "tick": F.expr(f"timestampdiff({unit}, TIMESTAMP_NTZ '{ORIGIN} 00:00:00', ts)").cast("long"),
         }
     ).drop("props")
 
@@ -69,9 +69,9 @@ def resource_line(value: Column, k: Column, number: Column) -> Column:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str, with_functions: bool = True) -> DataFrame:
+def samples(spark: SparkSession, sf_dir: str, with_functions: bool = True, unit: str = "HOUR") -> DataFrame:
     """The last resource line of each worker and hour, and its functions with thread counts."""
-    rows = events(spark, sf_dir)
+    rows = events(spark, sf_dir, unit)
     user = F.col("user_id")
     rows = rows.select(
         cluster_of(user).alias("cluster"),
