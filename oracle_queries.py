@@ -122,6 +122,18 @@ for _width, _name in (("1 hour", "report_full"), ("6 hours", "report_files")):
   FROM report_fields GROUP BY ALL HAVING avg(f.v) <> 0""", "report_fields")
     oracle(_name, full_report(_width), "means")
 
+_report = ORACLES["report_files"]
+_at = _report.rindex("SELECT host, experiment_name, section")
+ORACLES["report_lines"] = _report[:_at].rstrip() + f""", report AS ({_report[_at:]})
+  SELECT host, experiment_name, section, metric, window_start,
+         CASE WHEN section IN ('max', 'min') THEN upper(section[1]) || section[2:] || ' ' || metric || ' for ' || split_part(host, '-', 2)
+                || ': ' || printf('%.5f', value)
+              WHEN section = 'frequency' THEN 'Number of ' || replace(metric, 'predicted_', '') || ' predictions for '
+                || split_part(host, '-', 2) || ': ' || CAST(value AS BIGINT)
+              WHEN window_start IS NOT NULL THEN strftime(CAST(window_start AS TIMESTAMP) AT TIME ZONE 'UTC' AT TIME ZONE 'America/Toronto', {STAMP})
+                || ': ' || printf('%.5f', value)
+              ELSE 'mean: ' || printf('%.5f', value) END AS line
+  FROM report"""
 part("one", "SELECT time, value, k FROM points WHERE host = 'runner-1' AND experiment_name = 'exp-1'", "points")
 oracle("report_call", f"""
   SELECT 'max' AS op, 'value' AS metric, CAST(NULL AS VARCHAR) AS window_start, round(max(value), 6) AS value FROM one
@@ -143,8 +155,8 @@ oracle("local_time", f"""
          strftime(w AT TIME ZONE 'UTC' AT TIME ZONE 'America/Toronto', {STAMP}) AS local
   FROM (SELECT measurement, {bucket('1 hour')} AS w, avg(value) AS m FROM points GROUP BY ALL) WHERE m <> 0""", "points")
 oracle("formatted_output", """
-  SELECT event_id, host, printf('%.2f', value / 7) AS places2, printf('%.3f', value / 7) AS places3,
-         printf('%.5f', value / 7) AS places5 FROM points""", "points")
+  SELECT event_id, host, printf('%.2f', value / 8) AS places2, printf('%.3f', value / 8) AS places3,
+         printf('%.5f', value / 8) AS places5 FROM points""", "points")
 
 # --- samples, snapshots, phases ---------------------------------------------------------
 
@@ -406,6 +418,10 @@ part("accuracy_s1", "SELECT cluster, " + ", ".join(f"100 - avg({t}) * 100 AS acc
 oracle("smape_accuracy", "SELECT cluster, round(acc_cpu, 6) AS acc_cpu, round(acc_mem, 6) AS acc_mem FROM accuracy_s1", "accuracy_s1")
 
 
+oracle("paired_accuracy", "SELECT cluster, " + ", ".join(f"round(100 - avg({t}) * 100, 6) AS acc_{r}" for r, t in TERM.items())
+       + " FROM predicted_simple_s2 GROUP BY cluster", "predicted_simple_s2")
+
+
 def score(tag: str, source: str) -> None:
     solid = lambda c: f"(CASE WHEN {c} = 0 THEN 0.001::DOUBLE ELSE {c} END)"
     terms = [f"abs(({solid('predicted_' + r)} - {solid(r)}) / {solid('predicted_' + r)})" for r in ("cpu", "mem")]
@@ -509,6 +525,10 @@ oracle("stream_chunks", """
   SELECT host, CAST(chunk AS INTEGER) AS chunk, CAST(sum(CASE WHEN line <> 'Refreshing:' THEN 1 ELSE 0 END) AS INTEGER) AS lines
   FROM chunked GROUP BY host, chunk""", "chunked")
 
+oracle("traffic_log_scan", """
+  SELECT host, CAST(chunk AS BIGINT) AS chunk, CAST(sum(CASE WHEN line <> 'Refreshing:' THEN 1 ELSE 0 END) AS BIGINT) AS lines
+  FROM chunked GROUP BY host, chunk""", "chunked")
+
 # --- dumps and text -----------------------------------------------------------------------
 
 part("dump_lines", """
@@ -531,6 +551,8 @@ part("stacks", """
               PARTITION BY dump_no ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS block FROM dump_lines))
     GROUP BY dump_no, block)
   WHERE closed AND contains(stack, 'spark')""", "dump_lines")
+oracle("dump_files", "SELECT dump_no, stack, threads FROM stacks", "stacks")
+ORACLES["dump_files"] = ORACLES["dump_files"].replace("event_id // 20 AS", "event_id // 1000 AS")
 oracle("dump_stacks", "SELECT dump_no, stack, threads, stack || ' *** ' || threads AS line FROM stacks", "stacks")
 oracle("dump_stack_counts", "SELECT dump_no, count(*) AS stacks FROM stacks GROUP BY dump_no", "stacks")
 oracle("stack_text", "SELECT stack || ' *** ' || coalesce(threads, '-1') AS value, count(*) AS times FROM stacks GROUP BY 1", "stacks")
@@ -547,12 +569,15 @@ oracle("doc_blocks", """
 # --- comparison -------------------------------------------------------------------------------
 
 part("repeats", """
-  SELECT algo, workload, repeat, CASE WHEN ok THEN round(cpu, 6) END AS CPU, round(mem, 6) AS MEM FROM (
-    SELECT o_orderstatus AS algo, replace(split_part(o_orderpriority, '-', 2), ' ', '_') AS workload,
+  SELECT o_orderkey, algo, workload, repeat, CASE WHEN ok THEN round(cpu, 6) END AS CPU, round(mem, 6) AS MEM FROM (
+    SELECT o_orderkey, o_orderstatus AS algo, replace(split_part(o_orderpriority, '-', 2), ' ', '_') AS workload,
            row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS repeat, o_orderkey % 37 <> 0 AS ok,
            CAST(CAST(o_totalprice % 100 AS DECIMAL(18,3)) AS DOUBLE) AS cpu, CAST(o_custkey % 100 AS DOUBLE) AS mem
     FROM orders)""")
-oracle("stats_file_parse", "SELECT * FROM repeats", "repeats")
+oracle("stats_file_parse", "SELECT * EXCLUDE (o_orderkey) FROM repeats", "repeats")
+oracle("stats_file_scan", """
+  SELECT algo, o_orderkey // 1000 AS part, workload,
+         row_number() OVER (PARTITION BY algo, o_orderkey // 1000 ORDER BY o_orderkey) AS repeat, CPU, MEM FROM repeats""", "repeats")
 part("averages", "SELECT algo, workload, avg(CPU) AS CPU, avg(MEM) AS MEM FROM repeats GROUP BY ALL", "repeats")
 _pivot = lambda stat: ", ".join(f"round(max(CASE WHEN algo = '{a}' THEN {stat} END), 6) AS {a}" for a in "FOP")
 oracle("compare_workloads", f"SELECT workload, {_pivot('CPU')} FROM averages GROUP BY workload", "averages")
@@ -608,3 +633,26 @@ _stream = f"""
   FROM scored_s1 WHERE tick < (SELECT max(tick) FROM samples)"""
 oracle("stream_anomaly", _stream, "scored_s1", "samples")
 oracle("stream_restart", _stream, "scored_s1", "samples")
+
+
+def settle_rounding(sql: str) -> str:
+    """Replace each ``round(x, 6)`` by one over nine exact decimal places, so that ties do not hang on float noise."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 0, start + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if depth == 0:
+                break
+            end += 1
+        inner = sql[start + 6 : end]
+        out.append(sql[at:start])
+        if inner.endswith(", 6"):
+            out.append(f"CAST(round(CAST({settle_rounding(inner[:-3])} AS DECIMAL(38,9)), 6) AS DOUBLE)")
+        else:
+            out.append(f"round({settle_rounding(inner)})")
+        at = end + 1
+    return "".join(out) + sql[at:]
+
+
+ORACLES = {name: settle_rounding(sql) for name, sql in ORACLES.items()}

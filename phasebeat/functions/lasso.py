@@ -8,6 +8,8 @@ candidate with the least objective is taken; on ties the earlier one.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,14 +68,18 @@ def with_lasso(df: DataFrame, points: dict[str, list[tuple[str, str, str]]], alp
 def fit_points(points: Sequence[tuple[float, float, float]], alpha: float) -> tuple[float, float, float]:
     """The same fit for one small list of points, for the stateful steps."""
     n = float(len(points))
-    m1 = sum(p[0] for p in points) / n
-    m2 = sum(p[1] for p in points) / n
-    my = sum(p[2] for p in points) / n
-    s11 = sum((p[0] - m1) * (p[0] - m1) for p in points) / n
-    s12 = sum((p[0] - m1) * (p[1] - m2) for p in points) / n
-    s22 = sum((p[1] - m2) * (p[1] - m2) for p in points) / n
-    c1 = sum((p[0] - m1) * (p[2] - my) for p in points) / n
-    c2 = sum((p[1] - m2) * (p[2] - my) for p in points) / n
+
+    def mean(values) -> float:
+        # Plain adding in order, as the column form does; the built-in sum corrects its rounding.
+        return reduce(add, values) / n
+
+    m1, m2, my = (mean(p[k] for p in points) for k in range(3))
+    centred = [(p[0] - m1, p[1] - m2, p[2] - my) for p in points]
+    s11 = mean(u * u for u, _, _ in centred)
+    s12 = mean(u * v for u, v, _ in centred)
+    s22 = mean(v * v for _, v, _ in centred)
+    c1 = mean(u * y for u, _, y in centred)
+    c2 = mean(v * y for _, v, y in centred)
 
     def soft(c: float, s: float) -> float:
         size = max(abs(c) - alpha, 0.0)

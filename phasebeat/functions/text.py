@@ -95,6 +95,11 @@ def tagged_stack(stack: Column, threads: Column) -> Column:
     return F.concat(stack, F.lit(f" {COUNT_MARK} "), threads)
 
 
+def places(c: Column, n: int) -> Column:
+    """Number with ``n`` places, rounded as the exact binary value demands, ties to even."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * n))
+
+
 def stat_value(line: Column, stat: str) -> Column:
     """Value after the ``<stat> Prediction Accuracy: `` label, null if the label is missing."""
     found = F.regexp_extract(line, rf"\Q{stat}\E Prediction Accuracy: (\S+)", 1)

@@ -10,11 +10,15 @@ from phasebeat.operators.ordered import scan
 
 
 def parse_stats(
-    lines: DataFrame, stats: tuple[str, ...], failures: tuple[str, ...] = (), segment_rows: int | None = None
+    lines: DataFrame,
+    stats: tuple[str, ...],
+    failures: tuple[str, ...] = (),
+    segment_rows: int | None = None,
+    keys: tuple[str, ...] = ("algo",),
 ) -> DataFrame:
     """Values per repeat of a workload: ``(algo, workload, repeat, <stat> ...)``.
 
-    ``lines`` has ``algo, line_no, line``.  A line of one word starts a block and names its workload.
+    ``lines`` has ``line_no, line`` and the ``keys`` that name a file.  A line of one word starts a block and names its workload.
     A block without values is no repeat.  Within a block the last value of a stat counts, and a line
     with one of the ``failures`` texts drops what came before it.
     """
@@ -25,7 +29,7 @@ def parse_stats(
         failed = failed | F.col("line").contains(f)
     rows = lines.withColumns({"name": F.when(single, word), "failed": failed})
     starts = F.when(F.col("name").isNotNull(), 1).otherwise(0)
-    rows = scan(rows, ["algo"], "line_no", sums={"block": starts}, segment_rows=segment_rows)
+    rows = scan(rows, list(keys), "line_no", sums={"block": starts}, segment_rows=segment_rows)
 
     # The first stat named in a line takes it, later ones do not look at it.
     taken, values = F.lit(False), {}
@@ -35,7 +39,7 @@ def parse_stats(
         taken = taken | F.col("line").contains(stat)
     rows = rows.withColumns(values)
     no = F.col("line_no")
-    blocks = rows.groupBy("algo", "block").agg(
+    blocks = rows.groupBy(*keys, "block").agg(
         F.max("name").alias("workload"),
         F.max(F.when(F.col("failed"), no)).alias("failed_at"),
         *[F.max_by(F.col(s), F.when(F.col(s).isNotNull(), no)).alias(s) for s in stats],
@@ -47,7 +51,7 @@ def parse_stats(
     for s in stats:
         some = some | F.col(s).isNotNull()
     return blocks.where(some & F.col("workload").isNotNull()).select(
-        "algo", "workload", F.col("block").alias("repeat"), *stats
+        *keys, "workload", F.col("block").alias("repeat"), *stats
     )
 
 

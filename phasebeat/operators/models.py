@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions.lasso import with_lasso
+from phasebeat.operators.ordered import whole_part
 from phasebeat.operators.replay import replayed_lasso
 
 KEY = ["cluster", "phase_id", "version"]
@@ -54,7 +55,7 @@ def batches(visits: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = visits.where("counts").select(
         "cluster",
         "phase_id",
-        (F.floor(F.col("prior") / settings.cycle) + 1).cast("long").alias("version"),
+        (whole_part("prior", settings.cycle) + 1).alias("version"),
         pos.alias("pos"),
         *{_visit_column(r, p) for r in RESOURCES for p in PARTS},
     )
@@ -72,7 +73,7 @@ def pending_profiles(visits: DataFrame, settings: Settings = Settings()) -> Data
     """Profiles stored since the last training of their phase."""
     done = batches(visits, settings).select("cluster", "phase_id", "version")
     rows = visits.where("counts").where(F.col("prior") % settings.cycle < settings.batch_size)
-    rows = rows.withColumn("version", (F.floor(F.col("prior") / settings.cycle) + 1).cast("long"))
+    rows = rows.withColumn("version", whole_part("prior", settings.cycle) + 1)
     return profiles(rows.join(done, KEY, "left_anti"))
 
 
@@ -132,7 +133,7 @@ def agg_models(full: DataFrame, settings: Settings = Settings()) -> DataFrame:
     }
     place = (F.col("version") - 1) % length
     rows = full.select(
-        *KEY, place.alias("place"), F.floor((F.col("version") - 1) / length).alias("segment"),
+        *KEY, place.alias("place"), whole_part("(version - 1)", length).alias("segment"),
         *[s.alias(r) for r, s in inputs.items()],
     )
     upto = W.partitionBy("cluster", "phase_id", "segment").orderBy("version")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phasebeat.config import SEGMENT_ROWS
-from phasebeat.workspace import store
+from phasebeat.workspace import stored
 
 SEGMENT = "__segment"
 
@@ -25,6 +25,11 @@ def segments_needed(df: DataFrame, index: str, limit: int = SEGMENT_ROWS) -> int
     return None if high is None or high - low < limit else limit
 
 
+def whole_part(column: str, by: int) -> Column:
+    """Whole-number quotient rounded down, exact for every 64-bit integer."""
+    return F.expr(f"({column} - pmod({column}, {by})) div {by}")
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -44,7 +49,7 @@ def scan(
     sums, lasts, lags = sums or {}, lasts or {}, lags or {}
     if segment_rows is None:
         return _local(df, keys, index, sums, lasts, lags)
-    rows = store(df, "sequence").withColumn(SEGMENT, F.floor(F.col(index) / F.lit(segment_rows)))
+    rows = stored(df, "sequence").withColumn(SEGMENT, whole_part(index, segment_rows))
     within = [*keys, SEGMENT]
     local = _local(rows, within, index, sums, lasts, lags)
     order = W.partitionBy(*within).orderBy(index)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import phases as ph
-from phasebeat.operators.ordered import scan
+from phasebeat.operators.ordered import scan, whole_part
 
 
 def phased(triplets: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -43,14 +43,9 @@ def visits(phased_ticks: DataFrame, settings: Settings = Settings(), segment_row
     )
     one = F.col("counts").cast("long")
     rows = scan(rows, ["cluster", "phase_id"], "tick_no", sums={"upto": one}, segment_rows=segment_rows)
-    prior = F.col("upto") - one
-    return rows.withColumns(
-        {
-            "prior": prior,
-            "seen": ~F.col("idle") & (prior > 0),
-            "version": F.when(F.col("idle"), F.lit(0)).otherwise(F.floor(prior / settings.cycle)).cast("long"),
-        }
-    ).drop("upto")
+    rows = rows.withColumn("prior", F.col("upto") - one).drop("upto")
+    version = F.when(F.col("idle"), F.lit(0)).otherwise(whole_part("prior", settings.cycle))
+    return rows.withColumns({"seen": ~F.col("idle") & (F.col("prior") > 0), "version": version.cast("long")})
 
 
 def known_phases(ticks: DataFrame, saved: DataFrame) -> DataFrame:

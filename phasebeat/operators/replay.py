@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions.lasso import fit_points
+from phasebeat.operators.ordered import whole_part
 from phasebeat.workspace import store
 
 CHAIN_ROWS = 1 << 16
@@ -84,7 +85,7 @@ def _fold(rows: DataFrame, settings: Settings) -> DataFrame:
 
 def replayed_lasso(full: DataFrame, settings: Settings, chain_rows: int = CHAIN_ROWS) -> DataFrame:
     """Coefficients per (cluster, phase, version) of the replayed chain."""
-    segment = F.floor((F.col("version") - 1) / chain_rows).alias("segment")
+    segment = whole_part("(version - 1)", chain_rows).alias("segment")
     cold = {s: F.lit(None).cast("double") for s in STARTS}
     rows = store(full.select("*", segment), "chains")
     keep = ["cluster", "phase_id", "version", *COEFFICIENTS]

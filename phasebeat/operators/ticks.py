@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import text
-from phasebeat.operators.ordered import scan
+from phasebeat.operators.ordered import scan, whole_part
 
 TICK = ["cluster", "tick"]
 
@@ -132,7 +132,7 @@ def triplets(ticks: DataFrame, settings: Settings = Settings(), segment_rows: in
     empty = F.array().cast("array<string>")
     rows = rows.where(F.col("snapshot_no") % settings.stride == 0)
     return rows.withColumns(
-        {"tick_no": F.floor(F.col("snapshot_no") / settings.stride)}
+        {"tick_no": whole_part("snapshot_no", settings.stride)}
         | {f"{r}_prev{n}": F.coalesce(f"{r}_prev{n}", F.lit(0.0)) for r in RESOURCES for n in (1, 2)}
         | {f"{s}_prev1": F.coalesce(F.col(f"{s}_prev1"), empty) for s in sets}
     ).drop("snapshot_no")

@@ -12,7 +12,7 @@ from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import errors, text
 from phasebeat.functions import phases as ph
 from phasebeat.operators import anomaly, compare, models, phases, reports, runs, ticks, traffic
-from phasebeat.operators.ordered import segments_needed
+from phasebeat.operators.ordered import segments_needed, whole_part
 from phasebeat.plans import datasets as data
 from phasebeat.plans.online import visited, watch
 from phasebeat.schema import SAMPLES, TIMED_SAMPLES
@@ -33,7 +33,8 @@ def query(f: Query) -> Query:
 
 
 def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    """Six places.  Rounding to nine first keeps the order of adding from deciding ties."""
+    return F.round(F.round(F.col(c) if isinstance(c, str) else c, 9), 6)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -113,7 +114,7 @@ def formatted_output(spark, sf):
     """Values as the printed forms have them, with two, three and five places."""
     rows = data.points(spark, sf).select(
         "event_id", F.concat(F.lit("runner-"), F.substring_index("host", "-", -1)).alias("host"),
-        *[F.format_string(f"%.{n}f", F.col("value") / 7).alias(f"places{n}") for n in (2, 3, 5)],
+        *[text.places(F.col("value") / 8, n).alias(f"places{n}") for n in (2, 3, 5)],
     )
     return rows
 
@@ -412,6 +413,18 @@ def process_tree(spark, sf):
     return found.select("host", "pid", "ppid", "is_main")
 
 
+@query
+def traffic_log_scan(spark, sf):
+    """Traffic logs written as a text file per host, read by line and cut into chunks."""
+    path = new_dir(spark, "traffic")
+    tables.append_lines(data.traffic_lines(spark, sf), path, ["host"])
+    lines = src.read_lines(spark, path)
+    lines = lines.select(F.regexp_extract("path", "host=([^/]+)/", 1).alias("host"), "line_no", "line")
+    chunks = traffic.chunked(lines, ["host"], segments_needed(lines, "line_no"))
+    others = F.count(F.when(F.col("line") != traffic.REFRESH, 1))
+    return chunks.groupBy("host", "chunk").agg(others.alias("lines"))
+
+
 def traffic_usage(spark: SparkSession, sf: str, exact: bool) -> DataFrame:
     watched = traffic.process_tree(data.processes(spark, sf), data.main_process())
     lines = data.traffic_lines(spark, sf)
@@ -460,6 +473,17 @@ def stack_text(spark, sf):
     return spark.read.text(path).groupBy("value").agg(F.count("*").alias("times"))
 
 
+@query
+def dump_files(spark, sf):
+    """Dumps written as one text file each, longer than those above, and read whole."""
+    path = new_dir(spark, "dumps")
+    # The writer ends the text with the newline that is cut off here.
+    rows = data.dumps(spark, sf, 1000).select("dump_no", F.expr("left(value, length(value) - 1)").alias("value"))
+    rows.write.partitionBy("dump_no").text(path)
+    number = F.regexp_extract("path", "dump_no=([0-9]+)/", 1).cast("long").alias("dump_no")
+    return spark_stacks(src.read_dumps(spark, path).select(number, "value"), "dump_no")
+
+
 @query
 def doc_blocks(spark, sf):
     """Document lines cut into blocks; a line that starts with E or T starts one."""
@@ -487,6 +511,19 @@ def stats_file_parse(spark, sf):
     return rounded(repeats(spark, sf), *STATS)
 
 
+@query
+def stats_file_scan(spark, sf):
+    """Statistics lines written as files of a thousand orders, numbered when read, and parsed per file."""
+    path = new_dir(spark, "stats")
+    keys = ["algo", "part"]
+    lines = data.stats_lines(spark, sf).withColumn("part", whole_part("line_no", 5000))
+    tables.append_lines(lines, path, keys)
+    found = [F.regexp_extract("path", f"{k}=([^/]+)/", 1).alias(k) for k in keys]
+    lines = src.read_lines(spark, path).select(*found, "line_no", "line")
+    repeats_ = compare.parse_stats(lines, STATS, (data.FAILED_RUN,), segments_needed(lines, "line_no"), tuple(keys))
+    return rounded(repeats_.withColumn("part", F.col("part").cast("long")), *STATS)
+
+
 @query
 def compare_workloads(spark, sf):
     means = compare.workload_means(repeats(spark, sf), STATS)
@@ -603,6 +640,26 @@ def report_files(spark, sf):
     return spark.read.schema(schema).csv(path, header=True)
 
 
+@query
+def report_lines(spark, sf):
+    """The full report as printed, window starts in a local zone."""
+    rows = reports.full_report(data.report_points(spark, sf), window="6 hours")
+    # Printed places are fewer than the noise of adding in another order, but a tie must not depend on it.
+    rows = tables.report_lines(rounded(rows, "value"), "America/Toronto")
+    return rows.select(*TAGS, "section", "metric", stamp("window_start").alias("window_start"), "line")
+
+
+@query
+def paired_accuracy(spark, sf):
+    """Accuracy of actual and predicted values that are stored apart."""
+    rows = forecast(spark, sf, Settings(algo="simple"))
+    keys = ["cluster", "tick_no"]
+    actual = store(rows.select(*keys, *RESOURCES), "actual")
+    made = store(rows.select(*keys, *[f"predicted_{r}" for r in RESOURCES]), "made")
+    found = anomaly.smape_accuracy(tables.paired(actual, made, keys), ["cluster"])
+    return rounded(found, *[f"acc_{r}" for r in RESOURCES])
+
+
 @query
 def samples_json_roundtrip(spark, sf):
     """Samples written as JSON and read back, silent workers filled in with one empty function."""
@@ -664,14 +721,12 @@ def stream_restart(spark, sf):
 
 @query
 def stream_chunks(spark, sf):
-    """Traffic logs arriving as one file per host, each with whole chunks, read as a stream."""
+    """Traffic logs arriving as one text file per host, each with whole chunks, read as a stream."""
     source, path, check = (new_dir(spark, n) for n in ("traffic", "chunks", "check"))
-    logs = data.traffic_lines(spark, sf)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"])
-    logs = logs.groupBy("host").agg(F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("value"))
-    logs.write.parquet(source)
-    stream = spark.readStream.schema("host string, value string").parquet(source)
-    chunks = stream.select("host", F.posexplode(text.closed_chunks(F.col("value"))).alias("chunk", "lines"))
+    tables.append_lines(data.traffic_lines(spark, sf), source, ["host"])
+    stream = src.stream_logs(spark, source)
+    host = F.regexp_extract("path", "host=([^/]+)/", 1).alias("host")
+    chunks = stream.select(host, F.posexplode(text.closed_chunks(F.col("value"))).alias("chunk", "lines"))
     sizes = chunks.select("host", "chunk", F.size(F.filter(F.split("lines", "\n"), lambda s: s != "")).alias("lines"))
     live.run_available(sizes, path, check)
     return spark.read.parquet(path)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasebeat.functions import text
+from phasebeat.operators.ordered import whole_part
 
 # Hours are counted from this date.
 ORIGIN = "2024-01-01"
@@ -108,8 +109,8 @@ def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cluster", "worker", "tick", name.alias("name"), pid.alias("pid"), line.alias("line"))
 
 
-def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An aggregated dump text for every twenty events: blocks of a count line and a stack."""
+def dumps(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
+    """An aggregated dump text for every ``size`` events: blocks of a count line and a stack."""
     rows = events(spark, sf_dir)
     n = F.col("event_id")
     head = F.concat((F.col("k") % 9 + 1).cast("string"), F.lit(" threads with trace\n"))
@@ -123,7 +124,7 @@ def dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     end = F.when(n % 13 == 0, F.lit("")).otherwise(F.lit("\n"))
     block = F.concat(F.when(n % 11 == 0, F.lit("")).otherwise(head), frames, end)
-    rows = rows.select(F.floor(n / 20).alias("dump_no"), F.struct("event_id", block.alias("block")).alias("b"))
+    rows = rows.select(whole_part("event_id", size).alias("dump_no"), F.struct("event_id", block.alias("block")).alias("b"))
     blocks = F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"])
     return rows.groupBy("dump_no").agg(F.array_join(blocks, "").alias("value"))
 
@@ -146,7 +147,7 @@ HOST_EVENTS = 500
 
 
 def _host() -> Column:
-    return F.concat(F.lit("host-"), F.floor(F.col("event_id") / HOST_EVENTS).cast("string"))
+    return F.concat(F.lit("host-"), whole_part("event_id", HOST_EVENTS).cast("string"))
 
 
 def processes(spark: SparkSession, sf_dir: str) -> DataFrame:

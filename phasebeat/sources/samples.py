@@ -27,6 +27,12 @@ def read_dumps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def stream_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Log files as they arrive, each whole and with whole chunks: ``(path, value)``."""
+    stream = spark.readStream.schema("value string").text(path, wholetext=True)
+    return stream.select(F.col("_metadata.file_path").alias("path"), "value")
+
+
 def read_resource_history(spark: SparkSession, path: str) -> DataFrame:
     """``count,cpu,mem`` lines in folders ``pid=<pid>``; a line without a number gives null there."""
     lines = spark.read.text(path)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES
-from phasebeat.operators.reports import tagged
+from phasebeat.functions.text import places
+from phasebeat.operators.reports import local_time, tagged
 
 TAG_COLUMNS = ("time", "host", "experiment_name")
 
@@ -37,6 +42,22 @@ def read_points(
     return tagged(spark.read.parquet(f"{root}/{measurement}"), host, experiment)
 
 
+@contextmanager
+def timed_step(spark: SparkSession, root: str, measurement: str, host: str, experiment: str) -> Iterator[None]:
+    """Time a block of driver code, such as one job, and append its latency as a point."""
+    start = time.time()
+    yield
+    latency = time.time() - start
+    now = F.current_timestamp().alias("time")
+    tags = [F.lit(host).alias("host"), F.lit(experiment).alias("experiment_name")]
+    write_points(spark.range(1).select(now, *tags, F.lit(latency).alias("latency")), root, measurement)
+
+
+def paired(actual: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """Actual and predicted values of the same tick, where they are stored apart."""
+    return actual.select(*keys, *RESOURCES).join(predicted.select(*keys, *[f"predicted_{r}" for r in RESOURCES]), keys)
+
+
 def as_generic_points(points: DataFrame, measurement: str | None = None) -> DataFrame:
     """Any measurement as ``(measurement, time, host, experiment_name, fields)``."""
     known = {"measurement", *TAG_COLUMNS}
@@ -68,7 +89,7 @@ def load_phases(spark: SparkSession, root: str, version: int, name: str) -> Data
 def accuracy_lines(run_accuracy: DataFrame, by: list[str], variant: str = "v2", anomaly: bool = False) -> DataFrame:
     """The block that a run appends to its statistics file, as numbered lines."""
     lines = [F.lit(""), F.lit("### Accuracy Rates ###")]
-    lines += [F.format_string(f"{r.upper()} Prediction Accuracy: %.3f", F.col(f"acc_{r}")) for r in RESOURCES]
+    lines += [F.concat(F.lit(f"{r.upper()} Prediction Accuracy: "), places(F.col(f"acc_{r}"), 3)) for r in RESOURCES]
     if variant == "v1" and anomaly:
         lines.append(F.lit("Anomaly Detected"))
     return run_accuracy.select(*by, F.posexplode(F.array(*lines)).alias("line_no", "line"))
@@ -88,7 +109,30 @@ def write_comparison(table: DataFrame, path: str, stat: str, algos: list[str]) -
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    report.write.option("header", True).csv(path)
+    """A report as CSV with the windows of each metric in time order, the mean after them."""
+    tags = [c for c in report.columns if c not in ("section", "metric", "window_start", "value")]
+    in_order = report.orderBy(*tags, "section", "metric", F.col("window_start").asc_nulls_last())
+    in_order.write.option("header", True).csv(path)
+
+
+def report_lines(report: DataFrame, zone: str = "UTC") -> DataFrame:
+    """The printed line of each report row; window starts are wall-clock times of ``zone``."""
+    name = F.substring_index("host", "-", -1)
+    value = places(F.col("value"), 5)
+    start = F.date_format(local_time(F.col("window_start").cast("timestamp_ntz"), zone), "yyyy-MM-dd HH:mm:ss")
+    line = (
+        F.when(F.col("section").isin("max", "min"), F.concat(F.initcap("section"), F.lit(" "), "metric", F.lit(" for "), name, F.lit(": "), value))
+        .when(
+            F.col("section") == "frequency",
+            F.concat(
+                F.lit("Number of "), F.regexp_replace("metric", "predicted_", ""), F.lit(" predictions for "), name,
+                F.lit(": "), F.col("value").cast("long").cast("string"),
+            ),
+        )
+        .when(F.col("window_start").isNotNull(), F.concat(start, F.lit(": "), value))
+        .otherwise(F.concat(F.lit("mean: "), value))
+    )
+    return report.withColumn("line", line)
 
 
 def append_history(samples: DataFrame, path: str) -> None:

@@ -36,4 +36,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._phasebeat_stored = True
+    return table
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` itself if it is a table that ``store`` has just written, else written now."""
+    return df if getattr(df, "_phasebeat_stored", False) else store(df, name)
