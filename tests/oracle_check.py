@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 import traceback
@@ -57,7 +58,14 @@ if __name__ == "__main__":
     from phasebeat.session import local_session
 
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark, con = local_session("8"), connect(sf_dir)
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session("8")
+    con = connect(sf_dir)
     queries, oracles = entry.queries(), entry.oracle_sql()
     wanted = sys.argv[2:] or list(queries)
     failed = []
