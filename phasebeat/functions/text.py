@@ -44,15 +44,18 @@ def first_token(c: Column) -> Column:
 
 def to_number(c: Column, accept_non_finite: bool = False) -> Column:
     """Float value of a text, null where it has none."""
-    plain = F.when(c.rlike(NUMBER), strip(F.regexp_replace(c, "_", "")).try_cast("double"))
+    plain = F.when(c.rlike(NUMBER), F.replace(c, F.lit("_"), F.lit("")).try_cast("double"))
     if not accept_non_finite:
         return plain
-    return plain.when(c.rlike(NON_FINITE), strip(c).try_cast("double"))
+    return plain.when(c.rlike(NON_FINITE), c.try_cast("double"))
 
 
 def resource_field(line: Column, position: int, fields: int = 2, accept_non_finite: bool = False) -> Column:
     """One resource of a ``cpu,mem`` line; null if the line or that field is malformed."""
-    parts = F.split(line, ",", -1)
+    return field_number(F.split(line, ",", -1), position, fields, accept_non_finite)
+
+
+def field_number(parts: Column, position: int, fields: int, accept_non_finite: bool = False) -> Column:
     return F.when(F.size(parts) == fields, to_number(F.get(parts, F.lit(position)), accept_non_finite))
 
 

@@ -49,10 +49,11 @@ def with_silent_workers(samples: DataFrame, expected: DataFrame, empty_function:
 
 def parse_resources(samples: DataFrame, accept_non_finite: bool = False) -> DataFrame:
     """Add ``cpu`` and ``mem``, null where the text line is malformed."""
-    line = F.col("resource_data")
-    return samples.withColumns(
-        {r: text.resource_field(line, i, len(RESOURCES), accept_non_finite) for i, r in enumerate(RESOURCES)}
-    )
+    n, parts = len(RESOURCES), F.col("parts")
+    rows = samples.withColumn("parts", F.split("resource_data", ",", -1))
+    return rows.withColumns(
+        {r: text.field_number(parts, i, n, accept_non_finite) for i, r in enumerate(RESOURCES)}
+    ).drop("parts")
 
 
 def fill_forward(parsed: DataFrame, segment_rows: int | None = None) -> DataFrame:
