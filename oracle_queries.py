@@ -612,6 +612,9 @@ oracle("phase_db_roundtrip", """
   SELECT cluster, count(*), CASE WHEN known THEN 'known' ELSE 'new' END FROM (
     SELECT cluster, (cluster, phase_id) IN (SELECT (cluster, phase_id) FROM early) AS known
     FROM visits_s1 WHERE tick >= 360 AND NOT idle) GROUP BY ALL""", "early", "early_full", "visits_s1")
+oracle("resumed_watch", """
+  SELECT cluster, tick, phase_id, seen, version, CAST(step AS BIGINT) AS step, round(predicted_cpu, 6) AS predicted_cpu,
+         round(predicted_mem, 6) AS predicted_mem, round(mape, 6) AS mape FROM steps_s1 WHERE tick >= 360""", "steps_s1")
 oracle("summary_append", """
   SELECT cluster, CAST(unnest(range(4)) AS BIGINT) AS line_no, unnest(['', '### Accuracy Rates ###',
     'CPU Prediction Accuracy: ' || printf('%.3f', acc_cpu), 'MEM Prediction Accuracy: ' || printf('%.3f', acc_mem)]) AS line

@@ -19,7 +19,7 @@ class Settings:
     threshold: float = 0.6
     batch_size: int = 3
     alpha: float = 0.1
-    replay: int = 0
+    replay: int = 5
     seed: int = 0
     stride: int = 2
     cpu_floor: float = 10.0

@@ -69,12 +69,22 @@ def batches(visits: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return full.where(F.col("members") == settings.cycle).drop("members")
 
 
+def with_pending(visits: DataFrame, pending: DataFrame | None) -> DataFrame:
+    """Visits together with those an earlier run stored without training."""
+    return visits if pending is None else visits.unionByName(pending.select(*visits.columns))
+
+
+def pending_visits(visits: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Visits whose profiles were stored since the last training of their phase."""
+    done = batches(visits, settings).select("cluster", "phase_id", F.col("version").alias("batch"))
+    rows = visits.where("counts").where(F.col("prior") % settings.cycle < settings.batch_size)
+    rows = rows.withColumn("batch", whole_part("prior", settings.cycle) + 1)
+    return rows.join(done, ["cluster", "phase_id", "batch"], "left_anti").select(*visits.columns)
+
+
 def pending_profiles(visits: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Profiles stored since the last training of their phase."""
-    done = batches(visits, settings).select("cluster", "phase_id", "version")
-    rows = visits.where("counts").where(F.col("prior") % settings.cycle < settings.batch_size)
-    rows = rows.withColumn("version", whole_part("prior", settings.cycle) + 1)
-    return profiles(rows.join(done, KEY, "left_anti"))
+    return profiles(pending_visits(visits, settings))
 
 
 def batch_statistics(full: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -94,14 +104,14 @@ def batch_statistics(full: DataFrame, settings: Settings = Settings()) -> DataFr
     return _by_resource(rows, KEY, names, names).withColumn("n", F.lit(settings.batch_size).cast("long"))
 
 
-def lasso_models(full: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def lasso_models(full: DataFrame, settings: Settings = Settings(), previous: DataFrame | None = None) -> DataFrame:
     """Coefficients per (cluster, phase, version), wide over resources.
 
     With ``replay`` points each fit also sees that many synthetic points labelled by the model before,
-    which makes the versions of a phase a chain.
+    which makes the versions of a phase a chain.  ``previous`` models are those of an earlier run.
     """
     if settings.replay:
-        return replayed_lasso(full, settings)
+        return replayed_lasso(full, settings, previous)
     points = {
         r: [tuple(f"{r}_{p}_{i}" for p in PARTS) for i in range(settings.batch_size)] for r in RESOURCES
     }
@@ -117,7 +127,7 @@ def models_by_resource(models: DataFrame, settings: Settings = Settings()) -> Da
     return _by_resource(models, KEY, parts, parts).withColumn("n", F.lit(settings.batch_size).cast("long"))
 
 
-def agg_models(full: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def agg_models(full: DataFrame, settings: Settings = Settings(), previous: DataFrame | None = None) -> DataFrame:
     """Running mean per resource: the new one is the mean of the batch inputs and the old one.
 
     ``m_v = (S_v + m_(v-1)) / b`` is a sum of inputs with weights ``b^-k``.  Versions are cut into
@@ -156,18 +166,33 @@ def agg_models(full: DataFrame, settings: Settings = Settings()) -> DataFrame:
         *[F.sum(f"start_{r}").alias(f"start_{r}") for r in RESOURCES]
     )
     joined = local.join(starts, ["cluster", "phase_id", "segment"], "left")
-    return joined.select(
-        *KEY, *[(F.col(r) + F.coalesce(F.col(f"start_{r}"), F.lit(0.0)) / shrink).alias(f"{r}_mean") for r in RESOURCES]
-    )
-
-
-def train(visits: DataFrame, settings: Settings = Settings()) -> DataFrame | None:
-    """Models of the chosen algorithm; ``None`` where the algorithm keeps none."""
+    means = {r: F.col(r) + F.coalesce(F.col(f"start_{r}"), F.lit(0.0)) / shrink for r in RESOURCES}
+    if previous is not None:
+        old = [F.col("version").alias("old_version"), *[F.col(f"{r}_mean").alias(f"old_{r}") for r in RESOURCES]]
+        joined = joined.join(previous.select("cluster", "phase_id", *old), ["cluster", "phase_id"], "left")
+        fade = F.pow(F.lit(b), F.col("old_version") - F.col("version"))
+        means = {r: m + F.coalesce(F.col(f"old_{r}") * fade, F.lit(0.0)) for r, m in means.items()}
+    return joined.select(*KEY, *[m.alias(f"{r}_mean") for r, m in means.items()])
+
+
+def train(
+    visits: DataFrame,
+    settings: Settings = Settings(),
+    pending: DataFrame | None = None,
+    previous: DataFrame | None = None,
+) -> DataFrame | None:
+    """Models of the chosen algorithm; ``None`` where the algorithm keeps none.
+
+    ``pending`` visits and ``previous`` models are those of an earlier run; its models are kept.
+    """
+    full = batches(with_pending(visits, pending), settings)
     if settings.algo == "lasso":
-        return lasso_models(batches(visits, settings), settings)
-    if settings.algo == "agg" and settings.variant == "v1":
-        return agg_models(batches(visits, settings), settings)
-    return None
+        trained = lasso_models(full, settings, previous)
+    elif settings.algo == "agg" and settings.variant == "v1":
+        trained = agg_models(full, settings, previous)
+    else:
+        return None
+    return trained if previous is None else trained.unionByName(previous.select(*trained.columns))
 
 
 def linear(resource: str) -> Column:

@@ -28,12 +28,17 @@ def phase_names(phased_ticks: DataFrame) -> DataFrame:
     return phased_ticks.select("phase_id", "phase").distinct()
 
 
-def visits(phased_ticks: DataFrame, settings: Settings = Settings(), segment_rows: int | None = None) -> DataFrame:
+def visits(
+    phased_ticks: DataFrame,
+    settings: Settings = Settings(),
+    segment_rows: int | None = None,
+    before: DataFrame | None = None,
+) -> DataFrame:
     """Number the visits of each phase; drop the texts.
 
     ``prior`` counts earlier visits that left a trace, ``seen`` says there was one, ``version``
     is the model trained last before this tick (0 = none).  Idle ticks leave no trace, nor does the first
-    tick of the first variant.
+    tick of the first variant.  ``before`` has the ``visits`` per phase of an earlier run.
     """
     idle = F.col("phase") == ph.IDLE
     counts = ~idle & (F.col("tick_no") > 1) if settings.variant == "v1" else ~idle
@@ -43,11 +48,23 @@ def visits(phased_ticks: DataFrame, settings: Settings = Settings(), segment_row
     )
     one = F.col("counts").cast("long")
     rows = scan(rows, ["cluster", "phase_id"], "tick_no", sums={"upto": one}, segment_rows=segment_rows)
-    rows = rows.withColumn("prior", F.col("upto") - one).drop("upto")
+    prior = F.col("upto") - one
+    if before is not None:
+        rows = rows.join(before, ["cluster", "phase_id"], "left")
+        prior = prior + F.coalesce("visits", F.lit(0))
+    rows = rows.withColumn("prior", prior).drop("upto", "visits")
     version = F.when(F.col("idle"), F.lit(0)).otherwise(whole_part("prior", settings.cycle))
     return rows.withColumns({"seen": ~F.col("idle") & (F.col("prior") > 0), "version": version.cast("long")})
 
 
+def visit_counts(visited: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Visits per phase so far, those of an earlier run included."""
+    counts = visited.where("counts").select("cluster", "phase_id", (F.col("prior") + 1).alias("visits"))
+    if before is not None:
+        counts = counts.unionByName(before)
+    return counts.groupBy("cluster", "phase_id").agg(F.max("visits").alias("visits"))
+
+
 def known_phases(ticks: DataFrame, saved: DataFrame) -> DataFrame:
     """Ticks whose phase is in a saved phase table."""
     return ticks.join(saved.select("cluster", "phase_id").distinct(), ["cluster", "phase_id"], "left_semi")

@@ -83,18 +83,28 @@ def _fold(rows: DataFrame, settings: Settings) -> DataFrame:
     return ordered.mapInPandas(_folder(settings), schema)
 
 
-def replayed_lasso(full: DataFrame, settings: Settings, chain_rows: int = CHAIN_ROWS) -> DataFrame:
-    """Coefficients per (cluster, phase, version) of the replayed chain."""
+def replayed_lasso(
+    full: DataFrame, settings: Settings, previous: DataFrame | None = None, chain_rows: int = CHAIN_ROWS
+) -> DataFrame:
+    """Coefficients per (cluster, phase, version) of the replayed chain.
+
+    A chain goes on from the ``previous`` model of its phase, if there is one.
+    """
     segment = whole_part("(version - 1)", chain_rows).alias("segment")
-    cold = {s: F.lit(None).cast("double") for s in STARTS}
     rows = store(full.select("*", segment), "chains")
+    if previous is None:
+        first = rows.withColumns({s: F.lit(None).cast("double") for s in STARTS})
+    else:
+        old = [F.col(c).alias(s) for c, s in zip(COEFFICIENTS, STARTS)]
+        following = whole_part("version", chain_rows).alias("segment")
+        first = rows.join(previous.select("cluster", "phase_id", following, *old), SEGMENT, "left")
     keep = ["cluster", "phase_id", "version", *COEFFICIENTS]
-    longest = rows.agg(F.max("segment")).first()[0]
+    longest = rows.agg(F.max("segment") - F.min("segment")).first()[0]
     if not longest:
-        return _fold(rows.withColumns(cold), settings).select(*keep)
+        return _fold(first, settings).select(*keep)
 
     present = rows.select(*SEGMENT).distinct()
-    result = store(_fold(rows.withColumns(cold), settings), "models")
+    result = store(_fold(first, settings), "models")
     used = None
     while True:
         ends = result.groupBy(*SEGMENT).agg(F.max_by(F.struct(*COEFFICIENTS), "version").alias("e"))

@@ -120,23 +120,46 @@ def cluster_ticks(
     return ticks.withColumns({s: F.coalesce(F.col(s), empty) for s in sets})
 
 
-def triplets(ticks: DataFrame, settings: Settings = Settings(), segment_rows: int | None = None) -> DataFrame:
+def triplets(
+    ticks: DataFrame,
+    settings: Settings = Settings(),
+    segment_rows: int | None = None,
+    before: DataFrame | None = None,
+) -> DataFrame:
     """Each evaluated snapshot with the two before it; start values are zeros and empty sets.
 
-    With a stride of two, every second snapshot is evaluated.
+    With a stride of two, every second snapshot is evaluated.  ``before`` holds the last snapshots of
+    an earlier run: they serve as history and are not evaluated again.
     """
     if "malformed" in ticks.columns:
         ticks = _complete_pairs(ticks, settings.stride, segment_rows)
+    fresh = F.lit(1)
+    if before is not None:
+        old = before.select(*ticks.columns).withColumn("fresh", F.lit(0))
+        ticks = ticks.withColumn("fresh", F.lit(1)).unionByName(old)
+        fresh = F.col("fresh")
     sets = [c for c in ("funcs", "counted") if c in ticks.columns]
     lags = {f"{r}_prev{n}": (r, n) for r in RESOURCES for n in (1, 2)} | {f"{s}_prev1": (s, 1) for s in sets}
-    rows = scan(ticks, ["cluster"], "tick", sums={"snapshot_no": F.lit(1)}, lags=lags, segment_rows=segment_rows)
+    rows = scan(ticks, ["cluster"], "tick", sums={"snapshot_no": fresh}, lags=lags, segment_rows=segment_rows)
     empty = F.array().cast("array<string>")
-    rows = rows.where(F.col("snapshot_no") % settings.stride == 0)
+    rows = rows.where((F.col("snapshot_no") % settings.stride == 0) & (F.lit(before is None) | (fresh == 1)))
     return rows.withColumns(
         {"tick_no": whole_part("snapshot_no", settings.stride)}
         | {f"{r}_prev{n}": F.coalesce(f"{r}_prev{n}", F.lit(0.0)) for r in RESOURCES for n in (1, 2)}
         | {f"{s}_prev1": F.coalesce(F.col(f"{s}_prev1"), empty) for s in sets}
-    ).drop("snapshot_no")
+    ).drop("snapshot_no", "fresh")
+
+
+def last_two(ticks: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The last two snapshots of each cluster, by aggregation only."""
+    if before is not None:
+        ticks = ticks.unionByName(before.select(*ticks.columns))
+    row = F.struct(*ticks.columns).alias("t")
+    last = ticks.groupBy("cluster").agg(F.max_by(row, "tick").alias("t"))
+    ends = last.select("cluster", F.col("t.tick").alias("end"))
+    earlier = ticks.join(ends, "cluster").where(F.col("tick") < F.col("end"))
+    second = earlier.groupBy("cluster").agg(F.max_by(row, "tick").alias("t"))
+    return last.unionByName(second).select("t.*")
 
 
 def _complete_pairs(ticks: DataFrame, stride: int, segment_rows: int | None) -> DataFrame:

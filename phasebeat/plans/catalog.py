@@ -14,14 +14,16 @@ from phasebeat.functions import phases as ph
 from phasebeat.operators import anomaly, compare, models, phases, reports, runs, ticks, traffic
 from phasebeat.operators.ordered import segments_needed, whole_part
 from phasebeat.plans import datasets as data
-from phasebeat.plans.online import visited, watch
+from phasebeat.plans.online import Saved, visited, watch, watch_ticks
 from phasebeat.schema import SAMPLES, TIMED_SAMPLES
 from phasebeat.sources import samples as src
 from phasebeat.sources import tables
 from phasebeat.streaming import live
 from phasebeat.workspace import new_dir, store
 
-DENSE = Settings(stride=1)
+# Without replay unless a query is about it.
+PAIRS = Settings(replay=0)
+DENSE = Settings(stride=1, replay=0)
 TAGS = ["host", "experiment_name"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -210,7 +212,7 @@ VISIT = ["cluster", "tick", "tick_no", "phase_id", "idle", "prior", "seen", "ver
 
 @query
 def phase_visits(spark, sf):
-    return numbered(spark, sf, Settings())[0].select(VISIT)
+    return numbered(spark, sf, PAIRS)[0].select(VISIT)
 
 
 @query
@@ -278,7 +280,7 @@ def lasso_predict(spark, sf):
     return predicted(forecast(spark, sf, DENSE))
 
 
-AGG = Settings(variant="v1", algo="agg", stride=1)
+AGG = Settings(variant="v1", algo="agg", stride=1, replay=0)
 
 
 @query
@@ -298,7 +300,7 @@ def algo_choice(spark, sf):
     rows, _ = numbered(spark, sf, AGG)
     parts = []
     for algo in ("simple", "lasso", "agg"):
-        settings = Settings(variant="v1", algo=algo, stride=1)
+        settings = Settings(variant="v1", algo=algo, stride=1, replay=0)
         made = predicted(models.predict(rows, models.train(rows, settings), settings))
         parts.append(made.withColumn("algo", F.lit(algo)))
     return reduce(DataFrame.unionByName, parts)
@@ -335,21 +337,21 @@ def anomaly_confidence(spark, sf):
 
 @query
 def anomaly_alerts(spark, sf):
-    rows = anomaly.alerts(scores(spark, sf, Settings()))
+    rows = anomaly.alerts(scores(spark, sf, PAIRS))
     return rows.select("cluster", "tick", "tick_no", "phase_id", "confidence")
 
 
 @query
 def anomaly_first_alert(spark, sf):
     """The run of each cluster up to its first alert."""
-    rows = scores(spark, sf, Settings(), stop_at_first=True)
+    rows = scores(spark, sf, PAIRS, stop_at_first=True)
     return rows.select("cluster", "tick_no", "confidence", "alert")
 
 
 @query
 def watch_minutes(spark, sf):
     """The whole analysis with a sample every minute."""
-    rows = watch(*recorded(spark, sf, "MINUTE")).scored
+    rows = watch(*recorded(spark, sf, "MINUTE"), PAIRS).scored
     names = ("cpu", "mem", "predicted_cpu", "predicted_mem", "acc_cpu", "acc_mem")
     keep = ("cluster", "tick", "tick_no", "phase_id", "seen", "version", "confidence", "alert")
     return rounded(rows.select(*keep, *names), *names)
@@ -621,6 +623,18 @@ def phase_db_roundtrip(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query
+def resumed_watch(spark, sf):
+    """A run that stops halfway, saves its phases, and a second one that goes on from them."""
+    samples, expected = recorded(spark, sf)
+    rows = store(ticks.cluster_ticks(samples, expected, DENSE, cut_of(samples)), "ticks")
+    root = new_dir(spark, "phases")
+    watch_ticks(rows.where("tick < 360"), DENSE).state().save(root, 1)
+    found = watch_ticks(rows.where("tick >= 360"), DENSE, before=Saved.load(spark, root, 1)).scored
+    values = ("predicted_cpu", "predicted_mem", "mape")
+    return rounded(found.select("cluster", "tick", "phase_id", "seen", "version", "step", *values), *values)
+
+
 @query
 def summary_append(spark, sf):
     """Final accuracy blocks appended to a statistics file per cluster, read back by line."""

@@ -4,12 +4,33 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from phasebeat.config import Settings
 from phasebeat.operators import anomaly, models, phases, ticks
 from phasebeat.operators.ordered import segments_needed
-from phasebeat.workspace import store
+from phasebeat.sources import tables
+from phasebeat.workspace import store, stored
+
+
+@dataclass(frozen=True)
+class Saved:
+    """What a stopped run leaves for the next one; the confidence is not part of it."""
+
+    snapshots: DataFrame
+    counts: DataFrame
+    pending: DataFrame
+    models: DataFrame | None
+
+    def save(self, root: str, version: int) -> None:
+        found = {n: getattr(self, n) for n in ("snapshots", "counts", "pending", "models")}
+        tables.save_phases(root, version, **{n: t for n, t in found.items() if t is not None})
+
+    @staticmethod
+    def load(spark: SparkSession, root: str, version: int) -> Saved | None:
+        found = {n: tables.load_phases(spark, root, version, n) for n in ("snapshots", "counts", "pending", "models")}
+        return None if found["counts"] is None else Saved(**found)
 
 
 @dataclass(frozen=True)
@@ -21,6 +42,19 @@ class Watch:
     visits: DataFrame
     models: DataFrame | None
     scored: DataFrame
+    settings: Settings
+    before: Saved | None
+
+    def state(self) -> Saved:
+        """The last two snapshots, visits and pending profiles per phase, and the newest models."""
+        s, key = self.settings, ["cluster", "phase_id"]
+        counts = phases.visit_counts(self.visits, self.before.counts if self.before else None)
+        pending = models.pending_visits(models.with_pending(self.visits, self.before and self.before.pending), s)
+        newest = None
+        if self.models is not None:
+            rest = [c for c in self.models.columns if c not in key]
+            newest = self.models.groupBy(*key).agg(F.max_by(F.struct(*rest), "version").alias("m")).select(*key, "m.*")
+        return Saved(ticks.last_two(self.ticks, self.before and self.before.snapshots), counts, pending, newest)
 
 
 def visited(
@@ -33,9 +67,17 @@ def visited(
     """
     cut = segments_needed(samples, "tick", settings.segment_rows)
     snapshots = store(ticks.cluster_ticks(samples, expected, settings, cut, empty_function), "ticks")
-    named = phases.phased(ticks.triplets(snapshots, settings, cut), settings)
-    numbered = store(phases.visits(named, settings, cut), "visits")
-    return snapshots, named, numbered, cut
+    return snapshots, *_visited(snapshots, settings, cut, None), cut
+
+
+def _visited(
+    snapshots: DataFrame, settings: Settings, cut: int | None, before: Saved | None
+) -> tuple[DataFrame, DataFrame]:
+    # The first variant does not keep snapshots over a stop.
+    last = before.snapshots if before and settings.variant == "v2" else None
+    named = phases.phased(ticks.triplets(snapshots, settings, cut, last), settings)
+    numbered = phases.visits(named, settings, cut, before.counts if before else None)
+    return named, store(numbered, "visits")
 
 
 def watch(
@@ -45,10 +87,26 @@ def watch(
     stop_at_first: bool = False,
     empty_function: bool = False,
     start_confidence: int = 0,
+    before: Saved | None = None,
+) -> Watch:
+    """Analyse samples with an integer ``tick`` per cluster and worker, going on from ``before`` if given."""
+    cut = segments_needed(samples, "tick", settings.segment_rows)
+    snapshots = store(ticks.cluster_ticks(samples, expected, settings, cut, empty_function), "ticks")
+    return watch_ticks(snapshots, settings, stop_at_first, start_confidence, before)
+
+
+def watch_ticks(
+    snapshots: DataFrame,
+    settings: Settings = Settings(),
+    stop_at_first: bool = False,
+    start_confidence: int = 0,
+    before: Saved | None = None,
 ) -> Watch:
-    """Analyse samples with an integer ``tick`` per cluster and worker."""
-    snapshots, named, numbered, cut = visited(samples, expected, settings, empty_function)
-    trained = models.train(numbered, settings)
+    """The same from cluster snapshots on."""
+    snapshots = stored(snapshots, "ticks")
+    cut = segments_needed(snapshots, "tick", settings.segment_rows)
+    named, numbered = _visited(snapshots, settings, cut, before)
+    trained = models.train(numbered, settings, before.pending if before else None, before.models if before else None)
     predictions = models.predict(numbered, trained, settings)
     scored = anomaly.scored(predictions, settings, cut, stop_at_first, start_confidence)
-    return Watch(snapshots, phases.phase_names(named), numbered, trained, scored)
+    return Watch(snapshots, phases.phase_names(named), numbered, trained, scored, settings, before)

@@ -121,10 +121,15 @@ def snapshots(polls, workers, variant):
         yield tick, (None if broken and variant == "v1" else values), plain, counted
 
 
-def evaluate(polls, workers, settings):
-    loop = Loop(settings)
+def evaluate(polls, workers, settings, loops=None, name=None):
+    """One run; with ``loops`` it goes on from the phases and snapshots that the last run of that name left."""
+    loop, ring = Loop(settings), None
+    if loops is not None and name in loops:
+        loop.db, ring = loops[name]
     out, zero = [], ([0.0] * RES, set(), set())
-    ring, held, first = [zero, zero], [], True
+    if ring is None or settings.variant == "v1":
+        ring = [zero, zero]
+    held, first = [], True
     for tick, values, plain, counted in snapshots(polls, workers, settings.variant):
         if values is None:
             held = []
@@ -149,4 +154,6 @@ def evaluate(polls, workers, settings):
                  predicted_mem=predicted[1], mape=error, step=step, confidence=loop.confidence,
                  acc_cpu=acc[0], acc_mem=acc[1])
         )
+    if loops is not None:
+        loops[name] = loop.db, (ring + held)[-2:]
     return out

@@ -46,12 +46,12 @@ def frames(spark, data):
     return spark.createDataFrame(rows, SAMPLES), spark.createDataFrame(expected, "cluster string, worker string")
 
 
-def check(data, settings, result):
+def check(data, settings, result, loops=None):
     names = {r.phase_id: r.phase for r in result.phases.collect()}
     got = {(r.cluster, r.tick): r for r in result.scored.collect()}
     total = 0
     for cluster, polls in data.items():
-        for want in evaluate(polls, CLUSTERS[cluster], settings):
+        for want in evaluate(polls, CLUSTERS[cluster], settings, loops, cluster):
             row = got[(cluster, want["tick"])]
             total += 1
             assert names[row.phase_id] == want["phase"]
@@ -67,9 +67,9 @@ def check(data, settings, result):
 
 CASES = [
     Settings(algo="simple"),
-    Settings(stride=1),
+    Settings(stride=1, replay=0),
     Settings(),
-    Settings(stride=1, replay=5, seed=3),
+    Settings(stride=1, seed=3),
     Settings(variant="v1", algo="agg", stride=1),
     Settings(variant="v1", algo="lasso"),
     Settings(variant="v1", algo="agg"),
@@ -114,3 +114,26 @@ def test_long_replay_chains_agree_with_short_ones(spark):
     for a, b in zip(sorted(whole, key=key), sorted(pieces, key=key), strict=True):
         assert key(a) == key(b)
         assert list(a)[3:] == pytest.approx(list(b)[3:], rel=1e-12, abs=1e-12)
+
+
+RESUMED = [
+    Settings(stride=1), Settings(replay=0), Settings(algo="simple"),
+    Settings(variant="v1", algo="agg", stride=1), Settings(variant="v1"),
+]
+
+
+@pytest.mark.parametrize("settings", RESUMED, ids=lambda s: f"{s.variant}-{s.algo}-{s.stride}-{s.replay}")
+def test_stopped_runs_go_on(spark, settings):
+    """Three runs, each from what the one before saved; confidence and fill values start anew."""
+    from phasebeat.plans.online import Saved
+    from phasebeat.workspace import new_dir
+
+    data, root, before, loops = polls_of(13, 120), new_dir(spark, "phases"), None, {}
+    for part, (low, high) in enumerate([(0, 41), (41, 80), (80, 120)]):
+        piece = {c: polls[low:high] for c, polls in data.items()}
+        samples, expected = frames(spark, piece)
+        result = watch(samples, expected, settings, before=before)
+        check(piece, settings, result, loops)
+        result.state().save(root, part)
+        before = Saved.load(spark, root, part)
+    assert Saved.load(spark, root, 99) is None
