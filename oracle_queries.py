@@ -599,7 +599,7 @@ oracle("accuracy_points", f"""
   FROM predicted_simple_p1) WHERE acc_cpu IS NOT NULL""", "predicted_simple_p1")
 oracle("metric_points", """
   SELECT measurement, host, experiment_name, count(*) AS n, max(value) AS max_value, round(sum(k), 6) AS sum_k
-  FROM points WHERE measurement <> 'view' GROUP BY ALL""", "points")
+  FROM points GROUP BY ALL""", "points")
 part("early", "SELECT * FROM visits_s1 WHERE tick < 360 AND counts", "visits_s1")
 part("early_full", """
   SELECT cluster, phase_id, prior // 3 AS b FROM early GROUP BY ALL HAVING count(*) = 3""", "early")

@@ -71,18 +71,6 @@ def _spread(wide: DataFrame, keys: list[str], metrics: tuple[str, ...], value: s
     return wide.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.metric", f"e.{value}")
 
 
-def report(points: DataFrame, metric: str, op: str, by: list[str] = TAGS, window: str = Settings.window) -> DataFrame:
-    """One report call: ``max``, ``min``, ``freq``, or ``avg`` / ``latency`` (windows and their mean)."""
-    if op in ("max", "min", "freq"):
-        column = "count" if op == "freq" else op
-        return extremes(points, (metric,), by).select(*by, "metric", F.col(column).cast("double").alias("value"))
-    if op in ("avg", "latency"):
-        windows = window_means(points, ("latency",) if op == "latency" else (metric,), by, window)
-        windows = windows.withColumn("metric", F.lit(metric))
-        return _windows_and_mean(windows, by)
-    raise ValueError(f"unknown operation {op!r}")
-
-
 def summary(points: DataFrame, metrics: tuple[str, ...], by: list[str], window: str = Settings.window) -> DataFrame:
     """Everything a report says about a measurement, from one scan: ``(kind, metric, window_start, value)``.
 
@@ -99,63 +87,18 @@ def summary(points: DataFrame, metrics: tuple[str, ...], by: list[str], window:
         *[f(F.col(f"{m}_{k}")).cast("double").alias(f"{m}_{k}") for m in metrics for k, f in _TOTAL.items()],
         F.grouping("window_start").alias("total"),
     )
-    whole = F.col("total") == 1
-    entries = []
-    for m in metrics:
-        for kind in ("window", "mean", "max", "min", "count"):
-            value = F.col(f"{m}_mean" if kind == "window" else f"{m}_{kind}")
-            entry = F.struct(F.lit(kind).alias("kind"), F.lit(m).alias("metric"), value.alias("value"))
-            entries.append(F.when((~whole if kind == "window" else whole) & value.isNotNull(), entry))
-    rows = both.select(*by, "window_start", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    return rows.select(*by, "e.kind", "e.metric", "window_start", "e.value")
-
-
-_PARTIAL = {"mean": F.avg, "max": F.max, "min": F.min, "count": F.count}
-_TOTAL = {"max": F.max, "min": F.min, "count": F.sum}
-
-
-def report(points: DataFrame, metric: str, op: str, by: list[str] = TAGS, window: str = Settings.window) -> DataFrame:
-    """One report call: ``max``, ``min``, ``freq``, or ``avg`` / ``latency`` (windows and their mean)."""
-    if op in ("max", "min", "freq"):
-        column = "count" if op == "freq" else op
-        return extremes(points, (metric,), by).select(*by, "metric", F.col(column).cast("double").alias("value"))
-    if op in ("avg", "latency"):
-        windows = window_means(points, ("latency",) if op == "latency" else (metric,), by, window)
-        windows = windows.withColumn("metric", F.lit(metric))
-        return _windows_and_mean(windows, by)
-    raise ValueError(f"unknown operation {op!r}")
 
+    def entry(kind: str, metric: str, value: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), F.col(value).alias("value"))
 
-def summary(points: DataFrame, metrics: tuple[str, ...], by: list[str], window: str = Settings.window) -> DataFrame:
-    """Everything a report says about a measurement, from one scan: ``(kind, metric, window_start, value)``.
+    one_window = F.array(*[entry("window", m, f"{m}_mean") for m in metrics])
+    whole = F.array(*[entry(k, m, f"{m}_{k}") for m in metrics for k in ("mean", *_TOTAL)])
+    rows = both.select(*by, "window_start", F.explode(F.when(F.col("total") == 1, whole).otherwise(one_window)).alias("e"))
+    return rows.select(*by, "e.kind", "e.metric", "window_start", "e.value").where(F.col("value").isNotNull())
 
-    Kinds are ``window`` (mean of one window), ``mean`` (mean of the kept windows), ``max``, ``min`` and
-    ``count``; only ``window`` rows have a window.
-    """
-    stats = points.groupBy(*by, F.window("time", window).alias("w")).agg(
-        *[
-            F.struct(F.avg(m).alias("mean"), F.max(m).alias("max"), F.min(m).alias("min"), F.count(m).alias("count"))
-            .alias(m)
-            for m in metrics
-        ]
-    )
-    rows = _spread(stats.withColumn("window_start", F.col("w.start")), [*by, "window_start"], metrics, "s")
-    kept = F.when(F.col("s.mean") != 0, F.col("s.mean"))
-    both = rows.groupingSets([[*by, "metric", "window_start"], [*by, "metric"]], *by, "metric", "window_start").agg(
-        F.avg(kept).alias("mean"),
-        F.max("s.max").alias("max"),
-        F.min("s.min").alias("min"),
-        F.sum("s.count").cast("double").alias("count"),
-        F.grouping("window_start").alias("total"),
-    )
-    total = F.col("total") == 1
-
-    def entry(kind: str, value: str, when: Column) -> Column:
-        return F.when(when, F.struct(F.lit(kind).alias("kind"), F.col(value).alias("value")))
 
-    entries = [entry("window", "mean", ~total)] + [entry(k, k, total) for k in ("mean", "max", "min", "count")]
-    rows = both.select(*by, "metric", "window_start", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    return rows.select(*by, "e.kind", "metric", "window_start", "e.value").where(F.col("value").isNotNull())
+_PARTIAL = {"mean": F.avg, "max": F.max, "min": F.min, "count": F.count}
+_TOTAL = {"max": F.max, "min": F.min, "count": F.sum}
 
 
 def report(points: DataFrame, metric: str, op: str, by: list[str] = TAGS, window: str = Settings.window) -> DataFrame:

@@ -73,7 +73,7 @@ def usage_by_chunk(
     token = F.get("parts", F.lit(0))
     usable = (F.size("parts") >= FIELDS) & F.col("procs").isNotNull()
     helper = token.contains(HELPER)
-    pid_field = F.element_at(F.split(token, "/"), -2)
+    pid_field = F.try_element_at(F.split(token, "/"), F.lit(-2))
 
     def match(p: Column) -> Column:
         pid = p["pid"].cast("string")

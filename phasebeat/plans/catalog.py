@@ -591,7 +591,7 @@ def metric_points(spark, sf):
     root = new_dir(spark, "points")
     points = data.points(spark, sf).drop("event_id")
     tables.write_generic_points(tables.as_generic_points(points), root)
-    rows = spark.read.parquet(root).where(F.col("measurement") != "view")
+    rows = spark.read.parquet(root)
     return rows.groupBy("measurement", *TAGS).agg(
         F.count("*").alias("n"),
         F.max(F.col("fields")["value"]).alias("max_value"),
