@@ -134,18 +134,20 @@ ORACLES["report_lines"] = _report[:_at].rstrip() + f""", report AS ({_report[_at
                 || ': ' || printf('%.5f', value)
               ELSE 'mean: ' || printf('%.5f', value) END AS line
   FROM report"""
-part("one", "SELECT time, value, k FROM points WHERE host = 'runner-1' AND experiment_name = 'exp-1'", "points")
+for _metric, _column in (("k", "k"), ("latency", "value / 1000.0::DOUBLE")):
+    part(f"six_hours_{_metric}", f"""
+  SELECT host, experiment_name, {bucket('6 hours')} AS w, avg({_column}) AS m FROM points
+  GROUP BY ALL HAVING avg({_column}) <> 0""", "points")
 oracle("report_call", f"""
-  SELECT 'max' AS op, 'value' AS metric, CAST(NULL AS VARCHAR) AS window_start, round(max(value), 6) AS value FROM one
-  UNION ALL SELECT 'min', 'value', NULL, round(min(value), 6) FROM one
-  UNION ALL SELECT 'freq', 'k', NULL, CAST(count(k) AS DOUBLE) FROM one
-  UNION ALL SELECT 'avg', 'k', strftime({bucket('6 hours')}, {STAMP}), round(avg(k), 6) FROM one
-    GROUP BY {bucket('6 hours')} HAVING avg(k) <> 0
-  UNION ALL SELECT 'avg', 'k', NULL, round(avg(m), 6) FROM (SELECT avg(k) AS m FROM one GROUP BY {bucket('6 hours')}) WHERE m <> 0
-  UNION ALL SELECT 'latency', 'step_latency', strftime({bucket('6 hours')}, {STAMP}), round(avg(value / 1000.0::DOUBLE), 6) FROM one
-    GROUP BY {bucket('6 hours')} HAVING avg(value) <> 0
-  UNION ALL SELECT 'latency', 'step_latency', NULL, round(avg(m), 6)
-    FROM (SELECT avg(value / 1000.0::DOUBLE) AS m FROM one GROUP BY {bucket('6 hours')}) WHERE m <> 0""", "one")
+  SELECT host, experiment_name, 'max' AS op, 'value' AS metric, CAST(NULL AS VARCHAR) AS window_start, round(max(value), 6) AS value
+  FROM points GROUP BY ALL
+  UNION ALL SELECT host, experiment_name, 'min', 'value', NULL, round(min(value), 6) FROM points GROUP BY ALL
+  UNION ALL SELECT host, experiment_name, 'freq', 'k', NULL, CAST(count(k) AS DOUBLE) FROM points GROUP BY ALL
+  UNION ALL SELECT host, experiment_name, 'avg', 'k', strftime(w, {STAMP}), round(m, 6) FROM six_hours_k
+  UNION ALL SELECT host, experiment_name, 'avg', 'k', NULL, round(avg(m), 6) FROM six_hours_k GROUP BY ALL
+  UNION ALL SELECT host, experiment_name, 'latency', 'step_latency', strftime(w, {STAMP}), round(m, 6) FROM six_hours_latency
+  UNION ALL SELECT host, experiment_name, 'latency', 'step_latency', NULL, round(avg(m), 6) FROM six_hours_latency GROUP BY ALL""",
+       "six_hours_k", "six_hours_latency")
 oracle("step_latency", f"""
   SELECT host, experiment_name, measurement || '_latency' AS measurement, strftime({bucket('1 hour')}, {STAMP}) AS window_start,
          round(avg(CAST(round(value * 1000) AS BIGINT) / 1e6::DOUBLE), 9) AS mean

@@ -29,7 +29,9 @@ def parse_stats(
         failed = failed | F.col("line").contains(f)
     rows = lines.withColumns({"name": F.when(single, word), "failed": failed})
     starts = F.when(F.col("name").isNotNull(), 1).otherwise(0)
-    rows = scan(rows, list(keys), "line_no", sums={"block": starts}, segment_rows=segment_rows)
+    named = {"last_name": F.col("name")}
+    rows = scan(rows, list(keys), "line_no", sums={"block": starts}, lasts=named, segment_rows=segment_rows)
+    rows = rows.withColumn("workload", F.coalesce("name", "last_name"))
 
     # The first stat named in a line takes it, later ones do not look at it.
     taken, values = F.lit(False), {}
@@ -39,8 +41,8 @@ def parse_stats(
         taken = taken | F.col("line").contains(stat)
     rows = rows.withColumns(values)
     no = F.col("line_no")
-    blocks = rows.groupBy(*keys, "block").agg(
-        F.max("name").alias("workload"),
+    # The name is part of the key, so that the values alone are aggregated, by hashing.
+    blocks = rows.groupBy(*keys, "block", "workload").agg(
         F.max(F.when(F.col("failed"), no)).alias("failed_at"),
         *[F.max_by(F.col(s), F.when(F.col(s).isNotNull(), no)).alias(s) for s in stats],
         *[F.max(F.when(F.col(s).isNotNull(), no)).alias(f"{s}_at") for s in stats],

@@ -80,15 +80,14 @@ def report_full(spark, sf):
 
 @query
 def report_call(spark, sf):
-    """Each operation of the report for one host and experiment."""
-    points = reports.tagged(data.points(spark, sf), reports.host_of("1"), "exp-1")
-    points = points.withColumn("latency", F.col("value") / 1000.0)
+    """Each operation of the report, for every host and experiment."""
+    points = data.points(spark, sf).withColumn("latency", F.col("value") / 1000.0)
     parts = []
     for op, metric in (("max", "value"), ("min", "value"), ("freq", "k"), ("avg", "k"), ("latency", "step_latency")):
         rows = reports.report(points, metric, op, TAGS, "6 hours").withColumn("op", F.lit(op))
         if "window_start" not in rows.columns:
             rows = rows.withColumn("window_start", F.lit(None).cast("timestamp_ntz"))
-        parts.append(rows.select("op", "metric", stamp("window_start").alias("window_start"), r6("value").alias("value")))
+        parts.append(rows.select(*TAGS, "op", "metric", stamp("window_start").alias("window_start"), r6("value").alias("value")))
     return reduce(DataFrame.unionByName, parts)
 
 
