@@ -22,6 +22,14 @@ def latest_samples(samples: DataFrame, order: str = "ts", keys: tuple[str, ...]
     return newest.select(*keys, *[F.col(f"s.{c}").alias(c) for c in rest])
 
 
+def polled(timed: DataFrame, interval: float = 2.0) -> DataFrame:
+    """Number timed samples by interval and keep the newest per worker and interval, as a poll would see it."""
+    micros = int(interval * 1_000_000)
+    at = timed.withColumn("micros", F.unix_micros("ts"))
+    rows = at.withColumn("tick", whole_part("micros", micros)).drop("micros")
+    return latest_samples(rows, "ts", ("cluster", "worker", "tick"))
+
+
 def expected_by_cluster(expected: DataFrame) -> DataFrame:
     """One row per cluster: its configured workers."""
     return expected.groupBy("cluster").agg(F.array_sort(F.collect_set("worker")).alias("workers"))

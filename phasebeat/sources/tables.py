@@ -13,6 +13,13 @@ from phasebeat.config import RESOURCES
 from phasebeat.functions.text import places
 from phasebeat.operators.reports import local_time, tagged
 
+# Lines of statistics files and printed reports.
+STATS_HEADING = "### Accuracy Rates ###"
+ACCURACY_LABEL = " Prediction Accuracy: "
+ANOMALY_LINE = "Anomaly Detected"
+ACCURACY_PLACES = 3
+REPORT_PLACES = 5
+
 TAG_COLUMNS = ("time", "host", "experiment_name")
 
 
@@ -88,10 +95,12 @@ def load_phases(spark: SparkSession, root: str, version: int, name: str) -> Data
 
 def accuracy_lines(run_accuracy: DataFrame, by: list[str], variant: str = "v2", anomaly: bool = False) -> DataFrame:
     """The block that a run appends to its statistics file, as numbered lines."""
-    lines = [F.lit(""), F.lit("### Accuracy Rates ###")]
-    lines += [F.concat(F.lit(f"{r.upper()} Prediction Accuracy: "), places(F.col(f"acc_{r}"), 3)) for r in RESOURCES]
+    lines = [F.lit(""), F.lit(STATS_HEADING)]
+    lines += [
+        F.concat(F.lit(r.upper() + ACCURACY_LABEL), places(F.col(f"acc_{r}"), ACCURACY_PLACES)) for r in RESOURCES
+    ]
     if variant == "v1" and anomaly:
-        lines.append(F.lit("Anomaly Detected"))
+        lines.append(F.lit(ANOMALY_LINE))
     return run_accuracy.select(*by, F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
@@ -118,7 +127,7 @@ def write_report(report: DataFrame, path: str) -> None:
 def report_lines(report: DataFrame, zone: str = "UTC") -> DataFrame:
     """The printed line of each report row; window starts are wall-clock times of ``zone``."""
     name = F.substring_index("host", "-", -1)
-    value = places(F.col("value"), 5)
+    value = places(F.col("value"), REPORT_PLACES)
     start = F.date_format(local_time(F.col("window_start").cast("timestamp_ntz"), zone), "yyyy-MM-dd HH:mm:ss")
     line = (
         F.when(F.col("section").isin("max", "min"), F.concat(F.initcap("section"), F.lit(" "), "metric", F.lit(" for "), name, F.lit(": "), value))

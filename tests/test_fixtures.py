@@ -377,3 +377,27 @@ def test_local_time(spark):
     df = spark.createDataFrame([("2021-03-21T23:45:00Z",)], "t string")
     got = df.select(F.date_format(reports.local_time(reports.utc_text_to_time(F.col("t")), "America/Toronto"), "yyyy-MM-dd HH:mm:ss"))
     assert got.first()[0] == "2021-03-21 19:45:00"
+
+
+def test_polls_keep_the_newest_sample_of_an_interval(spark):
+    rows = [("c", "w1", 0.1, "1,1"), ("c", "w1", 1.9, "2,2"), ("c", "w1", 2.0, "3,3"), ("c", "w2", 3.9, "4,4"), ("c", "w2", -0.5, "5,5")]
+    df = spark.createDataFrame(rows, "cluster string, worker string, s double, resource_data string")
+    df = df.select("cluster", "worker", F.timestamp_seconds("s").alias("ts"), "resource_data")
+    got = {(r.worker, r.tick): r.resource_data for r in ticks.polled(df).collect()}
+    assert got == {("w1", 0): "2,2", ("w1", 1): "3,3", ("w2", 1): "4,4", ("w2", -1): "5,5"}
+
+
+def test_similarity_is_symmetric_and_a_share(spark):
+    import random
+
+    rng = random.Random(4)
+    sets = [sorted({rng.choice("abcdefg") for _ in range(rng.randint(0, 6))}) for _ in range(80)]
+    df = spark.createDataFrame(list(zip(sets, reversed(sets))), "a array<string>, b array<string>")
+    for x, y in df.select(ph.similarity(F.col("a"), F.col("b")), ph.similarity(F.col("b"), F.col("a"))).collect():
+        assert x == y and (x is None or 0 <= x <= 1)
+
+
+def test_unknown_settings_are_refused():
+    for bad in ({"algo": "ridge"}, {"variant": "v3"}, {"stride": 0}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
