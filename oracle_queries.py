@@ -636,6 +636,11 @@ _stream = f"""
          round(predicted_cpu, 6) AS predicted_cpu, round(predicted_mem, 6) AS predicted_mem, CAST(step AS BIGINT) AS step, confidence,
          confidence > 5 AS alert, round(acc_cpu, 6) AS acc_cpu, round(acc_mem, 6) AS acc_mem
   FROM scored_s1 WHERE tick < (SELECT max(tick) FROM samples)"""
+oracle("stream_points", f"""
+  SELECT strftime(TIMESTAMP '2024-01-01' + to_hours(tick), {STAMP}) AS time, 'runner-live' AS host, 'hourly' AS experiment_name,
+         round(cpu, 6) AS actual_cpu, round(mem, 6) AS actual_mem, round(predicted_cpu, 6) AS predicted_cpu,
+         round(predicted_mem, 6) AS predicted_mem
+  FROM scored_s1 WHERE tick < (SELECT max(tick) FROM samples)""", "scored_s1", "samples")
 oracle("stream_anomaly", _stream, "scored_s1", "samples")
 oracle("stream_restart", _stream, "scored_s1", "samples")
 

@@ -1,4 +1,4 @@
-"""Command line: ``python -m phasebeat watch | report | compare``."""
+"""Command line: ``python -m phasebeat watch | live | report | compare``."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from phasebeat.plans.online import watch
 from phasebeat.schema import WORKERS
 from phasebeat.sources import samples as src
 from phasebeat.sources import tables
+from phasebeat.streaming import live
 
 
 def parser() -> argparse.ArgumentParser:
@@ -29,6 +30,20 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--replay", type=int, default=5, help="synthetic points added to each later training")
     w.add_argument("--stop_at_first", action="store_true", help="drop the ticks after the first alert of a cluster")
 
+    v = commands.add_parser("live", help="analyse samples as they arrive and publish metric points")
+    v.add_argument("--samples", required=True, help="folder where JSON samples land: cluster, worker, ts, resource_data, threaddump_data")
+    v.add_argument("--workers", required=True, help="CSV of cluster, worker")
+    v.add_argument("--points", required=True, help="folder for the points")
+    v.add_argument("--checkpoint", required=True, help="folder for the state of the stream")
+    v.add_argument("--host", required=True, help="host tag of the points")
+    v.add_argument("-name", "--experiment_name", default="default-experiment")
+    v.add_argument("--algo", default=Settings.algo)
+    v.add_argument("--interval", default="2 seconds", help="time between two snapshots")
+    v.add_argument("--delay", default="2 seconds", help="how late a sample may arrive")
+    v.add_argument("--files", default="1000", help="most files to take up at once")
+    v.add_argument("--available", action="store_true", help="stop when all samples there are analysed")
+    v.add_argument("--go_on", action="store_true", help="do not stop at an alert")
+
     r = commands.add_parser("report", help="report on stored metric points")
     r.add_argument("--points", required=True, help="folder with one folder per measurement")
     r.add_argument("-uid", "--uniqueid", help="host tag without its prefix; all hosts if left out")
@@ -58,6 +73,15 @@ def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
         found.models.write.parquet(f"{a.out}/models")
 
 
+def run_live(spark: SparkSession, a: argparse.Namespace) -> None:
+    samples = src.stream_samples(spark, a.samples, maxFilesPerTrigger=a.files)
+    ticks = live.tick_stream(samples, spark.read.schema(WORKERS).csv(a.workers), a.interval, a.delay)
+    trigger = {"availableNow": True} if a.available else {"processingTime": a.interval}
+    found = live.watch_stream(ticks, Settings(algo=a.algo))
+    if live.publish(found, a.points, a.checkpoint, a.host, a.experiment_name, not a.go_on, **trigger):
+        print("Anomaly Detected")
+
+
 def run_report(spark: SparkSession, a: argparse.Namespace) -> None:
     host = None if a.uniqueid is None else reports.host_of(a.uniqueid)
 
@@ -104,7 +128,7 @@ def run_compare(spark: SparkSession, a: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"phasebeat {args.command}").getOrCreate()
-    {"watch": run_watch, "report": run_report, "compare": run_compare}[args.command](spark, args)
+    {"watch": run_watch, "live": run_live, "report": run_report, "compare": run_compare}[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -732,6 +732,19 @@ def stream_restart(spark, sf):
     return watched_stream(spark, sf, ["tick < 360", "tick >= 360"])
 
 
+@query
+def stream_points(spark, sf):
+    """Prediction points that the online form publishes while samples arrive."""
+    samples, expected = recorded(spark, sf)
+    source, root, check = (new_dir(spark, n) for n in ("live", "points", "check"))
+    timed_samples(samples).write.json(source)
+    arrived = live.tick_stream(src.stream_samples(spark, source, TIMED_SAMPLES), expected, "1 hour", "0 seconds")
+    live.publish(live.watch_stream(arrived, DENSE), root, check, "runner-live", "hourly")
+    rows = tables.read_points(spark, root, "predictions", "runner-live", "hourly")
+    fields = ("actual_cpu", "actual_mem", "predicted_cpu", "predicted_mem")
+    return rounded(rows.select(stamp("time").alias("time"), *TAGS, *fields), *fields)
+
+
 @query
 def stream_chunks(spark, sf):
     """Traffic logs arriving as one text file per host, each with whole chunks, read as a stream."""

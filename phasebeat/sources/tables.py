@@ -23,19 +23,20 @@ REPORT_PLACES = 5
 TAG_COLUMNS = ("time", "host", "experiment_name")
 
 
-def prediction_points(predictions: DataFrame) -> DataFrame:
+def prediction_points(predictions: DataFrame, *keep: str) -> DataFrame:
     """Fields of a prediction point: actual and predicted value of each resource."""
     return predictions.select(
         *TAG_COLUMNS,
         *[F.col(r).alias(f"actual_{r}") for r in RESOURCES],
         *[f"predicted_{r}" for r in RESOURCES],
+        *keep,
     )
 
 
-def accuracy_points(scored: DataFrame) -> DataFrame:
+def accuracy_points(scored: DataFrame, *keep: str) -> DataFrame:
     """Accuracy points; a tick whose first accuracy is NaN has none."""
     fields = [f"acc_{r}" for r in RESOURCES]
-    return scored.where(~F.isnan(fields[0])).select(*TAG_COLUMNS, *fields)
+    return scored.where(~F.isnan(fields[0])).select(*TAG_COLUMNS, *fields, *keep)
 
 
 def write_points(points: DataFrame, root: str, measurement: str) -> None:
@@ -43,6 +44,12 @@ def write_points(points: DataFrame, root: str, measurement: str) -> None:
     points.write.mode("append").partitionBy("experiment_name").parquet(f"{root}/{measurement}")
 
 
+def replace_points(points: DataFrame, root: str, measurement: str) -> None:
+    """Write the points of one ``batch`` of a stream, in place of those an earlier try has left."""
+    rows = points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows.partitionBy("experiment_name", "batch").parquet(f"{root}/{measurement}")
+
+
 def read_points(
     spark: SparkSession, root: str, measurement: str, host: str | None = None, experiment: str | None = None
 ) -> DataFrame:

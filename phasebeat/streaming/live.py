@@ -19,6 +19,7 @@ from phasebeat.functions.lasso import fit_points
 from phasebeat.functions.phases import ARROW
 from phasebeat.operators.replay import synthetic_points
 from phasebeat.operators.ticks import expected_by_cluster
+from phasebeat.sources import tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -234,6 +235,48 @@ def state_store(spark: SparkSession):
             spark.conf.set(name, value)
 
 
+def publish(
+    stream: DataFrame,
+    root: str,
+    checkpoint: str,
+    host: str,
+    experiment: str,
+    stop_on_alert: bool = False,
+    **trigger,
+) -> bool:
+    """Write prediction and accuracy points of a watched stream; true if an alert was seen.
+
+    A micro-batch that is repeated after a failure replaces its own points.  With ``stop_on_alert`` the
+    query stops after the micro-batch of the first alert; state and points up to there are kept.
+    """
+    alerted = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        tags = [F.col("tick").alias("time"), F.lit(host).alias("host"), F.lit(experiment).alias("experiment_name")]
+        points = batch.select("*", *tags, F.lit(number).alias("batch"))
+        for name, rows in (
+            ("predictions", tables.prediction_points(points, "batch")),
+            ("accuracy", tables.accuracy_points(points, "batch")),
+        ):
+            tables.replace_points(rows, root, name)
+        if not batch.where("alert").isEmpty():
+            alerted.append(number)
+        batch.unpersist()
+
+    with state_store(stream.sparkSession):
+        query = (
+            stream.writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    while not query.awaitTermination(1):
+        if stop_on_alert and alerted:
+            query.stop()
+    return bool(alerted)
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process what has arrived, appending to a parquet folder, and stop."""
     with state_store(stream.sparkSession):

@@ -22,6 +22,25 @@ def test_watch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "models")).count() > 0
 
 
+@pytest.mark.parametrize("go_on", [True, False])
+def test_live(spark, tmp_path, capfd, go_on):
+    """Idle workloads alert; stopping leaves later samples for the next start."""
+    rows = [("c", "w", i, "1,1", [f"f{i}"]) for i in range(40)]
+    df = spark.createDataFrame(rows, "cluster string, worker string, tick long, resource_data string, threaddump_data array<string>")
+    df = df.withColumn("ts", F.expr("timestampadd(SECOND, tick * 2, TIMESTAMP '2024-01-01 00:00:00')")).drop("tick")
+    df.coalesce(1).write.json(str(tmp_path / "in"))
+    (tmp_path / "workers.csv").write_text("c,w\n")
+    args = ["live", "--samples", str(tmp_path / "in"), "--workers", str(tmp_path / "workers.csv"), "--points", str(tmp_path / "p"),
+            "--checkpoint", str(tmp_path / "check"), "--host", "runner-x", "-name", "e", "--delay", "0 seconds", "--available"]
+    main(args + ["--go_on"] if go_on else args)
+    assert "Anomaly Detected" in capfd.readouterr().out
+    points = tables.read_points(spark, str(tmp_path / "p"), "predictions", "runner-x", "e")
+    accuracy = tables.read_points(spark, str(tmp_path / "p"), "accuracy", "runner-x", "e")
+    # The last interval is open, and every second snapshot is evaluated.
+    assert points.count() == accuracy.count() == 19
+    assert points.agg(F.countDistinct("time")).first()[0] == 19
+
+
 def test_compare(spark, tmp_path, capfd):
     for name, text in (("a", STATS), ("b", STATS.replace("90.000", "70.000"))):
         (tmp_path / name).write_text(text)
