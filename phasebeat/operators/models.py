@@ -19,6 +19,7 @@ from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions.lasso import with_lasso
 from phasebeat.operators.ordered import whole_part
 from phasebeat.operators.replay import replayed_lasso
+from phasebeat.workspace import store
 
 KEY = ["cluster", "phase_id", "version"]
 PARTS = ("prev2", "prev1", "curr")
@@ -144,29 +145,17 @@ def agg_models(full: DataFrame, settings: Settings = Settings(), previous: DataF
     place = (F.col("version") - 1) % length
     rows = full.select(
         *KEY, place.alias("place"), whole_part("(version - 1)", length).alias("segment"),
-        *[s.alias(r) for r, s in inputs.items()],
+        *[(s * F.pow(F.lit(b), place)).alias(r) for r, s in inputs.items()],
     )
-    upto = W.partitionBy("cluster", "phase_id", "segment").orderBy("version")
-    upto = upto.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = store(rows, "batch_inputs")
+    chain = ["cluster", "phase_id", "segment"]
+    upto = W.partitionBy(*chain).orderBy("version").rowsBetween(W.unboundedPreceding, W.currentRow)
     shrink = F.pow(F.lit(b), F.col("place") + 1)
-    local = rows.withColumns(
-        {r: F.sum(F.col(r) * F.pow(F.lit(b), F.col("place"))).over(upto) / shrink for r in RESOURCES}
-    )
-    ends = local.where(F.col("place") == length - 1).select(
-        "cluster", "phase_id",
-        F.explode(F.array(*[
-            F.struct(
-                (F.col("segment") + 1 + late).alias("segment"),
-                *[(F.col(r) / F.lit(b ** (late * length))).alias(f"start_{r}") for r in RESOURCES],
-            )
-            for late in (0, 1)
-        ])).alias("e"),
-    ).select("cluster", "phase_id", "e.*")
-    starts = ends.groupBy("cluster", "phase_id", "segment").agg(
-        *[F.sum(f"start_{r}").alias(f"start_{r}") for r in RESOURCES]
-    )
-    joined = local.join(starts, ["cluster", "phase_id", "segment"], "left")
-    means = {r: F.col(r) + F.coalesce(F.col(f"start_{r}"), F.lit(0.0)) / shrink for r in RESOURCES}
+    joined = rows.withColumns({r: F.sum(r).over(upto) / shrink for r in RESOURCES})
+    means = {r: F.col(r) for r in RESOURCES}
+    if rows.agg(F.max("segment")).first()[0]:
+        joined = joined.join(_inherited(rows, chain, b, length), chain, "left")
+        means = {r: m + F.coalesce(F.col(f"start_{r}"), F.lit(0.0)) / shrink for r, m in means.items()}
     if previous is not None:
         old = [F.col("version").alias("old_version"), *[F.col(f"{r}_mean").alias(f"old_{r}") for r in RESOURCES]]
         joined = joined.join(previous.select("cluster", "phase_id", *old), ["cluster", "phase_id"], "left")
@@ -175,6 +164,21 @@ def agg_models(full: DataFrame, settings: Settings = Settings(), previous: DataF
     return joined.select(*KEY, *[m.alias(f"{r}_mean") for r, m in means.items()])
 
 
+def _inherited(rows: DataFrame, chain: list[str], b: float, length: int) -> DataFrame:
+    """What each segment starts from: the ends of the two full segments before it."""
+    ends = rows.groupBy(*chain).agg(*[(F.sum(r) / F.lit(b**length)).alias(r) for r in RESOURCES])
+    shares = [
+        F.struct(
+            (F.col("segment") + 1 + late).alias("segment"),
+            *[(F.col(r) / F.lit(b ** (late * length))).alias(f"start_{r}") for r in RESOURCES],
+        )
+        for late in (0, 1)
+    ]
+    rest = [c for c in chain if c != "segment"]
+    passed = ends.select(*rest, F.explode(F.array(*shares)).alias("e")).select(*rest, "e.*")
+    return passed.groupBy(*chain).agg(*[F.sum(f"start_{r}").alias(f"start_{r}") for r in RESOURCES])
+
+
 def train(
     visits: DataFrame,
     settings: Settings = Settings(),

@@ -65,11 +65,17 @@ def visited(
     Raw samples are read for the ticks only; ticks and visits are written, since several later
     steps read each of them.
     """
-    cut = segments_needed(samples, "tick", settings.segment_rows)
-    snapshots = store(ticks.cluster_ticks(samples, expected, settings, cut, empty_function), "ticks")
+    snapshots, cut = _snapshots(samples, expected, settings, empty_function)
     return snapshots, *_visited(snapshots, settings, cut, None), cut
 
 
+def _snapshots(
+    samples: DataFrame, expected: DataFrame, settings: Settings, empty_function: bool
+) -> tuple[DataFrame, int | None]:
+    cut = segments_needed(samples, "tick", settings.segment_rows)
+    return store(ticks.cluster_ticks(samples, expected, settings, cut, empty_function), "ticks"), cut
+
+
 def _visited(
     snapshots: DataFrame, settings: Settings, cut: int | None, before: Saved | None
 ) -> tuple[DataFrame, DataFrame]:
@@ -90,8 +96,7 @@ def watch(
     before: Saved | None = None,
 ) -> Watch:
     """Analyse samples with an integer ``tick`` per cluster and worker, going on from ``before`` if given."""
-    cut = segments_needed(samples, "tick", settings.segment_rows)
-    snapshots = store(ticks.cluster_ticks(samples, expected, settings, cut, empty_function), "ticks")
+    snapshots, _ = _snapshots(samples, expected, settings, empty_function)
     return watch_ticks(snapshots, settings, stop_at_first, start_confidence, before)
 
 

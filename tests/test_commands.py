@@ -24,7 +24,7 @@ def test_watch(spark, tmp_path):
 
 @pytest.mark.parametrize("go_on", [True, False])
 def test_live(spark, tmp_path, capfd, go_on):
-    """Idle workloads alert; stopping leaves later samples for the next start."""
+    """A workload that uses next to nothing, in ever new phases, alerts."""
     rows = [("c", "w", i, "1,1", [f"f{i}"]) for i in range(40)]
     df = spark.createDataFrame(rows, "cluster string, worker string, tick long, resource_data string, threaddump_data array<string>")
     df = df.withColumn("ts", F.expr("timestampadd(SECOND, tick * 2, TIMESTAMP '2024-01-01 00:00:00')")).drop("tick")
