@@ -25,10 +25,11 @@ LATENCY_POINTS = (
 )
 ACCURACY_POINTS = "accuracy"
 ACCURACY_METRICS = ("acc_cpu", "acc_mem")
+HOST_PREFIX = "runner-"
 
 
 def host_of(experiment_id: str) -> str:
-    return f"runner-{experiment_id}"
+    return HOST_PREFIX + experiment_id
 
 
 def tagged(points: DataFrame, host: str | None = None, experiment: str | None = None) -> DataFrame:

@@ -7,19 +7,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-_S, _L, _D, _TS = T.StringType(), T.LongType(), T.DoubleType(), T.TimestampType()
+_S, _L, _TS = T.StringType(), T.LongType(), T.TimestampType()
 
 SAMPLES = _struct(cluster=_S, worker=_S, tick=_L, resource_data=_S, threaddump_data=T.ArrayType(_S))
 TIMED_SAMPLES = _struct(cluster=_S, worker=_S, ts=_TS, resource_data=_S, threaddump_data=T.ArrayType(_S))
 WORKERS = _struct(cluster=_S, worker=_S)
-RESOURCE_HISTORY = _struct(count=_L, cpu=_D, mem=_D)
 WORKLOAD_LOG = _struct(ts=_L, pid=_L)
-POINTS = _struct(
-    measurement=_S, time=_TS, host=_S, experiment_name=_S, fields=T.MapType(_S, _D)
-)
-PHASE_MODELS = _struct(
-    cluster=_S, phase_id=_S, resource=_S, version=_L, w_prev2=_D, w_prev1=_D, intercept=_D, n=_L
-)
-PHASE_PROFILES = _struct(
-    cluster=_S, phase_id=_S, visit_no=_L, resource=_S, x_prev2=_D, x_prev1=_D, y=_D
-)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES
 from phasebeat.functions.text import places
-from phasebeat.operators.reports import local_time, tagged
+from phasebeat.operators.reports import HOST_PREFIX, local_time, tagged
 
 # Lines of statistics files and printed reports.
 STATS_HEADING = "### Accuracy Rates ###"
@@ -133,18 +133,18 @@ def write_report(report: DataFrame, path: str) -> None:
 
 def report_lines(report: DataFrame, zone: str = "UTC") -> DataFrame:
     """The printed line of each report row; window starts are wall-clock times of ``zone``."""
-    name = F.substring_index("host", "-", -1)
+    name = F.regexp_replace("host", f"^{HOST_PREFIX}", "")
     value = places(F.col("value"), REPORT_PLACES)
     start = F.date_format(local_time(F.col("window_start").cast("timestamp_ntz"), zone), "yyyy-MM-dd HH:mm:ss")
+    resource = F.regexp_replace("metric", "^predicted_", "")
+    extreme = F.concat_ws(" ", F.initcap("section"), "metric", F.lit("for"), F.concat(name, F.lit(":")), value)
+    number = F.col("value").cast("long").cast("string")
+    counted = F.concat_ws(
+        " ", F.lit("Number of"), resource, F.lit("predictions for"), F.concat(name, F.lit(":")), number
+    )
     line = (
-        F.when(F.col("section").isin("max", "min"), F.concat(F.initcap("section"), F.lit(" "), "metric", F.lit(" for "), name, F.lit(": "), value))
-        .when(
-            F.col("section") == "frequency",
-            F.concat(
-                F.lit("Number of "), F.regexp_replace("metric", "predicted_", ""), F.lit(" predictions for "), name,
-                F.lit(": "), F.col("value").cast("long").cast("string"),
-            ),
-        )
+        F.when(F.col("section").isin("max", "min"), extreme)
+        .when(F.col("section") == "frequency", counted)
         .when(F.col("window_start").isNotNull(), F.concat(start, F.lit(": "), value))
         .otherwise(F.concat(F.lit("mean: "), value))
     )

@@ -1,10 +1,8 @@
 """Writing, reading back, and the streaming form."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
-from test_watch import CLUSTERS, frames, polls_of
+from test_watch import frames, polls_of
 
 from phasebeat import Settings
 from phasebeat.operators import models, phases
