@@ -7,15 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from phasebeat.llm.common import table
 from phasebeat.llm.mixing import mixture
 from phasebeat.llm.packing import shards
+from phasebeat.llm.simhash import near_duplicates
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op8_sharding": op8_sharding}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
+    "op8_sharding": op8_sharding,
+}
 ORACLES: dict[str, str] = {}
