@@ -8,6 +8,7 @@ from phasebeat.llm.common import table
 from phasebeat.llm.mixing import mixture
 from phasebeat.llm.packing import shards
 from phasebeat.llm.simhash import near_duplicates
+from phasebeat.llm.suffixes import repeated_passages
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_suffixes": op3_suffixes,
     "op8_sharding": op8_sharding,
 }
 ORACLES: dict[str, str] = {}
