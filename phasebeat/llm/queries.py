@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from phasebeat.llm.common import table
+from phasebeat.llm.decontamination import contamination
 from phasebeat.llm.mixing import mixture
 from phasebeat.llm.packing import shards
 from phasebeat.llm.simhash import near_duplicates
@@ -24,6 +25,11 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_suffixes": op3_suffixes,
+    "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
 }
 ORACLES: dict[str, str] = {}

@@ -23,18 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasebeat.llm.common import text_of
+from phasebeat.llm.chunks import BASE, BLOCK, CHUNK_BYTES, chunks_of, pack, powers, unpack
 from phasebeat.workspace import store
 
 LENGTH = 400
-CHUNK_BYTES = 16 << 20
 BUCKET_BYTES = 4 << 20
-_BLOCK = 1 << 16
-_BASE = 0x9E3779B97F4A7C15
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -78,33 +74,23 @@ def cover_for(length: int) -> tuple[int, list[int]]:
     return difference_cover(power) if power else (1, [0])
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done : done + more] = out[:more] * np.uint64(pow(base, done, 2**64))
-        done += more
-    return out
-
-
 class Names:
     """Fingerprints of all strings of ``width`` bytes in a text, by prefix sums of a polynomial in each block."""
 
     def __init__(self, width: int):
         self.width = width
-        self.up = _powers(_BASE, _BLOCK + width)
-        self.down = _powers(pow(_BASE, -1, 2**64), _BLOCK)
+        self.up = powers(BASE, BLOCK + width)
+        self.down = powers(pow(BASE, -1, 2**64), BLOCK)
         self.code = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def of(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Names at the sorted positions ``starts``."""
         out = np.empty(len(starts), np.uint64)
-        cuts = np.searchsorted(starts, np.arange(0, len(data) + _BLOCK, _BLOCK))
+        cuts = np.searchsorted(starts, np.arange(0, len(data) + BLOCK, BLOCK))
         for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             if lo == hi:
                 continue
-            base = b * _BLOCK + int(starts[lo] - b * _BLOCK)
+            base = b * BLOCK + int(starts[lo] - b * BLOCK)
             at = starts[lo:hi] - base
             part = data[base : base + int(at[-1]) + self.width]
             sums = np.zeros(len(part) + 1, np.uint64)
@@ -119,15 +105,6 @@ class Names:
         return out
 
 
-def _pack(parts: list[bytes]) -> tuple[bytes, int]:
-    raw = b"".join(parts)
-    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True), len(raw)
-
-
-def _unpack(blob: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(blob, decompressed_size=size, asbytes=True), np.uint8)
-
-
 def _bucket_cuts(names: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` equal ranges of names begins in a sorted list."""
     edges = np.array([(k << 64) // n for k in range(n)], dtype=np.uint64)
@@ -203,44 +180,6 @@ REQUEST = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.
 REQUEST_SQL = "kind int, bucket int, chunk long, names binary"
 
 
-def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """Rows ``chunk, ids, lens, size, blob``: documents packed together, a long one alone in its chunk."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = None
-        base, seq = TaskContext.get().partitionId() << 32, 0
-        ids: list = []
-        parts: list[bytes] = []
-        held = 0
-
-        def packed() -> pa.RecordBatch:
-            blob, size = _pack(parts)
-            columns = [
-                pa.array([base + seq], pa.int64()),
-                pa.array([ids], pa.list_(kind)),
-                pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
-                pa.array([size], pa.int64()),
-                pa.array([blob], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "lens", "size", "blob"])
-
-        for batch in batches:
-            kind = batch["doc_id"].type
-            for i, text in zip(batch["doc_id"], batch["text"].cast(pa.binary()), strict=True):
-                ids.append(i.as_py())
-                parts.append(text.as_py())
-                held += len(parts[-1])
-                if held >= chunk_bytes or len(ids) >= 1 << 16:
-                    yield packed()
-                    ids, parts, held, seq = [], [], 0, seq + 1
-        if ids:
-            yield packed()
-
-    rows = docs.select("doc_id", text_of(docs).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(of, f"chunk long, ids array<{kind}>, lens array<long>, size long, blob binary")
-
-
 def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row; spans are byte offsets, end exclusive.
 
@@ -251,7 +190,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
     spark = docs.sparkSession
     period, residues = cover_for(length)
     width = length - period + 1
-    chunks = store(_chunks(docs, chunk_bytes), "chunks")
+    chunks = store(chunks_of(docs, chunk_bytes), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
     n_sampled = max(1, -(-int(total * 8 * len(residues) / period) // BUCKET_BYTES))
     ids = chunks.schema["ids"].dataType.simpleString()
@@ -283,7 +222,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
         names = Names(width)
         for batch in batches:
             for row in batch.to_pylist():
-                data = _unpack(row["blob"], row["size"])
+                data = unpack(row["blob"], row["size"])
                 own, _ = _sorted(sampled(data, row["lens"], names)[0])
                 texts, _ = whole_names(data, row["lens"])
                 texts, _ = _sorted(texts[np.asarray(row["lens"]) >= length])
@@ -299,7 +238,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
             kind = batch["ids"].type
             for row in batch.to_pylist():
                 lens, found = row["lens"], row["replies"] or []
-                data = _unpack(row["blob"], row["size"])
+                data = unpack(row["blob"], row["size"])
                 own, places, owner = sampled(data, lens, names)
                 distinct, again = _sorted(own)
                 status = _answered(distinct, again, found, 0, n_sampled)
@@ -330,7 +269,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
                         continue
                     lo, hi = np.maximum(mine - (length - width), 0), np.minimum(mine, n - length) + 1
                     left.append((row["ids"][d], n, bool(copy), _merged(lo, hi), part.tobytes()))
-                blob, size = _pack([x[4] for x in left])
+                blob, size = pack([x[4] for x in left])
                 columns = [
                     pa.array([row["chunk"]], pa.int64()),
                     pa.array([[x[0] for x in left]], kind),
@@ -354,7 +293,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
     n_dense = max(1, -(-int((left.agg(F.sum("n_runs")).first()[0] or 0) * 8) // BUCKET_BYTES))
 
     def dense(row: dict, names: Names) -> tuple[np.ndarray, list[np.ndarray]]:
-        data, at, found, places = _unpack(row["blob"], row["size"]), 0, [np.empty(0, np.uint64)], []
+        data, at, found, places = unpack(row["blob"], row["size"]), 0, [np.empty(0, np.uint64)], []
         for n, runs in zip(row["lens"], row["runs"], strict=True):
             starts = np.concatenate([np.arange(a, b) for a, b in zip(runs[::2], runs[1::2], strict=True)])
             found.append(names.of(data[at : at + n], starts))
@@ -378,7 +317,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
                 own, places = dense(row, names)
                 distinct, again = _sorted(own)
                 hit = _answered(distinct, again, row["replies"] or [], 2, n_dense)[np.searchsorted(distinct, own)] > 0
-                data, at, seen, rows = _unpack(row["blob"], row["size"]), 0, 0, []
+                data, at, seen, rows = unpack(row["blob"], row["size"]), 0, 0, []
                 for i, n, copy, starts in zip(row["ids"], row["lens"], row["copy"], places, strict=True):
                     part, mine = data[at : at + n], starts[hit[seen : seen + len(starts)]]
                     at, seen = at + n, seen + len(starts)
