@@ -10,6 +10,7 @@ from phasebeat.llm.mixing import mixture
 from phasebeat.llm.packing import shards
 from phasebeat.llm.simhash import near_duplicates
 from phasebeat.llm.suffixes import repeated_passages
+from phasebeat.llm.toxicity import toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,11 +35,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_suffixes": op3_suffixes,
     "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
