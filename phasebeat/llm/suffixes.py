@@ -9,7 +9,7 @@ sampled.  So two equal strings of ``length`` bytes contain two sampled suffixes
    and compared with their neighbours in the same way.
 
 Order beyond ``length`` bytes cannot change the answer, so names are fingerprints of prefixes and the recursion on names ends there.
-Names have 64 bits; a wrong match needs two different strings with the same name.
+Names of whole strings have 64 bits; a wrong match needs two different candidates with the same name.
 
 Documents travel in chunks of some megabytes.  A chunk sends each name once, however often it holds it, and gets back
 one bit per name.  So a passage that a third of all documents share costs one name per chunk.  Of equal
@@ -31,6 +31,7 @@ from phasebeat.workspace import store
 
 LENGTH = 400
 BUCKET_BYTES = 4 << 20
+SPARE_BITS = 16
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -111,9 +112,20 @@ def _bucket_cuts(names: np.ndarray, n: int) -> np.ndarray:
     return np.append(np.searchsorted(names, edges), len(names))
 
 
+def _encoded(names: np.ndarray) -> bytes:
+    """Sorted names as steps, by byte planes: the high planes are nearly empty and vanish in compression."""
+    steps = np.diff(names, prepend=np.uint64(0))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _decoded(planes: bytes) -> np.ndarray:
+    rows = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T)
+    return np.cumsum(rows.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _requests(chunk: int, kind: int, names: np.ndarray, n: int) -> list[tuple]:
     cuts = _bucket_cuts(names, n)
-    return [(kind, b, chunk, names[cuts[b] : cuts[b + 1]].tobytes()) for b in range(n) if cuts[b] < cuts[b + 1]]
+    return [(kind, b, chunk, _encoded(names[cuts[b] : cuts[b + 1]])) for b in range(n) if cuts[b] < cuts[b + 1]]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -146,7 +158,7 @@ def _compare(requests: DataFrame) -> DataFrame:
     """Sort the names of each bucket, compare neighbours, answer every chunk: is it also elsewhere, is this the first chunk."""
 
     def of(group: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, "<u8") for x in group["names"].to_pylist()]
+        lists = [_decoded(x) for x in group["names"].to_pylist()]
         chunks = group["chunk"].to_pylist()
         merged = np.sort(np.concatenate(lists))
         repeated = np.unique(merged[1:][merged[1:] == merged[:-1]])
@@ -192,7 +204,10 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
     width = length - period + 1
     chunks = store(chunks_of(docs, chunk_bytes), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
-    n_sampled = max(1, -(-int(total * 8 * len(residues) / period) // BUCKET_BYTES))
+    n_names = int(total * len(residues) / period)
+    n_sampled = max(1, -(-n_names * 8 // BUCKET_BYTES))
+    # Sampled suffixes only point to candidates: at any size, names this long make one in 2^16 a wrong one.
+    low_bits = np.uint64(max(0, 64 - SPARE_BITS - n_names.bit_length()))
     ids = chunks.schema["ids"].dataType.simpleString()
 
     def sampled(data: np.ndarray, lens: list[int], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +218,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
             if n >= length:
                 starts = (np.arange(-(-n // period), dtype=np.int64)[:, None] * period + tile).ravel()
                 starts = starts[starts <= n - width]
-                found.append(names.of(data[at : at + n], starts))
+                found.append(names.of(data[at : at + n], starts) >> low_bits << low_bits)
                 places.append(starts)
                 owner.append(np.full(len(starts), d, np.int32))
             at += n
