@@ -8,6 +8,7 @@ from phasebeat.llm.common import table
 from phasebeat.llm.decontamination import contamination
 from phasebeat.llm.mixing import mixture
 from phasebeat.llm.packing import shards
+from phasebeat.llm.quality_rules import judged
 from phasebeat.llm.simhash import near_duplicates
 from phasebeat.llm.suffixes import repeated_passages
 from phasebeat.llm.toxicity import toxicity
@@ -26,6 +27,10 @@ def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents")).drop("n_lines", "n_ellipsis_lines", "n_stop_words", "n_upper", "n_marks")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
@@ -43,6 +48,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_suffixes": op3_suffixes,
+    "op4_quality_rules": op4_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
     "op10_toxicity": op10_toxicity,
