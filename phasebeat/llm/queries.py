@@ -8,6 +8,7 @@ from phasebeat.llm.common import table
 from phasebeat.llm.decontamination import contamination
 from phasebeat.llm.mixing import mixture
 from phasebeat.llm.packing import shards
+from phasebeat.llm.personal_data import personal_data
 from phasebeat.llm.quality_rules import judged
 from phasebeat.llm.simhash import near_duplicates
 from phasebeat.llm.suffixes import repeated_passages
@@ -40,6 +41,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_decontamination": op6_decontamination,
     "op8_sharding": op8_sharding,
+    "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
