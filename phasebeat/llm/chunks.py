@@ -8,9 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from phasebeat.llm.common import text_of
+from phasebeat.llm.common import mark_of, text_of
 
 CHUNK_BYTES = 16 << 20
 # Prefix sums are taken over blocks of so many bytes, which fit into a processor's cache.
@@ -78,6 +77,6 @@ def chunks_of(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         if ids:
             yield packed()
 
-    rows = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("mark"), text_of(docs).alias("text"))
+    rows = docs.select("doc_id", mark_of(docs).alias("mark"), text_of(docs).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(of, f"chunk long, ids array<{kind}>, marks array<long>, lens array<long>, size long, blob binary")

@@ -37,6 +37,15 @@ def bucket(key: Column, n: int | Column, *salt: int) -> Column:
     return F.pmod(F.xxhash64(key, *[F.lit(s) for s in salt]), n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
-def as_documents(df: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like`` in their order."""
-    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+def mark_of(df: DataFrame, *salt: int) -> Column:
+    """A fingerprint of the text, which tells rows of the same id apart."""
+    return F.xxhash64(*[F.lit(x) for x in salt], text_of(df))
+
+
+def joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` joined with rows ``doc_id, mark`` (and more, unless ``how`` only filters); null ids equal each other.
+
+    Columns of ``docs`` may have any names: they travel in one struct ``_row``.
+    """
+    rows = docs.select(F.col("doc_id").alias("_id"), mark_of(docs).alias("_mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return rows.join(keys, F.col("_id").eqNullSafe(keys["doc_id"]) & (F.col("_mark") == keys["mark"]), how)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasebeat.llm.common import bucket, n_words, text_of
+from phasebeat.llm.common import bucket, mark_of, n_words, text_of
 from phasebeat.workspace import store
 
 # Candidates of one bisection pass, and passes: the exponent is found to 32^-5.
@@ -75,7 +75,7 @@ def mixture(
     seed: int = 7,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Every draw of the mixture: ``doc_id, source, tokens, epoch, block, weight, exponent, mix_key`` and ``keep``.
+    """Every draw of the mixture: ``doc_id, source, tokens, epoch, block, weight, exponent, mix_key, mark`` and ``keep``.
 
     Tokens are words.  ``budget`` is the number of tokens to draw; by default it is just large enough that every source
     is taken once or more, so no document is left out.  Sorting by ``mix_key`` (0 to 1) gives the training order,
@@ -87,8 +87,8 @@ def mixture(
     text = text_of(docs)
     named = F.concat(F.lit("="), F.col("source").cast("string"))
     key = F.coalesce(named, F.lit("")).alias("source")
-    mark = F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("mark")
-    kept = [docs[c].alias(f"_{c}") for c in keep]
+    mark = mark_of(docs).alias("mark")
+    kept = [F.col(f"`{c}`").alias(f"_{c}") for c in keep]
     rows = store(docs.select("doc_id", key, n_words(text).alias("tokens"), mark, *kept), "draws")
     sources = store(source_shares(rows), "sources")
     exponent = exponent_for_entropy(sources, entropy) if entropy is not None else exponent_for_repetition(sources, repetition or 1.0)
@@ -105,7 +105,7 @@ def mixture(
     with_plan = rows.join(plan, "source", "left").withColumns(
         {"n_blocks": F.coalesce("n_blocks", F.lit(1)), "epochs": F.greatest(F.coalesce("epochs", F.lit(1)), F.lit(1))}
     )
-    in_blocks = with_plan.withColumn("block", bucket(F.col("mark"), F.col("n_blocks"), seed))
+    in_blocks = with_plan.withColumn("block", bucket(F.xxhash64("doc_id", "mark"), F.col("n_blocks"), seed))
     blocks = in_blocks.groupBy("source", "block").agg(
         F.sum("tokens").alias("tokens"), F.first("epochs").alias("epochs"), F.first("budget").alias("budget")
     )
@@ -127,7 +127,7 @@ def mixture(
     draws = in_blocks.drop("epochs", "n_blocks", "budget").join(chosen, ["source", "block"])
     # Whole blocks are taken as they are; only in the block that the budget ends in do single documents count.
     whole = F.col("budget").isNull() | (F.col("start") + F.col("block_sum") <= F.col("budget") * F.lit(1 + 1e-9))
-    inner = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64("mark", "epoch"), "doc_id")
+    inner = Window.partitionBy("source", "epoch", "block").orderBy(F.xxhash64("doc_id", "mark", "epoch"), "doc_id", "mark")
     ends = draws.where(~whole).withColumn(
         "inside", F.coalesce(F.sum("tokens").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
@@ -142,5 +142,6 @@ def mixture(
         F.coalesce("weight", F.lit(0.0)).alias("weight"),
         F.lit(exponent).alias("exponent"),
         F.coalesce(F.least(F.col("start") / F.col("budget"), F.lit(1.0)), F.lit(0.0)).alias("mix_key"),
-        *[F.col(f"_{c}").alias(c) for c in keep],
+        "mark",
+        *[F.col(f"`_{c}`").alias(c) for c in keep],
     )

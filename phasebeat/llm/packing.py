@@ -69,17 +69,17 @@ def place(loads: np.ndarray, n_shards: int, weights: tuple[float, ...] = WEIGHTS
     return shard
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, words, text_crc32, same`` of each row; equal texts have the same ``same``."""
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, size, words, text_crc32, same`` of each row, and ``keep`` under names that begin with ``_``; equal texts have the same ``same``."""
     text = text_of(docs)
     size = (n_bytes(text) + F.lit(OVERHEAD)).alias("size")
     crc = F.crc32(text.cast("binary")).cast("long").alias("text_crc32")
     same = F.xxhash64(text, F.octet_length(text)).alias("same")
-    return docs.select(F.col("doc_id"), size, n_words(text).alias("words"), crc, same)
+    return docs.select("doc_id", size, n_words(text).alias("words"), crc, same, *[F.col(f"`{c}`").alias(f"_{c}") for c in keep])
 
 
 def shards(
-    docs: DataFrame, n_shards: int = 24, fine: int = 256, coarse: int = 64, slot_rows: int = 100_000, keep: tuple = ()
+    docs: DataFrame, n_shards: int = 24, fine: int = 256, coarse: int = 64, slot_rows: int = 100_000, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """A shard and a gapless slot for every row.
 
@@ -89,7 +89,7 @@ def shards(
     dealt to as many units as it has such parts.  At most ``n_shards`` x (``fine`` + 6 x ``coarse``) units are placed.
     """
     spark = docs.sparkSession
-    rows = store(sizes(docs).withColumns({f"_{c}": docs[c] for c in keep}), "sizes")
+    rows = store(sizes(docs, keep), "sizes")
     loads = [F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("rows")]
     groups = rows.groupBy("same", "text_crc32").agg(*loads)
     total = rows.agg(*loads).first()
@@ -120,5 +120,5 @@ def shards(
         "shard",
         (F.col("start") + F.col("place") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *[F.col(f"_{c}").alias(c) for c in keep],
+        *[F.col(f"`_{c}`").alias(c) for c in keep],
     )

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phasebeat.llm.common import text_of
+from phasebeat.llm.common import mark_of, text_of
 from phasebeat.workspace import store
 
 # Kinds and patterns of the query contract.  Quantifiers are possessive and runs are entered at their start or after
@@ -52,7 +52,7 @@ def _pieces(docs: DataFrame) -> DataFrame:
         may = text.rlike("[0-9]") if NEEDS[kind] is None else text.contains(NEEDS[kind])
         matches = F.when(may, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
         found.append(F.struct(F.lit(number).alias("kind"), F.lit(pattern).alias("pattern"), matches.alias("matches")))
-    rows = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("mark"), text_of(docs).alias("text"))
+    rows = docs.select("doc_id", mark_of(docs).alias("mark"), text_of(docs).alias("text"))
     by_kind = rows.select(*ROW, "text", F.explode(F.array(*found)).alias("f")).where(F.size("f.matches") > 0)
     gaps = F.split(text, F.col("f.pattern"), -1)
     before = F.transform(gaps, lambda g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(CONTEXT)).alias("left")))
@@ -168,7 +168,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     def text(of: Column) -> Column:
         return F.array_join(F.transform(of, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
-    rows = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("mark"))
+    rows = docs.select("doc_id", mark_of(docs).alias("mark"))
     same = rows["doc_id"].eqNullSafe(by_row["doc_id"]) & (rows["mark"] == by_row["mark"])
     joined = rows.join(by_row, same, "left").select(rows["doc_id"], rows["mark"], F.coalesce("all", F.array().cast("array<struct<kind: int, start: bigint, stop: bigint>>")).alias("all"))
 

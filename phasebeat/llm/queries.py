@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from phasebeat.llm import language, rule_ensemble, toxicity
 from phasebeat.llm.common import table
 from phasebeat.llm.decontamination import contamination
 from phasebeat.llm.mixing import mixture
@@ -12,11 +13,10 @@ from phasebeat.llm.personal_data import personal_data
 from phasebeat.llm.quality_rules import judged
 from phasebeat.llm.simhash import near_duplicates
 from phasebeat.llm.suffixes import repeated_passages
-from phasebeat.llm.toxicity import toxicity
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"))
+    return mixture(table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +32,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("n_lines", "n_ellipsis_lines", "n_stop_words", "n_upper", "n_marks")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(language.id_remainder(3) != 1))
+    found = language.languages(docs, model)
+    return found.select("doc_id", (language.id_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(language.id_remainder(5) != 0)
+    found = rule_ensemble.quality(docs, rule_ensemble.fit(docs, labels))
+    return found.select("doc_id", (language.id_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
@@ -46,7 +60,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 QUERIES = {
@@ -54,7 +69,9 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_suffixes": op3_suffixes,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language": op5_language,
     "op6_decontamination": op6_decontamination,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_sharding": op8_sharding,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasebeat.llm.common import text_of
+from phasebeat.llm.common import mark_of, text_of
 from phasebeat.llm.components import components
 from phasebeat.workspace import store
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = pa.array((fingerprint(t.as_py()) for t in batch["text"]), pa.int64(), size=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], found], ["doc_id", "mark", "fp"])
 
-    rows = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("mark"), text_of(docs).alias("text"))
+    rows = docs.select("doc_id", mark_of(docs).alias("mark"), text_of(docs).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(of, f"doc_id {kind}, mark long, fp long")
 

@@ -32,6 +32,7 @@ ROUNDS = 800
 SUPPORT = 3
 RATIO = 8.0
 RIDGE = 1e-4
+TOXIC = 0.5
 
 
 @dataclass(frozen=True)
@@ -76,7 +77,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, n_features: int = FEATURES) -> Model | None:
-    """The model, ``None`` without labels of both kinds."""
+    """The model, ``None`` without labels of both kinds.
+
+    Labels with a null id or grade are left out, ids labelled twice count once with the higher label.
+    """
     sample = labelled_sample(docs, labels, limit)
     totals = {bool(r["t"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
@@ -155,44 +159,47 @@ def _regress(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.n
 SCORES = "p_toxic double, p_severe double, severity double, grade int, toxic boolean"
 
 
-def graded(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``p_toxic, p_severe, severity, grade, toxic`` in one struct ``toxicity``.
+def _graded(texts: list[str], model: Model | None, names: WordNames) -> np.ndarray:
+    """P(grade > k) of each text."""
+    if model is None:
+        return np.zeros((len(texts), 1))
+    logits = np.zeros(len(texts))
+    for k, text in enumerate(texts):
+        at, counts = _known(text, names, model.names)
+        logits[k] = model.weights[at] @ np.log1p(counts) if len(at) else 0.0
+    return model.beyond(logits)
+
+
+def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
+    """``doc_id, p_toxic, p_severe, severity, grade, toxic`` of every row.
 
     The probabilities of a grade over 0 and of the highest, the expected severity, the most likely grade, and whether
-    ``p_toxic`` is a half or more.  Null and empty texts have no features.  Without a model nothing is toxic.
+    ``p_toxic`` is a half or more.  Null and empty texts have no features, and without a model nothing is toxic.  Repeated rows
+    are graded one by one, an empty table gives no rows.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = WordNames()
         for batch in batches:
-            logits = np.zeros(batch.num_rows)
-            for k, text in enumerate(batch["_text"]):
-                at, counts = _known(text.as_py(), names, model.names) if model else (np.empty(0, int), np.empty(0))
-                logits[k] = model.weights[at] @ np.log1p(counts) if len(at) else 0.0
-            beyond = model.beyond(logits) if model else np.zeros((batch.num_rows, 1))
+            beyond = _graded(batch["text"].to_pylist(), model, names)
             p = np.concatenate([1 - beyond[:, :1], beyond[:, :-1] - beyond[:, 1:], beyond[:, -1:]], axis=1)
-            scores = pa.StructArray.from_arrays(
-                [
-                    pa.array(beyond[:, 0]),
-                    pa.array(beyond[:, -1]),
-                    pa.array(beyond.sum(axis=1)),
-                    pa.array(p.argmax(axis=1).astype(np.int32)),
-                    pa.array(beyond[:, 0] >= 0.5),
-                ],
-                ["p_toxic", "p_severe", "severity", "grade", "toxic"],
+            columns = [beyond[:, 0], beyond[:, -1], beyond.sum(axis=1), p.argmax(axis=1).astype(np.int32), beyond[:, 0] >= TOXIC]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], *[pa.array(c) for c in columns]], ["doc_id", "p_toxic", "p_severe", "severity", "grade", "toxic"]
             )
-            rest = [batch["_row"], scores]
-            yield pa.RecordBatch.from_arrays(rest, ["_row", "toxicity"])
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_of(docs).alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(of, f"_row {kind}, toxicity struct<{SCORES.replace(' ', ': ').replace(',:', ',')}>").select("_row.*", "toxicity")
+    rows = docs.select("doc_id", text_of(docs).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(of, f"doc_id {kind}, p_toxic double, p_severe double, severity double, grade int, toxic boolean")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
-    """``doc_id, p_toxic, p_severe, severity, grade, toxic`` of every row of ``docs``; see ``graded``.
+def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are not toxic, with all their columns."""
 
-    Labels with a null id or a null grade are left out, ids labelled twice count once with the higher label.
-    """
-    scored = graded(docs.select("doc_id", text_of(docs).alias("text")), fit(docs, labels, limit))
-    return scored.select("doc_id", "toxicity.*")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames()
+        for batch in batches:
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            yield batch.filter(pa.array(_graded(texts, model, names)[:, 0] < TOXIC))
+
+    return docs.mapInArrow(of, docs.schema)
