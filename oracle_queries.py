@@ -34,7 +34,8 @@ def oracle(name: str, select: str, *needs: str) -> None:
 
 part("ev", """
   SELECT event_id, ts, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-         CAST(date_diff('hour', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS tick
+         event_id // 4 AS tick,
+         'c' || CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id // 15 + 1 END AS cluster, 'w' || (user_id // 3 % 5) AS worker
   FROM events""")
 part("points", """
   SELECT event_type AS measurement, ts AS time, 'runner-' || (user_id % 5) AS host,
@@ -163,19 +164,21 @@ oracle("formatted_output", """
 # --- samples, snapshots, phases ---------------------------------------------------------
 
 part("raw_samples", """
-  SELECT 'c' || (user_id % 3) AS cluster, 'w' || (user_id % 15) AS worker, tick, event_id,
+  SELECT cluster, worker, tick, event_id, event_type, k,
          CASE WHEN event_id % 17 = 0 THEN c || ','
               WHEN event_id % 19 = 0 THEN c || ',abc'
               WHEN event_id % 23 = 0 THEN c || ',' || k || ',9'
               WHEN event_id % 29 = 0 THEN ''
-              ELSE c || ',' || k END AS line,
-         CASE WHEN tick % 7 <> 0 THEN ' ' || event_type || ' *** ' || (k % 4) || chr(10) END AS func
+              ELSE c || ',' || k END AS line
   FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS c FROM ev)""", "ev")
+part("run_functions", """
+  SELECT cluster, worker, tick, list_sort(list_distinct(list(' ' || event_type || '.step' || i || ' *** ' || (k % 4) || chr(10)))) AS funcs
+  FROM raw_samples, range(1, 13) steps(i) WHERE tick % 7 <> 0 GROUP BY ALL""", "raw_samples")
 part("samples", """
-  SELECT cluster, worker, tick, arg_max(line, event_id) AS resource_data,
-         coalesce(list_sort(list_distinct(list(func) FILTER (func IS NOT NULL))), []) AS threaddump_data
-  FROM raw_samples GROUP BY ALL""", "raw_samples")
-part("workers", "SELECT DISTINCT 'c' || (user_id % 3) AS cluster, 'w' || (user_id % 15) AS worker FROM events")
+  SELECT cluster, worker, tick, resource_data, coalesce(funcs, []) AS threaddump_data
+  FROM (SELECT cluster, worker, tick, arg_max(line, event_id) AS resource_data FROM raw_samples GROUP BY ALL)
+  LEFT JOIN run_functions USING (cluster, worker, tick)""", "raw_samples", "run_functions")
+part("workers", "SELECT DISTINCT cluster, worker FROM ev", "ev")
 part("missing", """
   SELECT t.cluster, t.tick, w.worker FROM (SELECT DISTINCT cluster, tick FROM samples) t JOIN workers w USING (cluster)
   WHERE NOT EXISTS (SELECT 1 FROM samples s WHERE s.cluster = t.cluster AND s.tick = t.tick AND s.worker = w.worker)""",
@@ -454,14 +457,14 @@ oracle("watch_minutes", """
   SELECT cluster, tick, tick_no, phase_id, seen, version, confidence, confidence > 5 AS alert, round(cpu, 6) AS cpu, round(mem, 6) AS mem,
          round(predicted_cpu, 6) AS predicted_cpu, round(predicted_mem, 6) AS predicted_mem,
          round(acc_cpu, 6) AS acc_cpu, round(acc_mem, 6) AS acc_mem FROM scored_s2""", "scored_s2")
-ORACLES["watch_minutes"] = ORACLES["watch_minutes"].replace("date_diff('hour'", "date_diff('minute'")
+ORACLES["watch_minutes"] = ORACLES["watch_minutes"].replace("event_id // 4 AS tick", "event_id AS tick")
 
 # --- runs, processes, traffic -------------------------------------------------------------------
 
 part("process_rows", """
   SELECT cluster, worker, tick, CASE WHEN e.event_type <> 'error' THEN e.k % 3 + 100 END AS pid,
          CASE WHEN e.k % 7 = 0 THEN 'PID USER %CPU %MEM' ELSE CAST(CAST(e.value AS DECIMAL(18,2)) AS VARCHAR) || ',' || e.k END AS line
-  FROM (SELECT 'c' || (user_id % 3) AS cluster, 'w' || (user_id % 15) AS worker, tick,
+  FROM (SELECT cluster, worker, tick,
                arg_max({'event_type': event_type, 'value': value, 'k': k}, event_id) AS e FROM ev GROUP BY ALL)""", "ev")
 LIVE = "CASE WHEN pid IS NULL OR line LIKE '%CPU%' THEN '0,0' ELSE line END"
 oracle("process_samples", f"SELECT cluster, worker, tick, pid, {LIVE} AS line FROM process_rows", "process_rows")
@@ -591,7 +594,7 @@ oracle("equal_repeats", """
 
 # --- writing and reading back -----------------------------------------------------------------
 
-POINT = f"strftime(TIMESTAMP '2024-01-01' + to_hours(tick), {STAMP}) AS time, 'runner-' || cluster AS host, 'hourly' AS experiment_name"
+POINT = f"strftime(TIMESTAMP '2024-01-01' + to_seconds(tick), {STAMP}) AS time, 'runner-' || cluster AS host, 'hourly' AS experiment_name"
 oracle("predictions_points", f"""
   SELECT {POINT}, round(cpu, 6) AS actual_cpu, round(mem, 6) AS actual_mem, round(predicted_cpu, 6) AS predicted_cpu,
          round(predicted_mem, 6) AS predicted_mem FROM scored_s1""", "scored_s1")
@@ -602,10 +605,11 @@ oracle("accuracy_points", f"""
 oracle("metric_points", """
   SELECT measurement, host, experiment_name, count(*) AS n, max(value) AS max_value, round(sum(k), 6) AS sum_k
   FROM points GROUP BY ALL""", "points")
-part("early", "SELECT * FROM visits_s1 WHERE tick < 360 AND counts", "visits_s1")
+HALF = "(SELECT max(tick) // 2 FROM visits_s1)"
+part("early", f"SELECT * FROM visits_s1 WHERE tick < {HALF} AND counts", "visits_s1")
 part("early_full", """
   SELECT cluster, phase_id, prior // 3 AS b FROM early GROUP BY ALL HAVING count(*) = 3""", "early")
-oracle("phase_db_roundtrip", """
+oracle("phase_db_roundtrip", f"""
   SELECT cluster, 2 * count(*) AS n, 'pending' AS part FROM early e
   WHERE NOT EXISTS (SELECT 1 FROM early_full f WHERE f.cluster = e.cluster AND f.phase_id = e.phase_id AND f.b = e.prior // 3)
   GROUP BY cluster
@@ -613,10 +617,10 @@ oracle("phase_db_roundtrip", """
   UNION ALL
   SELECT cluster, count(*), CASE WHEN known THEN 'known' ELSE 'new' END FROM (
     SELECT cluster, (cluster, phase_id) IN (SELECT (cluster, phase_id) FROM early) AS known
-    FROM visits_s1 WHERE tick >= 360 AND NOT idle) GROUP BY ALL""", "early", "early_full", "visits_s1")
-oracle("resumed_watch", """
+    FROM visits_s1 WHERE tick >= {HALF} AND NOT idle) GROUP BY ALL""", "early", "early_full", "visits_s1")
+oracle("resumed_watch", f"""
   SELECT cluster, tick, phase_id, seen, version, CAST(step AS BIGINT) AS step, round(predicted_cpu, 6) AS predicted_cpu,
-         round(predicted_mem, 6) AS predicted_mem, round(mape, 6) AS mape FROM steps_s1 WHERE tick >= 360""", "steps_s1")
+         round(predicted_mem, 6) AS predicted_mem, round(mape, 6) AS mape FROM steps_s1 WHERE tick >= {HALF}""", "steps_s1", "visits_s1")
 oracle("summary_append", """
   SELECT cluster, CAST(unnest(range(4)) AS BIGINT) AS line_no, unnest(['', '### Accuracy Rates ###',
     'CPU Prediction Accuracy: ' || printf('%.3f', acc_cpu), 'MEM Prediction Accuracy: ' || printf('%.3f', acc_mem)]) AS line
@@ -632,12 +636,12 @@ oracle("stream_window_mean", f"""
     SELECT measurement, host, {bucket('5 minutes')} AS w, avg(value) AS m FROM points GROUP BY ALL)
   WHERE m <> 0 AND w + INTERVAL '5 minutes' <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL '1 minute'""", "points")
 _stream = f"""
-  SELECT cluster, tick_no, strftime(TIMESTAMP '2024-01-01' + to_hours(tick), {STAMP}) AS tick, phase_id, idle, seen, version,
+  SELECT cluster, tick_no, strftime(TIMESTAMP '2024-01-01' + to_seconds(tick), {STAMP}) AS tick, phase_id, idle, seen, version,
          round(predicted_cpu, 6) AS predicted_cpu, round(predicted_mem, 6) AS predicted_mem, CAST(step AS BIGINT) AS step, confidence,
          confidence > 5 AS alert, round(acc_cpu, 6) AS acc_cpu, round(acc_mem, 6) AS acc_mem
   FROM scored_s1 WHERE tick < (SELECT max(tick) FROM samples)"""
 oracle("stream_points", f"""
-  SELECT strftime(TIMESTAMP '2024-01-01' + to_hours(tick), {STAMP}) AS time, 'runner-live' AS host, 'hourly' AS experiment_name,
+  SELECT strftime(TIMESTAMP '2024-01-01' + to_seconds(tick), {STAMP}) AS time, 'runner-live' AS host, 'hourly' AS experiment_name,
          round(cpu, 6) AS actual_cpu, round(mem, 6) AS actual_mem, round(predicted_cpu, 6) AS predicted_cpu,
          round(predicted_mem, 6) AS predicted_mem
   FROM scored_s1 WHERE tick < (SELECT max(tick) FROM samples)""", "scored_s1", "samples")

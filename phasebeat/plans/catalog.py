@@ -122,9 +122,9 @@ def formatted_output(spark, sf):
 # --- samples, snapshots, phases ---------------------------------------------------------
 
 
-def recorded(spark: SparkSession, sf: str, unit: str = "HOUR") -> tuple[DataFrame, DataFrame]:
+def recorded(spark: SparkSession, sf: str, per_tick: int = data.TICK_EVENTS) -> tuple[DataFrame, DataFrame]:
     """Samples as a stored table, and the expected workers."""
-    return store(data.samples(spark, sf, unit=unit), "samples"), data.workers(spark, sf)
+    return store(data.samples(spark, sf, per_tick=per_tick), "samples"), data.workers(spark, sf)
 
 
 def cut_of(samples: DataFrame) -> int | None:
@@ -348,8 +348,8 @@ def anomaly_first_alert(spark, sf):
 
 @query
 def watch_minutes(spark, sf):
-    """The whole analysis with a sample every minute."""
-    rows = watch(*recorded(spark, sf, "MINUTE"), PAIRS).scored
+    """The whole analysis with a tick for every event."""
+    rows = watch(*recorded(spark, sf, 1), PAIRS).scored
     names = ("cpu", "mem", "predicted_cpu", "predicted_mem", "acc_cpu", "acc_mem")
     keep = ("cluster", "tick", "tick_no", "phase_id", "seen", "version", "confidence", "alert")
     return rounded(rows.select(*keep, *names), *names)
@@ -553,8 +553,8 @@ def compare_csv(spark, sf):
 
 
 def run_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Scored ticks with the tags of a point; the time is that of the hour."""
-    time = F.expr(f"timestampadd(HOUR, tick, TIMESTAMP_NTZ '{data.ORIGIN} 00:00:00')")
+    """Scored ticks with the tags of a point; the time is that of the tick."""
+    time = F.expr(f"timestampadd(SECOND, tick, TIMESTAMP_NTZ '{data.ORIGIN} 00:00:00')")
     return scores(spark, sf).withColumns(
         {"time": time, "host": F.concat(F.lit("runner-"), "cluster"), "experiment_name": F.lit("hourly")}
     )
@@ -573,7 +573,7 @@ def predictions_points(spark, sf):
 def accuracy_points(spark, sf):
     """Accuracy of the first variant: the first tick has none."""
     settings = Settings(variant="v1", algo="simple", stride=1)
-    time = F.expr(f"timestampadd(HOUR, tick, TIMESTAMP_NTZ '{data.ORIGIN} 00:00:00')")
+    time = F.expr(f"timestampadd(SECOND, tick, TIMESTAMP_NTZ '{data.ORIGIN} 00:00:00')")
     rows = scores(spark, sf, settings).withColumns(
         {"time": time, "host": F.concat(F.lit("runner-"), "cluster"), "experiment_name": F.lit("hourly")}
     )
@@ -602,7 +602,8 @@ def phase_db_roundtrip(spark, sf):
     """Phase tables saved and loaded; later ticks against the phases known from the first half."""
     rows, _ = numbered(spark, sf, DENSE)
     root = new_dir(spark, "phases")
-    early = rows.where("tick < 360")
+    half = data.middle(rows)
+    early = rows.where(F.col("tick") < half)
     tables.save_phases(
         root, 1,
         profiles=models.pending_profiles(early, DENSE),
@@ -610,7 +611,7 @@ def phase_db_roundtrip(spark, sf):
         phases=early.where("counts").select("cluster", "phase_id").distinct(),
     )
     saved = {n: tables.load_phases(spark, root, 1, n) for n in ("profiles", "models", "phases")}
-    late = rows.where("tick >= 360 AND NOT idle")
+    late = rows.where((F.col("tick") >= half) & ~F.col("idle"))
     count = F.count("*").alias("n")
     parts = [
         saved["profiles"].groupBy("cluster").agg(count).withColumn("part", F.lit("pending")),
@@ -627,8 +628,9 @@ def resumed_watch(spark, sf):
     samples, expected = recorded(spark, sf)
     rows = store(ticks.cluster_ticks(samples, expected, DENSE, cut_of(samples)), "ticks")
     root = new_dir(spark, "phases")
-    watch_ticks(rows.where("tick < 360"), DENSE).state().save(root, 1)
-    found = watch_ticks(rows.where("tick >= 360"), DENSE, before=Saved.load(spark, root, 1)).scored
+    half = data.middle(rows)
+    watch_ticks(rows.where(F.col("tick") < half), DENSE).state().save(root, 1)
+    found = watch_ticks(rows.where(F.col("tick") >= half), DENSE, before=Saved.load(spark, root, 1)).scored
     values = ("predicted_cpu", "predicted_mem", "mape")
     return rounded(found.select("cluster", "tick", "phase_id", "seen", "version", "step", *values), *values)
 
@@ -687,7 +689,7 @@ def samples_json_roundtrip(spark, sf):
 
 
 def timed_samples(samples: DataFrame) -> DataFrame:
-    ts = F.expr(f"timestampadd(HOUR, tick, TIMESTAMP '{data.ORIGIN} 00:00:00')")
+    ts = F.expr(f"timestampadd(SECOND, tick, TIMESTAMP '{data.ORIGIN} 00:00:00')")
     return samples.select("cluster", "worker", ts.alias("ts"), "resource_data", "threaddump_data")
 
 
@@ -703,14 +705,15 @@ def stream_window_mean(spark, sf):
     return rows.select("measurement", "host", stamp("window_start").alias("window_start"), r6("mean").alias("mean"))
 
 
-def watched_stream(spark: SparkSession, sf: str, arrivals: list[str]) -> DataFrame:
-    """Run the online form over samples that arrive in parts, stopping and going on after each part."""
+def watched_stream(spark: SparkSession, sf: str, halves: bool) -> DataFrame:
+    """Run the online form over samples that arrive at once or in two parts, stopping and going on after each part."""
     samples, expected = recorded(spark, sf)
     source, path, check = (new_dir(spark, n) for n in ("live", "watched", "check"))
-    for part in arrivals:
+    half, tick = data.middle(samples), F.col("tick")
+    for part in [tick < half, tick >= half] if halves else [F.lit(True)]:
         timed_samples(samples.where(part)).write.mode("append").json(source)
         stream = src.stream_samples(spark, source, TIMED_SAMPLES)
-        arrived = live.tick_stream(stream, expected, "1 hour", "0 seconds")
+        arrived = live.tick_stream(stream, expected, "1 second", "0 seconds")
         live.run_available(live.watch_stream(arrived, DENSE), path, check)
     rows = spark.read.parquet(path)
     rows = rows.select(
@@ -722,13 +725,13 @@ def watched_stream(spark: SparkSession, sf: str, arrivals: list[str]) -> DataFra
 
 @query
 def stream_anomaly(spark, sf):
-    return watched_stream(spark, sf, ["true"])
+    return watched_stream(spark, sf, halves=False)
 
 
 @query
 def stream_restart(spark, sf):
     """The second half arrives after a stop; phases, models and confidence come back from the checkpoint."""
-    return watched_stream(spark, sf, ["tick < 360", "tick >= 360"])
+    return watched_stream(spark, sf, halves=True)
 
 
 @query
@@ -737,7 +740,7 @@ def stream_points(spark, sf):
     samples, expected = recorded(spark, sf)
     source, root, check = (new_dir(spark, n) for n in ("live", "points", "check"))
     timed_samples(samples).write.json(source)
-    arrived = live.tick_stream(src.stream_samples(spark, source, TIMED_SAMPLES), expected, "1 hour", "0 seconds")
+    arrived = live.tick_stream(src.stream_samples(spark, source, TIMED_SAMPLES), expected, "1 second", "0 seconds")
     live.publish(live.watch_stream(arrived, DENSE), root, check, "runner-live", "hourly")
     rows = tables.read_points(spark, root, "predictions", "runner-live", "hourly")
     fields = ("actual_cpu", "actual_mem", "predicted_cpu", "predicted_mem")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from phasebeat.functions import text
 from phasebeat.operators.ordered import whole_part
 
-# Hours are counted from this date.
+# Ticks are seconds from this date.
 ORIGIN = "2024-01-01"
 
 
@@ -20,14 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str, unit: str = "HOUR") -> DataFrame:
-    """Events with the number of their hour (or other unit) and the whole-number property."""
+# Consecutive events per tick: ticks, and so samples, grow with the events.
+TICK_EVENTS = 4
+# Users of a cluster besides the hot one, and functions that run for an event.
+CLUSTER_USERS = 15
+FUNCTIONS = 12
+
+
+def events(spark: SparkSession, sf_dir: str, per_tick: int = TICK_EVENTS) -> DataFrame:
+    """Events with the number of their tick and the whole-number property."""
     rows = table(spark, sf_dir, "events")
     return rows.withColumns(
-        {
-            "k": F.get_json_object("props", "$.k").cast("long"),
-            "tick": F.expr(f"timestampdiff({unit}, TIMESTAMP_NTZ '{ORIGIN} 00:00:00', ts)").cast("long"),
-        }
+        {"k": F.get_json_object("props", "$.k").cast("long"), "tick": whole_part("event_id", per_tick)}
     ).drop("props")
 
 
@@ -45,11 +49,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_of(user: Column) -> Column:
-    return F.concat(F.lit("c"), (user % 3).cast("string"))
+    """Every third user is in the hot cluster ``c0``, the others are in a cluster for each fifteen of them."""
+    group = F.floor(user / CLUSTER_USERS).cast("long") + 1
+    return F.concat(F.lit("c"), F.when(user % 3 == 0, F.lit(0)).otherwise(group).cast("string"))
 
 
 def worker_of(user: Column) -> Column:
-    return F.concat(F.lit("w"), (user % 15).cast("string"))
+    """Five workers in each cluster."""
+    return F.concat(F.lit("w"), (F.floor(user / 3).cast("long") % 5).cast("string"))
 
 
 def workers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,29 +77,39 @@ def resource_line(value: Column, k: Column, number: Column) -> Column:
     )
 
 
-def samples(spark: SparkSession, sf_dir: str, with_functions: bool = True, unit: str = "HOUR") -> DataFrame:
-    """The last resource line of each worker and hour, and its functions with thread counts."""
-    rows = events(spark, sf_dir, unit)
+def samples(spark: SparkSession, sf_dir: str, with_functions: bool = True, per_tick: int = TICK_EVENTS) -> DataFrame:
+    """The last resource line of each worker and tick, and its functions with thread counts."""
+    rows = events(spark, sf_dir, per_tick)
     user = F.col("user_id")
+    step = F.sequence(F.lit(1), F.lit(FUNCTIONS))
+    threads = (F.col("k") % 4).cast("string")
+    funcs = F.transform(
+        step, lambda i: F.concat(F.lit(" "), F.col("event_type"), F.lit(".step"), i.cast("string"), F.lit(" *** "), threads, F.lit("\n"))
+    )
     rows = rows.select(
         cluster_of(user).alias("cluster"),
         worker_of(user).alias("worker"),
         "tick",
         "event_id",
         resource_line(F.col("value"), F.col("k"), F.col("event_id")).alias("line"),
-        F.concat(F.lit(" "), "event_type", F.lit(" *** "), (F.col("k") % 4).cast("string"), F.lit("\n")).alias("func"),
+        funcs.alias("funcs"),
     )
     found = [F.max_by("line", "event_id").alias("resource_data")]
     if not with_functions:
         return rows.groupBy("cluster", "worker", "tick").agg(*found)
-    # Every seventh hour no process runs.
-    working = F.when(F.col("tick") % 7 != 0, F.col("func"))
-    found.append(F.array_sort(F.collect_set(working)).alias("threaddump_data"))
+    # In every seventh tick no process runs.
+    working = F.when(F.col("tick") % 7 != 0, F.col("funcs"))
+    found.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(working)))).alias("threaddump_data"))
     return rows.groupBy("cluster", "worker", "tick").agg(*found)
 
 
+def middle(samples: DataFrame) -> int:
+    """The tick halfway through the samples."""
+    return (samples.agg(F.max("tick")).first()[0] or 0) // 2
+
+
 def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an agent sees each hour: the pid of the executor, if any, and a line about it."""
+    """What an agent sees in each tick: the pid of the executor, if any, and a line about it."""
     rows = events(spark, sf_dir)
     user = F.col("user_id")
     last = F.max_by(F.struct("event_type", "value", "k", "event_id"), "event_id").alias("e")
