@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from phasebeat.llm.common import mark_of, text_of
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 # Prefix sums are taken over blocks of so many bytes, which fit into a processor's cache.
 BLOCK = 1 << 16
 BASE = 0x9E3779B97F4A7C15
