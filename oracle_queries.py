@@ -474,7 +474,7 @@ part("changes", """
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM process_rows)
   WHERE pid IS NOT NULL AND pid IS DISTINCT FROM before""", "process_rows")
 oracle("workload_change_log", "SELECT * FROM changes", "changes")
-oracle("workload_log_scan", "SELECT tick * 3600 AS ts, pid FROM changes", "changes")
+oracle("workload_log_scan", "SELECT cluster, worker, tick * 3600 AS ts, pid FROM changes", "changes")
 part("sample_numbers", """
   SELECT cluster, worker, tick, pid, line, CASE WHEN pid IS NOT NULL THEN
            row_number() OVER (PARTITION BY cluster, worker, run, pid IS NULL ORDER BY tick) - 1 END AS sample_no FROM (
@@ -482,7 +482,7 @@ part("sample_numbers", """
     FROM process_rows)""", "process_rows")
 oracle("run_sample_no", "SELECT cluster, worker, tick, pid, sample_no FROM sample_numbers", "sample_numbers")
 oracle("resource_history", f"""
-  SELECT pid, CASE WHEN line LIKE '%CPU%' THEN 0 ELSE sample_no END AS count,
+  SELECT cluster, worker, pid, CASE WHEN line LIKE '%CPU%' THEN 0 ELSE sample_no END AS count,
          CAST(split_part({LIVE}, ',', 1) AS DOUBLE) AS cpu, CAST(split_part({LIVE}, ',', 2) AS DOUBLE) AS mem
   FROM sample_numbers WHERE pid IS NOT NULL""", "sample_numbers")
 part("processes", """
@@ -527,7 +527,7 @@ def usage(match: str) -> str:
 oracle("traffic_chunks", usage("contains(split_part(l.line, ' ', 1), CAST(p.pid AS VARCHAR))"), "tree", "chunked")
 oracle("traffic_chunks_exact", usage("split_part(l.line, '/', 2) = CAST(p.pid AS VARCHAR)"), "tree", "chunked")
 oracle("stream_chunks", """
-  SELECT host, CAST(chunk AS INTEGER) AS chunk, CAST(sum(CASE WHEN line <> 'Refreshing:' THEN 1 ELSE 0 END) AS INTEGER) AS lines
+  SELECT host, CAST(chunk AS BIGINT) AS chunk, CAST(sum(CASE WHEN line <> 'Refreshing:' THEN 1 ELSE 0 END) AS INTEGER) AS lines
   FROM chunked GROUP BY host, chunk""", "chunked")
 
 oracle("traffic_log_scan", """
@@ -574,22 +574,25 @@ oracle("doc_blocks", """
 # --- comparison -------------------------------------------------------------------------------
 
 part("repeats", """
-  SELECT o_orderkey, algo, workload, repeat, CASE WHEN ok THEN round(cpu, 6) END AS CPU, round(mem, 6) AS MEM FROM (
+  SELECT o_orderkey, algo, workload, repeat, repeat_in_part, CASE WHEN ok THEN round(cpu, 6) END AS CPU, round(mem, 6) AS MEM FROM (
     SELECT o_orderkey, o_orderstatus AS algo, replace(split_part(o_orderpriority, '-', 2), ' ', '_') AS workload,
            row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS repeat, o_orderkey % 37 <> 0 AS ok,
+           row_number() OVER (PARTITION BY o_orderstatus, o_orderkey // 1000 ORDER BY o_orderkey) AS repeat_in_part,
            CAST(CAST(o_totalprice % 100 AS DECIMAL(18,3)) AS DOUBLE) AS cpu, CAST(o_custkey % 100 AS DOUBLE) AS mem
-    FROM orders)""")
-oracle("stats_file_parse", "SELECT * EXCLUDE (o_orderkey) FROM repeats", "repeats")
+    FROM orders) WHERE o_orderkey % 41 <> 0""")
+oracle("stats_file_parse", "SELECT * EXCLUDE (o_orderkey, repeat_in_part) FROM repeats", "repeats")
 oracle("stats_file_scan", """
   SELECT algo, o_orderkey // 1000 AS part, workload,
-         row_number() OVER (PARTITION BY algo, o_orderkey // 1000 ORDER BY o_orderkey) AS repeat, CPU, MEM FROM repeats""", "repeats")
+         repeat_in_part AS repeat, CPU, MEM FROM repeats""", "repeats")
 part("averages", "SELECT algo, workload, avg(CPU) AS CPU, avg(MEM) AS MEM FROM repeats GROUP BY ALL", "repeats")
 _pivot = lambda stat: ", ".join(f"round(max(CASE WHEN algo = '{a}' THEN {stat} END), 6) AS {a}" for a in "FOP")
 oracle("compare_workloads", f"SELECT workload, {_pivot('CPU')} FROM averages GROUP BY workload", "averages")
 oracle("compare_csv", " UNION ALL ".join(
     f"SELECT workload, {_pivot(s)}, '{s}' AS stat FROM averages GROUP BY workload" for s in ("CPU", "MEM")), "averages")
 oracle("equal_repeats", """
-  SELECT algo, min(n) AS least, max(n) AS most FROM (SELECT algo, workload, count(*) AS n FROM repeats GROUP BY ALL)
+  SELECT algo, min(n) AS least, max(n) AS most FROM (
+    SELECT algo, workload, count(*) AS n FROM repeats GROUP BY ALL
+    UNION ALL SELECT o_orderstatus, 'broken', 0 FROM orders WHERE o_orderkey % 41 = 0 GROUP BY o_orderstatus)
   GROUP BY algo HAVING min(n) <> max(n)""", "repeats")
 
 # --- writing and reading back -----------------------------------------------------------------
@@ -629,24 +632,28 @@ oracle("samples_json_roundtrip", """
   SELECT cluster, worker, tick, resource_data, array_to_string(threaddump_data, '|') AS threaddump_data FROM samples
   UNION ALL SELECT cluster, worker, tick, '0,0', '' FROM missing""", "samples", "missing")
 
-# --- streams: the batch result, without the windows that the watermark has not passed ---------------
+# --- streams: the batch result -----------------------------------------------------------------
 
 oracle("stream_window_mean", f"""
   SELECT measurement, host, strftime(w, {STAMP}) AS window_start, round(m, 6) AS mean FROM (
     SELECT measurement, host, {bucket('5 minutes')} AS w, avg(value) AS m FROM points GROUP BY ALL)
-  WHERE m <> 0 AND w + INTERVAL '5 minutes' <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL '1 minute'""", "points")
-_stream = f"""
+  WHERE m <> 0""", "points")
+_stream = lambda source: f"""
   SELECT cluster, tick_no, strftime(TIMESTAMP '2024-01-01' + to_seconds(tick), {STAMP}) AS tick, phase_id, idle, seen, version,
          round(predicted_cpu, 6) AS predicted_cpu, round(predicted_mem, 6) AS predicted_mem, CAST(step AS BIGINT) AS step, confidence,
          confidence > 5 AS alert, round(acc_cpu, 6) AS acc_cpu, round(acc_mem, 6) AS acc_mem
-  FROM scored_s1 WHERE tick < (SELECT max(tick) FROM samples)"""
+  FROM {source}"""
 oracle("stream_points", f"""
   SELECT strftime(TIMESTAMP '2024-01-01' + to_seconds(tick), {STAMP}) AS time, 'runner-live' AS host, 'hourly' AS experiment_name,
          round(cpu, 6) AS actual_cpu, round(mem, 6) AS actual_mem, round(predicted_cpu, 6) AS predicted_cpu,
          round(predicted_mem, 6) AS predicted_mem
-  FROM scored_s1 WHERE tick < (SELECT max(tick) FROM samples)""", "scored_s1", "samples")
-oracle("stream_anomaly", _stream, "scored_s1", "samples")
-oracle("stream_restart", _stream, "scored_s1", "samples")
+  FROM scored_s1""", "scored_s1")
+oracle("stream_anomaly", _stream("scored_s1"), "scored_s1")
+# The last tick before the stop is closed by the samples after it, so it belongs to the second run.
+part("restarted", """
+  SELECT * REPLACE (CAST(sum(step) OVER (PARTITION BY cluster, tick >= (SELECT max(tick) // 2 - 1 FROM samples) ORDER BY tick_no) AS BIGINT)
+           AS confidence) FROM scored_s1""", "scored_s1", "samples")
+oracle("stream_restart", _stream("restarted"), "restarted")
 
 
 def settle_rounding(sql: str) -> str:

@@ -110,7 +110,14 @@ def show(rows: DataFrame, out: str | None, order: list[str]) -> None:
     if out:
         ordered.write.option("header", True).csv(out)
     else:
-        ordered.show(1000, truncate=False)
+        print_rows(ordered)
+
+
+def print_rows(ordered: DataFrame) -> None:
+    """All rows, a partition at a time."""
+    print("\t".join(ordered.columns))
+    for row in ordered.toLocalIterator():
+        print("\t".join("" if v is None else str(v) for v in row))
 
 
 def run_compare(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -122,7 +129,7 @@ def run_compare(spark: SparkSession, a: argparse.Namespace) -> None:
             tables.write_comparison(table.orderBy("workload"), a.save_path, stat, algos)
         else:
             print(stat)
-            table.orderBy("workload").show(1000, truncate=False)
+            print_rows(table.orderBy("workload"))
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 RESOURCES = ("cpu", "mem")
 
 # Rows of one ordered sequence that a single task may sort.  Sequences are indexed by a
-# unique integer, so an index range below this bounds every group, however skewed the keys.
-SEGMENT_ROWS = 1 << 18
+# unique integer, so a range of this length bounds every group, however skewed the keys.
+SEGMENT_ROWS = 1 << 16
+# Versions of one phase that are folded in sequence before the next segment starts.
+CHAIN_ROWS = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -29,14 +31,15 @@ class Settings:
     variant: str = "v2"
     algo: str = "lasso"
     segment_rows: int = SEGMENT_ROWS
+    chain_rows: int = CHAIN_ROWS
 
     def __post_init__(self) -> None:
         if self.variant not in ("v1", "v2"):
             raise ValueError(f"unknown variant {self.variant!r}")
         if self.algo not in ("simple", "lasso", "agg"):
             raise ValueError(f"unknown algorithm {self.algo!r}")
-        if self.stride < 1 or self.batch_size < 1 or self.segment_rows < 2:
-            raise ValueError("stride, batch_size and segment_rows must be positive")
+        if self.stride < 1 or self.batch_size < 1 or min(self.segment_rows, self.chain_rows) < 2:
+            raise ValueError("stride, batch_size, segment_rows and chain_rows must be positive")
 
     @property
     def cycle(self) -> int:

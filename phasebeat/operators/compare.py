@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phasebeat.functions import text
 from phasebeat.operators.ordered import scan
 
 
+def _name(line: Column) -> Column:
+    """The workload that a line of one word names, else null."""
+    word = text.strip(line)
+    return F.when((word != "") & ~word.rlike(r"\s"), word)
+
+
+def named_workloads(lines: DataFrame, keys: tuple[str, ...] = ("algo",)) -> DataFrame:
+    """Every workload that a file names, also one whose runs have no value."""
+    rows = lines.select(*keys, _name(F.col("line")).alias("workload"))
+    return rows.where(F.col("workload").isNotNull()).distinct()
+
+
 def parse_stats(
     lines: DataFrame,
     stats: tuple[str, ...],
@@ -22,12 +34,10 @@ def parse_stats(
     A block without values is no repeat.  Within a block the last value of a stat counts, and a line
     with one of the ``failures`` texts drops what came before it.
     """
-    word = text.strip(F.col("line"))
-    single = (word != "") & ~word.rlike(r"\s")
     failed = F.lit(False)
     for f in failures:
         failed = failed | F.col("line").contains(f)
-    rows = lines.withColumns({"name": F.when(single, word), "failed": failed})
+    rows = lines.withColumns({"name": _name(F.col("line")), "failed": failed})
     starts = F.when(F.col("name").isNotNull(), 1).otherwise(0)
     named = {"last_name": F.col("name")}
     rows = scan(rows, list(keys), "line_no", sums={"block": starts}, lasts=named, segment_rows=segment_rows)
@@ -62,9 +72,10 @@ def workload_means(repeats: DataFrame, stats: tuple[str, ...]) -> DataFrame:
     return repeats.groupBy("algo", "workload").agg(*[F.avg(s).alias(s) for s in stats], F.count("*").alias("repeats"))
 
 
-def unequal_repeats(repeats: DataFrame) -> DataFrame:
-    """Algorithms whose workloads do not all have the same number of repeats."""
-    counts = repeats.groupBy("algo", "workload").agg(F.count("*").alias("n"))
+def unequal_repeats(repeats: DataFrame, named: DataFrame) -> DataFrame:
+    """Algorithms whose workloads do not all have the same number of repeats, none counted as zero."""
+    found = repeats.groupBy("algo", "workload").agg(F.count("*").alias("n"))
+    counts = named.join(found, ["algo", "workload"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     spread = counts.groupBy("algo").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     return spread.where(F.col("least") != F.col("most"))
 

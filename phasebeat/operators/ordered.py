@@ -1,10 +1,9 @@
 """Running totals, last known values and shifted rows over long ordered sequences.
 
-Every sequence is indexed by a unique integer (tick, visit, line number).  When the index
-range shows that a whole sequence fits in one task, plain window functions do the work.
-Otherwise each sequence is cut into segments of ``segment_rows`` consecutive indexes: windows
-run per (key, segment), one summary row per segment is carried over the segments, and the carry
-is joined back.  A single key may then hold any share of the table.  Keys must not be null.
+Every sequence is indexed by a unique integer (tick, visit, line number) and cut into segments of
+``segment_rows`` consecutive indexes: windows run per (key, segment), one summary row per segment is
+carried over the segments, and the carry is joined back.  The plan is the same at every size, and a
+single key may hold any share of the table.  Keys must not be null.
 """
 
 from __future__ import annotations
@@ -19,12 +18,6 @@ from phasebeat.workspace import stored
 SEGMENT = "__segment"
 
 
-def segments_needed(df: DataFrame, index: str, limit: int = SEGMENT_ROWS) -> int | None:
-    """``None`` if no sequence can have more than ``limit`` rows, else the segment length."""
-    low, high = df.agg(F.min(index), F.max(index)).first()
-    return None if high is None or high - low < limit else limit
-
-
 def whole_part(column: str, by: int) -> Column:
     """Whole-number quotient rounded down, exact for every 64-bit integer."""
     return F.expr(f"({column} - pmod({column}, {by})) div {by}")
@@ -38,13 +31,14 @@ def scan(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     lags: dict[str, tuple[str, int]] | None = None,
-    segment_rows: int | None = None,
+    segment_rows: int | None = SEGMENT_ROWS,
 ) -> DataFrame:
     """Add ordered columns to ``df``.
 
     ``sums``: running total up to and including the row (nulls count as zero).
     ``lasts``: last non-null value strictly before the row, null if there is none.
     ``lags``: ``(column, 1 or 2)``, the value that many rows back, null if there is none.
+    ``segment_rows=None`` scans each sequence in one task, for keys that are known to be short.
     """
     sums, lasts, lags = sums or {}, lasts or {}, lags or {}
     if segment_rows is None:

@@ -21,7 +21,6 @@ from phasebeat.functions.lasso import fit_points
 from phasebeat.operators.ordered import whole_part
 from phasebeat.workspace import store
 
-CHAIN_ROWS = 1 << 16
 SEGMENT = ["cluster", "phase_id", "segment"]
 COEFFICIENTS = [f"{r}_{c}" for r in RESOURCES for c in ("w_prev2", "w_prev1", "intercept")]
 STARTS = [f"start_{c}" for c in COEFFICIENTS]
@@ -85,12 +84,13 @@ def _fold(rows: DataFrame, settings: Settings) -> DataFrame:
 
 
 def replayed_lasso(
-    full: DataFrame, settings: Settings, previous: DataFrame | None = None, chain_rows: int = CHAIN_ROWS
+    full: DataFrame, settings: Settings, previous: DataFrame | None = None, chain_rows: int | None = None
 ) -> DataFrame:
     """Coefficients per (cluster, phase, version) of the replayed chain.
 
     A chain goes on from the ``previous`` model of its phase, if there is one.
     """
+    chain_rows = chain_rows or settings.chain_rows
     segment = whole_part("(version - 1)", chain_rows).alias("segment")
     rows = store(full.select("*", segment), "chains")
     if previous is None:
@@ -100,10 +100,6 @@ def replayed_lasso(
         following = whole_part("version", chain_rows).alias("segment")
         first = rows.join(previous.select("cluster", "phase_id", following, *old), SEGMENT, "left")
     keep = ["cluster", "phase_id", "version", *COEFFICIENTS]
-    longest = rows.agg(F.max("segment") - F.min("segment")).first()[0]
-    if not longest:
-        return _fold(first, settings).select(*keep)
-
     present = rows.select(*SEGMENT).distinct()
     result = store(_fold(first, settings), "models")
     used = None

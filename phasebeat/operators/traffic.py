@@ -32,6 +32,7 @@ def process_tree(processes: DataFrame, main: Column, key: str = "host") -> DataF
     """The main process of each host and all its descendants.
 
     Each round doubles the number of generations looked back, so a tree of depth ``d`` takes ``log2(d)`` rounds.
+    Processes whose ancestors form a circle, as reused pids can make them, have no main process.
     Every round is written out: its plan would otherwise contain the one before twice.
     """
     up = F.when(F.col("ppid") != F.col("pid"), F.col("ppid"))
@@ -39,11 +40,15 @@ def process_tree(processes: DataFrame, main: Column, key: str = "host") -> DataF
     state = processes.select(
         key, "pid", F.when(~watched, up).alias("up"), watched.alias("is_main"), watched.alias("watched")
     )
-    for _ in range(64):
+    before = None
+    while True:
         state = store(state, "processes")
         open_ = state.where(F.col("up").isNotNull())
-        if open_.isEmpty():
+        now = open_.count()
+        # Each round settles the ends of every open chain; what is left when none settles runs in circles.
+        if not now or now == before:
             break
+        before = now
         parent = state.select(key, F.col("pid").alias("up"), F.col("up").alias("next"), F.col("watched").alias("by"))
         reached = F.coalesce("by", F.lit(False))
         looked = open_.join(parent, [key, "up"], "left").select(

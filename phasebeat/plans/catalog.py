@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,18 +12,21 @@ from pyspark.sql import functions as F
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import text
 from phasebeat.operators import anomaly, compare, models, phases, reports, runs, ticks, traffic
-from phasebeat.operators.ordered import segments_needed, whole_part
+from phasebeat.operators.ordered import whole_part
 from phasebeat.plans import datasets as data
 from phasebeat.plans.online import Saved, visited, watch, watch_ticks
-from phasebeat.schema import SAMPLES, TIMED_SAMPLES
+from phasebeat.schema import PROCESS, SAMPLES, TIMED_SAMPLES, WORKER_LOG
 from phasebeat.sources import samples as src
 from phasebeat.sources import tables
 from phasebeat.streaming import live
 from phasebeat.workspace import new_dir, store
 
+# Segments far shorter than the default, so that small tables take the steps of large ones.
+CUT = 512
+SHORT = Settings(segment_rows=CUT, chain_rows=64)
 # Without replay unless a query is about it.
-PAIRS = Settings(replay=0)
-DENSE = Settings(stride=1, replay=0)
+PAIRS = replace(SHORT, replay=0)
+DENSE = replace(SHORT, stride=1, replay=0)
 TAGS = ["host", "experiment_name"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,14 +131,8 @@ def recorded(spark: SparkSession, sf: str, per_tick: int = data.TICK_EVENTS) ->
     return store(data.samples(spark, sf, per_tick=per_tick), "samples"), data.workers(spark, sf)
 
 
-def cut_of(samples: DataFrame) -> int | None:
-    return segments_needed(samples, "tick")
-
-
-def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, int | None]:
-    samples, expected = recorded(spark, sf)
-    cut = cut_of(samples)
-    return ticks.cluster_ticks(samples, expected, segment_rows=cut), cut
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    return ticks.cluster_ticks(*recorded(spark, sf), segment_rows=CUT)
 
 
 @query
@@ -145,14 +143,14 @@ def parse_resource_lines(spark, sf):
 @query
 def locf_resources(spark, sf):
     samples, expected = recorded(spark, sf)
-    filled = ticks.fill_forward(ticks.parse_resources(ticks.with_silent_workers(samples, expected)), cut_of(samples))
+    filled = ticks.fill_forward(ticks.parse_resources(ticks.with_silent_workers(samples, expected)), CUT)
     return filled.select("cluster", "worker", "tick", *RESOURCES)
 
 
 @query
 def cluster_mean_fixed_divisor(spark, sf):
     samples, expected = recorded(spark, sf)
-    filled = ticks.fill_forward(ticks.parse_resources(samples), cut_of(samples))
+    filled = ticks.fill_forward(ticks.parse_resources(samples), CUT)
     return rounded(ticks.cluster_means(filled, expected), *RESOURCES)
 
 
@@ -174,8 +172,7 @@ def latest_sample(spark, sf):
 
 @query
 def triplets(spark, sf):
-    rows, cut = snapshots(spark, sf)
-    found = ticks.triplets(rows, Settings(), cut)
+    found = ticks.triplets(snapshots(spark, sf), Settings(), CUT)
     values = [f"{r}{s}" for r in RESOURCES for s in ("_prev2", "_prev1", "")]
     return rounded(
         found.select("cluster", "tick", "tick_no", *values, joined("funcs_prev1"), joined("funcs")), *values
@@ -183,10 +180,8 @@ def triplets(spark, sf):
 
 
 def named(spark: SparkSession, sf: str, settings: Settings) -> DataFrame:
-    samples, expected = recorded(spark, sf)
-    cut = cut_of(samples)
-    rows = ticks.cluster_ticks(samples, expected, settings, cut)
-    return phases.phased(ticks.triplets(rows, settings, cut), settings)
+    rows = ticks.cluster_ticks(*recorded(spark, sf), settings, CUT)
+    return phases.phased(ticks.triplets(rows, settings, CUT), settings)
 
 
 @query
@@ -216,14 +211,14 @@ def phase_visits(spark, sf):
 @query
 def phase_visits_v1(spark, sf):
     """Visits of the first variant: malformed snapshots break pairs, training takes a visit of its own."""
-    return numbered(spark, sf, Settings(variant="v1"))[0].select(VISIT)
+    return numbered(spark, sf, replace(SHORT, variant="v1"))[0].select(VISIT)
 
 
 @query
 def idle_and_first_tick_guards(spark, sf):
     """Profiles that are stored, in both variants, and which of them is the first of its phase."""
     parts = []
-    for settings in (DENSE, Settings(variant="v1", stride=1)):
+    for settings in (DENSE, replace(SHORT, variant="v1", stride=1)):
         rows, _ = numbered(spark, sf, settings)
         stored = rows.where("counts").select("cluster", "tick_no", "phase_id", (F.col("prior") == 0).alias("first"))
         parts.append(stored.withColumn("variant", F.lit(settings.variant)))
@@ -235,7 +230,7 @@ def idle_and_first_tick_guards(spark, sf):
 
 @query
 def predict_simple(spark, sf):
-    settings = Settings(algo="simple")
+    settings = replace(SHORT, algo="simple")
     rows, _ = numbered(spark, sf, settings)
     return predicted(models.predict(rows, models.train(rows, settings), settings))
 
@@ -265,7 +260,7 @@ def lasso_models(spark, sf):
 
 @query
 def lasso_replay(spark, sf):
-    return fitted(spark, sf, Settings(stride=1, replay=5))
+    return fitted(spark, sf, replace(SHORT, stride=1, replay=5))
 
 
 def forecast(spark: SparkSession, sf: str, settings: Settings) -> DataFrame:
@@ -278,7 +273,7 @@ def lasso_predict(spark, sf):
     return predicted(forecast(spark, sf, DENSE))
 
 
-AGG = Settings(variant="v1", algo="agg", stride=1, replay=0)
+AGG = replace(DENSE, variant="v1", algo="agg")
 
 
 @query
@@ -298,7 +293,7 @@ def algo_choice(spark, sf):
     rows, _ = numbered(spark, sf, AGG)
     parts = []
     for algo in ("simple", "lasso", "agg"):
-        settings = Settings(variant="v1", algo=algo, stride=1, replay=0)
+        settings = replace(DENSE, variant="v1", algo=algo)
         made = predicted(models.predict(rows, models.train(rows, settings), settings))
         parts.append(made.withColumn("algo", F.lit(algo)))
     return reduce(DataFrame.unionByName, parts)
@@ -365,46 +360,42 @@ def process_samples(spark, sf):
     return rows.select("cluster", "worker", "tick", pid.alias("pid"), text.live_resource_line(pid, F.col("line")).alias("line"))
 
 
-def process_cut(rows: DataFrame) -> int | None:
-    return segments_needed(rows, "tick")
-
-
 @query
 def workload_change_log(spark, sf):
     rows = store(data.process_samples(spark, sf), "process_samples")
-    return runs.workload_changes(rows, process_cut(rows)).select("cluster", "worker", "tick", "pid")
+    return runs.workload_changes(rows, CUT).select("cluster", "worker", "tick", "pid")
 
 
 @query
 def run_sample_no(spark, sf):
     rows = store(data.process_samples(spark, sf), "process_samples")
-    return runs.sample_numbers(rows, process_cut(rows)).select("cluster", "worker", "tick", "pid", "sample_no")
+    return runs.sample_numbers(rows, CUT).select("cluster", "worker", "tick", "pid", "sample_no")
 
 
 @query
 def workload_log_scan(spark, sf):
-    """The change log written as ``timestamp,pid`` lines and read back."""
+    """The change log of all workers written as lines and read back."""
     rows = store(data.process_samples(spark, sf), "process_samples")
-    log = runs.workload_changes(rows, process_cut(rows))
+    log = runs.workload_changes(rows, CUT)
     path = new_dir(spark, "workloads")
-    log.select((F.col("tick") * 3600).alias("ts"), "pid").write.csv(path)
-    return src.read_workload_log(spark, path)
+    log.select("cluster", "worker", (F.col("tick") * 3600).alias("ts"), "pid").write.csv(path)
+    return src.read_workload_log(spark, path, WORKER_LOG)
 
 
 @query
 def resource_history(spark, sf):
-    """Numbered samples appended to a folder per pid and read back."""
+    """Numbered samples appended to the history of their process and read back."""
     rows = store(data.process_samples(spark, sf), "process_samples")
-    found = runs.sample_numbers(rows, process_cut(rows)).where(F.col("pid").isNotNull())
+    found = runs.sample_numbers(rows, CUT).where(F.col("pid").isNotNull())
     dead = F.col("line").contains(text.HEADER_WORD)
     lines = found.select(
-        "pid",
+        *PROCESS,
         F.when(dead, F.lit(0)).otherwise(F.col("sample_no")).alias("count"),
         text.live_resource_line(F.col("pid"), F.col("line")).alias("resource_data"),
     )
     path = new_dir(spark, "history")
     tables.append_history(lines, path)
-    return src.read_resource_history(spark, path).select(F.col("pid").cast("long").alias("pid"), "count", "cpu", "mem")
+    return src.read_resource_history(spark, path)
 
 
 @query
@@ -420,7 +411,7 @@ def traffic_log_scan(spark, sf):
     tables.append_lines(data.traffic_lines(spark, sf), path, ["host"])
     lines = src.read_lines(spark, path)
     lines = lines.select(F.regexp_extract("path", "host=([^/]+)/", 1).alias("host"), "line_no", "line")
-    chunks = traffic.chunked(lines, ["host"], segments_needed(lines, "line_no"))
+    chunks = traffic.chunked(lines, ["host"], CUT)
     others = F.count(F.when(F.col("line") != traffic.REFRESH, 1))
     return chunks.groupBy("host", "chunk").agg(others.alias("lines"))
 
@@ -428,7 +419,7 @@ def traffic_log_scan(spark, sf):
 def traffic_usage(spark: SparkSession, sf: str, exact: bool) -> DataFrame:
     watched = traffic.process_tree(data.processes(spark, sf), data.main_process())
     lines = data.traffic_lines(spark, sf)
-    chunks = traffic.chunked(lines, ["host"], segments_needed(lines, "line_no"))
+    chunks = traffic.chunked(lines, ["host"], CUT)
     found = traffic.usage_by_chunk(chunks, watched, ["host", "chunk"], exact=exact)
     return rounded(found, "upload", "download", "cpu", "mem")
 
@@ -503,7 +494,7 @@ ALGOS = ["F", "O", "P"]
 
 def repeats(spark: SparkSession, sf: str) -> DataFrame:
     lines = data.stats_lines(spark, sf)
-    return compare.parse_stats(lines, STATS, (data.FAILED_RUN,), segments_needed(lines, "line_no"))
+    return compare.parse_stats(lines, STATS, (data.FAILED_RUN,), CUT)
 
 
 @query
@@ -520,7 +511,7 @@ def stats_file_scan(spark, sf):
     tables.append_lines(lines, path, keys)
     found = [F.regexp_extract("path", f"{k}=([^/]+)/", 1).alias(k) for k in keys]
     lines = src.read_lines(spark, path).select(*found, "line_no", "line")
-    repeats_ = compare.parse_stats(lines, STATS, (data.FAILED_RUN,), segments_needed(lines, "line_no"), tuple(keys))
+    repeats_ = compare.parse_stats(lines, STATS, (data.FAILED_RUN,), CUT, tuple(keys))
     return rounded(repeats_.withColumn("part", F.col("part").cast("long")), *STATS)
 
 
@@ -532,8 +523,7 @@ def compare_workloads(spark, sf):
 
 @query
 def equal_repeats(spark, sf):
-    found = compare.unequal_repeats(repeats(spark, sf))
-    return found
+    return compare.unequal_repeats(repeats(spark, sf), compare.named_workloads(data.stats_lines(spark, sf)))
 
 
 @query
@@ -572,7 +562,7 @@ def predictions_points(spark, sf):
 @query
 def accuracy_points(spark, sf):
     """Accuracy of the first variant: the first tick has none."""
-    settings = Settings(variant="v1", algo="simple", stride=1)
+    settings = replace(SHORT, variant="v1", algo="simple", stride=1)
     time = F.expr(f"timestampadd(SECOND, tick, TIMESTAMP_NTZ '{data.ORIGIN} 00:00:00')")
     rows = scores(spark, sf, settings).withColumns(
         {"time": time, "host": F.concat(F.lit("runner-"), "cluster"), "experiment_name": F.lit("hourly")}
@@ -626,7 +616,7 @@ def phase_db_roundtrip(spark, sf):
 def resumed_watch(spark, sf):
     """A run that stops halfway, saves its phases, and a second one that goes on from them."""
     samples, expected = recorded(spark, sf)
-    rows = store(ticks.cluster_ticks(samples, expected, DENSE, cut_of(samples)), "ticks")
+    rows = store(ticks.cluster_ticks(samples, expected, DENSE, CUT), "ticks")
     root = new_dir(spark, "phases")
     half = data.middle(rows)
     watch_ticks(rows.where(F.col("tick") < half), DENSE).state().save(root, 1)
@@ -666,7 +656,7 @@ def report_lines(spark, sf):
 @query
 def paired_accuracy(spark, sf):
     """Accuracy of actual and predicted values that are stored apart."""
-    rows = forecast(spark, sf, Settings(algo="simple"))
+    rows = forecast(spark, sf, replace(SHORT, algo="simple"))
     keys = ["cluster", "tick_no"]
     actual = store(rows.select(*keys, *RESOURCES), "actual")
     made = store(rows.select(*keys, *[f"predicted_{r}" for r in RESOURCES]), "made")
@@ -695,12 +685,15 @@ def timed_samples(samples: DataFrame) -> DataFrame:
 
 @query
 def stream_window_mean(spark, sf):
-    """Five-minute means of a stream of points; windows that the watermark has passed."""
+    """Five-minute means of a stream of points, to the end of the input."""
     source, path, check = (new_dir(spark, n) for n in ("points", "means", "check"))
     points = data.points(spark, sf).withColumn("time", F.col("time").cast("timestamp")).drop("event_id")
     points.write.parquet(source)
     stream = spark.readStream.schema(points.schema).parquet(source)
-    live.run_available(live.window_mean_stream(stream, "value", ["measurement", "host"]), path, check)
+    means = live.window_mean_stream(stream, "value", ["measurement", "host"])
+    live.run_available(means, path, check)
+    live.end_marker(points, "time", "10 minutes").write.mode("append").parquet(source)
+    live.run_available(means, path, check)
     rows = spark.read.parquet(path)
     return rows.select("measurement", "host", stamp("window_start").alias("window_start"), r6("mean").alias("mean"))
 
@@ -714,7 +707,10 @@ def watched_stream(spark: SparkSession, sf: str, halves: bool) -> DataFrame:
         timed_samples(samples.where(part)).write.mode("append").json(source)
         stream = src.stream_samples(spark, source, TIMED_SAMPLES)
         arrived = live.tick_stream(stream, expected, "1 second", "0 seconds")
-        live.run_available(live.watch_stream(arrived, DENSE), path, check)
+        watched = live.watch_stream(arrived, DENSE)
+        live.run_available(watched, path, check)
+    live.end_marker(timed_samples(samples), "ts", "10 seconds").write.mode("append").json(source)
+    live.run_available(watched, path, check)
     rows = spark.read.parquet(path)
     rows = rows.select(
         "cluster", "tick_no", stamp("tick").alias("tick"), "phase_id", "idle", "seen", "version",
@@ -730,7 +726,7 @@ def stream_anomaly(spark, sf):
 
 @query
 def stream_restart(spark, sf):
-    """The second half arrives after a stop; phases, models and confidence come back from the checkpoint."""
+    """The second half arrives after a stop; phases and models come back from the checkpoint, confidence starts anew."""
     return watched_stream(spark, sf, halves=True)
 
 
@@ -741,7 +737,10 @@ def stream_points(spark, sf):
     source, root, check = (new_dir(spark, n) for n in ("live", "points", "check"))
     timed_samples(samples).write.json(source)
     arrived = live.tick_stream(src.stream_samples(spark, source, TIMED_SAMPLES), expected, "1 second", "0 seconds")
-    live.publish(live.watch_stream(arrived, DENSE), root, check, "runner-live", "hourly")
+    watched = live.watch_stream(arrived, DENSE)
+    live.publish(watched, root, check, "runner-live", "hourly")
+    live.end_marker(timed_samples(samples), "ts", "10 seconds").write.mode("append").json(source)
+    live.publish(watched, root, check, "runner-live", "hourly")
     rows = tables.read_points(spark, root, "predictions", "runner-live", "hourly")
     fields = ("actual_cpu", "actual_mem", "predicted_cpu", "predicted_mem")
     return rounded(rows.select(stamp("time").alias("time"), *TAGS, *fields), *fields)
@@ -749,12 +748,12 @@ def stream_points(spark, sf):
 
 @query
 def stream_chunks(spark, sf):
-    """Traffic logs arriving as one text file per host, each with whole chunks, read as a stream."""
+    """Traffic logs that arrive as two text files per host, the first of which ends within a chunk."""
     source, path, check = (new_dir(spark, n) for n in ("traffic", "chunks", "check"))
-    tables.append_lines(data.traffic_lines(spark, sf), source, ["host"])
-    stream = src.stream_logs(spark, source)
-    host = F.regexp_extract("path", "host=([^/]+)/", 1).alias("host")
-    chunks = stream.select(host, F.posexplode(text.closed_chunks(F.col("value"))).alias("chunk", "lines"))
-    sizes = chunks.select("host", "chunk", F.size(F.filter(F.split("lines", "\n"), lambda s: s != "")).alias("lines"))
-    live.run_available(sizes, path, check)
+    log = F.regexp_extract("path", "host=([^/]+)/", 1).alias("log")
+    for piece in ("line_no < 255", "line_no >= 255"):
+        tables.append_lines(data.traffic_lines(spark, sf).where(piece), source, ["host"])
+        chunks = live.chunk_stream(src.stream_logs(spark, source).select(log, "written", "value"))
+        sizes = chunks.select(F.col("log").alias("host"), "chunk", F.size(F.filter(F.split("lines", "\n"), lambda s: s != "")).alias("lines"))
+        live.run_available(sizes, path, check)
     return spark.read.parquet(path)

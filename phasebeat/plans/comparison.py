@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phasebeat.config import SEGMENT_ROWS
 from phasebeat.operators import compare
-from phasebeat.operators.ordered import segments_needed
 from phasebeat.sources.samples import read_lines
 from phasebeat.workspace import store
 
@@ -22,9 +22,9 @@ def compare_files(
     """
     logs = [read_lines(spark, path).withColumn("algo", F.lit(algo)) for algo, path in files.items()]
     lines = store(reduce(DataFrame.unionByName, logs).select("algo", "line_no", "line"), "stats_lines")
-    cut = segments_needed(lines, "line_no")
-    repeats = store(compare.parse_stats(lines, stats, failures, cut), "repeats")
-    uneven = [r["algo"] for r in compare.unequal_repeats(repeats).limit(10).collect()]
+    repeats = store(compare.parse_stats(lines, stats, failures, SEGMENT_ROWS), "repeats")
+    # At most one row per file that was given.
+    uneven = sorted(r["algo"] for r in compare.unequal_repeats(repeats, compare.named_workloads(lines)).collect())
     if uneven:
         raise ValueError(f"workloads differ in their number of repeats: {', '.join(uneven)}")
     means = compare.workload_means(repeats, stats)

@@ -201,18 +201,21 @@ def traffic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics files of three algorithms: five lines per order, some runs failed."""
+    """Statistics files of three algorithms: five lines per order, some runs failed, all of one workload among them."""
     order = F.col("o_orderkey")
-    name = F.substring_index("o_orderpriority", "-", -1)
+    broken = order % 41 == 0
+    name = F.when(broken, F.lit("broken")).otherwise(F.substring_index("o_orderpriority", "-", -1))
     cpu, mem = F.col("o_totalprice") % 100, F.col("o_custkey") % 100
     lines = F.array(
         F.regexp_replace(name, " ", "_"),
         F.when(order % 31 == 0, F.lit("run failure")).otherwise(F.lit("")),
         F.lit("### Accuracy Rates ###"),
-        F.when(order % 37 == 0, F.lit("no value")).otherwise(
+        F.when(broken | (order % 37 == 0), F.lit("no value")).otherwise(
             F.concat(F.lit("CPU Prediction Accuracy: "), cpu.cast("decimal(18,3)").cast("string"))
         ),
-        F.concat(F.lit("MEM Prediction Accuracy: "), mem.cast("decimal(18,3)").cast("string")),
+        F.when(broken, F.lit("")).otherwise(
+            F.concat(F.lit("MEM Prediction Accuracy: "), mem.cast("decimal(18,3)").cast("string"))
+        ),
     )
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_orderstatus").alias("algo"), order.alias("o"), F.posexplode(lines).alias("i", "line")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import Settings
 from phasebeat.operators import anomaly, models, phases, ticks
-from phasebeat.operators.ordered import segments_needed
 from phasebeat.sources import tables
 from phasebeat.workspace import store, stored
 
@@ -72,7 +71,7 @@ def visited(
 def _snapshots(
     samples: DataFrame, expected: DataFrame, settings: Settings, empty_function: bool
 ) -> tuple[DataFrame, int | None]:
-    cut = segments_needed(samples, "tick", settings.segment_rows)
+    cut = settings.segment_rows
     return store(ticks.cluster_ticks(samples, expected, settings, cut, empty_function), "ticks"), cut
 
 
@@ -109,7 +108,7 @@ def watch_ticks(
 ) -> Watch:
     """The same from cluster snapshots on."""
     snapshots = stored(snapshots, "ticks")
-    cut = segments_needed(snapshots, "tick", settings.segment_rows)
+    cut = settings.segment_rows
     named, numbered = _visited(snapshots, settings, cut, before)
     trained = models.train(numbered, settings, before.pending if before else None, before.models if before else None)
     predictions = models.predict(numbered, trained, settings)

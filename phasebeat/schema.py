@@ -13,3 +13,6 @@ SAMPLES = _struct(cluster=_S, worker=_S, tick=_L, resource_data=_S, threaddump_d
 TIMED_SAMPLES = _struct(cluster=_S, worker=_S, ts=_TS, resource_data=_S, threaddump_data=T.ArrayType(_S))
 WORKERS = _struct(cluster=_S, worker=_S)
 WORKLOAD_LOG = _struct(ts=_L, pid=_L)
+# The same over many workers, and what names a process there.
+WORKER_LOG = _struct(cluster=_S, worker=_S, ts=_L, pid=_L)
+PROCESS = ("cluster", "worker", "pid")

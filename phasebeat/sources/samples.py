@@ -28,22 +28,23 @@ def read_dumps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_logs(spark: SparkSession, path: str) -> DataFrame:
-    """Log files as they arrive, each whole and with whole chunks: ``(path, value)``."""
+    """Pieces of logs as they arrive, each file whole: ``(path, written, value)``."""
     stream = spark.readStream.schema("value string").text(path, wholetext=True)
-    return stream.select(F.col("_metadata.file_path").alias("path"), "value")
+    written = F.col("_metadata.file_modification_time").alias("written")
+    return stream.select(F.col("_metadata.file_path").alias("path"), written, "value")
 
 
 def read_resource_history(spark: SparkSession, path: str) -> DataFrame:
-    """``count,cpu,mem`` lines in folders ``pid=<pid>``; a line without a number gives null there."""
-    lines = spark.read.text(path)
+    """``cluster,worker,pid,count,cpu,mem`` lines; one without a number has null there."""
     fields = F.split("value", ",", -1)
-    columns = [text.to_number(F.get(fields, F.lit(i))).alias(n) for i, n in enumerate(("count", "cpu", "mem"))]
-    keys = [c for c in lines.columns if c != "value"]
-    return lines.select(*keys, *columns).withColumn("count", F.col("count").cast("long"))
+    named = [F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(schema.PROCESS)]
+    numbers = [text.to_number(F.get(fields, F.lit(i))).alias(n) for i, n in enumerate(("count", "cpu", "mem"), len(named))]
+    rows = spark.read.text(path).select(*named, *numbers)
+    return rows.withColumns({"pid": F.col("pid").cast("long"), "count": F.col("count").cast("long")})
 
 
-def read_workload_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schema.WORKLOAD_LOG).csv(path)
+def read_workload_log(spark: SparkSession, path: str, log_schema: T.StructType = schema.WORKLOAD_LOG) -> DataFrame:
+    return spark.read.schema(log_schema).csv(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from phasebeat.config import RESOURCES
 from phasebeat.functions.text import places
 from phasebeat.operators.reports import HOST_PREFIX, local_time, tagged
+from phasebeat.schema import PROCESS
 
 # Lines of statistics files and printed reports.
 STATS_HEADING = "### Accuracy Rates ###"
@@ -20,6 +21,9 @@ ANOMALY_LINE = "Anomaly Detected"
 ACCURACY_PLACES = 3
 REPORT_PLACES = 5
 
+# Processes of all workers share so many history folders.
+HISTORY_FOLDERS = 64
+
 TAG_COLUMNS = ("time", "host", "experiment_name")
 
 
@@ -91,13 +95,15 @@ def save_phases(root: str, version: int, **tables: DataFrame) -> None:
         table.write.parquet(f"{root}/version={version}/{name}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+
 def load_phases(spark: SparkSession, root: str, version: int, name: str) -> DataFrame | None:
     """A saved phase table, ``None`` if nothing was saved."""
     path = f"{root}/version={version}/{name}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return None
-    return spark.read.parquet(path)
+    return spark.read.parquet(path) if exists(spark, path) else None
 
 
 def accuracy_lines(run_accuracy: DataFrame, by: list[str], variant: str = "v2", anomaly: bool = False) -> DataFrame:
@@ -151,7 +157,9 @@ def report_lines(report: DataFrame, zone: str = "UTC") -> DataFrame:
     return report.withColumn("line", line)
 
 
-def append_history(samples: DataFrame, path: str) -> None:
-    """Append ``count,cpu,mem`` lines to a folder per pid."""
-    line = F.concat_ws(",", "count", "resource_data")
-    samples.select("pid", line.alias("value")).write.mode("append").partitionBy("pid").text(path)
+def append_history(samples: DataFrame, path: str, folders: int = HISTORY_FOLDERS) -> None:
+    """Append ``cluster,worker,pid,count,cpu,mem`` lines; a process always has the same of a fixed number of folders."""
+    line = F.concat_ws(",", *PROCESS, "count", "resource_data")
+    folder = F.pmod(F.xxhash64(*PROCESS), F.lit(folders)).alias("folder")
+    rows = samples.select(folder, line.alias("value")).repartition("folder")
+    rows.write.mode("append").partitionBy("folder").text(path)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from phasebeat.config import RESOURCES, Settings
@@ -19,6 +22,7 @@ from phasebeat.functions.lasso import fit_points
 from phasebeat.functions.phases import ARROW
 from phasebeat.operators.replay import synthetic_points
 from phasebeat.operators.ticks import expected_by_cluster
+from phasebeat.operators.traffic import REFRESH
 from phasebeat.sources import tables
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,6 +43,23 @@ def window_mean_stream(
     return means.select(*by, F.col("w.start").alias("window_start"), "mean")
 
 
+def end_marker(rows: DataFrame, time: str, after: str) -> DataFrame:
+    """One row with nothing but a time ``after`` the last one of ``rows``.
+
+    Added to an input that has ended, it moves the watermark past the last interval, which is then evaluated like
+    any other.  Its texts are empty (a null key would be filtered out before the watermark sees it) and
+    its numbers null, so it belongs to no result.
+    """
+    last = rows.agg(F.max(time).alias(time)).select((F.col(time) + F.expr(f"INTERVAL {after}")).alias(time))
+
+    def value(name: str, kind: T.DataType) -> Column:
+        if name == time:
+            return F.col(name)
+        return (F.lit("") if isinstance(kind, T.StringType) else F.lit(None).cast(kind)).alias(name)
+
+    return last.select(*[value(f.name, f.dataType) for f in rows.schema])
+
+
 def tick_stream(
     samples: DataFrame, expected: DataFrame, interval: str = "2 seconds", delay: str = "2 seconds"
 ) -> DataFrame:
@@ -91,16 +112,17 @@ class _Entries:
 class ClusterWatcher(StatefulProcessor):
     """Phase, prediction, training and confidence of one cluster, tick by tick."""
 
-    def __init__(self, settings: Settings, empty_function: bool = False):
+    def __init__(self, settings: Settings, empty_function: bool = False, keep_confidence: bool = False):
         if settings.variant != "v2":
             raise ValueError("the online form has the semantics of the second variant")
         self.settings, self.empty_function = settings, empty_function
+        self.start = None if keep_confidence else uuid.uuid4().hex
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState(
             "run",
             "snapshots long, cpu1 double, mem1 double, cpu2 double, mem2 double, functions array<string>, "
-            "confidence long, ticks long, error_cpu double, error_mem double",
+            "confidence long, ticks long, error_cpu double, error_mem double, start string",
         )
         self.last_state = handle.getMapState("last", "worker string", "cpu double, mem double")
         self.phase_state = handle.getMapState(
@@ -111,7 +133,9 @@ class ClusterWatcher(StatefulProcessor):
         cluster = key[0]
         ticks = pd.concat(list(rows)).sort_values("tick")
         self.last, self.phases = _Entries(self.last_state), _Entries(self.phase_state)
-        run = list(self.run.get()) if self.run.exists() else [0, 0.0, 0.0, 0.0, 0.0, [], 0, 0, 0.0, 0.0]
+        run = list(self.run.get()) if self.run.exists() else [0, 0.0, 0.0, 0.0, 0.0, [], 0, 0, 0.0, 0.0, None]
+        if self.start and run[10] != self.start:  # a new start of the analysis
+            run[6], run[10] = 0, self.start
         out = []
         for tick in ticks.itertuples(index=False):
             cpu, mem, functions = self._snapshot(tick)
@@ -202,29 +226,60 @@ class ClusterWatcher(StatefulProcessor):
         return fitted
 
 
-def watch_stream(ticks: DataFrame, settings: Settings = Settings(), empty_function: bool = False) -> DataFrame:
+def watch_stream(
+    ticks: DataFrame, settings: Settings = Settings(), empty_function: bool = False, keep_confidence: bool = False
+) -> DataFrame:
     """Evaluated ticks of a stream of cluster ticks.
 
+    Each call is a new start: phases and models go on from the checkpoint, the confidence begins at zero unless it is kept.
     Input is aggregated already, one row per cluster and interval, so even a cluster that
     sends a third of all samples is a thin sequence here.
     """
     return ticks.groupBy("cluster").transformWithStateInPandas(
-        statefulProcessor=ClusterWatcher(settings, empty_function),
+        statefulProcessor=ClusterWatcher(settings, empty_function, keep_confidence),
         outputStructType=RESULT_SCHEMA,
         outputMode="append",
         timeMode="none",
     )
 
 
+class ChunkCarrier(StatefulProcessor):
+    """Closed chunks of one log; the text after the last mark waits for the next piece."""
+
+    def __init__(self, mark: str):
+        self.mark = re.compile(rf"^{re.escape(mark)}\n", re.MULTILINE)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "chunks long, tail string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks, tail = self.open.get() if self.open.exists() else (0, "")
+        pieces = pd.concat(list(rows)).sort_values("written")
+        for piece in pieces["value"]:
+            *closed, tail = self.mark.split(tail + piece)
+            if closed:
+                yield pd.DataFrame({"log": key[0], "chunk": range(chunks, chunks + len(closed)), "lines": closed})
+            chunks += len(closed)
+        self.open.update((chunks, tail))
+
+
+def chunk_stream(pieces: DataFrame, mark: str = REFRESH) -> DataFrame:
+    """``log, chunk, lines`` of pieces ``log, written, value``; a chunk may span any number of pieces and triggers."""
+    return pieces.groupBy("log").transformWithStateInPandas(
+        statefulProcessor=ChunkCarrier(mark), outputStructType="log string, chunk long, lines string", outputMode="append", timeMode="none"
+    )
+
+
 @contextmanager
-def state_store(spark: SparkSession):
-    """Settings of keyed state while a query is started: its store, and no more partitions than cores."""
-    cores = spark.sparkContext.defaultParallelism
-    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(cores, 1))
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.shuffle.partitions": str(partitions),
-    }
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """Settings of keyed state while a query is started: its store and its number of partitions.
+
+    The first start fixes that number for the life of a checkpoint, so it is an argument and not taken from the cores there are;
+    without it the session's number of shuffle partitions holds.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    if partitions is not None:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {name: spark.conf.get(name) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
@@ -242,6 +297,7 @@ def publish(
     host: str,
     experiment: str,
     stop_on_alert: bool = False,
+    partitions: int | None = None,
     **trigger,
 ) -> bool:
     """Write prediction and accuracy points of a watched stream; true if an alert was seen.
@@ -264,7 +320,7 @@ def publish(
             alerted.append(number)
         batch.unpersist()
 
-    with state_store(stream.sparkSession):
+    with state_store(stream.sparkSession, partitions):
         query = (
             stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)
@@ -277,9 +333,11 @@ def publish(
     return bool(alerted)
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def run_available(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None
+) -> None:
     """Process what has arrived, appending to a parquet folder, and stop."""
-    with state_store(stream.sparkSession):
+    with state_store(stream.sparkSession, partitions):
         query = (
             stream.writeStream.format("parquet")
             .outputMode(mode)
