@@ -1,5 +1,7 @@
 """Writing, reading back, and the streaming form."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 from test_watch import frames, polls_of
@@ -102,7 +104,9 @@ def test_stream_equals_batch(spark, data, settings, parts):
         arrived = timed(samples).where((F.col("tick") > low) & (F.col("tick") <= high)).drop("tick")
         arrived.orderBy(F.rand(part)).write.mode("append").json(source)
         stream = src.stream_samples(spark, source, TIMED_SAMPLES)
-        live.run_available(live.watch_stream(live.tick_stream(stream, expected, delay="0 seconds"), settings), path, check)
+        ticks = live.tick_stream(stream, expected, delay="0 seconds")
+        live.run_available(live.watch_stream(ticks, settings, keep_confidence=True), path, check, partitions=3)
+    assert len([p for p in Path(check, "state", "0").iterdir() if p.name.isdigit()]) == 3
     got = {(r.cluster, r.tick_no): r for r in spark.read.parquet(path).collect()}
     want = {(r.cluster, r.tick_no): r for r in watch(samples, expected, settings).scored.where(f"tick < {last}").collect()}
     assert got.keys() == want.keys() and len(got) > 40
