@@ -2,7 +2,7 @@
 
 Bytes, words and rows are balanced together.  Rows become at most a bounded number of placement units before
 anything is placed: small groups of equal texts are bundled by a hash, a group that is larger than a small part
-of a shard is a unit of its own, and one that is larger still is cut into pieces by a hash of the document id.  So the
+of a shard is a unit of its own, and one that is over half a shard is cut into pieces by a hash of the document id.  So the
 driver places the same number of units whatever the size of the corpus, and a group that holds a third of
 all rows is spread over shards.
 """
@@ -85,16 +85,18 @@ def shards(
 
     ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` and the columns in ``keep``.  Null texts count as
     empty, null ids are a value like any other, repeated rows each get their own slot, an empty table gives none.
-    Equal texts share a shard unless their group exceeds 1/``coarse`` of a shard in some load; then its rows are
-    dealt to as many units as it has such parts.  At most ``n_shards`` x (``fine`` + 6 x ``coarse``) units are placed.
+    Equal texts share a shard unless their group is over half a shard in some load; then its rows are dealt to pieces of
+    that size.  Groups over 1/``coarse`` of a shard are units of their own, others are bundled, so at most
+    ``n_shards`` x (``fine`` + 3 x ``coarse`` + 12) units are placed.
     """
     spark = docs.sparkSession
     rows = store(sizes(docs, keep), "sizes")
     loads = [F.sum("size").alias("size"), F.sum("words").alias("words"), F.count("*").alias("rows")]
     groups = rows.groupBy("same", "text_crc32").agg(*loads)
     total = rows.agg(*loads).first()
-    part = F.greatest(*[F.col(c) * (n_shards * coarse) / F.lit(max(total[c] or 0, 1)) for c in LOADS])
-    large = groups.withColumn("parts", F.ceil(part)).where("parts > 1").select("same", "text_crc32", "parts")
+    part = F.greatest(*[F.col(c) * n_shards / F.lit(max(total[c] or 0, 1)) for c in LOADS])  # of a shard
+    parts = F.when(part > 0.5, F.ceil(2 * part)).otherwise(1).cast("int").alias("parts")
+    large = groups.where(part * coarse > 1).select("same", "text_crc32", parts)
     small = bucket(F.col("same"), n_shards * fine, 1).cast("long")
     # Fewer than 3 x n_shards x coarse groups can be over that part in one of three loads.
     piece = F.xxhash64("same", "text_crc32", bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("parts"), 2))
