@@ -105,7 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, n_features: i
             ]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "at", "counts"])
 
-    rows = sample.mapInArrow(design, "toxic int, at array<long>, counts array<double>").orderBy("toxic", "at", "counts").collect()
+    rows = sample.mapInArrow(design, "toxic int, at array<long>, counts array<double>").collect()
+    rows = sorted(rows, key=lambda r: (r["toxic"], r["at"], r["counts"]))  # at most ``limit``, in the same order each time
     sizes = [len(r["at"]) for r in rows]
     row = np.repeat(np.arange(len(rows)), sizes)
     column = np.fromiter((x for r in rows for x in r["at"]), np.int64, sum(sizes))
