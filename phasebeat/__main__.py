@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import Settings
 from phasebeat.operators import reports
+from phasebeat.operators.anomaly import smape_accuracy
 from phasebeat.plans.comparison import compare_files
-from phasebeat.plans.online import watch
+from phasebeat.plans.online import Saved, watch
 from phasebeat.schema import WORKERS
 from phasebeat.sources import samples as src
 from phasebeat.sources import tables
@@ -29,6 +30,20 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--variant", default=Settings.variant)
     w.add_argument("--replay", type=int, default=5, help="synthetic points added to each later training")
     w.add_argument("--stop_at_first", action="store_true", help="drop the ticks after the first alert of a cluster")
+    w.add_argument("--empty_function", action="store_true", help="a silent worker counts as one with an empty function")
+    w.add_argument("--phases", help="folder of saved phases: the analysis goes on from the version before and saves its own")
+    w.add_argument("--version", type=int, default=1, help="version that is saved")
+    w.add_argument("--points", help="folder for prediction and accuracy points")
+    w.add_argument("--host", default="runner-recorded", help="host tag of the points")
+    w.add_argument("-name", "--experiment_name", default="default-experiment")
+    w.add_argument("--interval", type=float, default=2.0, help="seconds between two ticks, for the time of a point")
+    w.add_argument("--stats", help="folder for statistics lines, a folder per cluster")
+    w.add_argument("--workload", help="name of the workload in the statistics")
+    w.add_argument("--threshold", type=float, default=Settings.threshold, help="similarity below which the phase has changed")
+    w.add_argument("--stride", type=int, default=Settings.stride, help="snapshots per evaluation")
+    w.add_argument("--mape_limit", type=float, default=Settings.mape_limit)
+    w.add_argument("--cpu_floor", type=float, default=Settings.cpu_floor)
+    w.add_argument("--confidence_limit", type=int, default=Settings.confidence_limit)
 
     v = commands.add_parser("live", help="analyse samples as they arrive and publish metric points")
     v.add_argument("--samples", required=True, help="folder where JSON samples land: cluster, worker, ts, resource_data, threaddump_data")
@@ -63,14 +78,31 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
-    settings = Settings(algo=a.algo, variant=a.variant, replay=a.replay if a.algo == "lasso" else 0)
+    limits = {n: getattr(a, n) for n in ("threshold", "stride", "mape_limit", "cpu_floor", "confidence_limit")}
+    settings = Settings(algo=a.algo, variant=a.variant, replay=a.replay if a.algo == "lasso" else 0, **limits)
     samples = src.read_samples(spark, a.samples)
-    found = watch(samples, spark.read.schema(WORKERS).csv(a.workers), settings, stop_at_first=a.stop_at_first)
+    expected = spark.read.schema(WORKERS).csv(a.workers)
+    before = Saved.load(spark, a.phases, a.version - 1) if a.phases else None
+    found = watch(samples, expected, settings, a.stop_at_first, a.empty_function, before=before)
     found.scored.write.parquet(f"{a.out}/scored")
     found.ticks.write.parquet(f"{a.out}/ticks")
     found.phases.write.parquet(f"{a.out}/phases")
     if found.models is not None:
         found.models.write.parquet(f"{a.out}/models")
+    if a.phases:
+        found.state().save(a.phases, a.version)
+    scored = spark.read.parquet(f"{a.out}/scored")
+    if a.points:
+        time = F.timestamp_seconds(F.col("tick") * a.interval)
+        tagged = scored.withColumns({"time": time, "host": F.lit(a.host), "experiment_name": F.lit(a.experiment_name)})
+        suffix = settings.measurement_suffix
+        tables.write_points(tables.prediction_points(tagged), a.points, reports.PREDICTION_POINTS + suffix)
+        tables.write_points(tables.accuracy_points(tagged), a.points, reports.ACCURACY_POINTS + suffix)
+    if a.stats:
+        accuracy = smape_accuracy(scored, ["cluster"])
+        alerted = scored.groupBy("cluster").agg(F.max("alert").alias("alert"))
+        lines = tables.accuracy_lines(accuracy.join(alerted, "cluster"), ["cluster"], a.variant, F.col("alert"), a.workload)
+        tables.append_lines(lines, a.stats, ["cluster"])
 
 
 def run_live(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -90,7 +122,8 @@ def run_report(spark: SparkSession, a: argparse.Namespace) -> None:
 
     if a.all:
         names = (reports.RESOURCE_POINTS, reports.PREDICTION_POINTS, reports.ACCURACY_POINTS, *reports.LATENCY_POINTS)
-        rows = tables.report_lines(reports.full_report({n: points(n) for n in names}), a.zone)
+        there = {n: points(n) for n in names if tables.exists(spark, f"{a.points}/{n}")}
+        rows = tables.report_lines(reports.full_report(there), a.zone)
         show(rows, a.out, ["section", "metric", "window_start"])
         return
     if not a.operation or (not a.metric and a.operation != "freq"):

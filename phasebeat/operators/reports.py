@@ -117,30 +117,28 @@ def report(points: DataFrame, metric: str, op: str, by: list[str] = TAGS, window
 def full_report(points: dict[str, DataFrame], by: list[str] = TAGS, window: str = Settings.window) -> DataFrame:
     """All sections as ``(section, metric, window_start, value)`` per tag set.
 
-    ``points`` maps a measurement to its points, one column per field.  Each measurement is scanned
-    once.  Mean-of-means rows have a null window.
+    ``points`` maps a measurement to its points, one column per field; one that is not there is left out.  Each
+    measurement is scanned once.  Mean-of-means rows have a null window.
     """
-    usage = summary(points[RESOURCE_POINTS], RESOURCE_METRICS, by, window)
-    made = summary(points[PREDICTION_POINTS], PREDICTION_METRICS, by, window)
-    accuracy = summary(points[ACCURACY_POINTS], ACCURACY_METRICS, by, window)
     kind, averages = F.col("kind"), F.col("kind").isin("window", "mean")
-    section = F.when(averages, F.lit("average_resources")).when(kind != "count", kind)
+    counted = (kind == "count") & F.col("metric").isin(*COUNTED_METRICS)
+    sections = {
+        RESOURCE_POINTS: (RESOURCE_METRICS, F.when(averages, F.lit("average_resources")).when(kind != "count", kind)),
+        PREDICTION_POINTS: (PREDICTION_METRICS, F.when(averages, F.lit("average_predictions")).when(counted, F.lit("frequency"))),
+        ACCURACY_POINTS: (ACCURACY_METRICS, F.when(averages, F.lit("accuracy"))),
+    }
     parts = [
-        usage.withColumn("section", section),
-        made.withColumn(
-            "section",
-            F.when(averages, F.lit("average_predictions")).when(
-                (kind == "count") & F.col("metric").isin(*COUNTED_METRICS), F.lit("frequency")
-            ),
-        ),
-        accuracy.withColumn("section", F.when(averages, F.lit("accuracy"))),
+        summary(points[name], metrics, by, window).withColumn("section", section)
+        for name, (metrics, section) in sections.items()
+        if name in points
     ]
-    latency = reduce(
-        DataFrame.unionByName,
-        [points[name].select(*by, "time", "latency", F.lit(name).alias("step")) for name in LATENCY_POINTS],
-    )
-    latency = summary(latency, ("latency",), [*by, "step"], window).withColumn("metric", F.col("step")).drop("step")
-    parts.append(latency.withColumn("section", F.when(averages, F.lit("latency"))))
+    timed = [points[n].select(*by, "time", "latency", F.lit(n).alias("step")) for n in LATENCY_POINTS if n in points]
+    if timed:
+        latency = summary(reduce(DataFrame.unionByName, timed), ("latency",), [*by, "step"], window)
+        latency = latency.withColumn("metric", F.col("step")).drop("step")
+        parts.append(latency.withColumn("section", F.when(averages, F.lit("latency"))))
+    if not parts:
+        raise ValueError("no measurement of the report has points")
     rows = reduce(DataFrame.unionByName, parts).where(F.col("section").isNotNull())
     return rows.select(*by, "section", "metric", "window_start", "value")
 

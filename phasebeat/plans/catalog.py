@@ -23,7 +23,7 @@ from phasebeat.workspace import new_dir, store
 
 # Segments far shorter than the default, so that small tables take the steps of large ones.
 CUT = 512
-SHORT = Settings(segment_rows=CUT, chain_rows=64)
+SHORT = Settings(segment_rows=CUT, chain_rows=256)
 # Without replay unless a query is about it.
 PAIRS = replace(SHORT, replay=0)
 DENSE = replace(SHORT, stride=1, replay=0)

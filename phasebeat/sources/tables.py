@@ -6,7 +6,7 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES
@@ -106,15 +106,21 @@ def load_phases(spark: SparkSession, root: str, version: int, name: str) -> Data
     return spark.read.parquet(path) if exists(spark, path) else None
 
 
-def accuracy_lines(run_accuracy: DataFrame, by: list[str], variant: str = "v2", anomaly: bool = False) -> DataFrame:
-    """The block that a run appends to its statistics file, as numbered lines."""
-    lines = [F.lit(""), F.lit(STATS_HEADING)]
+def accuracy_lines(
+    run_accuracy: DataFrame, by: list[str], variant: str = "v2", anomaly: bool | Column = False, workload: str | None = None
+) -> DataFrame:
+    """The block that a run appends to its statistics file, as numbered lines, after the name of its workload if given.
+
+    The first variant adds a line where ``anomaly`` holds.
+    """
+    lines = [F.lit(x) for x in (*([workload] if workload else []), "", STATS_HEADING)]
     lines += [
         F.concat(F.lit(r.upper() + ACCURACY_LABEL), places(F.col(f"acc_{r}"), ACCURACY_PLACES)) for r in RESOURCES
     ]
-    if variant == "v1" and anomaly:
-        lines.append(F.lit(ANOMALY_LINE))
-    return run_accuracy.select(*by, F.posexplode(F.array(*lines)).alias("line_no", "line"))
+    if variant == "v1":
+        lines.append(F.when(anomaly if isinstance(anomaly, Column) else F.lit(anomaly), F.lit(ANOMALY_LINE)))
+    rows = run_accuracy.select(*by, F.posexplode(F.array(*lines)).alias("line_no", "line"))
+    return rows.where(F.col("line").isNotNull())
 
 
 def append_lines(lines: DataFrame, path: str, by: list[str]) -> None:

@@ -37,10 +37,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
-    table._phasebeat_stored = True
+    table._phasebeat_stored = path
     return table
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that ``store`` has written, once nothing reads it any more."""
+    path = getattr(table, "_phasebeat_stored", None)
+    if path:
+        spark = table.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` itself if it is a table that ``store`` has just written, else written now."""
-    return df if getattr(df, "_phasebeat_stored", False) else store(df, name)
+    return df if getattr(df, "_phasebeat_stored", None) else store(df, name)

@@ -22,6 +22,37 @@ def test_watch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "models")).count() > 0
 
 
+def test_watch_report_and_compare(spark, tmp_path, capfd):
+    """Two runs, the second going on from the phases of the first; then a report on their points and a comparison."""
+    samples, _ = frames(spark, polls_of(9, 50))
+    (tmp_path / "workers.csv").write_text("".join(f"{c},{w}\n" for c, ws in CLUSTERS.items() for w in ws))
+    for version, ticks in ((1, "tick <= 30"), (2, "tick > 30")):
+        samples.where(ticks).write.json(str(tmp_path / f"in{version}"))
+        main(["watch", "--samples", str(tmp_path / f"in{version}"), "--workers", str(tmp_path / "workers.csv"), "--out", str(tmp_path / f"out{version}"),
+              "--phases", str(tmp_path / "phases"), "--version", str(version), "--points", str(tmp_path / "p"), "--host", "runner-x", "-name", "e",
+              "--stats", str(tmp_path / "stats"), "--workload", "kmeans", "--algo", "simple", "--confidence_limit", "3"])
+    scored = spark.read.parquet(str(tmp_path / "out2" / "scored"))
+    assert scored.where("seen").count() > 0
+    main(["report", "--points", str(tmp_path / "p"), "-uid", "x", "-name", "e", "--all"])
+    printed = capfd.readouterr().out
+    total = scored.count() + spark.read.parquet(str(tmp_path / "out1" / "scored")).count()
+    assert f"Number of cpu predictions for x: {total}" in printed
+    cluster = next(iter(CLUSTERS))
+    files = sorted(str(p) for p in (tmp_path / "stats" / f"cluster={cluster}").glob("part-*"))
+    assert len(files) == 2
+    tables_ = compare_files(spark, {"one": files[0], "two": files[1]}, ("CPU", "MEM"))
+    assert [r.workload for r in tables_["CPU"].collect()] == ["kmeans"]
+
+
+def test_report_prints_every_row(spark, tmp_path, capfd):
+    root = new_dir(spark, "points")
+    time = F.expr("timestampadd(MINUTE, 5 * id, TIMESTAMP '2021-03-21 19:45:00')").alias("time")
+    tags = [F.lit("runner-x").alias("host"), F.lit("e").alias("experiment_name")]
+    tables.write_points(spark.range(1500).select(time, *tags, F.lit(1.0).alias("latency")), root, "prediction_latency")
+    main(["report", "--points", root, "-op", "latency", "-m", "prediction_latency"])
+    assert sum("runner-x" in x for x in capfd.readouterr().out.splitlines()) == 1501
+
+
 @pytest.mark.parametrize("go_on", [True, False])
 def test_live(spark, tmp_path, capfd, go_on):
     """A workload that uses next to nothing, in ever new phases, alerts."""
