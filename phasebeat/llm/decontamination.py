@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from phasebeat.llm.chunks import CHUNK_BYTES, chunks_of, unpack
 from phasebeat.llm.common import text_of
 from phasebeat.llm.wordnames import WordNames, words_by_text
-from phasebeat.workspace import store
+from phasebeat.workspace import drop, store
 
 WINDOW = 10
 ITEM_BLOCK_BYTES = 4 << 20
@@ -202,6 +202,7 @@ def contamination(
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], fields)
 
         parts.append(store(chunks.select("chunk", "ids", "marks", "lens", "size", "blob").mapInArrow(search, columns), "matches"))
+    drop(chunks)
     if len(parts) == 1:
         return _summary(parts[0])
     rows = parts[0]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasebeat.llm.chunks import BASE, BLOCK, CHUNK_BYTES, chunks_of, pack, powers, unpack
-from phasebeat.workspace import store
+from phasebeat.workspace import drop, store
 
 LENGTH = 400
 BUCKET_BYTES = 4 << 20
@@ -305,6 +305,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
     left_sql = f"chunk long, ids {ids}, lens array<long>, copy array<boolean>, runs array<array<long>>, n_runs long, size long, blob binary"
     joined = chunks.join(replies, "chunk", "left")
     left = store(joined.mapInArrow(narrow, f"{left_sql}, done {done_sql}"), "candidates")
+    drop(chunks)  # what is still open is in ``left``
     n_dense = max(1, -(-int((left.agg(F.sum("n_runs")).first()[0] or 0) * 8) // BUCKET_BYTES))
 
     def dense(row: dict, names: Names) -> tuple[np.ndarray, list[np.ndarray]]:
