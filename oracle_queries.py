@@ -628,6 +628,18 @@ oracle("summary_append", """
   SELECT cluster, CAST(unnest(range(4)) AS BIGINT) AS line_no, unnest(['', '### Accuracy Rates ###',
     'CPU Prediction Accuracy: ' || printf('%.3f', acc_cpu), 'MEM Prediction Accuracy: ' || printf('%.3f', acc_mem)]) AS line
   FROM accuracy_s1""", "accuracy_s1")
+score("v1", "predicted_simple_p1")
+oracle("summary_append_v1", """
+  SELECT * FROM (
+    SELECT cluster, CAST(unnest(range(5)) AS BIGINT) AS line_no, unnest(['', '### Accuracy Rates ###',
+      'CPU Prediction Accuracy: ' || printf('%.3f', acc_cpu), 'MEM Prediction Accuracy: ' || printf('%.3f', acc_mem),
+      CASE WHEN alert THEN 'Anomaly Detected' END]) AS line
+    FROM (SELECT cluster, """ + ", ".join(f"100 - avg({t}) * 100 AS acc_{r}" for r, t in TERM.items())
+       + """, bool_or(confidence > 5) AS alert FROM scored_v1 GROUP BY cluster)) WHERE line IS NOT NULL""", "scored_v1")
+# The origin is 568,022,400 times three seconds after the epoch.
+oracle("polled_samples", """
+  SELECT cluster, worker, 568022400 + tick // 3 AS tick, arg_max(resource_data, tick) AS resource_data
+  FROM samples GROUP BY cluster, worker, tick // 3""", "samples")
 oracle("samples_json_roundtrip", """
   SELECT cluster, worker, tick, resource_data, array_to_string(threaddump_data, '|') AS threaddump_data FROM samples
   UNION ALL SELECT cluster, worker, tick, '0,0', '' FROM missing""", "samples", "missing")

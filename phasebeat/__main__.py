@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from phasebeat.config import Settings
 from phasebeat.operators import reports
 from phasebeat.operators.anomaly import smape_accuracy
+from phasebeat.operators.ticks import polled
 from phasebeat.plans.comparison import compare_files
 from phasebeat.plans.online import Saved, watch
-from phasebeat.schema import WORKERS
+from phasebeat.schema import TIMED_SAMPLES, WORKERS
 from phasebeat.sources import samples as src
 from phasebeat.sources import tables
 from phasebeat.streaming import live
@@ -24,6 +25,7 @@ def parser() -> argparse.ArgumentParser:
 
     w = commands.add_parser("watch", help="analyse recorded samples")
     w.add_argument("--samples", required=True, help="folder of JSON samples: cluster, worker, tick, resource_data, threaddump_data")
+    w.add_argument("--timed", action="store_true", help="samples have a time ts, not a tick; the newest of each interval counts")
     w.add_argument("--workers", required=True, help="CSV of cluster, worker")
     w.add_argument("--out", required=True, help="folder for ticks, phases, models and scored ticks")
     w.add_argument("--algo", default=Settings.algo)
@@ -36,7 +38,7 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--points", help="folder for prediction and accuracy points")
     w.add_argument("--host", default="runner-recorded", help="host tag of the points")
     w.add_argument("-name", "--experiment_name", default="default-experiment")
-    w.add_argument("--interval", type=float, default=2.0, help="seconds between two ticks, for the time of a point")
+    w.add_argument("--interval", type=float, default=2.0, help="seconds between two ticks")
     w.add_argument("--stats", help="folder for statistics lines, a folder per cluster")
     w.add_argument("--workload", help="name of the workload in the statistics")
     w.add_argument("--threshold", type=float, default=Settings.threshold, help="similarity below which the phase has changed")
@@ -80,7 +82,7 @@ def parser() -> argparse.ArgumentParser:
 def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
     limits = {n: getattr(a, n) for n in ("threshold", "stride", "mape_limit", "cpu_floor", "confidence_limit")}
     settings = Settings(algo=a.algo, variant=a.variant, replay=a.replay if a.algo == "lasso" else 0, **limits)
-    samples = src.read_samples(spark, a.samples)
+    samples = polled(src.read_samples(spark, a.samples, TIMED_SAMPLES), a.interval) if a.timed else src.read_samples(spark, a.samples)
     expected = spark.read.schema(WORKERS).csv(a.workers)
     before = Saved.load(spark, a.phases, a.version - 1) if a.phases else None
     found = watch(samples, expected, settings, a.stop_at_first, a.empty_function, before=before)

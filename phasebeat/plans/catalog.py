@@ -635,6 +635,18 @@ def summary_append(spark, sf):
     return lines.select("cluster", "line_no", "line")
 
 
+@query
+def summary_append_v1(spark, sf):
+    """Blocks of the first variant, with a line for clusters that had an alert."""
+    rows = store(scores(spark, sf, replace(DENSE, variant="v1", algo="simple")), "scored")
+    alerted = rows.groupBy("cluster").agg(F.max("alert").alias("alert"))
+    accuracy = anomaly.smape_accuracy(rows, ["cluster"]).join(alerted, "cluster")
+    path = new_dir(spark, "stats")
+    tables.append_lines(tables.accuracy_lines(accuracy, ["cluster"], "v1", F.col("alert")), path, ["cluster"])
+    lines = src.read_lines(spark, path).withColumn("cluster", F.regexp_extract("path", "cluster=([^/]+)/", 1))
+    return lines.select("cluster", "line_no", "line")
+
+
 @query
 def report_files(spark, sf):
     path = new_dir(spark, "report")
@@ -683,6 +695,13 @@ def timed_samples(samples: DataFrame) -> DataFrame:
     return samples.select("cluster", "worker", ts.alias("ts"), "resource_data", "threaddump_data")
 
 
+@query
+def polled_samples(spark, sf):
+    """The newest sample of each worker in every three seconds, as a poll sees them."""
+    rows = ticks.polled(timed_samples(data.samples(spark, sf, with_functions=True)), 3.0)
+    return rows.select("cluster", "worker", "tick", "resource_data")
+
+
 @query
 def stream_window_mean(spark, sf):
     """Five-minute means of a stream of points, to the end of the input."""

@@ -53,6 +53,17 @@ def test_report_prints_every_row(spark, tmp_path, capfd):
     assert sum("runner-x" in x for x in capfd.readouterr().out.splitlines()) == 1501
 
 
+def test_watch_takes_timed_samples(spark, tmp_path):
+    samples, _ = frames(spark, polls_of(9, 50))
+    (tmp_path / "workers.csv").write_text("".join(f"{c},{w}\n" for c, ws in CLUSTERS.items() for w in ws))
+    samples.write.json(str(tmp_path / "ticks"))
+    samples.withColumn("ts", F.timestamp_seconds(F.col("tick") * 2 + 0.5)).drop("tick").write.json(str(tmp_path / "timed"))
+    for name, more in (("ticks", []), ("timed", ["--timed"])):
+        main(["watch", "--samples", str(tmp_path / name), "--workers", str(tmp_path / "workers.csv"), "--out", str(tmp_path / f"out-{name}"), *more])
+    one, other = (spark.read.parquet(str(tmp_path / f"out-{n}" / "scored")).select("cluster", "tick", "confidence", "phase_id") for n in ("ticks", "timed"))
+    assert one.count() == other.count() == 75 and one.exceptAll(other).count() == 0
+
+
 @pytest.mark.parametrize("go_on", [True, False])
 def test_live(spark, tmp_path, capfd, go_on):
     """A workload that uses next to nothing, in ever new phases, alerts."""
