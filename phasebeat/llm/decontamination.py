@@ -49,7 +49,7 @@ class SuffixArray:
     @staticmethod
     def _joined(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
         out = left << 32
-        out[: len(left) - shift] += right[shift:] + 1
+        out[: max(len(left) - shift, 0)] += right[shift:] + 1
         return out
 
     def _pairs(self, ranks: np.ndarray, shift: int) -> np.ndarray:

@@ -83,3 +83,22 @@ def test_edges(spark, edges):
     rows = contamination(edges, items).collect()
     assert len(rows) == edges.count()
     assert sorted((r.doc_id or 0) for r in rows if r.contaminated) == [0, 4, 4]
+
+
+@pytest.mark.parametrize("n", range(11))
+def test_tiny_chunk_of_one_document(n):
+    names = WordNames()
+    of = lambda t: names.of(np.frombuffer(t.encode(), np.uint8))[0]
+    text = " ".join(f"w{i}" for i in range(n))
+    array = SuffixArray(np.append(of(text), np.uint64(0)))
+    got = [tuple(int(x) for x in row) for m in matches(array, [of(text), of("u v w")]) for row in zip(*m, strict=True)]
+    assert got == ([(0, 0, 0, n)] if n else [])
+
+
+@pytest.mark.parametrize("texts", [[" ".join("abcdefghij"[:n])] for n in range(1, 11)] + [[""] * n for n in range(1, 9)])
+def test_tiny_tables(spark, texts):
+    items = [(1, "a b c"), (2, "a b c d e f g h i j")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted(tuple(r) for r in rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+    assert got == expected(list(enumerate(texts)), items)
