@@ -3,6 +3,8 @@
 Rules find e-mail addresses, network addresses, card and phone numbers.  These are the seeds.  The word next to a seed is a lexical
 pattern of it, and every token with digits is an instance that patterns may reach.  Patterns and instances form a
 graph that is scored in rounds: a pattern by the part of its instances that are trusted, an instance by its patterns.
+A pattern is trusted too if most of its instances are seeds, and far more than beside other words: instances that no rule knows are
+what it is to find, and do not count against it.
 Tokens of high-scored instances next to high-scored patterns are added with the kind ``other``; what the rules found stays.
 
 Positions come from splitting a text at the matches of a pattern and summing lengths, so there is one row per match and
@@ -40,6 +42,10 @@ LEAST_CHARS, LEAST_DIGITS = 6, 4
 SUPPORT = 8
 TRUST = 0.9
 ROUNDS = 3
+# Share of seeds from which a pattern may be trusted for its lift, and the lift: nats by which the share would be a surprise
+# if seeds were as frequent beside the pattern as elsewhere.
+MOST = 0.5
+LIFT = 16.0
 
 ROW = ["doc_id", "mark"]
 
@@ -121,30 +127,43 @@ def matches(docs: DataFrame) -> DataFrame:
     return apart.withColumns({"left": left, "right": right})
 
 
+def _lift(n: Column, seeds: Column, rest: Column) -> Column:
+    """Chernoff's bound, in nats, of ``seeds`` or more among ``n`` instances where a share ``rest`` of all others are seeds."""
+    share = seeds / n
+    unseen = F.when(seeds < n, (1 - share) * F.log((1 - share) / (1 - rest))).otherwise(F.lit(0.0))
+    return F.when(share > rest, n * (share * F.log(share / rest) + unseen)).otherwise(F.lit(0.0))
+
+
 def trusted_patterns(found: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
     """``pattern, score`` of the context patterns that are trusted after the last round.
 
     ``found`` is what ``matches`` returns.  A pattern's score is the trusted weight of its distinct instances over their number plus
-    one; an instance that no rule has found gets the noisy-or of its trusted patterns' scores.
+    one; an instance that no rule has found gets the noisy-or of its trusted patterns' scores.  A pattern is trusted for its
+    score, or for its lift: instances that no rule has found are neutral there as long as seeds are the larger part.
     """
     seed = F.col("kind") < KINDS.index("other")
     sides = [F.concat(F.lit(f"{side}="), F.col(side)) for side in ("left", "right")]
     edges = found.select("match", seed.alias("seed"), F.explode(F.array(*sides)).alias("pattern"))
     edges = edges.where(~F.col("pattern").isin("left=", "right="))
     edges = store(edges.groupBy("pattern", "match").agg(F.max(F.col("seed").cast("double")).alias("score")), "graph")
-    patterns = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("weight"))
-    scored = patterns.select("pattern", (F.col("weight") / (F.col("n") + 1)).alias("score"), "n")
-    good = scored.where((F.col("n") >= support) & (F.col("score") >= trust)).select("pattern", "score")
+    total = edges.agg(F.count("*").alias("n"), F.sum("score").alias("seeds")).first()
+
+    def trusted(weighed: DataFrame, value: Column) -> DataFrame:
+        patterns = weighed.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("score").alias("seeds"), F.sum(value).alias("weight"))
+        scored = patterns.withColumn("score", F.col("weight") / (F.col("n") + 1))
+        n, seeds = F.col("n"), F.col("seeds")
+        rest = (F.lit(total["seeds"] or 0.0) - seeds + 1) / (F.lit(total["n"]) - n + 2)
+        lifted = (seeds / (n + 1) >= MOST) & (_lift(n, seeds, rest) >= LIFT)
+        return scored.where((n >= support) & ((F.col("score") >= trust) | lifted)).select("pattern", "score")
+
+    good = trusted(edges, F.col("score"))
     for _ in range(rounds - 1):
         good = store(good, "patterns")
         reached = edges.join(good.withColumnRenamed("score", "p"), "pattern")
         doubt = F.exp(F.sum(F.log1p(-F.least("p", F.lit(0.999999)))))
         instances = reached.groupBy("match").agg((1 - doubt).alias("gained"))
         weighed = edges.join(instances, "match", "left")
-        value = F.greatest("score", F.coalesce("gained", F.lit(0.0)))
-        patterns = weighed.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(value).alias("weight"))
-        scored = patterns.select("pattern", (F.col("weight") / (F.col("n") + 1)).alias("score"), "n")
-        good = scored.where((F.col("n") >= support) & (F.col("score") >= trust)).select("pattern", "score")
+        good = trusted(weighed, F.greatest("score", F.coalesce("gained", F.lit(0.0))))
     return store(good, "patterns")
 
 

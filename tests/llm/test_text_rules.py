@@ -85,6 +85,23 @@ def test_context_patterns_reach_unseen_identifiers(spark):
     check_base(found.values(), dict(rows))
 
 
+@pytest.mark.parametrize("unseen", [16, 32])
+def test_patterns_with_many_unseen_instances_are_trusted(spark, unseen):
+    """20 and 40 % of the numbers beside "hotline" are written as no rule knows; those beside "number" are no identifiers, but for a few seeds."""
+    rng = random.Random(unseen)
+    word = lambda: "".join(rng.choices("abcdefgh", k=12))
+    rows = [(i, f"{word()} hotline +1 (212) 555-{1000 + i} {word()}") for i in range(80 - unseen)]
+    rows += [(100 + i, f"{word()} hotline 020-7946-{1000 + i} {word()}") for i in range(unseen)]
+    rows += [(200 + i, f"{word()} number {rng.randint(10**5, 10**6 - 1)} {word()}") for i in range(90)]
+    rows += [(300 + i, f"{word()} number +1 (213) 555-{1000 + i} {word()}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.pattern for r in trusted_patterns(matches(docs)).collect()} == {"left=hotline"}
+    found = {r.doc_id: r for r in personal_data(docs).collect()}
+    assert [found[100 + i].n_other for i in range(unseen)] == [1] * unseen
+    assert sum(r.n_other for r in found.values()) == unseen
+    check_base(found.values(), dict(rows))
+
+
 def plain_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
