@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from phasebeat.llm import language, rule_ensemble, toxicity
+from phasebeat.llm.centroids import centroid_clusters
 from phasebeat.llm.common import table
 from phasebeat.llm.decontamination import contamination
+from phasebeat.llm.extraction import main_text
+from phasebeat.llm.hard_negatives import hard_negatives
 from phasebeat.llm.mixing import mixture
 from phasebeat.llm.packing import shards
 from phasebeat.llm.personal_data import personal_data
 from phasebeat.llm.quality_rules import judged
 from phasebeat.llm.simhash import near_duplicates
+from phasebeat.llm.sql import ORACLES  # noqa: F401
 from phasebeat.llm.suffixes import repeated_passages
 
 
@@ -64,6 +68,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -75,5 +91,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_personal_data": op9_personal_data,
     "op10_toxicity": op10_toxicity,
+    "op11_centroids": op11_centroids,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_extraction": op13_extraction,
 }
-ORACLES: dict[str, str] = {}
