@@ -67,35 +67,52 @@ def usage_by_chunk(
     A line counts for the first watched process, the main one first, whose pid occurs anywhere in
     its first token; with ``exact`` only in its pid field.  Helper connections count for traffic
     only.  Hosts without a main process report zeros.
+
+    Which process a token belongs to is found once per host and token.  A pid occurs in a token if it is a piece of one of the
+    token's runs of digits; these pieces, as long as the longest pid at most, are joined with the pids, so a host with
+    many processes costs no more per line than one with few.
     """
-    listed = watched.groupBy(host).agg(
-        F.array_sort(
-            F.collect_list(F.struct((~F.col("is_main")).alias("after"), "pid", "cpu", "mem"))
-        ).alias("procs")
-    )
     parts = F.split(text.strip(F.col("line")), r"\s+")
-    rows = lines.withColumn("parts", parts).join(listed, host, "left")
-    token = F.get("parts", F.lit(0))
-    usable = (F.size("parts") >= FIELDS) & F.col("procs").isNotNull()
-    helper = token.contains(HELPER)
-    pid_field = F.try_element_at(F.split(token, "/"), F.lit(-2))
-
-    def match(p: Column) -> Column:
-        pid = p["pid"].cast("string")
-        return pid_field == pid if exact else token.contains(pid)
-
-    first = F.get(F.filter("procs", match), F.lit(0))
-    rows = rows.withColumns(
-        {"usable": usable, "helper": helper, "proc": F.when(usable & ~helper, first)}
-    )
-    counts = F.col("usable") & (F.col("helper") | F.col("proc").isNotNull())
+    hosts = watched.select(host).distinct().withColumn("has_main", F.lit(True))
+    rows = lines.withColumn("parts", parts).withColumn("token", F.get("parts", F.lit(0))).join(hosts, host, "left")
+    helper = F.col("token").contains(HELPER)
+    usable = (F.size("parts") >= FIELDS) & F.coalesce("has_main", F.lit(False))
+    rows = rows.withColumns({"usable": usable, "helper": helper})
+
+    pid = watched["pid"].cast("string")
+    listed = watched.select(host, pid.alias("piece"), F.struct((~F.col("is_main")).alias("after"), "pid", "cpu", "mem").alias("process"))
+    tokens = rows.where("usable AND NOT helper").select(host, "token").distinct()
+    if exact:
+        pieces = tokens.withColumn("piece", F.try_element_at(F.split("token", "/"), F.lit(-2)))
+    else:
+        longest = watched.agg(F.max(F.length(pid))).first()[0] or 0
+        pieces = tokens.select(host, "token", F.explode(digit_pieces(F.col("token"), longest)).alias("piece"))
+    # One row per token: the least process in the order of the list.
+    owners = pieces.join(listed, [host, "piece"]).groupBy(host, "token").agg(F.min("process").alias("proc"))
+    owned = rows.join(owners, [host, "token"], "left")
+    proc = F.when(F.col("usable") & ~F.col("helper"), F.col("proc"))
+    counts = F.col("usable") & (F.col("helper") | proc.isNotNull())
 
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(F.when(counts, value)), F.lit(0.0))
 
-    return rows.groupBy(*chunk_keys).agg(
+    return owned.groupBy(*chunk_keys).agg(
         total(F.get("parts", F.lit(1)).try_cast("double")).alias("upload"),
         total(F.get("parts", F.lit(2)).try_cast("double")).alias("download"),
-        total(F.col("proc.cpu")).alias("cpu"),
-        total(F.col("proc.mem")).alias("mem"),
+        total(proc["cpu"]).alias("cpu"),
+        total(proc["mem"]).alias("mem"),
     )
+
+
+def digit_pieces(token: Column, longest: int) -> Column:
+    """All different pieces of the runs of digits in a token, up to ``longest`` digits each."""
+    runs = F.array_distinct(F.regexp_extract_all(token, F.lit(r"([0-9]+)")))
+
+    def of(run: Column) -> Column:
+        def at(start: Column) -> Column:
+            most = F.least(F.lit(longest), F.length(run) - start + 1)
+            return F.transform(F.sequence(F.lit(1), most), lambda n: F.substr(run, start, n))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.length(run)), at))
+
+    return F.array_distinct(F.flatten(F.transform(runs, of))) if longest else F.array().cast("array<string>")
