@@ -667,6 +667,26 @@ part("restarted", """
            AS confidence) FROM scored_s1""", "scored_s1", "samples")
 oracle("stream_restart", _stream("restarted"), "restarted")
 
+oracle("stream_pairs", _stream("scored_s2"), "scored_s2")
+oracle("stream_until_alert", _stream("""(
+    SELECT * FROM scored_s2 s
+    WHERE tick_no <= coalesce((SELECT min(tick_no) FROM scored_s2 f WHERE f.cluster = s.cluster AND f.confidence > 5), tick_no))"""),
+       "scored_s2")
+oracle("stream_empty_function", _stream("scored_s1"), "scored_s1", "missing")
+_SETS = "coalesce(u.funcs, []) AS funcs, coalesce(u.funcs, []) AS compared"
+_SAID = """list_sort(list_distinct(list_concat(coalesce(u.funcs, []),
+             CASE WHEN (t.cluster, t.tick) IN (SELECT (cluster, tick) FROM missing) THEN [''] ELSE [] END)))"""
+ORACLES["stream_empty_function"] = ORACLES["stream_empty_function"].replace(_SETS, f"{_SAID} AS funcs, {_SAID} AS compared")
+oracle("stream_latencies", f"""
+  SELECT measurement, 'runner-live' AS host, 'hourly' AS experiment_name,
+         strftime(TIMESTAMP '2024-01-01' + to_seconds(tick // 3600 * 3600), {STAMP}) AS hour, count(*) AS ticks
+  FROM scored_s1 CROSS JOIN (SELECT unnest(['prediction_latency', 'ml_model_update_latency', 'anomaly_detection_latency']) AS measurement)
+  GROUP BY ALL""", "scored_s1")
+oracle("stream_resources", f"""
+  SELECT strftime(TIMESTAMP '2024-01-01' + to_seconds(chunk), {STAMP}) AS time, host, 'traffic' AS experiment_name,
+         upload, download, cpu, mem
+  FROM ({usage("contains(split_part(l.line, ' ', 1), CAST(p.pid AS VARCHAR))")})""", "tree", "chunked")
+
 
 def settle_rounding(sql: str) -> str:
     """Replace each ``round(x, 6)`` by one over nine exact decimal places, so that ties do not hang on float noise."""

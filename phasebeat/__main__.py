@@ -1,4 +1,4 @@
-"""Command line: ``python -m phasebeat watch | live | report | compare``."""
+"""Command line: ``python -m phasebeat watch | live | traffic | report | compare``."""
 
 from __future__ import annotations
 
@@ -11,12 +11,14 @@ from phasebeat.config import Settings
 from phasebeat.operators import reports
 from phasebeat.operators.anomaly import smape_accuracy
 from phasebeat.operators.ticks import polled
+from phasebeat.operators.traffic import process_tree
 from phasebeat.plans.comparison import compare_files
 from phasebeat.plans.online import Saved, watch
-from phasebeat.schema import TIMED_SAMPLES, WORKERS
+from phasebeat.schema import MAIN_PROCESSES, PROCESSES, TIMED_SAMPLES, WORKERS
 from phasebeat.sources import samples as src
 from phasebeat.sources import tables
 from phasebeat.streaming import live
+from phasebeat.workspace import store
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,11 +43,7 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--interval", type=float, default=2.0, help="seconds between two ticks")
     w.add_argument("--stats", help="folder for statistics lines, a folder per cluster")
     w.add_argument("--workload", help="name of the workload in the statistics")
-    w.add_argument("--threshold", type=float, default=Settings.threshold, help="similarity below which the phase has changed")
-    w.add_argument("--stride", type=int, default=Settings.stride, help="snapshots per evaluation")
-    w.add_argument("--mape_limit", type=float, default=Settings.mape_limit)
-    w.add_argument("--cpu_floor", type=float, default=Settings.cpu_floor)
-    w.add_argument("--confidence_limit", type=int, default=Settings.confidence_limit)
+    add_limits(w)
 
     v = commands.add_parser("live", help="analyse samples as they arrive and publish metric points")
     v.add_argument("--samples", required=True, help="folder where JSON samples land: cluster, worker, ts, resource_data, threaddump_data")
@@ -59,7 +57,24 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--delay", default="2 seconds", help="how late a sample may arrive")
     v.add_argument("--files", default="1000", help="most files to take up at once")
     v.add_argument("--available", action="store_true", help="stop when all samples there are analysed")
-    v.add_argument("--go_on", action="store_true", help="do not stop at an alert")
+    v.add_argument("--go_on", action="store_true", help="a cluster does not end at its first alert")
+    v.add_argument("--replay", type=int, default=5, help="synthetic points added to each later training")
+    v.add_argument("--empty_function", action="store_true", help="a silent worker counts as one with an empty function")
+    v.add_argument("--keep_confidence", action="store_true", help="go on with the confidence of the start before")
+    v.add_argument("--late", choices=("fail", "count"), default="fail", help="what happens if samples come later than the delay")
+    v.add_argument("--partitions", type=int, help="partitions of the state, fixed by the first start")
+    add_limits(v)
+
+    t = commands.add_parser("traffic", help="publish the resource use of watched processes from their traffic logs")
+    t.add_argument("--logs", required=True, help="folder where pieces of logs land, a folder host=NAME per host")
+    t.add_argument("--processes", required=True, help="CSV of host, pid, ppid, cpu, mem")
+    t.add_argument("--main", required=True, help="CSV of host, pid: the main process of each host")
+    t.add_argument("--points", required=True, help="folder for the points")
+    t.add_argument("--checkpoint", required=True, help="folder for the state of the stream")
+    t.add_argument("-name", "--experiment_name", default="default-experiment")
+    t.add_argument("--exact", action="store_true", help="a line belongs to the process in its pid field only")
+    t.add_argument("--interval", default="2 seconds", help="time between two looks at the folder")
+    t.add_argument("--available", action="store_true", help="stop when all logs there are read")
 
     r = commands.add_parser("report", help="report on stored metric points")
     r.add_argument("--points", required=True, help="folder with one folder per measurement")
@@ -79,9 +94,23 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+LIMITS = ("threshold", "stride", "mape_limit", "cpu_floor", "confidence_limit")
+
+
+def add_limits(p: argparse.ArgumentParser) -> None:
+    p.add_argument("--threshold", type=float, default=Settings.threshold, help="similarity below which the phase has changed")
+    p.add_argument("--stride", type=int, default=Settings.stride, help="snapshots per evaluation")
+    p.add_argument("--mape_limit", type=float, default=Settings.mape_limit)
+    p.add_argument("--cpu_floor", type=float, default=Settings.cpu_floor)
+    p.add_argument("--confidence_limit", type=int, default=Settings.confidence_limit)
+
+
+def settings_of(a: argparse.Namespace, **more) -> Settings:
+    return Settings(algo=a.algo, replay=a.replay if a.algo == "lasso" else 0, **{n: getattr(a, n) for n in LIMITS}, **more)
+
+
 def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
-    limits = {n: getattr(a, n) for n in ("threshold", "stride", "mape_limit", "cpu_floor", "confidence_limit")}
-    settings = Settings(algo=a.algo, variant=a.variant, replay=a.replay if a.algo == "lasso" else 0, **limits)
+    settings = settings_of(a, variant=a.variant)
     samples = polled(src.read_samples(spark, a.samples, TIMED_SAMPLES), a.interval) if a.timed else src.read_samples(spark, a.samples)
     expected = spark.read.schema(WORKERS).csv(a.workers)
     before = Saved.load(spark, a.phases, a.version - 1) if a.phases else None
@@ -109,11 +138,28 @@ def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def run_live(spark: SparkSession, a: argparse.Namespace) -> None:
     samples = src.stream_samples(spark, a.samples, maxFilesPerTrigger=a.files)
-    ticks = live.tick_stream(samples, spark.read.schema(WORKERS).csv(a.workers), a.interval, a.delay)
+    workers = spark.read.schema(WORKERS).csv(a.workers)
+    ticks = live.tick_stream(samples, workers, a.interval, a.delay)
     trigger = {"availableNow": True} if a.available else {"processingTime": a.interval}
-    found = live.watch_stream(ticks, Settings(algo=a.algo))
-    if live.publish(found, a.points, a.checkpoint, a.host, a.experiment_name, not a.go_on, **trigger):
+    found = live.watch_stream(ticks, settings_of(a), a.empty_function, a.keep_confidence, stop_on_alert=not a.go_on)
+    # When every cluster has ended there is nothing left to watch.
+    clusters = None if a.go_on else workers.select("cluster").distinct().count()
+    done = live.publish(found, a.points, a.checkpoint, a.host, a.experiment_name, clusters, a.partitions, a.late, **trigger)
+    if done.alerted:
         print("Anomaly Detected")
+    if done.late:
+        print(f"{done.late} rows came too late and are in no result")
+
+
+def run_traffic(spark: SparkSession, a: argparse.Namespace) -> None:
+    processes = spark.read.schema(PROCESSES).csv(a.processes)
+    main = spark.read.schema(MAIN_PROCESSES).csv(a.main).withColumn("main", F.lit(True))
+    rows = processes.join(main, ["host", "pid"], "left")
+    watched = store(process_tree(rows, F.coalesce("main", F.lit(False))), "watched")
+    log = F.regexp_extract("path", "host=([^/]+)/", 1).alias("log")
+    chunks = live.chunk_stream(src.stream_logs(spark, a.logs).select(log, "written", "value"))
+    trigger = {"availableNow": True} if a.available else {"processingTime": a.interval}
+    live.publish_resources(chunks, watched, a.points, a.checkpoint, a.experiment_name, a.exact, **trigger)
 
 
 def run_report(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -170,7 +216,8 @@ def run_compare(spark: SparkSession, a: argparse.Namespace) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"phasebeat {args.command}").getOrCreate()
-    {"watch": run_watch, "live": run_live, "report": run_report, "compare": run_compare}[args.command](spark, args)
+    commands = {"watch": run_watch, "live": run_live, "traffic": run_traffic, "report": run_report, "compare": run_compare}
+    commands[args.command](spark, args)
 
 
 if __name__ == "__main__":

@@ -717,7 +717,7 @@ def stream_window_mean(spark, sf):
     return rows.select("measurement", "host", stamp("window_start").alias("window_start"), r6("mean").alias("mean"))
 
 
-def watched_stream(spark: SparkSession, sf: str, halves: bool) -> DataFrame:
+def watched_stream(spark: SparkSession, sf: str, halves: bool, settings: Settings = DENSE, **options) -> DataFrame:
     """Run the online form over samples that arrive at once or in two parts, stopping and going on after each part."""
     samples, expected = recorded(spark, sf)
     source, path, check = (new_dir(spark, n) for n in ("live", "watched", "check"))
@@ -726,7 +726,7 @@ def watched_stream(spark: SparkSession, sf: str, halves: bool) -> DataFrame:
         timed_samples(samples.where(part)).write.mode("append").json(source)
         stream = src.stream_samples(spark, source, TIMED_SAMPLES)
         arrived = live.tick_stream(stream, expected, "1 second", "0 seconds")
-        watched = live.watch_stream(arrived, DENSE)
+        watched = live.watch_stream(arrived, settings, **options)
         live.run_available(watched, path, check)
     live.end_marker(timed_samples(samples), "ts", "10 seconds").write.mode("append").json(source)
     live.run_available(watched, path, check)
@@ -750,8 +750,25 @@ def stream_restart(spark, sf):
 
 
 @query
-def stream_points(spark, sf):
-    """Prediction points that the online form publishes while samples arrive."""
+def stream_pairs(spark, sf):
+    """Two snapshots per evaluation, as a stream."""
+    return watched_stream(spark, sf, halves=False, settings=PAIRS)
+
+
+@query
+def stream_until_alert(spark, sf):
+    """Every cluster ends at its own first alert, the others go on."""
+    return watched_stream(spark, sf, halves=False, settings=PAIRS, stop_on_alert=True)
+
+
+@query
+def stream_empty_function(spark, sf):
+    """A silent worker counts as one with an empty function."""
+    return watched_stream(spark, sf, halves=False, empty_function=True)
+
+
+def published(spark: SparkSession, sf: str) -> str:
+    """The folder of the points that the online form publishes while samples arrive."""
     samples, expected = recorded(spark, sf)
     source, root, check = (new_dir(spark, n) for n in ("live", "points", "check"))
     timed_samples(samples).write.json(source)
@@ -760,6 +777,26 @@ def stream_points(spark, sf):
     live.publish(watched, root, check, "runner-live", "hourly")
     live.end_marker(timed_samples(samples), "ts", "10 seconds").write.mode("append").json(source)
     live.publish(watched, root, check, "runner-live", "hourly")
+    return root
+
+
+@query
+def stream_latencies(spark, sf):
+    """How many ticks of each hour have a latency for each step, from the report's own windows; each latency is a time."""
+    root = published(spark, sf)
+    found = []
+    for name in reports.LATENCY_POINTS[1:]:
+        points = tables.read_points(spark, root, name, "runner-live", "hourly").where("latency >= 0 AND latency < 60")
+        points = points.withColumn("ticks", F.lit(1.0))
+        hours = points.groupBy(*TAGS, F.window("time", "1 hour").start.alias("hour")).agg(F.sum("ticks").cast("long").alias("ticks"))
+        found.append(hours.select(F.lit(name).alias("measurement"), *TAGS, stamp("hour").alias("hour"), "ticks"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def stream_points(spark, sf):
+    """Prediction points that the online form publishes while samples arrive."""
+    root = published(spark, sf)
     rows = tables.read_points(spark, root, "predictions", "runner-live", "hourly")
     fields = ("actual_cpu", "actual_mem", "predicted_cpu", "predicted_mem")
     return rounded(rows.select(stamp("time").alias("time"), *TAGS, *fields), *fields)
@@ -776,3 +813,18 @@ def stream_chunks(spark, sf):
         sizes = chunks.select(F.col("log").alias("host"), "chunk", F.size(F.filter(F.split("lines", "\n"), lambda s: s != "")).alias("lines"))
         live.run_available(sizes, path, check)
     return spark.read.parquet(path)
+
+
+@query
+def stream_resources(spark, sf):
+    """Own resource use of every host, from its traffic log as it arrives in two text files, as points of a report."""
+    source, root, check = (new_dir(spark, n) for n in ("traffic", "points", "check"))
+    watched = store(traffic.process_tree(data.processes(spark, sf), data.main_process()), "watched")
+    log = F.regexp_extract("path", "host=([^/]+)/", 1).alias("log")
+    at = F.expr(f"timestampadd(SECOND, chunk, TIMESTAMP '{data.ORIGIN} 00:00:00')")
+    for piece in ("line_no < 255", "line_no >= 255"):
+        tables.append_lines(data.traffic_lines(spark, sf).where(piece), source, ["host"])
+        chunks = live.chunk_stream(src.stream_logs(spark, source).select(log, "written", "value"))
+        live.publish_resources(chunks, watched, root, check, "traffic", at=at)
+    rows = tables.read_points(spark, root, reports.RESOURCE_POINTS, experiment="traffic")
+    return rounded(rows.select(stamp("time").alias("time"), *TAGS, *reports.RESOURCE_METRICS), *reports.RESOURCE_METRICS)

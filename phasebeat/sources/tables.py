@@ -24,6 +24,7 @@ REPORT_PLACES = 5
 # Processes of all workers share so many history folders.
 HISTORY_FOLDERS = 64
 
+ALERTS = "alerts"
 TAG_COLUMNS = ("time", "host", "experiment_name")
 
 
@@ -43,6 +44,11 @@ def accuracy_points(scored: DataFrame, *keep: str) -> DataFrame:
     return scored.where(~F.isnan(fields[0])).select(*TAG_COLUMNS, *fields, *keep)
 
 
+def alert_points(scored: DataFrame, *keep: str) -> DataFrame:
+    """A point for each alert: the cluster, its phase and its confidence."""
+    return scored.where("alert").select(*TAG_COLUMNS, "cluster", "phase_id", "confidence", *keep)
+
+
 def write_points(points: DataFrame, root: str, measurement: str) -> None:
     """Append points to a folder per measurement, so that a report reads one measurement and its fields only."""
     points.write.mode("append").partitionBy("experiment_name").parquet(f"{root}/{measurement}")

@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import text
@@ -21,17 +23,25 @@ from phasebeat.functions.errors import SMAPE_EPSILON, ZERO_STAND_IN
 from phasebeat.functions.lasso import fit_points
 from phasebeat.functions.phases import ARROW
 from phasebeat.operators.replay import synthetic_points
+from phasebeat.operators.reports import LATENCY_POINTS, RESOURCE_METRICS, RESOURCE_POINTS
 from phasebeat.operators.ticks import expected_by_cluster
-from phasebeat.operators.traffic import REFRESH
+from phasebeat.operators.traffic import REFRESH, usage_by_chunk
 from phasebeat.sources import tables
+from phasebeat.streaming.order import RUN_KEY, RUN_VALUE, Runs, in_parts
 
+READING, *_ = LATENCY_POINTS
+# The measurement of each step that the state times.
+LATENCIES = dict(zip(LATENCY_POINTS[1:], ("predict_seconds", "update_seconds", "detect_seconds"), strict=True))
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 RESULT_SCHEMA = (
     "cluster string, tick timestamp, tick_no long, phase_id string, idle boolean, seen boolean, version long, "
     "cpu double, mem double, predicted_cpu double, predicted_mem double, mape double, step long, "
-    "confidence long, alert boolean, acc_cpu double, acc_mem double"
+    "confidence long, alert boolean, acc_cpu double, acc_mem double, "
+    "predict_seconds double, update_seconds double, detect_seconds double"
 )
+# Phases whose state is held in memory while the ticks of one cluster are evaluated.
+HELD_PHASES = 1024
 
 
 def window_mean_stream(
@@ -105,51 +115,67 @@ class _Entries:
             self.changed.add(key)
 
     def write(self) -> None:
+        """Write what has changed back, and forget it."""
         for key in self.changed:
             self.state.updateValue((key,), self.values[key])
+        self.values, self.changed = {}, set()
 
 
 class ClusterWatcher(StatefulProcessor):
-    """Phase, prediction, training and confidence of one cluster, tick by tick."""
+    """Phase, prediction, training and confidence of one cluster, tick by tick.
 
-    def __init__(self, settings: Settings, empty_function: bool = False, keep_confidence: bool = False):
+    Ticks are taken in order from frames that are sorted one by one (``order.Runs``), so what is held does not grow with the ticks of
+    a trigger.  A trigger brings intervals that the watermark has closed since the trigger before, so all are later than those.
+
+    With ``stop_on_alert`` a cluster ends at its first alert: it gives no further tick and learns nothing more until the next
+    start, while other clusters go on.
+    """
+
+    def __init__(self, settings: Settings, empty_function: bool = False, keep_confidence: bool = False, stop_on_alert: bool = False):
         if settings.variant != "v2":
             raise ValueError("the online form has the semantics of the second variant")
-        self.settings, self.empty_function = settings, empty_function
-        self.start = None if keep_confidence else uuid.uuid4().hex
+        self.settings, self.empty_function, self.stop_on_alert = settings, empty_function, stop_on_alert
+        self.start = uuid.uuid4().hex
+        self.keep_confidence = keep_confidence
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.run = handle.getValueState(
             "run",
             "snapshots long, cpu1 double, mem1 double, cpu2 double, mem2 double, functions array<string>, "
-            "confidence long, ticks long, error_cpu double, error_mem double, start string",
+            "confidence long, ticks long, error_cpu double, error_mem double, start string, ended boolean",
         )
         self.last_state = handle.getMapState("last", "worker string", "cpu double, mem double")
         self.phase_state = handle.getMapState(
             "phases", "phase string", "visits long, pending array<double>, model array<double>"
         )
+        self.run_state = handle.getMapState("runs", RUN_KEY, RUN_VALUE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        cluster = key[0]
-        ticks = pd.concat(list(rows)).sort_values("tick")
+        names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
+        ticks = Runs(self.run_state, "tick").of(rows)
+        yield from in_parts(self._evaluated(key[0], ticks), names)
+
+    def _evaluated(self, cluster: str, ticks: Iterator[tuple]) -> Iterator[tuple]:
         self.last, self.phases = _Entries(self.last_state), _Entries(self.phase_state)
-        run = list(self.run.get()) if self.run.exists() else [0, 0.0, 0.0, 0.0, 0.0, [], 0, 0, 0.0, 0.0, None]
-        if self.start and run[10] != self.start:  # a new start of the analysis
-            run[6], run[10] = 0, self.start
-        out = []
-        for tick in ticks.itertuples(index=False):
+        run = list(self.run.get()) if self.run.exists() else [0, 0.0, 0.0, 0.0, 0.0, [], 0, 0, 0.0, 0.0, None, False]
+        if run[10] != self.start:  # a new start of the analysis
+            run[6], run[10], run[11] = run[6] if self.keep_confidence else 0, self.start, False
+        for tick in ticks:
+            if run[11]:
+                continue
             cpu, mem, functions = self._snapshot(tick)
             before = set(run[5])
             run[0] += 1
             if run[0] % self.settings.stride == 0:
-                out.append((cluster, tick.tick, *self._evaluate(run, cpu, mem, before, functions)))
+                found = self._evaluate(run, cpu, mem, before, functions)
+                run[11] = self.stop_on_alert and run[6] > self.settings.confidence_limit
+                yield cluster, tick.tick, *found
             run[1:6] = [cpu, mem, run[1], run[2], sorted(functions)]
+            if len(self.phases.values) > HELD_PHASES:
+                self.phases.write()
         self.run.update(tuple(run))
         self.last.write()
         self.phases.write()
-        if out:
-            names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
-            yield pd.DataFrame(out, columns=names)
 
     def _snapshot(self, tick) -> tuple[float, float, set[str]]:
         said = {r["worker"]: (r["cpu"], r["mem"]) for r in tick.readings}
@@ -169,7 +195,7 @@ class ClusterWatcher(StatefulProcessor):
         return cpu, mem, functions
 
     def _evaluate(self, run: list, cpu: float, mem: float, before: set[str], now: set[str]) -> tuple:
-        s = self.settings
+        s, began = self.settings, time.perf_counter()
         prev1, prev2, actual = (run[1], run[2]), (run[3], run[4]), (cpu, mem)
         larger = max(len(before), len(now))
         common = before & now
@@ -189,6 +215,8 @@ class ClusterWatcher(StatefulProcessor):
         else:
             predicted = prev1
 
+        predicted_at = time.perf_counter()
+
         def solid(x: float) -> float:
             return x if x != 0 else ZERO_STAND_IN
 
@@ -199,6 +227,7 @@ class ClusterWatcher(StatefulProcessor):
         for k in range(2):
             run[8 + k] += abs(actual[k] - predicted[k]) / (abs(actual[k]) + abs(predicted[k]) + SMAPE_EPSILON)
         accuracy = [100.0 - run[8 + k] / run[7] * 100.0 for k in range(2)]
+        detected_at = time.perf_counter()
         phase_id = hashlib.md5(phase.encode()).hexdigest()
         if not idle:
             pending += [v for k in range(2) for v in (prev2[k], prev1[k], actual[k])]
@@ -209,6 +238,7 @@ class ClusterWatcher(StatefulProcessor):
         return (
             run[7], phase_id, idle, seen, 0 if idle else version, cpu, mem, *predicted, mape, step,
             run[6], run[6] > s.confidence_limit, *accuracy,
+            predicted_at - began, time.perf_counter() - detected_at, detected_at - predicted_at,
         )
 
     def _train(self, phase_id: str, version: int, pending: list[float], model: list[float]) -> list[float]:
@@ -227,16 +257,21 @@ class ClusterWatcher(StatefulProcessor):
 
 
 def watch_stream(
-    ticks: DataFrame, settings: Settings = Settings(), empty_function: bool = False, keep_confidence: bool = False
+    ticks: DataFrame,
+    settings: Settings = Settings(),
+    empty_function: bool = False,
+    keep_confidence: bool = False,
+    stop_on_alert: bool = False,
 ) -> DataFrame:
     """Evaluated ticks of a stream of cluster ticks.
 
     Each call is a new start: phases and models go on from the checkpoint, the confidence begins at zero unless it is kept.
     Input is aggregated already, one row per cluster and interval, so even a cluster that
-    sends a third of all samples is a thin sequence here.
+    sends a third of all samples is a thin sequence here.  With ``stop_on_alert`` each cluster ends at its own first alert.
+    The last three columns are the seconds that predicting, updating the model and scoring took.
     """
     return ticks.groupBy("cluster").transformWithStateInPandas(
-        statefulProcessor=ClusterWatcher(settings, empty_function, keep_confidence),
+        statefulProcessor=ClusterWatcher(settings, empty_function, keep_confidence, stop_on_alert),
         outputStructType=RESULT_SCHEMA,
         outputMode="append",
         timeMode="none",
@@ -251,12 +286,13 @@ class ChunkCarrier(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "chunks long, tail string")
+        self.run_state = handle.getMapState("runs", RUN_KEY, RUN_VALUE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         chunks, tail = self.open.get() if self.open.exists() else (0, "")
-        pieces = pd.concat(list(rows)).sort_values("written")
-        for piece in pieces["value"]:
-            *closed, tail = self.mark.split(tail + piece)
+        # Pieces are whole files, so a block of a run is one piece.
+        for piece in Runs(self.run_state, "written", block_rows=1).of(rows):
+            *closed, tail = self.mark.split(tail + piece.value)
             if closed:
                 yield pd.DataFrame({"log": key[0], "chunk": range(chunks, chunks + len(closed)), "lines": closed})
             chunks += len(closed)
@@ -290,22 +326,72 @@ def state_store(spark: SparkSession, partitions: int | None = None):
             spark.conf.set(name, value)
 
 
+class LateRows(RuntimeError):
+    """Samples came after the interval they belong to had been closed; ``count`` of them are in no result."""
+
+    def __init__(self, count: int):
+        super().__init__(f"{count} rows came later than the allowed delay and are in no result")
+        self.count = count
+
+
+@dataclass
+class Progress:
+    """What the micro-batches of one start have reported: rows that came too late, seconds of reading by batch, alerts by batch."""
+
+    late: int = 0
+    reading: dict[int, float] = field(default_factory=dict)
+    alerts: dict[int, int] = field(default_factory=dict)
+    seen: set[str] = field(default_factory=set)
+
+    def take(self, query: StreamingQuery) -> None:
+        for p in query.recentProgress:
+            if p["timestamp"] in self.seen:
+                continue
+            self.seen.add(p["timestamp"])
+            self.late += sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"])
+            if p["numInputRows"]:
+                took = p["durationMs"]
+                self.reading[p["batchId"]] = sum(took.get(step, 0) for step in ("latestOffset", "getBatch")) / 1000
+
+    @property
+    def alerted(self) -> int:
+        return sum(self.alerts.values())
+
+
+def _finished(query: StreamingQuery, progress: Progress, late: str, done: Callable[[], bool] = lambda: False) -> Progress:
+    """Wait for the end of a query, or until ``done``; rows that come too late end it unless they are only counted."""
+    if late not in ("fail", "count"):
+        raise ValueError(f"late rows either fail or count, not {late!r}")
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(0.2)
+        progress.take(query)
+        if progress.late and late == "fail":
+            query.stop()
+            raise LateRows(progress.late)
+        if not ended and done():
+            query.stop()
+    return progress
+
+
 def publish(
     stream: DataFrame,
     root: str,
     checkpoint: str,
     host: str,
     experiment: str,
-    stop_on_alert: bool = False,
+    stop_after: int | None = None,
     partitions: int | None = None,
+    late: str = "fail",
     **trigger,
-) -> bool:
-    """Write prediction and accuracy points of a watched stream; true if an alert was seen.
+) -> Progress:
+    """Write prediction, accuracy, alert and latency points of a watched stream.
 
-    A micro-batch that is repeated after a failure replaces its own points.  With ``stop_on_alert`` the
-    query stops after the micro-batch of the first alert; state and points up to there are kept.
+    A micro-batch that is repeated after a failure replaces its own points.  ``stop_after`` ends the query after so many alerts:
+    with clusters that end at their first alert, the number of clusters.  Rows later than the watermark allows raise ``LateRows``
+    with their number, after the batch that met them; with ``late="count"`` they are only counted in what is returned.
     """
-    alerted = []
+    progress = Progress()
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
@@ -314,29 +400,70 @@ def publish(
         for name, rows in (
             ("predictions", tables.prediction_points(points, "batch")),
             ("accuracy", tables.accuracy_points(points, "batch")),
+            (tables.ALERTS, tables.alert_points(points, "batch")),
+            *((n, points.select(*tables.TAG_COLUMNS, F.col(c).alias("latency"), "batch")) for n, c in LATENCIES.items()),
         ):
             tables.replace_points(rows, root, name)
-        if not batch.where("alert").isEmpty():
-            alerted.append(number)
+        progress.alerts[number] = batch.where("alert").count()
         batch.unpersist()
 
-    with state_store(stream.sparkSession, partitions):
+    spark = stream.sparkSession
+    with state_store(spark, partitions):
         query = (
             stream.writeStream.foreachBatch(write)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
-    while not query.awaitTermination(1):
-        if stop_on_alert and alerted:
-            query.stop()
-    return bool(alerted)
+    try:
+        return _finished(query, progress, late, lambda: stop_after is not None and progress.alerted >= stop_after)
+    finally:
+        rows = [(host, experiment, seconds, batch) for batch, seconds in progress.reading.items()]
+        if rows:
+            read = spark.createDataFrame(rows, "host string, experiment_name string, latency double, batch long")
+            tables.replace_points(read.withColumn("time", F.current_timestamp()), root, READING)
 
 
-def run_available(
-    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None
+def publish_resources(
+    chunks: DataFrame,
+    watched: DataFrame,
+    root: str,
+    checkpoint: str,
+    experiment: str,
+    exact: bool = False,
+    at: Column | None = None,
+    partitions: int | None = None,
+    **trigger,
 ) -> None:
-    """Process what has arrived, appending to a parquet folder, and stop."""
+    """Write the own resource use of every closed chunk ``log, chunk, lines`` as points of the host that the log is named after.
+
+    A chunk is closed as a whole, so its lines are in one micro-batch and are joined with the process table there; a chunk without
+    lines is a point of zeros.  The time of a point is ``at``, or that of its arrival.
+    """
+    when = F.current_timestamp() if at is None else at
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = batch.select(F.col("log").alias("host"), "chunk", F.explode(F.split("lines", "\n")).alias("line"))
+        used = usage_by_chunk(rows, watched, ["host", "chunk"], exact=exact)
+        points = used.select(
+            when.alias("time"), "host", F.lit(experiment).alias("experiment_name"), *RESOURCE_METRICS, F.lit(number).alias("batch")
+        )
+        tables.replace_points(points, root, RESOURCE_POINTS)
+
+    with state_store(chunks.sparkSession, partitions):
+        query = (
+            chunks.writeStream.foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .start()
+        )
+    _finished(query, Progress(), "count")
+
+
+def run_available(
+    stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None, late: str = "fail"
+) -> Progress:
+    """Process what has arrived, appending to a parquet folder, and stop; rows that come too late raise ``LateRows``."""
     with state_store(stream.sparkSession, partitions):
         query = (
             stream.writeStream.format("parquet")
@@ -346,4 +473,4 @@ def run_available(
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
+    return _finished(query, Progress(), late)

@@ -76,11 +76,51 @@ def test_live(spark, tmp_path, capfd, go_on):
             "--checkpoint", str(tmp_path / "check"), "--host", "runner-x", "-name", "e", "--delay", "0 seconds", "--available"]
     main(args + ["--go_on"] if go_on else args)
     assert "Anomaly Detected" in capfd.readouterr().out
-    points = tables.read_points(spark, str(tmp_path / "p"), "predictions", "runner-x", "e")
-    accuracy = tables.read_points(spark, str(tmp_path / "p"), "accuracy", "runner-x", "e")
-    # The last interval is open, and every second snapshot is evaluated.
-    assert points.count() == accuracy.count() == 19
-    assert points.agg(F.countDistinct("time")).first()[0] == 19
+    points, accuracy, alerts, *steps = (
+        tables.read_points(spark, str(tmp_path / "p"), name, "runner-x", "e")
+        for name in ("predictions", "accuracy", "alerts", *reports.LATENCY_POINTS[1:])
+    )
+    # The last interval is open, and every second snapshot is evaluated; the sixth alerts, and the cluster ends there.
+    assert points.count() == accuracy.count() == (19 if go_on else 6)
+    assert points.agg(F.countDistinct("time")).first()[0] == points.count()
+    assert alerts.agg(F.min("confidence"), F.count("*")).first()[:] == (6, 14 if go_on else 1)
+    assert all(s.count() == points.count() and s.where("latency >= 0 AND latency < 10").count() == s.count() for s in steps)
+    # The latencies of this run can be reported on.
+    for name in reports.LATENCY_POINTS:
+        main(["report", "--points", str(tmp_path / "p"), "-uid", "x", "-name", "e", "-op", "latency", "-m", name])
+        assert "runner-x" in capfd.readouterr().out, name
+
+
+def test_live_options(spark, tmp_path):
+    """Limits reach the state: with a high limit nothing alerts, with a stride of one every snapshot is evaluated."""
+    rows = [("c", "w", i, "1,1", [f"f{i}"]) for i in range(12)]
+    df = spark.createDataFrame(rows, "cluster string, worker string, tick long, resource_data string, threaddump_data array<string>")
+    df = df.withColumn("ts", F.expr("timestampadd(SECOND, tick * 2, TIMESTAMP '2024-01-01 00:00:00')")).drop("tick")
+    df.coalesce(1).write.json(str(tmp_path / "in"))
+    (tmp_path / "workers.csv").write_text("c,w\nc,silent\n")
+    main(["live", "--samples", str(tmp_path / "in"), "--workers", str(tmp_path / "workers.csv"), "--points", str(tmp_path / "p"),
+          "--checkpoint", str(tmp_path / "check"), "--host", "runner-x", "--delay", "0 seconds", "--available", "--stride", "1",
+          "--confidence_limit", "100", "--empty_function", "--algo", "simple", "--partitions", "2"])
+    assert tables.read_points(spark, str(tmp_path / "p"), "predictions").count() == 11
+    assert not list((tmp_path / "p" / "alerts").glob("experiment_name=*"))
+
+
+def test_traffic(spark, tmp_path, capfd):
+    """From a log and a process table to the resource section of a report."""
+    folder = tmp_path / "logs" / "host=runner-x"
+    folder.mkdir(parents=True)
+    (folder / "a.txt").write_text("java/42/0 1.5 2\njava/7/0 9 9\nRefreshing:\nssh/7/0 1 1\nbroken\n")
+    (tmp_path / "processes.csv").write_text("runner-x,42,,10,1\nrunner-x,43,42,20,2\nrunner-x,7,,99,9\n")
+    (tmp_path / "main.csv").write_text("runner-x,42\n")
+    args = ["traffic", "--logs", str(tmp_path / "logs"), "--processes", str(tmp_path / "processes.csv"), "--main", str(tmp_path / "main.csv"),
+            "--points", str(tmp_path / "p"), "--checkpoint", str(tmp_path / "check"), "-name", "e", "--available"]
+    main(args)
+    (folder / "b.txt").write_text("java/43/0 3 4\nRefreshing:\nrest\n")
+    main(args)
+    points = tables.read_points(spark, str(tmp_path / "p"), reports.RESOURCE_POINTS, "runner-x", "e").collect()
+    assert sorted((r.upload, r.download, r.cpu, r.mem) for r in points) == [(1.5, 2.0, 10.0, 1.0), (4.0, 5.0, 20.0, 2.0)]
+    main(["report", "--points", str(tmp_path / "p"), "-uid", "x", "-name", "e", "-op", "max", "-m", "cpu"])
+    assert "20.0" in capfd.readouterr().out
 
 
 def test_compare(spark, tmp_path, capfd):
