@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,3 +101,41 @@ def fit_points(points: Sequence[tuple[float, float, float]], alpha: float) -> tu
 
     w1, w2 = min(candidates, key=cost)
     return w1, w2, my - w1 * m1 - w2 * m2
+
+
+def fit_many(points: np.ndarray, alpha: float) -> np.ndarray:
+    """The same fit for many lists of points at once: ``points[i]`` has rows (prev2, prev1, target), the result a row per list."""
+    n = float(points.shape[1])
+
+    def mean(values: np.ndarray) -> np.ndarray:
+        # Plain adding in order, as the other forms do; the built-in sum may add in pairs.
+        return reduce(add, values.T) / n
+
+    m1, m2, my = (mean(points[:, :, k]) for k in range(3))
+    d1, d2, dy = (points[:, :, k] - m[:, None] for k, m in enumerate((m1, m2, my)))
+    s11, s12, s22, c1, c2 = (mean(u * v) for u, v in ((d1, d1), (d1, d2), (d2, d2), (d1, dy), (d2, dy)))
+
+    def soft(c: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return np.divide(np.maximum(np.abs(c) - alpha, 0.0) * np.sign(c), s, out=np.zeros_like(s), where=s > 0)
+
+    zero = np.zeros_like(s11)
+    candidates = [(zero, zero), (soft(c1, s11), zero), (zero, soft(c2, s22))]
+    valid = [np.ones_like(s11, bool)] * 3
+    det = s11 * s22 - s12 * s12
+    solvable = det > SINGULAR * s11 * s22
+    for g1, g2 in SIGNS:
+        e1, e2 = c1 - alpha * g1, c2 - alpha * g2
+        w1 = np.divide(s22 * e1 - s12 * e2, det, out=np.zeros_like(det), where=solvable)
+        w2 = np.divide(s11 * e2 - s12 * e1, det, out=np.zeros_like(det), where=solvable)
+        candidates.append((w1, w2))
+        valid.append(solvable & (w1 * g1 > 0) & (w2 * g2 > 0))
+    costs = []
+    for (w1, w2), ok in zip(candidates, valid, strict=True):
+        gain = c1 * w1 + c2 * w2 - alpha * (np.abs(w1) + np.abs(w2))
+        cost = 0.5 * (s11 * w1 * w1 + 2.0 * s12 * w1 * w2 + s22 * w2 * w2) - gain
+        costs.append(np.where(ok, cost, np.inf))
+    # The first of the least, as the other forms take it.
+    best = np.argmin(np.stack(costs), axis=0)
+    at = np.arange(len(best))
+    w1, w2 = (np.stack([c[k] for c in candidates])[best, at] for k in range(2))
+    return np.stack([w1, w2, my - w1 * m1 - w2 * m2], axis=1)

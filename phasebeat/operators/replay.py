@@ -1,29 +1,31 @@
 """Lasso training with replay: each fit also sees synthetic points labelled by the model before.
 
-The versions of one phase form a chain with three numbers of state per resource.  Chains run in
-parallel, streamed in version order with constant memory.  A long chain is cut into segments that
-are also folded in parallel: a first pass starts each segment cold, then every segment whose start differs
-from the end of the one before is folded again from there, until all starts agree.  The result
-is exact.  Old models fade, so long segments need few repetitions: in a trial two with 2,048 versions per
-segment, ten with 256.
+The versions of one phase form a chain with three numbers of state per resource.  A chain is cut into segments, and all segments of
+a task advance together: one step fits the next version of every segment as numpy columns, so Python runs once per step and not once
+per row.  A first pass starts each segment cold, then every segment whose start differs from the end of the one before is folded
+again from there, until all starts agree.  The result is exact.  Old models fade, so long segments need few repetitions: in a trial two
+with 2,048 versions per segment, ten with 256.  What a pass has settled is not written again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES, Settings
-from phasebeat.functions.lasso import fit_points
+from phasebeat.functions.lasso import fit_many
 from phasebeat.operators.ordered import whole_part
 from phasebeat.workspace import store
 
 SEGMENT = ["cluster", "phase_id", "segment"]
 COEFFICIENTS = [f"{r}_{c}" for r in RESOURCES for c in ("w_prev2", "w_prev1", "intercept")]
 STARTS = [f"start_{c}" for c in COEFFICIENTS]
+# Rows of whole segments that a task advances together; a longer segment is taken alone.
+TOGETHER = 1 << 15
 
 # Fixed values of the seeded draw.
 PRIME = 2147483647
@@ -47,32 +49,69 @@ def synthetic_points(phase_id: str, version: int, resource: int, old: tuple, cou
     return points
 
 
+def synthetic_columns(phases: np.ndarray, versions: np.ndarray, resource: int, count: int, seed: int) -> np.ndarray:
+    """The features of the synthetic points of many models: ``phases`` is the number that the phase's id begins with."""
+    places = np.arange(2 * count, dtype=np.int64)
+    u = phases[:, None] + VERSION_STEP * versions[:, None] + PLACE_STEP * places
+    u = (u + RESOURCE_STEP * resource + SEED_STEP * seed) % PRIME
+    return (u * u % PRIME % HIGHEST + LOWEST).astype(float).reshape(len(phases), count, 2)
+
+
+def _wavefront(rows: pd.DataFrame, first: np.ndarray, names: list, settings: Settings) -> np.ndarray:
+    """The coefficients of every row; ``first`` are the places where a segment begins, in order."""
+    replay, seed, alpha = settings.replay, settings.seed, settings.alpha
+    lengths = np.diff(np.append(first, len(rows)))
+    # Segments by falling length: those that go on are always the first ones.
+    order = np.argsort(-lengths, kind="stable")
+    begin, lengths = first[order], lengths[order]
+    phases = np.array([int(p[:8], 16) for p in rows["phase_id"].to_numpy()[begin]], np.int64)
+    versions = rows["version"].to_numpy(np.int64)
+    own = np.stack([rows[[c for place in of for c in place]].to_numpy(float).reshape(len(rows), -1, 3) for of in names])
+    starts = rows[STARTS].to_numpy(float)[begin].reshape(len(begin), len(names), 3)
+    out = np.empty((len(rows), len(names), 3))
+    for step in range(int(lengths[0]) if len(lengths) else 0):
+        n = int(np.searchsorted(-lengths, -step, side="left"))
+        at = begin[:n] + step
+        old = starts if step == 0 else out[at - 1]
+        for k in range(len(names)):
+            model, mine = old[:n, k], own[k, at]
+            known = ~np.isnan(model[:, 0])
+            if known.any():
+                some = model[known]
+                x = synthetic_columns(phases[:n][known], versions[at[known]], k, replay, seed)
+                y = some[:, None, 0] * x[:, :, 0] + some[:, None, 1] * x[:, :, 1] + some[:, None, 2]
+                out[at[known], k] = fit_many(np.concatenate([mine[known], np.dstack([x, y])], axis=1), alpha)
+            if not known.all():
+                out[at[~known], k] = fit_many(mine[~known], alpha)
+    return out.reshape(len(rows), -1)
+
+
 def _folder(settings: Settings) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    size, alpha, replay, seed = settings.batch_size, settings.alpha, settings.replay, settings.seed
-    names = [[[f"{r}_{p}_{i}" for p in ("prev2", "prev1", "curr")] for i in range(size)] for r in RESOURCES]
+    names = [[[f"{r}_{p}_{i}" for p in ("prev2", "prev1", "curr")] for i in range(settings.batch_size)] for r in RESOURCES]
+
+    def advanced(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True)
+        first = np.flatnonzero((rows[SEGMENT] != rows[SEGMENT].shift()).any(axis=1).to_numpy())
+        out = rows[[*SEGMENT, "version"]].copy()
+        out[COEFFICIENTS] = _wavefront(rows, first, names, settings)
+        return out
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, models = None, [None] * len(RESOURCES)
+        # Rows come in order; the last segment of what is held may go on in the next frame.
+        held: list[pd.DataFrame] = []
         for frame in frames:
-            fitted = []
-            for row in frame.to_dict("records"):
-                key = (row["cluster"], row["phase_id"], row["segment"])
-                if key != current:
-                    current = key
-                    starts = [row[s] for s in STARTS]
-                    models = [
-                        None if pd.isna(starts[3 * k]) else tuple(starts[3 * k : 3 * k + 3])
-                        for k in range(len(RESOURCES))
-                    ]
-                for k in range(len(RESOURCES)):
-                    points = [tuple(row[c] for c in place) for place in names[k]]
-                    if models[k] is not None:
-                        points += synthetic_points(row["phase_id"], row["version"], k, models[k], replay, seed)
-                    models[k] = fit_points(points, alpha)
-                fitted.append([w for m in models for w in m])
-            out = frame[[*SEGMENT, "version"]].copy()
-            out[COEFFICIENTS] = pd.DataFrame(fitted, index=out.index, columns=COEFFICIENTS, dtype="float64")
-            yield out
+            if not len(frame):
+                continue
+            held.append(frame)
+            if sum(map(len, held)) >= TOGETHER:
+                rows = pd.concat(held, ignore_index=True)
+                last = rows[SEGMENT].iloc[-1]
+                cut = int(np.flatnonzero((rows[SEGMENT] != last).any(axis=1).to_numpy()).max(initial=-1)) + 1
+                if cut:
+                    yield advanced([rows.iloc[:cut]])
+                held = [rows.iloc[cut:]]
+        if held:
+            yield advanced(held)
 
     return fold
 
@@ -101,10 +140,12 @@ def replayed_lasso(
         first = rows.join(previous.select("cluster", "phase_id", following, *old), SEGMENT, "left")
     keep = ["cluster", "phase_id", "version", *COEFFICIENTS]
     present = rows.select(*SEGMENT).distinct()
-    result = store(_fold(first, settings), "models")
+    passes = [store(_fold(first, settings), "models")]
+    redone: list[DataFrame] = []
     used = None
     while True:
-        ends = result.groupBy(*SEGMENT).agg(F.max_by(F.struct(*COEFFICIENTS), "version").alias("e"))
+        # Only segments behind those of the last pass can have a new start.
+        ends = passes[-1].groupBy(*SEGMENT).agg(F.max_by(F.struct(*COEFFICIENTS), "version").alias("e"))
         starts = ends.select(
             "cluster", "phase_id", (F.col("segment") + 1).alias("segment"),
             *[F.col(f"e.{c}").alias(s) for c, s in zip(COEFFICIENTS, STARTS)],
@@ -112,9 +153,15 @@ def replayed_lasso(
         changed = starts if used is None else starts.join(used, [*SEGMENT, *STARTS], "left_anti")
         changed = store(changed, "starts")
         if changed.isEmpty():
-            return result.select(*keep)
-        again = _fold(rows.join(changed, SEGMENT), settings)
-        result = store(result.join(changed, SEGMENT, "left_anti").unionByName(again), "models")
+            break
+        redone.append(changed.select(*SEGMENT))
+        passes.append(store(_fold(rows.join(changed, SEGMENT), settings), "models"))
         used = changed if used is None else store(
             used.join(changed, SEGMENT, "left_anti").unionByName(changed), "starts"
         )
+    # Of each segment the last pass over it counts.
+    result, later = passes[-1], None
+    for one, again in zip(reversed(passes[:-1]), reversed(redone), strict=True):
+        later = again if later is None else later.unionByName(again).distinct()
+        result = result.unionByName(one.join(later, SEGMENT, "left_anti"))
+    return result.select(*keep)

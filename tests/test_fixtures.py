@@ -2,14 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from phasebeat import Settings
 from phasebeat.functions import errors, text
 from phasebeat.functions import phases as ph
-from phasebeat.functions.lasso import fit_points, with_lasso
-from phasebeat.operators import anomaly, compare, models, phases, reports, runs, ticks, traffic
+from phasebeat.functions.lasso import fit_many, fit_points, with_lasso
+from phasebeat.operators import anomaly, compare, models, phases, replay, reports, runs, ticks, traffic
 from phasebeat.schema import SAMPLES
 
 
@@ -407,3 +408,20 @@ def test_unknown_settings_are_refused():
     for bad in ({"algo": "ridge"}, {"variant": "v3"}, {"stride": 0}):
         with pytest.raises(ValueError):
             Settings(**bad)
+
+
+def test_many_fits_at_once_equal_single_fits():
+    rng = np.random.default_rng(5)
+    points = rng.integers(-4, 5, (400, 8, 3)).astype(float)
+    points[::7] = 1.0
+    points[1::7, :, 1] = points[1::7, :, 0]
+    found = fit_many(points, 0.1)
+    assert [tuple(f) for f in found] == [pytest.approx(fit_points([tuple(p) for p in one], 0.1), abs=1e-12) for one in points]
+
+
+def test_synthetic_columns_equal_single_values():
+    phases, versions = np.array([0, 0xFFFFFFFF, 77]), np.array([1, 10**6, 3])
+    found = replay.synthetic_columns(phases, versions, 1, 4, 9)
+    for i, (p, v) in enumerate(zip(phases, versions)):
+        single = [replay.synthetic_value(f"{p:08x}", int(v), 1, place, 9) for place in range(8)]
+        assert found[i].ravel().tolist() == single
