@@ -558,6 +558,9 @@ part("stacks", """
   WHERE closed AND contains(stack, 'spark')""", "dump_lines")
 oracle("dump_files", "SELECT dump_no, stack, threads FROM stacks", "stacks")
 ORACLES["dump_files"] = ORACLES["dump_files"].replace("event_id // 20 AS", "event_id // 1000 AS")
+oracle("dump_large_file", "SELECT dump_no, stack, threads FROM stacks", "stacks")
+ORACLES["dump_large_file"] = ORACLES["dump_large_file"].replace(
+    "event_id // 20 AS dump_no", "CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id // 1000 + 1 END AS dump_no")
 oracle("dump_stacks", "SELECT dump_no, stack, threads, stack || ' *** ' || threads AS line FROM stacks", "stacks")
 oracle("dump_stack_counts", "SELECT dump_no, count(*) AS stacks FROM stacks GROUP BY dump_no", "stacks")
 oracle("stack_text", "SELECT stack || ' *** ' || coalesce(threads, '-1') AS value, count(*) AS times FROM stacks GROUP BY 1", "stacks")

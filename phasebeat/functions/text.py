@@ -79,19 +79,23 @@ def dump_stacks(text: Column, start: str = STACK_START, threads: str = THREADS_L
     ends is dropped.  Its thread count is the first token of the last ``threads`` line since
     the stack before it, null if there is none.
     """
-    pattern = F.lit(rf"(?s)(.*?)([^\n]*\Q{start}\E.*?\n)\n")
-    before = F.regexp_extract_all(text, pattern, F.lit(1))
-    body = F.regexp_extract_all(text, pattern, F.lit(2))
+    # What follows the last empty line is not ended.
+    pieces = F.split(text, r"(?md)^\n", -1)
+    closed = F.slice(pieces, 1, F.size(pieces) - 1)
+    at = F.filter(F.transform(closed, lambda p, i: F.when(p.contains(start), i + 1)), lambda i: i.isNotNull())
+    before = F.concat(F.array(F.lit(0)), at)
     count_line = rf"(?s).*(?:^|\n)([^\n]*\Q{threads}\E[^\n]*)"
 
-    def one(lead: Column, stack: Column) -> Column:
-        line = F.regexp_extract(F.concat(lead, stack), count_line, 1)
+    def one(last: Column, here: Column) -> Column:
+        since = F.array_join(F.slice(closed, last + 1, here - last), "")
+        line = F.regexp_extract(since, count_line, 1)
+        stack = F.regexp_extract(F.get(closed, here - 1), rf"(?s)([^\n]*\Q{start}\E.*)", 1)
         return F.struct(
             F.regexp_replace(stack, "\n", "").alias("stack"),
             F.when(line != "", first_token(line)).alias("threads"),
         )
 
-    return F.zip_with(before, body, one)
+    return F.zip_with(F.slice(before, 1, F.size(at)), at, one)
 
 
 def tagged_stack(stack: Column, threads: Column) -> Column:

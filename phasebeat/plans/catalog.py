@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import text
-from phasebeat.operators import anomaly, compare, models, phases, reports, runs, ticks, traffic
+from phasebeat.operators import anomaly, compare, dumps, models, phases, reports, runs, ticks, traffic
 from phasebeat.operators.ordered import whole_part
 from phasebeat.plans import datasets as data
 from phasebeat.plans.online import Saved, visited, watch, watch_ticks
@@ -437,9 +437,9 @@ def traffic_chunks_exact(spark, sf):
 # --- dumps and text -----------------------------------------------------------------------
 
 
-def spark_stacks(dumps: DataFrame, key: str) -> DataFrame:
+def spark_stacks(texts: DataFrame, key: str) -> DataFrame:
     """Distinct stacks of each dump that mention Spark."""
-    stacks = dumps.select(key, F.explode(text.dump_stacks(text.scrub_addresses(F.col("value")))).alias("s"))
+    stacks = texts.select(key, F.explode(text.dump_stacks(text.scrub_addresses(F.col("value")))).alias("s"))
     return stacks.select(key, "s.stack", "s.threads").where(text.mentions_spark(F.col("stack"))).distinct()
 
 
@@ -464,15 +464,32 @@ def stack_text(spark, sf):
     return spark.read.text(path).groupBy("value").agg(F.count("*").alias("times"))
 
 
+def stacks_in_files(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct stacks that mention Spark, of dump files of any size read by line."""
+    lines = src.read_lines(spark, path)
+    number = F.regexp_extract("path", "dump_no=([0-9]+)/", 1).cast("long").alias("dump_no")
+    # A dump may be written as several files.
+    rows = lines.select(number, "path", "line_no", text.scrub_addresses(F.col("line")).alias("line"))
+    stacks = dumps.stacks_of_lines(rows, ["dump_no", "path"], CUT)
+    return stacks.select("dump_no", "stack", "threads").where(text.mentions_spark(F.col("stack"))).distinct()
+
+
 @query
 def dump_files(spark, sf):
-    """Dumps written as one text file each, longer than those above, and read whole."""
+    """Dumps written as one text file each, longer than those above, and read by line."""
     path = new_dir(spark, "dumps")
     # The writer ends the text with the newline that is cut off here.
     rows = data.dumps(spark, sf, 1000).select("dump_no", F.expr("left(value, length(value) - 1)").alias("value"))
     rows.write.partitionBy("dump_no").text(path)
-    number = F.regexp_extract("path", "dump_no=([0-9]+)/", 1).cast("long").alias("dump_no")
-    return spark_stacks(src.read_dumps(spark, path).select(number, "value"), "dump_no")
+    return stacks_in_files(spark, path)
+
+
+@query
+def dump_large_file(spark, sf):
+    """The same with one dump that holds a third of all stacks."""
+    path = new_dir(spark, "dumps")
+    tables.append_lines(data.dump_lines(spark, sf), path, ["dump_no"])
+    return stacks_in_files(spark, path)
 
 
 @query

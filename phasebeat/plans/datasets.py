@@ -126,9 +126,8 @@ def process_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("cluster", "worker", "tick", name.alias("name"), pid.alias("pid"), line.alias("line"))
 
 
-def dumps(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
-    """An aggregated dump text for every ``size`` events: blocks of a count line and a stack."""
-    rows = events(spark, sf_dir)
+def dump_block() -> Column:
+    """What an event adds to a dump: a count line and a stack; some lack the count, some the empty line at the end."""
     n = F.col("event_id")
     head = F.concat((F.col("k") % 9 + 1).cast("string"), F.lit(" threads with trace\n"))
     frames = F.concat(
@@ -140,7 +139,23 @@ def dumps(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
         F.lit(">\nat run\n"),
     )
     end = F.when(n % 13 == 0, F.lit("")).otherwise(F.lit("\n"))
-    block = F.concat(F.when(n % 11 == 0, F.lit("")).otherwise(head), frames, end)
+    return F.concat(F.when(n % 11 == 0, F.lit("")).otherwise(head), frames, end)
+
+
+def dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of many dumps, one of which holds every third event."""
+    n = F.col("event_id")
+    dump_no = F.when(n % 3 == 0, F.lit(0)).otherwise(whole_part("event_id", 1000) + 1)
+    # The text of a block ends in a newline, so the last part is empty.
+    lines = F.posexplode(F.slice(F.split(dump_block(), "\n", -1), 1, F.size(F.split(dump_block(), "\n", -1)) - 1))
+    rows = events(spark, sf_dir).select(dump_no.alias("dump_no"), "event_id", lines.alias("at", "line"))
+    return rows.select("dump_no", (F.col("event_id") * 10 + F.col("at")).alias("line_no"), "line")
+
+
+def dumps(spark: SparkSession, sf_dir: str, size: int = 20) -> DataFrame:
+    """An aggregated dump text for every ``size`` events: blocks of a count line and a stack."""
+    rows = events(spark, sf_dir)
+    block = dump_block()
     rows = rows.select(whole_part("event_id", size).alias("dump_no"), F.struct("event_id", block.alias("block")).alias("b"))
     blocks = F.transform(F.array_sort(F.collect_list("b")), lambda b: b["block"])
     return rows.groupBy("dump_no").agg(F.array_join(blocks, "").alias("value"))

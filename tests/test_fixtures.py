@@ -2,6 +2,8 @@
 
 import math
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from phasebeat import Settings
 from phasebeat.functions import errors, text
 from phasebeat.functions import phases as ph
 from phasebeat.functions.lasso import fit_many, fit_points, with_lasso
-from phasebeat.operators import anomaly, compare, models, phases, replay, reports, runs, ticks, traffic
+from phasebeat.operators import anomaly, compare, dumps, models, phases, replay, reports, runs, ticks, traffic
 from phasebeat.schema import SAMPLES
 
 
@@ -86,6 +88,20 @@ def test_dump_count_line_may_be_missing_or_in_an_earlier_block(spark):
         ("Stack:at A", "5"), ("Stack:at B 7 threads with trace x", "7"), ("Stack:", None)]
 
 
+@pytest.mark.parametrize("cut", [None, 2, 5])
+def test_stacks_from_lines_are_those_of_the_whole_dump(spark, cut):
+    """Random dumps: lines of every kind in any order, in segments shorter than a block."""
+    rng = random.Random(11)
+    kinds = ["", "", "Stack:", "x Stack: y", "at spark", " 7 threads with trace", "9 threads with trace z", "noise"]
+    texts = {d: [rng.choice(kinds) for _ in range(rng.randint(0, 60))] for d in range(25)}
+    rows = [(d, i, line) for d, some in texts.items() for i, line in enumerate(some)]
+    found = dumps.stacks_of_lines(spark.createDataFrame(rows, "d long, line_no long, line string").repartition(5), ["d"], cut)
+    whole = spark.createDataFrame([(d, "".join(f"{x}\n" for x in some)) for d, some in texts.items()], "d long, value string")
+    whole = whole.select("d", F.explode(text.dump_stacks(F.col("value"))).alias("s")).select("d", "s.*")
+    got = sorted(map(str, found.collect()))
+    assert got == sorted(map(str, whole.collect())) and len(got) > 40
+
+
 def test_long_dump_does_not_exhaust_the_matcher(spark):
     dump = "9 threads with trace\nStack:\n" + "at frame\n" * 200_000 + "\n"
     size = column(spark, [dump], lambda c: F.length(F.get(text.dump_stacks(c), F.lit(0))["stack"]))
