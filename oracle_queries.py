@@ -670,6 +670,14 @@ part("restarted", """
            AS confidence) FROM scored_s1""", "scored_s1", "samples")
 oracle("stream_restart", _stream("restarted"), "restarted")
 
+part("ends", "SELECT cluster, min(tick) AS last FROM missing GROUP BY cluster", "missing")
+_ended = lambda tick: f"""
+  SELECT cluster, {tick("tick")} AS tick, tick_no, confidence, confidence > 5 AS alert
+  FROM scored_s1 LEFT JOIN ends USING (cluster) WHERE last IS NULL OR tick < last
+  UNION ALL SELECT cluster, {tick("last")}, NULL, NULL, TRUE FROM ends"""
+for _name, _tick in (("missing_worker_ends", str), ("stream_missing_worker", lambda t: f"strftime(TIMESTAMP '2024-01-01' + to_seconds({t}), {STAMP})")):
+    oracle(_name, _ended(_tick), "scored_s1", "ends")
+    ORACLES[_name] = ORACLES[_name].replace("event_id // 4 AS tick", "event_id // 100 AS tick")
 oracle("stream_pairs", _stream("scored_s2"), "scored_s2")
 oracle("stream_until_alert", _stream("""(
     SELECT * FROM scored_s2 s

@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
     w.add_argument("--replay", type=int, default=5, help="synthetic points added to each later training")
     w.add_argument("--stop_at_first", action="store_true", help="drop the ticks after the first alert of a cluster")
     w.add_argument("--empty_function", action="store_true", help="a silent worker counts as one with an empty function")
+    w.add_argument("--missing_ends", action="store_true", help="a missing worker ends its cluster with an alert")
     w.add_argument("--phases", help="folder of saved phases: the analysis goes on from the version before and saves its own")
     w.add_argument("--version", type=int, default=1, help="version that is saved")
     w.add_argument("--points", help="folder for prediction and accuracy points")
@@ -60,6 +61,7 @@ def parser() -> argparse.ArgumentParser:
     v.add_argument("--go_on", action="store_true", help="a cluster does not end at its first alert")
     v.add_argument("--replay", type=int, default=5, help="synthetic points added to each later training")
     v.add_argument("--empty_function", action="store_true", help="a silent worker counts as one with an empty function")
+    v.add_argument("--missing_ends", action="store_true", help="a missing worker ends its cluster with an alert")
     v.add_argument("--keep_confidence", action="store_true", help="go on with the confidence of the start before")
     v.add_argument("--late", choices=("fail", "count"), default="fail", help="what happens if samples come later than the delay")
     v.add_argument("--partitions", type=int, help="partitions of the state, fixed by the first start")
@@ -114,7 +116,7 @@ def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
     samples = polled(src.read_samples(spark, a.samples, TIMED_SAMPLES), a.interval) if a.timed else src.read_samples(spark, a.samples)
     expected = spark.read.schema(WORKERS).csv(a.workers)
     before = Saved.load(spark, a.phases, a.version - 1) if a.phases else None
-    found = watch(samples, expected, settings, a.stop_at_first, a.empty_function, before=before)
+    found = watch(samples, expected, settings, a.stop_at_first, a.empty_function, before=before, missing_ends=a.missing_ends)
     found.scored.write.parquet(f"{a.out}/scored")
     found.ticks.write.parquet(f"{a.out}/ticks")
     found.phases.write.parquet(f"{a.out}/phases")
@@ -123,6 +125,8 @@ def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.phases:
         found.state().save(a.phases, a.version)
     scored = spark.read.parquet(f"{a.out}/scored")
+    alerted = scored.groupBy("cluster").agg(F.max("alert").alias("alert"))
+    scored = scored.where("tick_no IS NOT NULL")
     if a.points:
         time = F.timestamp_seconds(F.col("tick") * a.interval)
         tagged = scored.withColumns({"time": time, "host": F.lit(a.host), "experiment_name": F.lit(a.experiment_name)})
@@ -131,7 +135,6 @@ def run_watch(spark: SparkSession, a: argparse.Namespace) -> None:
         tables.write_points(tables.accuracy_points(tagged), a.points, reports.ACCURACY_POINTS + suffix)
     if a.stats:
         accuracy = smape_accuracy(scored, ["cluster"])
-        alerted = scored.groupBy("cluster").agg(F.max("alert").alias("alert"))
         lines = tables.accuracy_lines(accuracy.join(alerted, "cluster"), ["cluster"], a.variant, F.col("alert"), a.workload)
         tables.append_lines(lines, a.stats, ["cluster"])
 
@@ -141,7 +144,7 @@ def run_live(spark: SparkSession, a: argparse.Namespace) -> None:
     workers = spark.read.schema(WORKERS).csv(a.workers)
     ticks = live.tick_stream(samples, workers, a.interval, a.delay)
     trigger = {"availableNow": True} if a.available else {"processingTime": a.interval}
-    found = live.watch_stream(ticks, settings_of(a), a.empty_function, a.keep_confidence, stop_on_alert=not a.go_on)
+    found = live.watch_stream(ticks, settings_of(a), a.empty_function, a.keep_confidence, not a.go_on, a.missing_ends)
     # When every cluster has ended there is nothing left to watch.
     clusters = None if a.go_on else workers.select("cluster").distinct().count()
     done = live.publish(found, a.points, a.checkpoint, a.host, a.experiment_name, clusters, a.partitions, a.late, **trigger)

@@ -46,6 +46,11 @@ def missing_workers(samples: DataFrame, expected: DataFrame) -> DataFrame:
     return gaps.select(*TICK, F.explode(F.array_except("workers", "present")).alias("worker"))
 
 
+def missing_ends(samples: DataFrame, expected: DataFrame) -> DataFrame:
+    """``cluster, end``: the first tick in which a configured worker is missing; other clusters have no row."""
+    return missing_workers(samples, expected).groupBy("cluster").agg(F.min("tick").alias("end"))
+
+
 def with_silent_workers(samples: DataFrame, expected: DataFrame, empty_function: bool = False) -> DataFrame:
     """Add a ``0,0`` sample for each silent worker, with one empty function if asked for."""
     functions = F.array(F.lit("")) if empty_function else F.array().cast("array<string>")

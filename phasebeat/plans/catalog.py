@@ -350,6 +350,17 @@ def watch_minutes(spark, sf):
     return rounded(rows.select(*keep, *names), *names)
 
 
+# So many events a tick that large clusters have all their workers in most ticks.
+MISSING_EVENTS = 100
+
+
+@query
+def missing_worker_ends(spark, sf):
+    """Every cluster up to the first tick in which one of its workers is missing, which is an alert."""
+    rows = watch(*recorded(spark, sf, MISSING_EVENTS), DENSE, missing_ends=True).scored
+    return rows.select("cluster", "tick", "tick_no", "confidence", "alert")
+
+
 # --- runs, processes, traffic -------------------------------------------------------------------
 
 
@@ -734,9 +745,9 @@ def stream_window_mean(spark, sf):
     return rows.select("measurement", "host", stamp("window_start").alias("window_start"), r6("mean").alias("mean"))
 
 
-def watched_stream(spark: SparkSession, sf: str, halves: bool, settings: Settings = DENSE, **options) -> DataFrame:
+def streamed(spark: SparkSession, sf: str, halves: bool, settings: Settings, per_tick: int = data.TICK_EVENTS, **options) -> DataFrame:
     """Run the online form over samples that arrive at once or in two parts, stopping and going on after each part."""
-    samples, expected = recorded(spark, sf)
+    samples, expected = recorded(spark, sf, per_tick)
     source, path, check = (new_dir(spark, n) for n in ("live", "watched", "check"))
     half, tick = data.middle(samples), F.col("tick")
     for part in [tick < half, tick >= half] if halves else [F.lit(True)]:
@@ -747,7 +758,11 @@ def watched_stream(spark: SparkSession, sf: str, halves: bool, settings: Setting
         live.run_available(watched, path, check)
     live.end_marker(timed_samples(samples), "ts", "10 seconds").write.mode("append").json(source)
     live.run_available(watched, path, check)
-    rows = spark.read.parquet(path)
+    return spark.read.parquet(path)
+
+
+def watched_stream(spark: SparkSession, sf: str, halves: bool, settings: Settings = DENSE, **options) -> DataFrame:
+    rows = streamed(spark, sf, halves, settings, **options)
     rows = rows.select(
         "cluster", "tick_no", stamp("tick").alias("tick"), "phase_id", "idle", "seen", "version",
         *[f"predicted_{r}" for r in RESOURCES], "step", "confidence", "alert", "acc_cpu", "acc_mem",
@@ -784,6 +799,13 @@ def stream_empty_function(spark, sf):
     return watched_stream(spark, sf, halves=False, empty_function=True)
 
 
+@query
+def stream_missing_worker(spark, sf):
+    """Every cluster ends with an alert in the first tick in which one of its workers is missing."""
+    rows = streamed(spark, sf, False, DENSE, MISSING_EVENTS, missing_ends=True)
+    return rows.select("cluster", stamp("tick").alias("tick"), "tick_no", "confidence", "alert")
+
+
 def published(spark: SparkSession, sf: str) -> str:
     """The folder of the points that the online form publishes while samples arrive."""
     samples, expected = recorded(spark, sf)

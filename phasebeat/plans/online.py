@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,10 +93,25 @@ def watch(
     empty_function: bool = False,
     start_confidence: int = 0,
     before: Saved | None = None,
+    missing_ends: bool = False,
 ) -> Watch:
-    """Analyse samples with an integer ``tick`` per cluster and worker, going on from ``before`` if given."""
+    """Analyse samples with an integer ``tick`` per cluster and worker, going on from ``before`` if given.
+
+    With ``missing_ends`` a cluster ends at the first tick in which a configured worker is missing.  That tick is an alert without
+    a number, a phase or a confidence, and nothing is learnt from it; a cluster that ``stop_at_first`` has ended before has none.
+    """
+    ends = None
+    if missing_ends:
+        ends = store(ticks.missing_ends(samples, expected), "ends")
+        samples = samples.join(ends, "cluster", "left").where("end IS NULL OR tick < end").drop("end")
     snapshots, _ = _snapshots(samples, expected, settings, empty_function)
-    return watch_ticks(snapshots, settings, stop_at_first, start_confidence, before)
+    found = watch_ticks(snapshots, settings, stop_at_first, start_confidence, before)
+    if ends is None:
+        return found
+    if stop_at_first:
+        ends = ends.join(found.scored.where("alert").select("cluster").distinct(), "cluster", "left_anti")
+    last = ends.select("cluster", F.col("end").alias("tick"), F.lit(True).alias("alert"))
+    return replace(found, scored=found.scored.unionByName(last, allowMissingColumns=True))
 
 
 def watch_ticks(

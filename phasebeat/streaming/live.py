@@ -128,13 +128,22 @@ class ClusterWatcher(StatefulProcessor):
     a trigger.  A trigger brings intervals that the watermark has closed since the trigger before, so all are later than those.
 
     With ``stop_on_alert`` a cluster ends at its first alert: it gives no further tick and learns nothing more until the next
-    start, while other clusters go on.
+    start, while other clusters go on.  With ``missing_ends`` a configured worker that is missing ends its cluster too, as in the
+    first variant: the tick is an alert with nothing but its time.
     """
 
-    def __init__(self, settings: Settings, empty_function: bool = False, keep_confidence: bool = False, stop_on_alert: bool = False):
+    def __init__(
+        self,
+        settings: Settings,
+        empty_function: bool = False,
+        keep_confidence: bool = False,
+        stop_on_alert: bool = False,
+        missing_ends: bool = False,
+    ):
         if settings.variant != "v2":
             raise ValueError("the online form has the semantics of the second variant")
-        self.settings, self.empty_function, self.stop_on_alert = settings, empty_function, stop_on_alert
+        self.settings, self.empty_function = settings, empty_function
+        self.stop_on_alert, self.missing_ends = stop_on_alert, missing_ends
         self.start = uuid.uuid4().hex
         self.keep_confidence = keep_confidence
 
@@ -163,6 +172,11 @@ class ClusterWatcher(StatefulProcessor):
         for tick in ticks:
             if run[11]:
                 continue
+            if self.missing_ends and not {r["worker"] for r in tick.readings}.issuperset(tick.workers):
+                run[11] = True
+                blank = dict.fromkeys((c.split()[0] for c in RESULT_SCHEMA.split(", ")))
+                yield tuple((blank | {"cluster": cluster, "tick": tick.tick, "alert": True}).values())
+                continue
             cpu, mem, functions = self._snapshot(tick)
             before = set(run[5])
             run[0] += 1
@@ -262,16 +276,18 @@ def watch_stream(
     empty_function: bool = False,
     keep_confidence: bool = False,
     stop_on_alert: bool = False,
+    missing_ends: bool = False,
 ) -> DataFrame:
     """Evaluated ticks of a stream of cluster ticks.
 
     Each call is a new start: phases and models go on from the checkpoint, the confidence begins at zero unless it is kept.
     Input is aggregated already, one row per cluster and interval, so even a cluster that
-    sends a third of all samples is a thin sequence here.  With ``stop_on_alert`` each cluster ends at its own first alert.
+    sends a third of all samples is a thin sequence here.  With ``stop_on_alert`` each cluster ends at its own first alert, with
+    ``missing_ends`` at the first tick in which a configured worker is missing.
     The last three columns are the seconds that predicting, updating the model and scoring took.
     """
     return ticks.groupBy("cluster").transformWithStateInPandas(
-        statefulProcessor=ClusterWatcher(settings, empty_function, keep_confidence, stop_on_alert),
+        statefulProcessor=ClusterWatcher(settings, empty_function, keep_confidence, stop_on_alert, missing_ends),
         outputStructType=RESULT_SCHEMA,
         outputMode="append",
         timeMode="none",
@@ -397,11 +413,12 @@ def publish(
         batch = batch.persist()
         tags = [F.col("tick").alias("time"), F.lit(host).alias("host"), F.lit(experiment).alias("experiment_name")]
         points = batch.select("*", *tags, F.lit(number).alias("batch"))
+        evaluated = points.where("tick_no IS NOT NULL")
         for name, rows in (
-            ("predictions", tables.prediction_points(points, "batch")),
-            ("accuracy", tables.accuracy_points(points, "batch")),
+            ("predictions", tables.prediction_points(evaluated, "batch")),
+            ("accuracy", tables.accuracy_points(evaluated, "batch")),
             (tables.ALERTS, tables.alert_points(points, "batch")),
-            *((n, points.select(*tables.TAG_COLUMNS, F.col(c).alias("latency"), "batch")) for n, c in LATENCIES.items()),
+            *((n, evaluated.select(*tables.TAG_COLUMNS, F.col(c).alias("latency"), "batch")) for n, c in LATENCIES.items()),
         ):
             tables.replace_points(rows, root, name)
         progress.alerts[number] = batch.where("alert").count()

@@ -1,7 +1,6 @@
 """Worked cases, one per operator."""
 
 import math
-
 import random
 
 import numpy as np
