@@ -1,11 +1,13 @@
 """Personal data by rules and by bootstrapped context patterns, in DataFrame functions only.
 
-Rules find e-mail addresses, network addresses, card and phone numbers.  These are the seeds.  The word next to a seed is a lexical
-pattern of it, and every token with digits is an instance that patterns may reach.  Patterns and instances form a
+Rules find e-mail addresses, network addresses, card and phone numbers.  These are the seeds, together with tokens that have the
+shape of a key: long, of letters and digits that change often.  The words next to a seed, one on either side and the two before it, are
+lexical patterns of it, and every token with digits is an instance that patterns may reach.  Patterns and instances form a
 graph that is scored in rounds: a pattern by the part of its instances that are trusted, an instance by its patterns.
 A pattern is trusted too if most of its instances are seeds, and far more than beside other words: instances that no rule knows are
 what it is to find, and do not count against it.
-Tokens of high-scored instances next to high-scored patterns are added with the kind ``other``; what the rules found stays.
+Tokens next to high-scored patterns are added with the kind ``other``, as are the tokens with the shape of a key; what the rules
+found stays.
 
 Positions come from splitting a text at the matches of a pattern and summing lengths, so there is one row per match and
 no state per document beyond a window over its own matches.
@@ -33,7 +35,10 @@ PATTERNS = {
 KINDS = list(PATTERNS)
 # What a text must contain for a pattern to match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "other": None}
-EDGE = r"""["'()\[\]{},.;:!?*$%&#<>|=]+"""
+EDGE = """"'()[]{},.;:!?*$%&#<>|="""
+# The shape of a key: its characters, and how often a letter follows a digit at least.
+KEY = r"^[A-Za-z0-9_-]{20,128}$"
+CHANGES = 4
 
 # Bounds of the bootstrap: context length in characters, length and digits of an instance, instances that a pattern must
 # have reached, the score from which patterns and instances are trusted, rounds.
@@ -100,9 +105,9 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, kind, start, stop, match, left, right`` of base matches, and of tokens with digits that touch none.
+    """``doc_id, mark, kind, start, stop, match, left, right, pair`` of base matches, and of tokens with digits that touch none.
 
-    Positions are in code points, the end exclusive; ``left`` and ``right`` are the neighbouring words.
+    Positions are in code points, the end exclusive; ``left`` and ``right`` are the neighbouring words, ``pair`` the two on the left.
     """
     # Rows that share id and text are one here; their matches are the same.
     pieces = store(_pieces(docs), "pieces").dropDuplicates([*ROW, "kind", "k"])
@@ -111,8 +116,8 @@ def matches(docs: DataFrame) -> DataFrame:
     placed = pieces.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("match")).drop("gap", "k")
     # Tokens lose the punctuation around them.
     other = F.col("kind") == KINDS.index("other")
-    head = F.length("match") - F.length(F.regexp_replace("match", f"^{EDGE}", ""))
-    core = F.regexp_replace(F.regexp_replace("match", f"^{EDGE}", ""), f"{EDGE}$", "")
+    head = F.length("match") - F.length(F.ltrim(F.col("match"), F.lit(EDGE)))
+    core = F.btrim(F.col("match"), F.lit(EDGE))
     trimmed = placed.withColumns({"start": F.when(other, F.col("start") + head).otherwise(F.col("start")), "match": F.when(other, core).otherwise(F.col("match"))})
     trimmed = trimmed.withColumn("stop", F.col("start") + F.length("match")).where(_valid(F.col("kind"), F.col("match")))
     # A token that touches a base match is part of it.
@@ -122,9 +127,26 @@ def matches(docs: DataFrame) -> DataFrame:
     ahead = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
     touched = F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("stop"), F.lit(False))
     apart = trimmed.withColumn("touched", touched).where(base | ~F.col("touched")).drop("touched")
-    left = F.lower(F.regexp_extract("left", r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
+    words = F.filter(F.split(F.lower("left"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    last = F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2))
+    left = F.coalesce(F.try_element_at(last, F.lit(-1)), F.lit(""))
+    pair = F.when(F.size(last) == 2, F.array_join(last, " ")).otherwise("")
     right = F.lower(F.regexp_extract("right", r"^[^\x20\x09-\x0D]*[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
-    return apart.withColumns({"left": left, "right": right})
+    return apart.withColumns({"left": left, "right": right, "pair": pair})
+
+
+def is_seed() -> Column:
+    """Whether a row of ``matches`` is a seed: a base match, or a token with the shape of a key."""
+    changes = F.regexp_count("match", F.lit("[0-9][A-Za-z]"))
+    return (F.col("kind") < KINDS.index("other")) | (F.col("match").rlike(KEY) & (changes >= CHANGES))
+
+
+SIDES = ("left", "right", "pair")
+
+
+def _patterns() -> Column:
+    """The lexical patterns of a row of ``matches``."""
+    return F.array_compact(F.array(*[F.when(F.col(side) != "", F.concat(F.lit(f"{side}="), F.col(side))) for side in SIDES]))
 
 
 def _lift(n: Column, seeds: Column, rest: Column) -> Column:
@@ -141,10 +163,7 @@ def trusted_patterns(found: DataFrame, support: int = SUPPORT, trust: float = TR
     one; an instance that no rule has found gets the noisy-or of its trusted patterns' scores.  A pattern is trusted for its
     score, or for its lift: instances that no rule has found are neutral there as long as seeds are the larger part.
     """
-    seed = F.col("kind") < KINDS.index("other")
-    sides = [F.concat(F.lit(f"{side}="), F.col(side)) for side in ("left", "right")]
-    edges = found.select("match", seed.alias("seed"), F.explode(F.array(*sides)).alias("pattern"))
-    edges = edges.where(~F.col("pattern").isin("left=", "right="))
+    edges = found.select("match", is_seed().alias("seed"), F.explode(_patterns()).alias("pattern"))
     edges = store(edges.groupBy("pattern", "match").agg(F.max(F.col("seed").cast("double")).alias("score")), "graph")
     total = edges.agg(F.count("*").alias("n"), F.sum("score").alias("seeds")).first()
 
@@ -168,7 +187,7 @@ def trusted_patterns(found: DataFrame, support: int = SUPPORT, trust: float = TR
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other, mark`` of every row.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other, n_spans, mark`` of every row.
 
     ``spans`` lists ``kind:start:end``, by kind, then start.  Null texts count as empty and have no spans, repeated rows all get
     theirs, an empty table gives no rows.  A text without matches has the digest of the empty string.
@@ -176,9 +195,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     found = store(matches(docs), "matches")
     good = trusted_patterns(found)
     tokens = found.where(F.col("kind") == KINDS.index("other"))
-    sides = [F.struct(F.concat(F.lit(f"{side}="), F.col(side)).alias("pattern")) for side in ("left", "right")]
-    reach = tokens.select(*ROW, "kind", "start", "stop", F.explode(F.array(*sides)).alias("s")).select(*ROW, "kind", "start", "stop", "s.pattern")
-    added = reach.join(good.select("pattern"), "pattern", "left_semi").drop("pattern").distinct()
+    reach = tokens.select(*ROW, "kind", "start", "stop", F.explode(_patterns()).alias("pattern"))
+    keys = tokens.where(is_seed()).select(*ROW, "kind", "start", "stop")
+    added = reach.join(good.select("pattern"), "pattern", "left_semi").drop("pattern").unionByName(keys).distinct()
     spans = found.where(F.col("kind") < KINDS.index("other")).select(*ROW, "kind", "start", "stop").unionByName(added)
     listed = F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("all")
     by_row = spans.groupBy(*ROW).agg(listed)
@@ -197,5 +216,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
     counts = [count(n) for n in range(len(KINDS))]
     base = F.filter("all", lambda s: s["kind"] < KINDS.index("other"))
     return joined.select(
-        "doc_id", *counts[:-1], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("all")).alias("spans"), counts[-1], "mark"
+        "doc_id", *counts[:-1], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("all")).alias("spans"), counts[-1], F.size("all").cast("long").alias("n_spans"), "mark"
     )

@@ -102,6 +102,31 @@ def test_patterns_with_many_unseen_instances_are_trusted(spark, unseen):
     check_base(found.values(), dict(rows))
 
 
+def test_keys_are_seeds_of_their_own_context(spark):
+    """Keys are found by their shape; the two words before them lead to one that has another shape, other numbers stay."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=9))
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=40))
+    rows = [(i, f'{word()} secret = "{key()}"!! {word()}') for i in range(40)]
+    rows += [(100, f'{word()} secret = "12.34.5678/x" {word()}'), (101, f"{word()} total = 12345678 {word()}"), (102, f"{word()} {'9' * 60}")]
+    rows += [(200 + i, f"{word()} total = {rng.randint(10**6, 10**7)} {word()}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "pair=secret =" in {r.pattern for r in trusted_patterns(matches(docs)).collect()}
+    found = {r.doc_id: r for r in personal_data(docs).collect()}
+    for i, text in rows[:40]:
+        start = text.index('"') + 1
+        assert found[i].spans == f"other:{start}:{start + 40}" and found[i].n_spans == found[i].n_other == 1
+    assert found[100].n_other == 1
+    assert sum(r.n_spans for r in found.values()) == 41
+    check_base(found.values(), dict(rows))
+
+
+def test_a_long_token_of_marks_is_linear(spark):
+    docs = spark.createDataFrame([(1, "1234" + "=" * 1_000_000 + "a"), (2, "=" * 1_000_000 + "123456")], "doc_id long, text string")
+    found = {r.doc_id: r.n_spans for r in personal_data(docs).collect()}
+    assert found == {1: 0, 2: 0}
+
+
 def plain_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
