@@ -195,10 +195,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
-    """Model of at most ``limit`` labelled ids, those with the smallest hash; without both labels a constant."""
+    """Model of at most ``limit`` labelled ids, those with the smallest hash; without both labels a constant.
+
+    Of the texts of a repeated id the least counts, so the sample has at most ``limit`` rows.
+    """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # bounded, so it may be broadcast
     joined = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(some), "doc_id")
+    joined = joined.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"))
     sample = store(statistics(joined, "doc_id", "quality"), "labelled")
     rows = sample.orderBy("doc_id", *STATISTICS).collect()
     if not rows:
@@ -211,6 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
 
 
 def quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` and the statistics of every row; null texts count as empty and are scored too."""
+    """``doc_id, score, predicted`` and the statistics of every row; null texts count as empty and are scored too.
+
+    Repeated rows are scored alike, a score equal to ``threshold`` counts as above it, an empty table gives no rows.
+    """
     scored = statistics(docs, "doc_id").withColumn("score", model.score())
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -58,10 +58,11 @@ def features(text: str, names: WordNames) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """``text, toxic`` of at most ``limit`` labelled ids, written once."""
+    """``text, toxic`` of at most ``limit`` labelled ids, one row each, written once; of the texts of a repeated id the least counts."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)  # bounded, so it may be broadcast
-    return store(docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic"), "labelled")
+    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(some), "doc_id")
+    return store(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "labelled")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,3 +150,28 @@ def test_toxic_rows_go_and_columns_stay(spark, edges, nothing):
     assert toxicity.fit(edges, known.where("toxic = 0").drop("text")) is None
     assert not any(r.toxic for r in toxicity.toxicity(edges, None).collect())
     assert toxicity.without_toxic(nothing, model).count() == toxicity.toxicity(nothing, model).count() == 0
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
+    rows = [(1, f"text {i}") for i in range(500)] + [(i, f"words of {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled_sample(docs, labels, 20).count() == 20
+    sample = toxicity.labelled_sample(docs, labels, 100).collect()
+    assert len(sample) == 59 and [r.text for r in sample if r.text.startswith("text")] == ["text 0"]
+    before = rule_ensemble.fit(docs.dropDuplicates(["doc_id"]), labels)
+    assert rule_ensemble.fit(docs, labels).weights == before.weights
+
+
+@pytest.mark.parametrize("text", ["²", "½", "①", "12 ²³ ½"])
+def test_numbers_of_other_kinds_are_no_letters(spark, text):
+    rows = [(1, "the cat is here", "en"), (2, "le chat est ici", "fr")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    found = language.languages(spark.createDataFrame([(3, text)], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred for r in found] == ["und"]
+
+
+def test_quotes_are_no_part_of_a_word():
+    plain = language._cleaned('"mot" - autre')
+    typographic = language._cleaned("\u201cmot\u201d \u2013 autre")
+    assert typographic.tobytes().split() == plain.tobytes().split() == [b"mot", b"autre"]
