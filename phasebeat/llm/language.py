@@ -30,6 +30,8 @@ LEAST_SHARE = 0.01
 FOREIGN = -30.0
 PIECE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
+# Marks beyond ASCII that stand next to words and are no part of them.
+_MARKS = re.compile("[\u00a0-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3003\u3008-\u3020]")
 _INSIDE = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 
 
@@ -66,7 +68,7 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
 
 def _cleaned(text: str) -> np.ndarray:
     """Lower-case bytes, all that is no letter as one kind of blank, blanks at both ends."""
-    data = np.frombuffer((" " + text.lower() + "  ").encode("utf-8", "replace"), np.uint8)
+    data = np.frombuffer((" " + _MARKS.sub(" ", text.lower()) + "  ").encode("utf-8", "replace"), np.uint8)
     return np.where(_INSIDE[data], data, np.uint8(32))
 
 
@@ -126,7 +128,7 @@ def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
 
 def identify(text: str | None, model: Model | None) -> tuple[str, float, int]:
     """Language of most letters, its score, and the number of spans; ``und`` for a text without letters."""
-    if not text or model is None or not _LETTER.search(text):
+    if not text or model is None or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
         return "und", 0.0, 0
     scores, sizes = word_scores(text, model)
     if not len(scores):
