@@ -2,7 +2,7 @@
 
 Bytes, words and rows are balanced together.  Rows become at most a bounded number of placement units before
 anything is placed: small groups of equal texts are bundled by a hash, a group that is larger than a small part
-of a shard is a unit of its own, and one that is over half a shard is cut into pieces by a hash of the document id.  So the
+of a shard is a unit of its own, and one that is over half a shard is cut into pieces by a stored number of the row.  So the
 driver places the same number of units whatever the size of the corpus, and a group that holds a third of
 all rows is spread over shards.
 """
@@ -70,12 +70,15 @@ def place(loads: np.ndarray, n_shards: int, weights: tuple[float, ...] = WEIGHTS
 
 
 def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, size, words, text_crc32, same`` of each row, and ``keep`` under names that begin with ``_``; equal texts have the same ``same``."""
+    """``doc_id, size, words, text_crc32, same, salt`` of each row, and ``keep`` under names that begin with ``_``.
+
+    Equal texts have the same ``same``; ``salt`` tells repeated rows apart, so store the result before use.
+    """
     text = text_of(docs)
     size = (n_bytes(text) + F.lit(OVERHEAD)).alias("size")
     crc = F.crc32(text.cast("binary")).cast("long").alias("text_crc32")
     same = F.xxhash64(text, F.octet_length(text)).alias("same")
-    return docs.select("doc_id", size, n_words(text).alias("words"), crc, same, *[F.col(f"`{c}`").alias(f"_{c}") for c in keep])
+    return docs.select("doc_id", size, n_words(text).alias("words"), crc, same, F.monotonically_increasing_id().alias("salt"), *[F.col(f"`{c}`").alias(f"_{c}") for c in keep])
 
 
 def shards(
@@ -99,7 +102,7 @@ def shards(
     large = groups.where(part * coarse > 1).select("same", "text_crc32", parts)
     small = bucket(F.col("same"), n_shards * fine, 1).cast("long")
     # Fewer than 3 x n_shards x coarse groups can be over that part in one of three loads.
-    piece = F.xxhash64("same", "text_crc32", bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("parts"), 2))
+    piece = F.xxhash64("same", "text_crc32", bucket(F.col("salt"), F.col("parts"), 2))
     unit: Column = F.when(F.col("parts").isNull(), small).otherwise(piece)
     marked = rows.join(F.broadcast(large), ["same", "text_crc32"], "left").withColumn("unit", unit)
     found = marked.groupBy("unit").agg(*loads).orderBy("unit").collect()
@@ -107,12 +110,12 @@ def shards(
     pairs = [(u["unit"], int(s)) for u, s in zip(found, placed, strict=True)]
     units = spark.createDataFrame(pairs, "unit long, shard int")
     cells = max(64, -(-int(total["rows"]) // (slot_rows * n_shards)))
-    cell = bucket(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), cells, 3)
+    cell = bucket(F.col("salt"), cells, 3)
     dealt = store(marked.join(F.broadcast(units), "unit").withColumn("cell", cell), "dealt")
     counts = dealt.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "cell", F.coalesce(before, F.lit(0)).alias("start"))
-    place_in = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "same"))
+    place_in = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "same", "salt"))
     numbered = dealt.withColumn("place", place_in).join(starts, ["shard", "cell"])
     return numbered.select(
         "doc_id",

@@ -136,3 +136,16 @@ def test_shards_of_edges(spark, edges, nothing):
     few = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert len(packed(few)) == 2
     assert {r.size for r in packed(few.withColumn("text", F.lit(None).cast("string")))} == {8}
+
+
+def test_a_large_group_of_repeated_rows_is_spread(spark):
+    """A third of all rows are one row, id and text alike."""
+    rows = [(7, "same text again")] * 1000 + [(100 + i, f"text number {i}") for i in range(2000)]
+    found = shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r.shard, []).append(r)
+    sizes, counts = [sum(r.size for r in rs) for rs in by.values()], [len(rs) for rs in by.values()]
+    assert len(found) == 3000 and len(by) == 24
+    assert max(sizes) - min(sizes) <= 0.05 * max(sizes) and max(counts) <= 1.2 * min(counts)
+    assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
