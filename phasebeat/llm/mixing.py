@@ -8,6 +8,8 @@ new order, whole epochs take all of them, and the last one stops where the budge
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,14 @@ def exponent_for_entropy(sources: DataFrame, part: float) -> float:
     return _search(sources, entropy >= F.lit(part) * F.log("n") - F.lit(1e-12), low_is_met=True)
 
 
+def exponent_midway(sources: DataFrame, limit: float = 2.0) -> float:
+    """The largest exponent whose entropy is halfway from that of the shares to its maximum, or the repetition limit's if that is larger."""
+    entropy = F.sum(-F.col("share") * F.log("share"))
+    row = sources.agg(F.count("*").alias("n"), entropy.alias("entropy")).first()
+    part = (row["entropy"] / math.log(row["n"]) + 1) / 2 if row["n"] > 1 else 1.0
+    return max(exponent_for_entropy(sources, part), exponent_for_repetition(sources, limit))
+
+
 def source_shares(rows: DataFrame) -> DataFrame:
     """``source, tokens, share`` of each source with tokens; ``rows`` has ``source`` and ``tokens``."""
     by = rows.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
@@ -68,7 +78,7 @@ def source_shares(rows: DataFrame) -> DataFrame:
 
 def mixture(
     docs: DataFrame,
-    repetition: float | None = 2.0,
+    repetition: float | None = None,
     entropy: float | None = None,
     budget: int | None = None,
     block_tokens: int = 32_768,
@@ -77,7 +87,8 @@ def mixture(
 ) -> DataFrame:
     """Every draw of the mixture: ``doc_id, source, tokens, epoch, block, weight, exponent, mix_key, mark`` and ``keep``.
 
-    Tokens are words.  ``budget`` is the number of tokens to draw; by default it is just large enough that every source
+    The target is the ``entropy`` (as a part of its maximum) or else the limit of ``repetition``; without either it is the entropy halfway
+    between that of the shares and its maximum, with no source repeated over twice.  Tokens are words.  ``budget`` is the number of tokens to draw; by default it is just large enough that every source
     is taken once or more, so no document is left out.  Sorting by ``mix_key`` (0 to 1) gives the training order,
     in which all sources advance at the rate of their weights.
 
@@ -91,7 +102,12 @@ def mixture(
     kept = [F.col(f"`{c}`").alias(f"_{c}") for c in keep]
     rows = store(docs.select("doc_id", key, n_words(text).alias("tokens"), mark, *kept), "draws")
     sources = store(source_shares(rows), "sources")
-    exponent = exponent_for_entropy(sources, entropy) if entropy is not None else exponent_for_repetition(sources, repetition or 1.0)
+    if entropy is not None:
+        exponent = exponent_for_entropy(sources, entropy)
+    elif repetition is not None:
+        exponent = exponent_for_repetition(sources, repetition)
+    else:
+        exponent = exponent_midway(sources)
     power = F.pow("share", F.lit(exponent))
     z = sources.agg(F.sum(power).alias("z"), F.max(F.col("tokens") / power).alias("fit")).first()
     drawn = float(budget) if budget is not None else (z["fit"] or 0.0) * (z["z"] or 0.0)

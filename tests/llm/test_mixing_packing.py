@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from phasebeat.llm.mixing import exponent_for_entropy, exponent_for_repetition, mixture
+from phasebeat.llm.mixing import exponent_for_entropy, exponent_for_repetition, exponent_midway, mixture
 from phasebeat.llm.packing import place, shards
 
 
@@ -149,3 +149,19 @@ def test_a_large_group_of_repeated_rows_is_spread(spark):
     assert len(found) == 3000 and len(by) == 24
     assert max(sizes) - min(sizes) <= 0.05 * max(sizes) and max(counts) <= 1.2 * min(counts)
     assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
+
+
+def test_the_default_target_binds(spark):
+    sizes = [130, 120, 110, 90, 80]
+    total = sum(sizes)
+    shares = np.array(sizes) / total
+    docs = spark.createDataFrame([(s * 1000 + i, "w", f"s{s}") for s, n in enumerate(sizes) for i in range(n)], "doc_id long, text string, source string")
+    exponent = mixture(docs).first().exponent
+    weights = shares**exponent / (shares**exponent).sum()
+    entropy = lambda p: -(p * np.log(p)).sum()
+    assert 0 < exponent < 1
+    assert entropy(weights) == pytest.approx((entropy(shares) + math.log(5)) / 2, rel=1e-6)
+    # Where the entropy would repeat a source over twice, the repetition limit holds.
+    a = exponent_midway(sources_frame(spark, TOKENS))
+    assert (TOKENS[0] / TOKENS[-1]) ** (1 - a) == pytest.approx(2.0, rel=1e-5)
+    assert exponent_midway(sources_frame(spark, [5])) == pytest.approx(1.0)
