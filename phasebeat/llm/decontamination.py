@@ -2,11 +2,12 @@
 
 Every chunk of documents gets a suffix array over its words.  Every suffix of every benchmark item is searched in it by
 bisection: equal words, then equal pairs, fours and eights of words are looked up among the sorted names of the chunk,
-and the ten words of a window by two of those.  The range that is found lists all occurrences.  Neighbouring
-occurrences on the same diagonal are one longer verbatim match.
+and the ten words of a window by two of those.  The range that is found holds all occurrences; ranges of different
+windows never overlap, so a range is looked at once, however often its window is repeated in the items.  How far a match goes on is
+read from the neighbours of its start among the sorted suffixes of what was hit and of the items.
 
-The benchmark is the query set: its items pass through the driver in blocks of bounded size, and each block is searched in all
-chunks.  Documents never pass through the driver, and no task holds more than a chunk.
+The benchmark is the query set: its items are packed into blocks and written beside the chunks, and every chunk meets every block.
+A chunk's array is built once for all blocks that follow one another.  No task holds more than a chunk and a block.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasebeat.llm.chunks import CHUNK_BYTES, chunks_of, unpack
+from phasebeat.llm.chunks import CHUNK_BYTES, chunks_of, pack, unpack
 from phasebeat.llm.common import text_of
 from phasebeat.llm.wordnames import WordNames, words_by_text
 from phasebeat.workspace import drop, store
 
 WINDOW = 10
 ITEM_BLOCK_BYTES = 4 << 20
-MATCHES_AT_ONCE = 1 << 21
+# A text's items are gathered so many at a time.
+ITEMS_AT_ONCE = 1 << 20
 
 
 class SuffixArray:
@@ -101,53 +103,177 @@ class SuffixArray:
         return lo, hi
 
 
+def _spread(lows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at ``lows``, one after another."""
+    return np.repeat(lows - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _runs(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` in the order of ``at`` with a zero behind each run of neighbouring places, and the place of each."""
+    order = np.argsort(at, kind="stable")
+    at, values = at[order], values[order]
+    ends = np.flatnonzero(np.diff(at, append=at[-1:] + 2) != 1) + 1
+    return np.insert(values, ends, 0), np.insert(at, ends, -1)
+
+
+def longest_common(text: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of ``text`` the longest common run with any place of ``query``, and that place.
+
+    Zeros separate runs in both.  All suffixes are sorted together by doubling; the longest run is shared with the nearest suffix of the
+    query before or after, and its length is read from the names of each doubling.
+    """
+    both = np.concatenate([text, query])
+    n = len(both)
+    zeros = np.flatnonzero(both == 0)
+    left = zeros[np.searchsorted(zeros, np.arange(n))] - np.arange(n)
+    cap = int(min(left[: len(text)].max(), left[len(text) :].max()))
+    names, levels, width = both, [both.astype(np.int32)], 1
+    while width < cap:
+        after = np.zeros(n, np.int64)
+        after[:-width] = names[width:]
+        distinct, names = np.unique((names << 32) + after, return_inverse=True)
+        names = names.astype(np.int64)
+        levels.append(names.astype(np.int32))
+        width *= 2
+        if len(distinct) == n:
+            break
+    order = np.argsort(names, kind="stable")
+    mine = order < len(text)
+    rank = np.arange(n)
+    before = np.maximum.accumulate(np.where(mine, -1, rank))[mine]
+    behind = np.minimum.accumulate(np.where(mine, n, rank)[::-1])[::-1][mine]
+    place = order[mine]
+    length, at = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
+    for near, known in ((before, before >= 0), (behind, behind < n)):
+        a, b = place[known], order[near[known]]
+        run = np.zeros(len(a), np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            x, y = a + run, b + run
+            inside = np.maximum(x, y) < n
+            same = levels[k][np.where(inside, x, 0)] == levels[k][np.where(inside, y, 0)]
+            run += np.where(inside & same, 1 << k, 0)
+        run = np.minimum(run, np.minimum(left[a], left[b]))
+        better = run > length[a]
+        length[a[better]], at[a[better]] = run[better], b[better] - len(text)
+    return length, at
+
+
+class Hits:
+    """All occurrences of the windows of items in the text of an array, and of whole items shorter than a window."""
+
+    def __init__(self, array: SuffixArray, items: list[np.ndarray], window: int = WINDOW):
+        self.window, self.n_items = window, len(items)
+        sizes = np.array([len(x) + 1 for x in items], np.int64)
+        self.firsts = np.cumsum(sizes) - sizes
+        self.item_of = np.repeat(np.arange(len(items)), sizes)
+        flat = np.concatenate([np.append(x, np.uint64(0)) for x in items]) if items else np.empty(0, np.uint64)
+        low, high = array.windows(flat)
+        self.query = np.flatnonzero(high > low)
+        # Equal windows have one range, different ones share no place.
+        lows, one, kind = np.unique(low[self.query], return_index=True, return_inverse=True)
+        n = high[self.query][one] - lows
+        self.query_kind, self.n_kinds = kind + 1, len(lows)
+        self.place = array.order[_spread(lows, n)]
+        self.place_kind = np.repeat(np.arange(1, len(lows) + 1), n)
+        short = [(i, *array.prefix(x)) for i, x in enumerate(items) if 0 < len(x) < window]
+        short = [(i, lo, hi) for i, lo, hi in short if lo < hi]
+        self.short = [(i, array.order[lo:hi], len(items[i])) for i, lo, hi in short]
+
+    def matches(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """``item, start, item start, words``: from each start the longest verbatim match, unless it is the rest of the one before."""
+        if len(self.place):
+            text, start = _runs(self.place, self.place_kind)
+            query, at = _runs(self.query, self.query_kind)
+            run, found = longest_common(text, query)
+            kept = (text > 0) & (run >= np.append(0, run[:-1]))
+            q = at[found[kept]]
+            item = self.item_of[q]
+            yield item, start[kept], q - self.firsts[item], run[kept] + self.window - 1
+        for i, place, n in self.short:
+            yield np.full(len(place), i), place, np.zeros(len(place), np.int64), np.full(len(place), n)
+
+    def items_by_text(self, firsts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The items of each text that has any; texts begin at ``firsts``."""
+
+        def by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top = int(values.max(initial=0)) + 1
+            pairs = np.unique(keys * top + values)
+            return pairs // top, pairs % top
+
+        kinds, item = by(self.query_kind - 1, self.item_of[self.query])
+        from_, to = np.searchsorted(kinds, np.arange(self.n_kinds)), np.searchsorted(kinds, np.arange(self.n_kinds), "right")
+        texts, kind = by(np.searchsorted(firsts, self.place, "right") - 1, self.place_kind - 1)
+        small = [(np.searchsorted(firsts, place, "right") - 1, np.full(len(place), i)) for i, place, _ in self.short]
+        more, small_item = by(*map(np.concatenate, zip(*small, strict=True))) if small else (texts[:0], texts[:0])
+        for d in np.union1d(texts, more).tolist():
+            seen = np.zeros(self.n_items, bool)
+            seen[small_item[np.searchsorted(more, d) : np.searchsorted(more, d, "right")]] = True
+            of = kind[np.searchsorted(texts, d) : np.searchsorted(texts, d, "right")]
+            sizes = to[of] - from_[of]
+            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(np.cumsum(sizes) // ITEMS_AT_ONCE)) + 1):
+                seen[item[_spread(from_[of[part]], sizes[part])]] = True
+            yield d, np.flatnonzero(seen)
+
+
 def matches(array: SuffixArray, items: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[np.ndarray, ...]]:
     """Maximal verbatim matches ``item, start, item start, words`` of items in the text, of a window's length or more."""
-    flat = np.concatenate([np.append(x, np.uint64(0)) for x in items]) if items else np.empty(0, np.uint64)
-    firsts = np.cumsum([0] + [len(x) + 1 for x in items[:-1]]) if items else np.empty(0, np.int64)
-    low, high = array.windows(flat)
-    counts = np.maximum(high - low, 0)
-    item_of = np.repeat(np.arange(len(items)), [len(x) + 1 for x in items]) if items else np.empty(0, np.int64)
-    hit = np.flatnonzero(counts)
-    cut, held = 0, 0
-    cuts = [0]
-    for i in range(1, len(hit) + 1):  # whole items together, so that no match is cut
-        held += counts[hit[i - 1]]
-        if i == len(hit) or (held > MATCHES_AT_ONCE and item_of[hit[i]] != item_of[hit[i - 1]]):
-            cuts.append(i)
-            held = 0
-    for cut, end in zip(cuts[:-1], cuts[1:], strict=True):
-        some = hit[cut:end]
-        n = counts[some]
-        query = np.repeat(some, n)
-        within = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n)
-        place = array.order[np.repeat(low[some], n) + within]
-        order = np.lexsort((query, place - query, item_of[query]))
-        query, place = query[order], place[order]
-        item, diagonal = item_of[query], place - query
-        new = np.append(True, (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (query[1:] != query[:-1] + 1))
-        first = np.flatnonzero(new)
-        runs = np.diff(np.append(first, len(query)))
-        yield item[first], place[first], query[first] - firsts[item[first]], runs + window - 1
-    for i, names in enumerate(items):
-        if 0 < len(names) < window:
-            lo, hi = array.prefix(names)
-            if lo < hi:
-                place = array.order[lo:hi]
-                yield np.full(hi - lo, i), place, np.zeros(hi - lo, np.int64), np.full(hi - lo, len(names))
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Items of distinct text with all their ids, some megabytes at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of(benchmark).alias("text"))
-    size, block = 0, []
-    for row in rows.toLocalIterator():
-        block.append((row["item_id"], row["text"].encode("utf-8", "replace")))
-        size += len(block[-1][1])
-        if size >= block_bytes:
-            yield block
-            size, block = 0, []
-    yield block
+    return Hits(array, items, window).matches()
+
+
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> DataFrame:
+    """Items packed into blocks of about so many bytes, equal texts in one block; one empty block if there are none."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("doc_id"), text_of(benchmark).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.repartition(size // block_bytes + 1, F.xxhash64("text"))
+    packed = chunks_of(dealt, block_bytes)
+    spark = benchmark.sparkSession
+    if benchmark.isEmpty():
+        packed = spark.createDataFrame([(0, [], [], [], 0, pack([])[0])], packed.schema)
+    names = {"chunk": "block", "ids": "item_ids", "lens": "item_lens", "size": "item_size", "blob": "item_blob"}
+    return store(packed.drop("marks").withColumnsRenamed(names), "items")
+
+
+class _Block:
+    """The items of a block: the words of each distinct one and its ids."""
+
+    def __init__(self, row: dict, names: WordNames):
+        flat, firsts = words_by_text(unpack(row["item_blob"], row["item_size"]), row["item_lens"], names)
+        by_text: dict[bytes, list[str]] = {}
+        for i, s, e in zip(row["item_ids"], firsts.tolist(), np.append(firsts, len(flat))[1:].tolist(), strict=True):
+            by_text.setdefault(flat[s : e - 1].tobytes(), []).extend([] if i is None else [i])
+        self.number = row["block"]
+        self.words = [np.frombuffer(x, np.uint64) for x in by_text]
+        self.ids = list(by_text.values())
+
+
+class _Chunk:
+    """The documents of a chunk and the suffix array of their words."""
+
+    def __init__(self, row: dict, names: WordNames):
+        flat, self.firsts = words_by_text(unpack(row["blob"], row["size"]), row["lens"], names)
+        self.number = row["chunk"]
+        self.n_flat = len(flat)
+        self.n_words = np.diff(np.append(self.firsts, len(flat))) - 1
+        self.array = SuffixArray(flat)
+
+    def search(self, block: _Block) -> dict[int, tuple[list[dict], list[str], int]]:
+        """Hit runs, ids of items and longest match of each document that has a match."""
+        hits = Hits(self.array, block.words)
+        edges, longest = np.zeros(self.n_flat + 1, np.int64), np.zeros(len(self.firsts), np.int64)
+        for _, place, _, size in hits.matches():
+            np.add.at(edges, place, 1)
+            np.add.at(edges, place + size, -1)
+            np.maximum.at(longest, np.searchsorted(self.firsts, place, "right") - 1, size)
+        turns = np.flatnonzero(np.diff(np.cumsum(edges) > 0, prepend=False))
+        starts, ends = turns[::2], turns[1::2]
+        of = np.searchsorted(self.firsts, starts, "right") - 1
+        found = {}
+        for d, items in hits.items_by_text(self.firsts):
+            some = slice(np.searchsorted(of, d), np.searchsorted(of, d, "right"))
+            first = self.firsts[d]
+            spans = [{"s": s, "e": e} for s, e in zip((starts[some] - first).tolist(), (ends[some] - first).tolist(), strict=True)]
+            found[d] = spans, sorted({x for k in items.tolist() for x in block.ids[k]}), int(longest[d])
+        return found
 
 
 def contamination(
@@ -161,53 +287,39 @@ def contamination(
     items are handled one by one.  An empty table gives no rows, an empty benchmark no hits.
     """
     chunks = store(chunks_of(docs, chunk_bytes), "chunks")
+    blocks = _item_blocks(benchmark, item_block_bytes)
+    first, n_blocks = blocks.agg(F.min("block"), F.count("*")).first()
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
     columns = f"chunk long, place int, doc_id {kind}, mark long, n_words long, spans array<struct<s: long, e: long>>, items array<string>, longest long"
-    parts = []
-    for number, block in enumerate(_blocks(benchmark, item_block_bytes)):
-
-        def search(batches: Iterator[pa.RecordBatch], block=block, number=number) -> Iterator[pa.RecordBatch]:
-            names = WordNames()
-            by_text: dict[bytes, list[str | None]] = {}
-            for i, text in block:
-                by_text.setdefault(names.of(np.frombuffer(text, np.uint8))[0].tobytes(), []).append(i)
-            queries = [np.frombuffer(x, np.uint64) for x in by_text]
-            ids = [[i for i in x if i is not None] for x in by_text.values()]
-            for batch in batches:
-                id_type = batch["ids"].type.value_type
-                for row in batch.to_pylist():
-                    flat, firsts = words_by_text(unpack(row["blob"], row["size"]), row["lens"], names)
-                    n_words = np.diff(np.append(firsts, len(flat))) - 1
-                    array = SuffixArray(flat)
-                    found: dict[int, tuple[list, set, int]] = {}
-                    for item, place, _, size in matches(array, queries):
-                        where = np.searchsorted(firsts, place, "right") - 1
-                        for d, i, s, n in zip(where.tolist(), item.tolist(), (place - firsts[where]).tolist(), size.tolist(), strict=True):
-                            spans, of, longest = found.get(d, ([], set(), 0))
-                            spans.append((s, s + n))
-                            of.add(i)
-                            found[d] = (spans, of, max(longest, n))
-                    rows = []
-                    for d, (i, mark, n) in enumerate(zip(row["ids"], row["marks"], n_words.tolist(), strict=True)):
-                        spans, of, longest = found.get(d, ([], set(), 0))
-                        if number and not spans:
-                            continue
-                        items = sorted({x for k in of for x in ids[k]})
-                        merged = [{"s": s, "e": e} for s, e in _merged(spans)]
-                        rows.append((row["chunk"], d, i, mark, n, merged, items, longest))
-                    span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-                    types = [pa.int64(), pa.int32(), id_type, pa.int64(), pa.int64(), span, pa.list_(pa.string()), pa.int64()]
-                    fields = ["chunk", "place", "doc_id", "mark", "n_words", "spans", "items", "longest"]
-                    columns = list(zip(*rows, strict=True)) or [[]] * len(types)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], fields)
-
-        parts.append(store(chunks.select("chunk", "ids", "marks", "lens", "size", "blob").mapInArrow(search, columns), "matches"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames()
+        chunk, block = None, None
+        for batch in batches:
+            id_type = batch["ids"].type.value_type
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if chunk is None or chunk.number != row["chunk"]:
+                    chunk = _Chunk(row, names)
+                if block is None or block.number != row["block"]:
+                    block = _Block(row, names)
+                found = chunk.search(block)
+                rows = []
+                for d, (i, mark, n) in enumerate(zip(row["ids"], row["marks"], chunk.n_words.tolist(), strict=True)):
+                    if d in found or block.number == first:  # a document without a hit is passed on once
+                        rows.append((chunk.number, d, i, mark, n, *found.get(d, ([], [], 0))))
+                span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+                types = [pa.int64(), pa.int32(), id_type, pa.int64(), pa.int64(), span, pa.list_(pa.string()), pa.int64()]
+                fields = ["chunk", "place", "doc_id", "mark", "n_words", "spans", "items", "longest"]
+                parts = list(zip(*rows, strict=True)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, types, strict=True)], fields)
+
+    # The query set in blocks against all chunks; rows are chunks of some megabytes, not documents.
+    rows = store(chunks.crossJoin(blocks).mapInArrow(search, columns), "matches")
     drop(chunks)
-    if len(parts) == 1:
-        return _summary(parts[0])
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
+    drop(blocks)
+    if n_blocks == 1:
+        return _summary(rows)
     # One document's spans and items over all blocks, then the same summary as for one block.
     merged = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
@@ -225,16 +337,6 @@ def contamination(
     return _summary(rows.groupBy("chunk", "place").agg(*kept, merged.alias("spans"), items.alias("items")))
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and out[-1][1] >= s:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return out
-
-
 def _summary(rows: DataFrame) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     return rows.select(

@@ -3,11 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from phasebeat.llm.decontamination import SuffixArray, contamination, matches
+from phasebeat.llm.decontamination import SuffixArray, contamination, longest_common, matches
 from phasebeat.llm.wordnames import WordNames
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -102,3 +103,44 @@ def test_tiny_tables(spark, texts):
     rows = contamination(docs, spark.createDataFrame(items, "item_id long, text string"))
     got = sorted(tuple(r) for r in rows.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
     assert got == expected(list(enumerate(texts)), items)
+
+
+def test_repeated_words_cost_no_pairs():
+    names = WordNames()
+    of = lambda t: names.of(np.frombuffer(t.encode(), np.uint8))[0]
+    array = SuffixArray(np.append(of("0 " * 400_000 + "a b"), np.uint64(0)))
+    tracemalloc.start()
+    longest = np.zeros(400_002, np.int64)
+    for _, place, _, words in matches(array, [of("0 " * 1_000), of("x " + "0 " * 30 + "a")]):
+        np.maximum.at(longest, place, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(longest[:399_001].tolist()) == {1_000}
+    assert longest[399_970] == 31 and longest[399_990] == 0  # the rest of a match is not one of its own
+    assert peak < 200_000_000
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_common_runs(seed):
+    rng = np.random.default_rng(seed)
+    text, query = (np.append(rng.integers(0, 3, n), 0) for n in (200, 80))
+    length, at = longest_common(text, query)
+
+    def run(a, b):
+        n = 0
+        while text[a + n] and text[a + n] == query[b + n]:
+            n += 1
+        return n
+
+    for a in range(len(text)):
+        assert length[a] == max(run(a, b) for b in range(len(query)))
+        assert run(a, at[a]) == length[a]
+
+
+def test_many_items_in_one_document(spark):
+    rng = random.Random(6)
+    same = " ".join(f"s{i}" for i in range(12))
+    items = [(i, f"{same} {rng.randint(0, 99)} " + " ".join(rng.choices("ab", k=rng.randint(0, 15)))) for i in range(300)]
+    docs = [(i, " ".join(rng.choices("ab", k=60)) + " " + (same if i % 2 else "") + " a" * 25) for i in range(20)]
+    assert found(spark, docs, items) == expected(docs, items)
+    assert found(spark, docs, items, item_block_bytes=2_000) == expected(docs, items)
