@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,28 +35,26 @@ def process_tree(processes: DataFrame, main: Column, key: str = "host") -> DataF
 
     Each round doubles the number of generations looked back, so a tree of depth ``d`` takes ``log2(d)`` rounds.
     Processes whose ancestors form a circle, as reused pids can make them, have no main process.
-    Every round is written out: its plan would otherwise contain the one before twice.
+    A round reads and writes the rows that are still open; rows that are settled stay in the table of their round.
     """
     up = F.when(F.col("ppid") != F.col("pid"), F.col("ppid"))
     watched = F.coalesce(main, F.lit(False))
-    state = processes.select(
-        key, "pid", F.when(~watched, up).alias("up"), watched.alias("is_main"), watched.alias("watched")
-    )
-    before = None
-    while True:
-        state = store(state, "processes")
-        open_ = state.where(F.col("up").isNotNull())
-        now = open_.count()
-        # Each round settles the ends of every open chain; what is left when none settles runs in circles.
-        if not now or now == before:
-            break
+    rows = store(processes.select(key, "pid", F.when(~watched, up).alias("up"), watched.alias("is_main"), watched.alias("watched")), "processes")
+    settled, open_ = [rows.where(F.col("up").isNull())], rows.where(F.col("up").isNotNull())
+    now, before = open_.count(), None
+    # Each round settles the ends of every open chain; what is left when none settles runs in circles.
+    while now and now != before:
         before = now
+        state = reduce(DataFrame.unionByName, [*settled, open_])
         parent = state.select(key, F.col("pid").alias("up"), F.col("up").alias("next"), F.col("watched").alias("by"))
         reached = F.coalesce("by", F.lit(False))
         looked = open_.join(parent, [key, "up"], "left").select(
             key, "pid", F.when(~reached, F.col("next")).alias("up"), "is_main", reached.alias("watched")
         )
-        state = state.where(F.col("up").isNull()).unionByName(looked)
+        rows = store(looked, "processes")
+        settled, open_ = [*settled, rows.where(F.col("up").isNull())], rows.where(F.col("up").isNotNull())
+        now = open_.count()
+    state = reduce(DataFrame.unionByName, settled)
     found = state.where("watched").select(key, "pid", "is_main")
     return processes.join(found, [key, "pid"])
 
