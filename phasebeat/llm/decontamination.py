@@ -28,6 +28,8 @@ WINDOW = 10
 ITEM_BLOCK_BYTES = 4 << 20
 # A text's items are gathered so many at a time.
 ITEMS_AT_ONCE = 1 << 20
+# Lengths of matches are read for so many places at a time.
+PLACES_AT_ONCE = 1 << 18
 
 
 class SuffixArray:
@@ -122,39 +124,42 @@ def longest_common(text: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.
     Zeros separate runs in both.  All suffixes are sorted together by doubling; the longest run is shared with the nearest suffix of the
     query before or after, and its length is read from the names of each doubling.
     """
-    both = np.concatenate([text, query])
+    both = np.concatenate([text, query]).astype(np.int32)
     n = len(both)
     zeros = np.flatnonzero(both == 0)
-    left = zeros[np.searchsorted(zeros, np.arange(n))] - np.arange(n)
+    left = np.repeat(zeros, np.diff(zeros, prepend=-1)).astype(np.int32) - np.arange(n, dtype=np.int32)
     cap = int(min(left[: len(text)].max(), left[len(text) :].max()))
-    names, levels, width = both, [both.astype(np.int32)], 1
+    names, levels, width = both, [both], 1
     while width < cap:
-        after = np.zeros(n, np.int64)
-        after[:-width] = names[width:]
-        distinct, names = np.unique((names << 32) + after, return_inverse=True)
-        names = names.astype(np.int64)
-        levels.append(names.astype(np.int32))
+        keys = names.astype(np.int64) << 32
+        keys[:-width] += names[width:]
+        distinct, names = np.unique(keys, return_inverse=True)
+        names = names.astype(np.int32)
+        levels.append(names)
         width *= 2
         if len(distinct) == n:
             break
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names, kind="stable").astype(np.int32)
+    del names
     mine = order < len(text)
-    rank = np.arange(n)
-    before = np.maximum.accumulate(np.where(mine, -1, rank))[mine]
-    behind = np.minimum.accumulate(np.where(mine, n, rank)[::-1])[::-1][mine]
+    rank = np.arange(n, dtype=np.int32)
+    before = np.maximum.accumulate(np.where(mine, np.int32(-1), rank))[mine]
+    behind = np.minimum.accumulate(np.where(mine, np.int32(n), rank)[::-1])[::-1][mine]
     place = order[mine]
-    length, at = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64)
-    for near, known in ((before, before >= 0), (behind, behind < n)):
-        a, b = place[known], order[near[known]]
-        run = np.zeros(len(a), np.int64)
-        for k in range(len(levels) - 1, -1, -1):
-            x, y = a + run, b + run
-            inside = np.maximum(x, y) < n
-            same = levels[k][np.where(inside, x, 0)] == levels[k][np.where(inside, y, 0)]
-            run += np.where(inside & same, 1 << k, 0)
-        run = np.minimum(run, np.minimum(left[a], left[b]))
-        better = run > length[a]
-        length[a[better]], at[a[better]] = run[better], b[better] - len(text)
+    length, at = np.zeros(len(text), np.int32), np.zeros(len(text), np.int32)
+    for cut in range(0, len(place), PLACES_AT_ONCE):
+        part = slice(cut, cut + PLACES_AT_ONCE)
+        for near, known in ((before[part], before[part] >= 0), (behind[part], behind[part] < n)):
+            a, b = place[part][known].astype(np.int64), order[near[known]].astype(np.int64)
+            run = np.zeros(len(a), np.int64)
+            for k in range(len(levels) - 1, -1, -1):
+                x, y = a + run, b + run
+                inside = np.maximum(x, y) < n
+                same = levels[k][np.where(inside, x, 0)] == levels[k][np.where(inside, y, 0)]
+                run += np.where(inside & same, 1 << k, 0)
+            run = np.minimum(run, np.minimum(left[a], left[b]))
+            better = run > length[a]
+            length[a[better]], at[a[better]] = run[better], b[better] - len(text)
     return length, at
 
 
@@ -174,7 +179,7 @@ class Hits:
         n = high[self.query][one] - lows
         self.query_kind, self.n_kinds = kind + 1, len(lows)
         self.place = array.order[_spread(lows, n)]
-        self.place_kind = np.repeat(np.arange(1, len(lows) + 1), n)
+        self.place_kind = np.repeat(np.arange(1, len(lows) + 1, dtype=np.int32), n)
         short = [(i, *array.prefix(x)) for i, x in enumerate(items) if 0 < len(x) < window]
         short = [(i, lo, hi) for i, lo, hi in short if lo < hi]
         self.short = [(i, array.order[lo:hi], len(items[i])) for i, lo, hi in short]
@@ -197,7 +202,7 @@ class Hits:
 
         def by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             top = int(values.max(initial=0)) + 1
-            pairs = np.unique(keys * top + values)
+            pairs = np.unique(keys.astype(np.int64) * top + values)
             return pairs // top, pairs % top
 
         kinds, item = by(self.query_kind - 1, self.item_of[self.query])
@@ -259,7 +264,7 @@ class _Chunk:
     def search(self, block: _Block) -> dict[int, tuple[list[dict], list[str], int]]:
         """Hit runs, ids of items and longest match of each document that has a match."""
         hits = Hits(self.array, block.words)
-        edges, longest = np.zeros(self.n_flat + 1, np.int64), np.zeros(len(self.firsts), np.int64)
+        edges, longest = np.zeros(self.n_flat + 1, np.int32), np.zeros(len(self.firsts), np.int64)
         for _, place, _, size in hits.matches():
             np.add.at(edges, place, 1)
             np.add.at(edges, place + size, -1)
