@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import phases as ph
+from phasebeat.operators import ticks
 from phasebeat.operators.ordered import scan, whole_part
+from phasebeat.workspace import store
 
 
 def phased(triplets: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -23,6 +25,25 @@ def phased(triplets: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+def named(
+    snapshots: DataFrame,
+    settings: Settings = Settings(),
+    segment_rows: int | None = None,
+    before: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Triplets with similarity, change flag, phase text and id, and the same per pair of sets.
+
+    Ticks go through the windows with set ids.  Texts are looked up once for each pair of consecutive sets that occurs,
+    and the phase of the pair is joined back.
+    """
+    rows, names = ticks.ordered_triplets(snapshots, settings, segment_rows, before)
+    rows = store(rows, "triplets")
+    pairs = ticks.with_sets(rows.select(*ticks.SET_IDS).distinct(), names, "set_id_prev1")
+    pairs = phased(pairs, settings).select(*ticks.SET_IDS, "similarity", "phase_changed", "phase", "phase_id")
+    pairs = store(pairs, "pairs")
+    return ticks.spread_join(rows, pairs, ticks.SET_IDS, "tick"), pairs
+
+
 def phase_names(phased_ticks: DataFrame) -> DataFrame:
     """Dimension from short id to phase text."""
     return phased_ticks.select("phase_id", "phase").distinct()
@@ -40,7 +61,7 @@ def visits(
     is the model trained last before this tick (0 = none).  Idle ticks leave no trace, nor does the first
     tick of the first variant.  ``before`` has the ``visits`` per phase of an earlier run.
     """
-    idle = F.col("phase") == ph.IDLE
+    idle = F.col("phase_id") == ph.phase_id(F.lit(ph.IDLE))
     counts = ~idle & (F.col("tick_no") > 1) if settings.variant == "v1" else ~idle
     values = [f"{r}{s}" for r in RESOURCES for s in ("_prev2", "_prev1", "")]
     rows = phased_ticks.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import or_
 
@@ -11,8 +12,12 @@ from pyspark.sql import functions as F
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import text
 from phasebeat.operators.ordered import scan, whole_part
+from phasebeat.workspace import store
 
 TICK = ["cluster", "tick"]
+SET_IDS = ["set_id_prev1", "set_id"]
+# Into so many parts the rows of one frequent set are split before they are joined with its texts.
+SALTS = 16
 
 
 def latest_samples(samples: DataFrame, order: str = "ts", keys: tuple[str, ...] = ("cluster", "worker")) -> DataFrame:
@@ -112,6 +117,41 @@ def function_union(samples: DataFrame, with_counts: bool = False) -> DataFrame:
     return sets.withColumn("funcs", plain)
 
 
+def gathered(samples: DataFrame, with_counts: bool = False) -> DataFrame:
+    """``readings`` of the workers and ``lines`` of all their stacks per cluster and tick, from one pass over the samples.
+
+    Readings and functions are rows of the same hash aggregation, before and after the shuffle; what remains is put into
+    arrays: one element per worker (equal samples have a number), one per distinct function.
+    """
+    line = function_lines(samples)
+    lines = line if with_counts else F.transform(line, text.drop_thread_count)
+    reading = F.struct(F.lit(True).alias("said"), "worker", "resource_data", F.lit(None).cast("string").alias("line"))
+    none = F.lit(None).cast("string")
+    functions = F.transform(
+        lines, lambda x: F.struct(F.lit(False).alias("said"), none.alias("worker"), none.alias("resource_data"), x.alias("line"))
+    )
+    parts = F.when(functions.isNull(), F.array(reading)).otherwise(F.concat(F.array(reading), functions))
+    rows = samples.select(*TICK, F.explode(parts).alias("part")).select(*TICK, "part.*")
+    distinct = rows.groupBy(*TICK, "said", "worker", "resource_data", "line").agg(F.count("*").alias("n"))
+    return distinct.groupBy(*TICK).agg(
+        F.collect_list(F.when(F.col("said"), F.struct("worker", "resource_data", "n"))).alias("readings"),
+        F.array_sort(F.collect_list(F.when(~F.col("said"), F.col("line")))).alias("lines"),
+    )
+
+
+def readings(gathered_ticks: DataFrame, expected: DataFrame) -> DataFrame:
+    """The readings as rows again, with a ``0,0`` sample for each configured worker that has none."""
+    said = F.transform("readings", lambda r: r["worker"])
+    silent = F.transform(
+        F.array_except("workers", said),
+        lambda w: F.struct(w.alias("worker"), F.lit(text.IDLE_LINE).alias("resource_data"), F.lit(1).cast("long").alias("n")),
+    )
+    ticks = gathered_ticks.select(*TICK, "readings").join(expected_by_cluster(expected), "cluster", "left")
+    every = F.when(F.col("workers").isNull(), F.col("readings")).otherwise(F.concat("readings", silent))
+    rows = ticks.select(*TICK, F.explode(every).alias("r")).select(*TICK, "r.*")
+    return rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+
+
 def cluster_ticks(
     samples: DataFrame,
     expected: DataFrame,
@@ -119,48 +159,102 @@ def cluster_ticks(
     segment_rows: int | None = None,
     empty_function: bool = False,
 ) -> DataFrame:
-    """One snapshot per cluster and tick: mean resources and the set of functions."""
+    """One snapshot per cluster and tick: mean resources and the set of functions.
+
+    The samples are read once; readings and functions go on from one written row per tick.
+    """
     v1 = settings.variant == "v1"
-    rows = with_silent_workers(samples, expected, empty_function)
-    parsed = parse_resources(rows.select(*TICK, "worker", "resource_data"))
+    found = store(gathered(samples, with_counts=v1), "gathered")
+    parsed = parse_resources(readings(found, expected))
     filled = parsed if v1 else fill_forward(parsed, segment_rows)
-    ticks = cluster_means(filled, expected, flag_malformed=v1)
-    # Silent workers add no function unless asked to, so the texts are read from the samples alone.
-    functions = function_union(rows if empty_function else samples, with_counts=v1)
-    ticks = ticks.join(functions, TICK, "left")
-    empty = F.array().cast("array<string>")
-    sets = ["funcs", "counted"] if v1 else ["funcs"]
-    return ticks.withColumns({s: F.coalesce(F.col(s), empty) for s in sets})
-
-
-def triplets(
+    means = cluster_means(filled, expected, flag_malformed=v1)
+    lines = F.col("lines")
+    if empty_function:
+        # A silent worker has one empty function.
+        said = F.transform("readings", lambda r: r["worker"])
+        sets = found.join(expected_by_cluster(expected), "cluster", "left")
+        silent = F.coalesce(F.size(F.array_except("workers", said)) > 0, F.lit(False))
+        lines = F.when(silent, F.array_sort(F.array_union("lines", F.array(F.lit(""))))).otherwise(lines)
+    else:
+        sets = found
+    if v1:
+        plain = F.array_sort(F.array_distinct(F.transform("counted", text.drop_thread_count)))
+        sets = sets.select(*TICK, lines.alias("counted")).withColumn("funcs", plain)
+    else:
+        sets = sets.select(*TICK, lines.alias("funcs"))
+    return means.join(sets, TICK)
+
+
+def set_columns(ticks: DataFrame) -> list[str]:
+    return [c for c in ("funcs", "counted") if c in ticks.columns]
+
+
+def set_id(columns: list[str]) -> Column:
+    """Short id of the sets of a tick; lengths before the functions keep different sets apart."""
+    names = [F.array_join(F.transform(c, lambda f: F.concat(F.length(f).cast("string"), F.lit(":"), f)), "") for c in columns]
+    return F.md5(F.concat_ws("|", *names))
+
+
+def ordered_triplets(
     ticks: DataFrame,
     settings: Settings = Settings(),
     segment_rows: int | None = None,
     before: DataFrame | None = None,
-) -> DataFrame:
-    """Each evaluated snapshot with the two before it; start values are zeros and empty sets.
+) -> tuple[DataFrame, DataFrame]:
+    """Each evaluated snapshot with the two before it, by numbers and set ids only, and the dictionary of the sets.
 
     With a stride of two, every second snapshot is evaluated.  ``before`` holds the last snapshots of
     an earlier run: they serve as history and are not evaluated again.
     """
+    sets = set_columns(ticks)
+    ticks = ticks.withColumns({"set_id": set_id(sets)})
+    narrow = ticks.drop(*sets)
     if "malformed" in ticks.columns:
-        ticks = _complete_pairs(ticks, settings.stride, segment_rows)
+        narrow = _complete_pairs(narrow, settings.stride, segment_rows)
+    names = ticks.select("set_id", *sets)
     fresh = F.lit(1)
     if before is not None:
-        old = before.select(*ticks.columns).withColumn("fresh", F.lit(0))
-        ticks = ticks.withColumn("fresh", F.lit(1)).unionByName(old)
+        old = before.withColumn("set_id", set_id(sets))
+        names = names.unionByName(old.select("set_id", *sets))
+        narrow = narrow.withColumn("fresh", F.lit(1)).unionByName(old.select(*narrow.columns).withColumn("fresh", F.lit(0)))
         fresh = F.col("fresh")
-    sets = [c for c in ("funcs", "counted") if c in ticks.columns]
-    lags = {f"{r}_prev{n}": (r, n) for r in RESOURCES for n in (1, 2)} | {f"{s}_prev1": (s, 1) for s in sets}
-    rows = scan(ticks, ["cluster"], "tick", sums={"snapshot_no": fresh}, lags=lags, segment_rows=segment_rows)
-    empty = F.array().cast("array<string>")
+    lags = {f"{r}_prev{n}": (r, n) for r in RESOURCES for n in (1, 2)} | {"set_id_prev1": ("set_id", 1)}
+    rows = scan(narrow, ["cluster"], "tick", sums={"snapshot_no": fresh}, lags=lags, segment_rows=segment_rows)
+    nothing = hashlib.md5("|".join("" for _ in sets).encode()).hexdigest()
     rows = rows.where((F.col("snapshot_no") % settings.stride == 0) & (F.lit(before is None) | (fresh == 1)))
-    return rows.withColumns(
+    rows = rows.withColumns(
         {"tick_no": whole_part("snapshot_no", settings.stride)}
         | {f"{r}_prev{n}": F.coalesce(f"{r}_prev{n}", F.lit(0.0)) for r in RESOURCES for n in (1, 2)}
-        | {f"{s}_prev1": F.coalesce(F.col(f"{s}_prev1"), empty) for s in sets}
+        | {"set_id_prev1": F.coalesce("set_id_prev1", F.lit(nothing))}
     ).drop("snapshot_no", "fresh")
+    return rows, names.distinct()
+
+
+def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``rows`` with the columns of ``small``, whose keys are unique; a key that most rows have is dealt over ``SALTS`` parts."""
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    return salted.join(dealt, [*keys, "__salt"], "left").drop("__salt")
+
+
+def with_sets(rows: DataFrame, names: DataFrame, by: str) -> DataFrame:
+    """Add the texts of the sets; those of no snapshot are empty."""
+    sets = set_columns(names)
+    earlier = names.select(F.col("set_id").alias("set_id_prev1"), *[F.col(s).alias(f"{s}_prev1") for s in sets])
+    found = spread_join(spread_join(rows, names, ["set_id"], by), earlier, ["set_id_prev1"], by)
+    empty = F.array().cast("array<string>")
+    return found.withColumns({c: F.coalesce(F.col(c), empty) for s in sets for c in (s, f"{s}_prev1")})
+
+
+def triplets(
+    ticks: DataFrame,
+    settings: Settings = Settings(),
+    segment_rows: int | None = None,
+    before: DataFrame | None = None,
+) -> DataFrame:
+    """``ordered_triplets`` with the texts of the sets; start values are zeros and empty sets."""
+    rows, names = ordered_triplets(ticks, settings, segment_rows, before)
+    return with_sets(rows, names, "tick").drop(*SET_IDS)
 
 
 def last_two(ticks: DataFrame, before: DataFrame | None = None) -> DataFrame:

@@ -131,8 +131,13 @@ def recorded(spark: SparkSession, sf: str, per_tick: int = data.TICK_EVENTS) ->
     return store(data.samples(spark, sf, per_tick=per_tick), "samples"), data.workers(spark, sf)
 
 
+def raw(spark: SparkSession, sf: str, per_tick: int = data.TICK_EVENTS) -> tuple[DataFrame, DataFrame]:
+    """Samples for steps that read them once, and the expected workers."""
+    return data.samples(spark, sf, per_tick=per_tick), data.workers(spark, sf)
+
+
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return ticks.cluster_ticks(*recorded(spark, sf), segment_rows=CUT)
+    return store(ticks.cluster_ticks(*raw(spark, sf), segment_rows=CUT), "ticks")
 
 
 @query
@@ -180,8 +185,8 @@ def triplets(spark, sf):
 
 
 def named(spark: SparkSession, sf: str, settings: Settings) -> DataFrame:
-    rows = ticks.cluster_ticks(*recorded(spark, sf), settings, CUT)
-    return phases.phased(ticks.triplets(rows, settings, CUT), settings)
+    rows = store(ticks.cluster_ticks(*raw(spark, sf), settings, CUT), "ticks")
+    return phases.named(rows, settings, CUT)[0]
 
 
 @query
@@ -196,7 +201,7 @@ def phase_keys(spark, sf):
 
 
 def numbered(spark: SparkSession, sf: str, settings: Settings) -> tuple[DataFrame, int | None]:
-    _, _, rows, cut = visited(*recorded(spark, sf), settings)
+    _, _, rows, cut = visited(*raw(spark, sf), settings)
     return rows, cut
 
 
@@ -308,7 +313,7 @@ def smape_accuracy(spark, sf):
 
 
 def scores(spark: SparkSession, sf: str, settings: Settings = DENSE, **kwargs) -> DataFrame:
-    return watch(*recorded(spark, sf), settings, **kwargs).scored
+    return watch(*raw(spark, sf), settings, **kwargs).scored
 
 
 @query
@@ -344,7 +349,7 @@ def anomaly_first_alert(spark, sf):
 @query
 def watch_minutes(spark, sf):
     """The whole analysis with a tick for every event."""
-    rows = watch(*recorded(spark, sf, 1), PAIRS).scored
+    rows = watch(*raw(spark, sf, 1), PAIRS).scored
     names = ("cpu", "mem", "predicted_cpu", "predicted_mem", "acc_cpu", "acc_mem")
     keep = ("cluster", "tick", "tick_no", "phase_id", "seen", "version", "confidence", "alert")
     return rounded(rows.select(*keep, *names), *names)
@@ -643,7 +648,7 @@ def phase_db_roundtrip(spark, sf):
 @query
 def resumed_watch(spark, sf):
     """A run that stops halfway, saves its phases, and a second one that goes on from them."""
-    samples, expected = recorded(spark, sf)
+    samples, expected = raw(spark, sf)
     rows = store(ticks.cluster_ticks(samples, expected, DENSE, CUT), "ticks")
     root = new_dir(spark, "phases")
     half = data.middle(rows)

@@ -61,11 +61,12 @@ def visited(
 ) -> tuple[DataFrame, DataFrame, DataFrame, int | None]:
     """Ticks, phased triplets and numbered visits, and the segment length they needed.
 
-    Raw samples are read for the ticks only; ticks and visits are written, since several later
+    Raw samples are read once, for the ticks; ticks and visits are written, since several later
     steps read each of them.
     """
     snapshots, cut = _snapshots(samples, expected, settings, empty_function)
-    return snapshots, *_visited(snapshots, settings, cut, None), cut
+    named, _, numbered = _visited(snapshots, settings, cut, None)
+    return snapshots, named, numbered, cut
 
 
 def _snapshots(
@@ -77,12 +78,12 @@ def _snapshots(
 
 def _visited(
     snapshots: DataFrame, settings: Settings, cut: int | None, before: Saved | None
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     # The first variant does not keep snapshots over a stop.
     last = before.snapshots if before and settings.variant == "v2" else None
-    named = phases.phased(ticks.triplets(snapshots, settings, cut, last), settings)
+    named, pairs = phases.named(snapshots, settings, cut, last)
     numbered = phases.visits(named, settings, cut, before.counts if before else None)
-    return named, store(numbered, "visits")
+    return named, pairs, store(numbered, "visits")
 
 
 def watch(
@@ -124,8 +125,8 @@ def watch_ticks(
     """The same from cluster snapshots on."""
     snapshots = stored(snapshots, "ticks")
     cut = settings.segment_rows
-    named, numbered = _visited(snapshots, settings, cut, before)
+    _, pairs, numbered = _visited(snapshots, settings, cut, before)
     trained = models.train(numbered, settings, before.pending if before else None, before.models if before else None)
     predictions = models.predict(numbered, trained, settings)
     scored = anomaly.scored(predictions, settings, cut, stop_at_first, start_confidence)
-    return Watch(snapshots, phases.phase_names(named), numbered, trained, scored, settings, before)
+    return Watch(snapshots, phases.phase_names(pairs), numbered, trained, scored, settings, before)

@@ -440,3 +440,20 @@ def test_synthetic_columns_equal_single_values():
     for i, (p, v) in enumerate(zip(phases, versions)):
         single = [replay.synthetic_value(f"{p:08x}", int(v), 1, place, 9) for place in range(8)]
         assert found[i].ravel().tolist() == single
+
+
+def test_gathered_keeps_equal_samples_and_distinct_functions(spark):
+    rows = [("c", 1, "w0", "1,2", ["f *** 3", " g"]), ("c", 1, "w0", "1,2", ["f *** 4"]), ("c", 1, "w1", "x", None), ("c", 2, "w0", "3,4", [])]
+    samples = spark.createDataFrame(rows, "cluster string, tick long, worker string, resource_data string, threaddump_data array<string>")
+    expected = spark.createDataFrame([("c", "w0"), ("c", "w1")], "cluster string, worker string")
+    found = ticks.gathered(samples)
+    got = {r.tick: r.lines for r in found.collect()}
+    assert got == {1: ["f ", "g"], 2: []}
+    got = sorted(map(tuple, ticks.readings(found, expected).collect()))
+    assert got == [("c", 1, "w0", "1,2"), ("c", 1, "w0", "1,2"), ("c", 1, "w1", "x"), ("c", 2, "w0", "3,4"), ("c", 2, "w1", "0,0")]
+
+
+def test_set_ids_tell_sets_apart(spark):
+    df = spark.createDataFrame([(["ab"], []), (["a", "b"], []), (["a1:b"], []), ([], ["ab"]), ([], [])], "funcs array<string>, counted array<string>")
+    ids = [r.id for r in df.select(ticks.set_id(["funcs", "counted"]).alias("id")).collect()]
+    assert len(set(ids)) == 5
