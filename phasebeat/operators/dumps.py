@@ -24,7 +24,8 @@ def stacks_of_lines(
     ``threads`` line since the stack before it.
 
     A dump of any size is cut into blocks by a running count of empty lines that is carried over segments, and into groups of blocks
-    by a running count of stacks, so no row and no task holds more than a segment of lines or one stack.
+    by a running count of stacks, so no row and no task holds more than a segment of lines or one stack.  Blocks and stacks grow with the
+    lines and compress well, so they are never broadcast.
     """
     empty, starts = F.col("line") == "", F.col("line").contains(start)
     rows = scan(lines, keys, "line_no", sums={"empties": empty.cast("long")}, segment_rows=segment_rows)
@@ -41,8 +42,8 @@ def stacks_of_lines(
     numbered = store(numbered.withColumn("group", F.col("stacks") - is_stack.cast("long")), "dump-blocks")
     known = F.when(F.col("count_line").isNotNull(), F.col("block"))
     counts = numbered.groupBy(*keys, "group").agg(F.max_by("count_line", known).alias("count_line"))
-    found = numbered.where(is_stack).select(*keys, "block", "first", "group").join(counts, [*keys, "group"])
-    inside = rows.join(found, [*keys, "block"]).where(F.col("line_no") >= F.col("first"))
+    found = numbered.where(is_stack).select(*keys, "block", "first", "group").join(counts.hint("merge"), [*keys, "group"])
+    inside = rows.join(found.hint("merge"), [*keys, "block"]).where(F.col("line_no") >= F.col("first"))
     # One stack's lines meet here.
     parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
     stacks = inside.groupBy(*keys, "block").agg(parts.alias("parts"), F.first("count_line").alias("count_line"))

@@ -78,7 +78,9 @@ def scan(
         ]
     carry = summary.select(*within, *carried)
 
-    joined = local.join(carry, within)
+    # Both sides grow with the sequence.  Stored tables and shuffles are compressed, so their bytes say little about the
+    # memory that a broadcast would take; the rows are sorted by segment already.
+    joined = local.join(carry.hint("merge"), within)
     joined = joined.withColumns(
         {n: F.col(n) + F.coalesce(F.col(f"__c_{n}"), F.lit(0)) for n in sums}
         | {n: F.coalesce(F.col(n), F.col(f"__c_{n}")) for n in lasts}

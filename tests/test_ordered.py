@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from phasebeat.operators.dumps import stacks_of_lines
 from phasebeat.operators.ordered import scan
 
 
@@ -51,3 +52,12 @@ def test_no_task_sorts_a_whole_hot_key(spark):
     whole = [w for w in windows if "__segment" not in w.split("], [")[1]]
     assert len(windows) == 2 and len(whole) == 1
     assert "__s_s" in whole[0]
+
+
+def test_carry_is_not_broadcast(spark):
+    """Small files may hold many rows, so the carry and the blocks of dumps are merged whatever their bytes."""
+    rows = spark.range(100).select(F.lit("hot").alias("key"), F.col("id").alias("line_no"), F.lit("at x").alias("line"))
+    scanned = scan(rows, ["key"], "line_no", sums={"s": F.col("line_no")}, segment_rows=10)
+    for found in (scanned, stacks_of_lines(rows, ["key"], 10)):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
