@@ -77,6 +77,9 @@ def tick_stream(
 
     Newer samples of a worker overwrite older ones first, then workers are put together, so the text of a
     function is kept once per cluster and interval however many workers run it.
+
+    The join with the configured workers is a merge: Spark sizes a stream by the files of the batch, so the batch of an
+    end marker looks tiny while all closed intervals come from the state, and they would be broadcast.
     """
     line = F.col("resource_data")
     newest = F.struct("resource_data", "threaddump_data")
@@ -94,7 +97,7 @@ def tick_stream(
         F.collect_list(once).alias("readings"), F.collect_set("func").alias("functions")
     )
     return live.select("cluster", F.col("w.start").alias("tick"), "readings", "functions").join(
-        expected_by_cluster(expected), "cluster"
+        expected_by_cluster(expected).hint("merge"), "cluster"
     )
 
 

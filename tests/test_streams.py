@@ -147,3 +147,25 @@ def test_late_rows_can_be_counted(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 19
     with pytest.raises(ValueError, match="late rows"):
         live.run_available(stream, str(tmp_path / "out2"), str(tmp_path / "check2"), late="drop")
+
+
+def test_closed_intervals_are_not_broadcast(spark):
+    """The batch of an end marker has one row of input, but all closed intervals come from the state."""
+    source, check = new_dir(spark, "live"), new_dir(spark, "check")
+    rows = spark.range(40).selectExpr(
+        "concat('c', id % 2) AS cluster", "'w0' AS worker", "timestamp_seconds(id) AS ts", "'1,2' AS resource_data", "array('f') AS threaddump_data"
+    )
+    workers = rows.select("cluster", "worker").distinct()
+    found, plans = [], []
+    for part in (rows, live.end_marker(rows, "ts", "10 seconds")):
+        part.write.mode("append").json(source)
+        stream = live.tick_stream(src.stream_samples(spark, source, TIMED_SAMPLES), workers, "1 second", "0 seconds")
+        with live.state_store(spark, 2):
+            query = (
+                stream.writeStream.foreachBatch(lambda batch, _: found.extend(batch.collect()))
+                .option("checkpointLocation", check).trigger(availableNow=True).start()
+            )
+        query.awaitTermination()
+        plans.append(query._jsq.explainInternal(False))
+    assert sorted(r.tick.timestamp() for r in found) == list(range(40))
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
