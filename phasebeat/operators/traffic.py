@@ -36,6 +36,7 @@ def process_tree(processes: DataFrame, main: Column, key: str = "host") -> DataF
     Each round doubles the number of generations looked back, so a tree of depth ``d`` takes ``log2(d)`` rounds.
     Processes whose ancestors form a circle, as reused pids can make them, have no main process.
     A round reads and writes the rows that are still open; rows that are settled stay in the table of their round.
+    Tables of processes take few bytes for many rows, so the joins are merges and never broadcasts.
     """
     up = F.when(F.col("ppid") != F.col("pid"), F.col("ppid"))
     watched = F.coalesce(main, F.lit(False))
@@ -48,7 +49,7 @@ def process_tree(processes: DataFrame, main: Column, key: str = "host") -> DataF
         state = reduce(DataFrame.unionByName, [*settled, open_])
         parent = state.select(key, F.col("pid").alias("up"), F.col("up").alias("next"), F.col("watched").alias("by"))
         reached = F.coalesce("by", F.lit(False))
-        looked = open_.join(parent, [key, "up"], "left").select(
+        looked = open_.join(parent.hint("merge"), [key, "up"], "left").select(
             key, "pid", F.when(~reached, F.col("next")).alias("up"), "is_main", reached.alias("watched")
         )
         rows = store(looked, "processes")
@@ -56,7 +57,7 @@ def process_tree(processes: DataFrame, main: Column, key: str = "host") -> DataF
         now = open_.count()
     state = reduce(DataFrame.unionByName, settled)
     found = state.where("watched").select(key, "pid", "is_main")
-    return processes.join(found, [key, "pid"])
+    return processes.join(found.hint("merge"), [key, "pid"])
 
 
 def usage_by_chunk(
@@ -88,8 +89,8 @@ def usage_by_chunk(
         longest = watched.agg(F.max(F.length(pid))).first()[0] or 0
         pieces = tokens.select(host, "token", F.explode(digit_pieces(F.col("token"), longest)).alias("piece"))
     # One row per token: the least process in the order of the list.
-    owners = pieces.join(listed, [host, "piece"]).groupBy(host, "token").agg(F.min("process").alias("proc"))
-    owned = rows.join(owners, [host, "token"], "left")
+    owners = pieces.join(listed.hint("merge"), [host, "piece"]).groupBy(host, "token").agg(F.min("process").alias("proc"))
+    owned = rows.join(owners.hint("merge"), [host, "token"], "left")
     proc = F.when(F.col("usable") & ~F.col("helper"), F.col("proc"))
     counts = F.col("usable") & (F.col("helper") | proc.isNotNull())
 

@@ -457,3 +457,21 @@ def test_set_ids_tell_sets_apart(spark):
     df = spark.createDataFrame([(["ab"], []), (["a", "b"], []), (["a1:b"], []), ([], ["ab"]), ([], [])], "funcs array<string>, counted array<string>")
     ids = [r.id for r in df.select(ticks.set_id(["funcs", "counted"]).alias("id")).collect()]
     assert len(set(ids)) == 5
+
+
+def test_samples_are_shuffled_once(spark):
+    """Readings and functions become rows behind the only shuffle, not one record each in front of it."""
+    rows = [("c", 1, "w0", "1,2", ["f *** 3"])]
+    samples = spark.createDataFrame(rows, "cluster string, tick long, worker string, resource_data string, threaddump_data array<string>")
+    plan = ticks.gathered(samples)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_processes_and_models_are_not_broadcast(spark):
+    procs = spark.createDataFrame([("h", 1, None), ("h", 2, 1)], "host string, pid long, ppid long").withColumns({"cpu": F.lit(1.0), "mem": F.lit(1.0)})
+    watched = traffic.process_tree(procs, F.col("pid") == 1)
+    lines = spark.createDataFrame([("h", 0, "java/1/0 1 2")], "host string, chunk long, line string")
+    plan = watched._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    plan = traffic.usage_by_chunk(lines, watched, ["host", "chunk"])._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3
