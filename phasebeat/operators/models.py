@@ -216,7 +216,7 @@ def predict(visits: DataFrame, models: DataFrame | None, settings: Settings = Se
         has_model = F.col("version") > 0
         rows = visits.withColumn("model_key", F.when(has_model, F.col("version")).otherwise(-F.col("tick_no")))
         found = models.withColumnRenamed("version", "model_key")
-        rows = rows.join(found, ["cluster", "phase_id", "model_key"], "left").drop("model_key")
+        rows = rows.join(found.hint("merge"), ["cluster", "phase_id", "model_key"], "left").drop("model_key")
         if settings.algo == "agg":
             trained = reduce(lambda p, q: p | q, [F.col(f"{r}_mean") != 0 for r in RESOURCES])
             chosen = {r: F.when(trained, F.col(f"{r}_mean")).otherwise(naive[r]) for r in RESOURCES}

@@ -68,9 +68,11 @@ def with_silent_workers(samples: DataFrame, expected: DataFrame, empty_function:
 def parse_resources(samples: DataFrame, accept_non_finite: bool = False) -> DataFrame:
     """Add ``cpu`` and ``mem``, null where the text line is malformed."""
     n, parts = len(RESOURCES), F.col("parts")
-    rows = samples.withColumn("parts", F.split("resource_data", ",", -1))
+    # Most rows of sparse clusters are silent workers, whose line needs no parsing.
+    idle = F.coalesce(F.col("resource_data") == text.IDLE_LINE, F.lit(False))
+    rows = samples.withColumn("parts", F.when(~idle, F.split("resource_data", ",", -1)))
     return rows.withColumns(
-        {r: text.field_number(parts, i, n, accept_non_finite) for i, r in enumerate(RESOURCES)}
+        {r: F.when(idle, F.lit(0.0)).otherwise(text.field_number(parts, i, n, accept_non_finite)) for i, r in enumerate(RESOURCES)}
     ).drop("parts")
 
 
@@ -120,9 +122,10 @@ def function_union(samples: DataFrame, with_counts: bool = False) -> DataFrame:
 def gathered(samples: DataFrame, with_counts: bool = False) -> DataFrame:
     """``readings`` of the workers and ``lines`` of all their stacks per cluster and tick, from one pass over the samples.
 
-    Readings and functions are rows of the same hash aggregation, before and after the shuffle; what remains is put into
-    arrays: one element per worker (equal samples have a number), one per distinct function.
+    Samples are shuffled once, as they are; readings and functions become rows of the same hash aggregation behind that shuffle, which
+    needs no other. What remains is put into arrays: one element per worker (equal samples have a number), one per distinct function.
     """
+    samples = samples.select(*TICK, "worker", "resource_data", "threaddump_data").repartition(*TICK)
     line = function_lines(samples)
     lines = line if with_counts else F.transform(line, text.drop_thread_count)
     reading = F.struct(F.lit(True).alias("said"), "worker", "resource_data", F.lit(None).cast("string").alias("line"))
@@ -182,7 +185,8 @@ def cluster_ticks(
         sets = sets.select(*TICK, lines.alias("counted")).withColumn("funcs", plain)
     else:
         sets = sets.select(*TICK, lines.alias("funcs"))
-    return means.join(sets, TICK)
+    # Sets grow with the ticks and compress well, so they are never broadcast.
+    return means.join(sets.hint("merge"), TICK)
 
 
 def set_columns(ticks: DataFrame) -> list[str]:
