@@ -42,17 +42,21 @@ class SuffixArray:
         for width in (1, 2, 4, 8):
             keys = names if width == 1 else self._pairs(ranks, width // 2)
             distinct, ranks = np.unique(keys, return_inverse=True)
-            ranks = ranks.astype(np.int64)
+            # Ranks take 32 bits, and no more of them are held than are joined below.
+            ranks = ranks.astype(np.int32)
             self.levels.append(distinct)
-            by_width[width] = ranks
+            if width != 4:
+                by_width[width] = ranks
+            del keys
         self.words = by_width[1]
         keys = self._joined(by_width[8], by_width[2], 8)
+        del by_width, ranks
         self.order = np.argsort(keys, kind="stable")
         self.keys = keys[self.order]
 
     @staticmethod
     def _joined(left: np.ndarray, right: np.ndarray, shift: int) -> np.ndarray:
-        out = left << 32
+        out = left.astype(np.int64) << 32
         out[: max(len(left) - shift, 0)] += right[shift:] + 1
         return out
 
@@ -305,6 +309,7 @@ def contamination(
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 if chunk is None or chunk.number != row["chunk"]:
+                    chunk = None  # or two arrays are held while the next one is built
                     chunk = _Chunk(row, names)
                 if block is None or block.number != row["block"]:
                     block = _Block(row, names)

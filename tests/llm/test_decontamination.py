@@ -144,3 +144,14 @@ def test_many_items_in_one_document(spark):
     docs = [(i, " ".join(rng.choices("ab", k=60)) + " " + (same if i % 2 else "") + " a" * 25) for i in range(20)]
     assert found(spark, docs, items) == expected(docs, items)
     assert found(spark, docs, items, item_block_bytes=2_000) == expected(docs, items)
+
+
+def test_memory_of_a_suffix_array():
+    """The peak while an array is built, in bytes a word, and what it keeps."""
+    names = np.random.default_rng(1).integers(1, 2**60, 1 << 18).astype(np.uint64)
+    tracemalloc.start()
+    array = SuffixArray(names)
+    kept, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert array.words.dtype == np.int32
+    assert kept <= 53 * len(names) and peak <= 96 * len(names)
