@@ -38,6 +38,17 @@ def drop_thread_count(c: Column) -> Column:
     return F.substring_index(c, COUNT_MARK, 1)
 
 
+def function_name(c: Column) -> Column:
+    """``drop_thread_count`` of the stripped text; behind a mark nothing needs stripping, which is the slow end."""
+    cut = F.ltrim(drop_thread_count(c), F.lit(BLANKS))
+    return F.when(F.contains(c, F.lit(COUNT_MARK)), cut).otherwise(strip(c))
+
+
+def sorted_texts(texts: Column) -> Column:
+    """The texts of an array in order, without nulls; no comparison is a function call as in ``array_sort``."""
+    return F.sort_array(F.array_compact(texts))
+
+
 def first_token(c: Column) -> Column:
     return F.split(strip(c), r"\s+")[0]
 

@@ -50,15 +50,20 @@ def scan(
     if lags:
         local = local.withColumn("__pos", F.row_number().over(order))
     shifted = sorted({column for column, _ in lags.values()})
+    # Without it the ends of the segments need no sorted rows.
+    two_back = any(back == 2 for _, back in lags.values())
 
     totals = [F.sum(c).alias(f"__s_{n}") for n, c in sums.items()]
     known = [F.max_by(c, F.when(c.isNotNull(), F.col(index))).alias(f"__l_{n}") for n, c in lasts.items()]
     if lags:
         tail = F.struct(*[F.col(c).alias(c) for c in shifted])
         ends = rows.select(*within, index, *_inputs(rows, within, index, sums, lasts), tail.alias("__row"))
-        ends = ends.withColumn("__before", F.lag("__row").over(order))
+        kept = ["__row"]
+        if two_back:
+            ends = ends.withColumn("__before", F.lag("__row").over(order))
+            kept.append("__before")
         known += [
-            F.max_by(F.struct("__row", "__before"), F.col(index)).alias("__tail"),
+            F.max_by(F.struct(*kept), F.col(index)).alias("__tail"),
             F.count("*").alias("__rows"),
         ]
     else:
@@ -70,12 +75,11 @@ def scan(
     carried = [F.sum(f"__s_{n}").over(earlier).alias(f"__c_{n}") for n in sums]
     carried += [F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in lasts]
     if lags:
+        carried.append(F.lag("__tail.__row").over(by_segment).alias("__back1"))
+    if two_back:
         # A one-row segment has no second-last row of its own: it is the last one further back.
         second = F.when(F.lag("__rows").over(by_segment) > 1, F.lag("__tail.__before").over(by_segment))
-        carried += [
-            F.lag("__tail.__row").over(by_segment).alias("__back1"),
-            F.coalesce(second, F.lag("__tail.__row", 2).over(by_segment)).alias("__back2"),
-        ]
+        carried.append(F.coalesce(second, F.lag("__tail.__row", 2).over(by_segment)).alias("__back2"))
     carry = summary.select(*within, *carried)
 
     # Both sides grow with the sequence.  Stored tables and shuffles are compressed, so their bytes say little about the
@@ -98,11 +102,11 @@ def _inputs(rows, within, index, sums, lasts) -> list[str]:
 
 def _carried_lag(name: str, column: str, back: int) -> Column:
     pos, local = F.col("__pos"), F.col(name)
-    first, second = F.col(f"__back1.{column}"), F.col(f"__back2.{column}")
+    first = F.col(f"__back1.{column}")
     if back == 1:
         return F.when(pos > 1, local).otherwise(first)
     if back == 2:
-        return F.when(pos > 2, local).when(pos == 2, first).otherwise(second)
+        return F.when(pos > 2, local).when(pos == 2, first).otherwise(F.col(f"__back2.{column}"))
     raise ValueError("only one or two rows back")
 
 

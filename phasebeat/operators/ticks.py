@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from functools import reduce
 from operator import or_
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from phasebeat.config import RESOURCES, Settings
 from phasebeat.functions import text
 from phasebeat.operators.ordered import scan, whole_part
-from phasebeat.workspace import store
+from phasebeat.workspace import narrowed, store
 
 TICK = ["cluster", "tick"]
 SET_IDS = ["set_id_prev1", "set_id"]
@@ -122,23 +123,17 @@ def function_union(samples: DataFrame, with_counts: bool = False) -> DataFrame:
 def gathered(samples: DataFrame, with_counts: bool = False) -> DataFrame:
     """``readings`` of the workers and ``lines`` of all their stacks per cluster and tick, from one pass over the samples.
 
-    Samples are shuffled once, as they are; readings and functions become rows of the same hash aggregation behind that shuffle, which
-    needs no other. What remains is put into arrays: one element per worker (equal samples have a number), one per distinct function.
+    Samples are shuffled once, as they are. Behind that shuffle equal samples become one with a number, by a plain hash aggregation,
+    and the rest of a tick is put into arrays: one element per worker, and the union of the distinct lists of functions.
+    Parsed resources are kept beside their text if the samples have them.
     """
-    samples = samples.select(*TICK, "worker", "resource_data", "threaddump_data").repartition(*TICK)
-    line = function_lines(samples)
-    lines = line if with_counts else F.transform(line, text.drop_thread_count)
-    reading = F.struct(F.lit(True).alias("said"), "worker", "resource_data", F.lit(None).cast("string").alias("line"))
-    none = F.lit(None).cast("string")
-    functions = F.transform(
-        lines, lambda x: F.struct(F.lit(False).alias("said"), none.alias("worker"), none.alias("resource_data"), x.alias("line"))
-    )
-    parts = F.when(functions.isNull(), F.array(reading)).otherwise(F.concat(F.array(reading), functions))
-    rows = samples.select(*TICK, F.explode(parts).alias("part")).select(*TICK, "part.*")
-    distinct = rows.groupBy(*TICK, "said", "worker", "resource_data", "line").agg(F.count("*").alias("n"))
+    told = ["worker", "resource_data", *[r for r in RESOURCES if r in samples.columns]]
+    samples = samples.select(*TICK, *told, "threaddump_data").repartition(*TICK)
+    lines = function_lines(samples) if with_counts else F.transform("threaddump_data", text.function_name)
+    distinct = samples.select(*TICK, *told, lines.alias("lines")).groupBy(*TICK, *told, "lines").agg(F.count("*").alias("n"))
     return distinct.groupBy(*TICK).agg(
-        F.collect_list(F.when(F.col("said"), F.struct("worker", "resource_data", "n"))).alias("readings"),
-        F.array_sort(F.collect_list(F.when(~F.col("said"), F.col("line")))).alias("lines"),
+        F.collect_list(F.struct(*told, "n")).alias("readings"),
+        text.sorted_texts(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines"),
     )
 
 
@@ -155,6 +150,25 @@ def readings(gathered_ticks: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
 
 
+def measured(samples: DataFrame, expected: DataFrame, with_counts: bool = False) -> DataFrame:
+    """``gathered`` with parsed resources, written once, for the clusters that have configured workers.
+
+    ``workers`` is their number, ``silent`` says that one of them has no sample, ``strangers`` are workers that are not configured.
+    ``lines`` are named ``counted`` if they keep their thread counts.
+    """
+    found = gathered(parse_resources(samples), with_counts).where("tick IS NOT NULL").join(expected_by_cluster(expected), "cluster")
+    said = F.transform("readings", lambda r: r["worker"])
+    rows = found.select(
+        *TICK,
+        "readings",
+        F.col("lines").alias("counted" if with_counts else "lines"),
+        F.size("workers").alias("workers"),
+        (F.size(F.array_except("workers", said)) > 0).alias("silent"),
+        F.array_except(said, "workers").alias("strangers"),
+    )
+    return store(rows, "gathered")
+
+
 def cluster_ticks(
     samples: DataFrame,
     expected: DataFrame,
@@ -166,27 +180,83 @@ def cluster_ticks(
 
     The samples are read once; readings and functions go on from one written row per tick.
     """
+    found = measured(samples, expected, with_counts=settings.variant == "v1")
+    return measured_ticks(found, settings, segment_rows, empty_function)
+
+
+def measured_ticks(
+    found: DataFrame, settings: Settings = Settings(), segment_rows: int | None = None, empty_function: bool = False
+) -> DataFrame:
+    """The snapshots of ``measured`` samples; samples with thread counts serve both variants.
+
+    Means are those of ``cluster_means`` after ``fill_forward``, but silent workers, which add zeros, get no rows of their own.
+    """
     v1 = settings.variant == "v1"
-    found = store(gathered(samples, with_counts=v1), "gathered")
-    parsed = parse_resources(readings(found, expected))
-    filled = parsed if v1 else fill_forward(parsed, segment_rows)
-    means = cluster_means(filled, expected, flag_malformed=v1)
-    lines = F.col("lines")
+    lines, rows = F.col("counted" if "counted" in found.columns else "lines"), found
+    if not v1 and "counted" in found.columns:
+        lines = _without_counts(lines)
     if empty_function:
         # A silent worker has one empty function.
-        said = F.transform("readings", lambda r: r["worker"])
-        sets = found.join(expected_by_cluster(expected), "cluster", "left")
-        silent = F.coalesce(F.size(F.array_except("workers", said)) > 0, F.lit(False))
-        lines = F.when(silent, F.array_sort(F.array_union("lines", F.array(F.lit(""))))).otherwise(lines)
-    else:
-        sets = found
+        lines = F.when(F.col("silent"), F.array_sort(F.array_union(lines, F.array(F.lit(""))))).otherwise(lines)
     if v1:
-        plain = F.array_sort(F.array_distinct(F.transform("counted", text.drop_thread_count)))
-        sets = sets.select(*TICK, lines.alias("counted")).withColumn("funcs", plain)
+        sums = {r: F.coalesce(_good_sum(r), F.when(F.col("silent"), F.lit(0.0))) for r in RESOURCES}
+        rows = rows.withColumn("malformed", F.exists("readings", _malformed))
     else:
-        sets = sets.select(*TICK, lines.alias("funcs"))
-    # Sets grow with the ticks and compress well, so they are never broadcast.
-    return means.join(sets.hint("merge"), TICK)
+        # Both sides grow with the ticks and compress well, so they are never broadcast.
+        rows = _named_workers(rows).join(filled_sums(found, segment_rows).hint("merge"), TICK, "left")
+        sums = {r: F.coalesce(_good_sum(r), F.lit(0.0)) + F.coalesce(f"filled_{r}", F.lit(0.0)) for r in RESOURCES}
+    means = [(F.round(c, 9) / F.col("workers")).alias(r) for r, c in sums.items()]
+    if v1:
+        return rows.select(*TICK, *means, "malformed", lines.alias("counted")).withColumn("funcs", _without_counts(F.col("counted")))
+    return rows.select(*TICK, *means, lines.alias("funcs"))
+
+
+def _without_counts(lines: Column) -> Column:
+    return text.sorted_texts(F.array_distinct(F.transform(lines, text.drop_thread_count)))
+
+
+def _malformed(reading: Column) -> Column:
+    return reduce(or_, [reading[r].isNull() for r in RESOURCES])
+
+
+def _good_sum(resource: str) -> Column:
+    """Sum of the good values of a tick, null if there are none."""
+    values = F.filter(F.transform("readings", lambda x: x[resource] * x["n"]), lambda v: v.isNotNull())
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, v: a + v))
+
+
+def _named_workers(found: DataFrame) -> DataFrame:
+    return found.withColumn("readings", F.filter("readings", lambda x: x["worker"].isNotNull()))
+
+
+def filled_sums(found: DataFrame, segment_rows: int | None = None) -> DataFrame:
+    """What the malformed readings of ``measured`` ticks add to the sums, as ``fill_forward`` fills them.
+
+    A configured worker has a value in every tick of its cluster. So a malformed one takes that of the tick before: zero if the worker
+    was silent there or there is none. Only what was malformed there too is looked for further back, among the malformed readings.
+    A worker that is not configured has no silent ticks, so all its readings are kept.
+    """
+    narrow = narrowed(found, *TICK, "readings", "strangers")
+    rows = scan(narrow, ["cluster"], "tick", lags={"tick_before": ("tick", 1)}, segment_rows=segment_rows)
+    strange = F.coalesce(F.array_contains("strangers", F.col("worker")), F.lit(False))
+    asked = F.filter(
+        "readings", lambda x: _malformed(x) | F.coalesce(F.array_contains("strangers", x["worker"]), F.lit(False))
+    )
+    asked = _named_workers(rows).select(*TICK, "tick_before", "strangers", F.explode(asked).alias("r")).select("*", "r.*").drop("r")
+    earlier = found.select("cluster", F.col("tick").alias("tick_before"), F.explode("readings").alias("r"))
+    earlier = earlier.groupBy("cluster", "tick_before", F.col("r.worker").alias("worker")).agg(
+        *[F.max(f"r.{r}").alias(f"before_{r}") for r in RESOURCES], F.lit(True).alias("spoke")
+    )
+    asked = asked.join(earlier.hint("merge"), ["cluster", "tick_before", "worker"], "left")
+    last = {
+        f"near_{r}": F.coalesce(r, F.when(~strange, F.when(F.col("spoke"), F.col(f"before_{r}")).otherwise(F.lit(0.0))))
+        for r in RESOURCES
+    }
+    asked = asked.select(*TICK, "worker", "n", *RESOURCES, *[c.alias(n) for n, c in last.items()])
+    lasts = {f"far_{r}": F.col(f"near_{r}") for r in RESOURCES}
+    filled = scan(asked, ["cluster", "worker"], "tick", lasts=lasts, segment_rows=segment_rows)
+    values = {r: F.when(F.col(r).isNull(), F.coalesce(f"near_{r}", f"far_{r}", F.lit(0.0)) * F.col("n")) for r in RESOURCES}
+    return filled.groupBy(*TICK).agg(*[F.sum(v).alias(f"filled_{r}") for r, v in values.items()])
 
 
 def set_columns(ticks: DataFrame) -> list[str]:
@@ -194,9 +264,8 @@ def set_columns(ticks: DataFrame) -> list[str]:
 
 
 def set_id(columns: list[str]) -> Column:
-    """Short id of the sets of a tick; lengths before the functions keep different sets apart."""
-    names = [F.array_join(F.transform(c, lambda f: F.concat(F.length(f).cast("string"), F.lit(":"), f)), "") for c in columns]
-    return F.md5(F.concat_ws("|", *names))
+    """Short id of the sets of a tick; the quotes of JSON keep different sets apart."""
+    return F.md5(F.to_json(F.struct(*columns)))
 
 
 def ordered_triplets(
@@ -215,23 +284,23 @@ def ordered_triplets(
     narrow = ticks.drop(*sets)
     if "malformed" in ticks.columns:
         narrow = _complete_pairs(narrow, settings.stride, segment_rows)
-    names = ticks.select("set_id", *sets)
+    names = ticks.select(*sets)
     fresh = F.lit(1)
     if before is not None:
         old = before.withColumn("set_id", set_id(sets))
-        names = names.unionByName(old.select("set_id", *sets))
+        names = names.unionByName(old.select(*sets))
         narrow = narrow.withColumn("fresh", F.lit(1)).unionByName(old.select(*narrow.columns).withColumn("fresh", F.lit(0)))
         fresh = F.col("fresh")
     lags = {f"{r}_prev{n}": (r, n) for r in RESOURCES for n in (1, 2)} | {"set_id_prev1": ("set_id", 1)}
     rows = scan(narrow, ["cluster"], "tick", sums={"snapshot_no": fresh}, lags=lags, segment_rows=segment_rows)
-    nothing = hashlib.md5("|".join("" for _ in sets).encode()).hexdigest()
+    nothing = hashlib.md5(json.dumps({s: [] for s in sets}, separators=(",", ":")).encode()).hexdigest()
     rows = rows.where((F.col("snapshot_no") % settings.stride == 0) & (F.lit(before is None) | (fresh == 1)))
     rows = rows.withColumns(
         {"tick_no": whole_part("snapshot_no", settings.stride)}
         | {f"{r}_prev{n}": F.coalesce(f"{r}_prev{n}", F.lit(0.0)) for r in RESOURCES for n in (1, 2)}
         | {"set_id_prev1": F.coalesce("set_id_prev1", F.lit(nothing))}
     ).drop("snapshot_no", "fresh")
-    return rows, names.distinct()
+    return rows, names.distinct().withColumn("set_id", set_id(sets))
 
 
 def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:

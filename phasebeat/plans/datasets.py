@@ -81,26 +81,31 @@ def samples(spark: SparkSession, sf_dir: str, with_functions: bool = True, per_t
     """The last resource line of each worker and tick, and its functions with thread counts."""
     rows = events(spark, sf_dir, per_tick)
     user = F.col("user_id")
-    step = F.sequence(F.lit(1), F.lit(FUNCTIONS))
-    threads = (F.col("k") % 4).cast("string")
-    funcs = F.transform(
-        step, lambda i: F.concat(F.lit(" "), F.col("event_type"), F.lit(".step"), i.cast("string"), F.lit(" *** "), threads, F.lit("\n"))
-    )
+    # The functions of an event follow from the texts around their numbers, which are all that is shuffled.
+    head = F.concat(F.lit(" "), F.col("event_type"), F.lit(".step"))
+    tail = F.concat(F.lit(" *** "), (F.col("k") % 4).cast("string"), F.lit("\n"))
+    job = F.struct(head.alias("head"), tail.alias("tail"))
+    step = F.array(*[F.lit(str(i + 1)) for i in range(FUNCTIONS)])
     rows = rows.select(
         cluster_of(user).alias("cluster"),
         worker_of(user).alias("worker"),
         "tick",
         "event_id",
         resource_line(F.col("value"), F.col("k"), F.col("event_id")).alias("line"),
-        funcs.alias("funcs"),
+        job.alias("job"),
     )
     found = [F.max_by("line", "event_id").alias("resource_data")]
     if not with_functions:
         return rows.groupBy("cluster", "worker", "tick").agg(*found)
     # In every seventh tick no process runs.
-    working = F.when(F.col("tick") % 7 != 0, F.col("funcs"))
-    found.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(working)))).alias("threaddump_data"))
-    return rows.groupBy("cluster", "worker", "tick").agg(*found)
+    jobs = F.collect_set(F.when(F.col("tick") % 7 != 0, F.col("job"))).alias("jobs")
+    rows = rows.groupBy("cluster", "worker", "tick").agg(*found, jobs)
+    funcs = F.flatten(F.transform("jobs", lambda j: F.transform(step, lambda i: F.concat(j["head"], i, j["tail"]))))
+    found = F.array_distinct(funcs)
+    # An event without a type or a number has functions that are null; one of them comes last.
+    unknown = F.when(F.exists("jobs", lambda j: j["head"].isNull() | j["tail"].isNull()), F.array(F.lit(None).cast("string")))
+    threaddump_data = F.concat(text.sorted_texts(found), F.coalesce(unknown, F.array().cast("array<string>")))
+    return rows.withColumn("threaddump_data", threaddump_data).drop("jobs")
 
 
 def middle(samples: DataFrame) -> int:

@@ -53,3 +53,10 @@ def drop(table: DataFrame) -> None:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` itself if it is a table that ``store`` has just written, else written now."""
     return df if getattr(df, "_phasebeat_stored", None) else store(df, name)
+
+
+def narrowed(table: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a table that ``store`` has written; it counts as written itself."""
+    rows = table.select(*columns)
+    rows._phasebeat_stored = getattr(table, "_phasebeat_stored", None)
+    return rows

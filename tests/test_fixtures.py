@@ -12,6 +12,7 @@ from phasebeat.functions import errors, text
 from phasebeat.functions import phases as ph
 from phasebeat.functions.lasso import fit_many, fit_points, with_lasso
 from phasebeat.operators import anomaly, compare, dumps, models, phases, replay, reports, runs, ticks, traffic
+from phasebeat.operators.ordered import scan
 from phasebeat.schema import SAMPLES
 
 
@@ -475,3 +476,57 @@ def test_processes_and_models_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
     plan = traffic.usage_by_chunk(lines, watched, ["host", "chunk"])._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin") >= 3
+
+
+@pytest.mark.parametrize("cut", [None, 2, 5])
+def test_measured_ticks_equal_filled_rows(spark, cut):
+    """Means without a row per silent worker, against filling every worker's rows: gaps, runs of malformed lines, strangers, equal samples."""
+    rng = random.Random(7)
+    lines = ["3,4", "10,", "x,7", "1,2,3", "", "0.5,2", "8,y"]
+    rows = [
+        (c, f"w{w}", t, rng.choice(lines), rng.choice([None, [], [" f *** 1\n"], ["f *** 2", "\tg "]]))
+        for c in ("a", "b") for t in range(1, 60) if t % 11 for w in range(4) if rng.random() < 0.6
+    ]
+    rows += [("a", "w0", 5, "3,4", ["f *** 1"])] * 2 + [("z", "w0", 1, "3,4", [])]
+    rows = [r for r in rows if r[:3] != ("a", "w0", 5) or r[3] == "3,4"]
+    samples = spark.createDataFrame(rows, SAMPLES)
+    # The worker w3 is not configured, w9 is never heard of, and the cluster z has no workers.
+    expected = spark.createDataFrame([(c, w) for c in "ab" for w in ("w0", "w1", "w2", "w9")], "cluster string, worker string")
+    plain = ticks.parse_resources(ticks.readings(ticks.gathered(samples), expected))
+    for variant, with_counts in (("v1", True), ("v2", False), ("v2", True)):
+        found = ticks.measured(samples, expected, with_counts)
+        assert "z" not in {r.cluster for r in found.collect()}
+        got = ticks.measured_ticks(found, Settings(variant=variant), cut)
+        want = ticks.cluster_means(plain if variant == "v1" else ticks.fill_forward(plain, cut), expected, variant == "v1")
+        sets = ticks.function_union(samples, variant == "v1").withColumnRenamed("tick", "at").withColumnRenamed("cluster", "of")
+        want = want.join(sets, (F.col("of") == F.col("cluster")) & (F.col("at") == F.col("tick")), "left")
+        flag = ["malformed"] if variant == "v1" else []
+        names = ["cluster", "tick", "cpu", "mem", *flag, F.coalesce("funcs", F.array().cast("array<string>")).alias("funcs")]
+        if flag:
+            names.append(F.coalesce("counted", F.array().cast("array<string>")).alias("counted"))
+        listed = [sorted(map(str, d.select(names).collect())) for d in (got, want)]
+        assert len(listed[0]) > 80 and listed[0] == listed[1]
+
+
+def test_silent_workers_have_no_rows(spark):
+    """The fill of malformed lines sees the malformed ones only, however many workers are silent."""
+    expected = spark.createDataFrame([("c", f"w{i}") for i in range(50)], "cluster string, worker string")
+    samples = spark.createDataFrame([("c", "w1", t, "x,1" if t == 3 else "4,1", []) for t in range(1, 6)], SAMPLES)
+    found = ticks.measured(samples, expected)
+    assert [tuple(r) for r in ticks.filled_sums(found, 2).collect()] == [("c", 3, 4.0, None)]
+
+
+def test_function_names_equal_stripping_and_cutting(spark):
+    given = ["f *** 3\n", "  *** 3", " f ", "\tf *** 1 *** 2 ", "***", "", None, " g\n *** 4", "f ** 3 \n"]
+    want = column(spark, given, lambda c: text.drop_thread_count(text.strip(c)))
+    assert column(spark, given, text.function_name) == want
+
+
+def test_one_row_back_needs_no_sorted_ends(spark):
+    """Ends of segments are aggregated in front of the shuffle if nothing looks two rows back."""
+    rows = spark.createDataFrame([("a", i, float(i)) for i in range(9)], "k string, i long, v double")
+    once = scan(rows, ["k"], "i", lags={"v1": ("v", 1)}, segment_rows=2)
+    twice = scan(rows, ["k"], "i", lags={"v1": ("v", 1), "v2": ("v", 2)}, segment_rows=2)
+    windows = [d._jdf.queryExecution().sparkPlan().toString().count("Window ") for d in (once, twice)]
+    assert windows[0] < windows[1]
+    assert sorted(r.v1 for r in once.collect() if r.i) == [float(i) for i in range(8)]
