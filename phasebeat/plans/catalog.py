@@ -14,7 +14,7 @@ from phasebeat.functions import text
 from phasebeat.operators import anomaly, compare, dumps, models, phases, reports, runs, ticks, traffic
 from phasebeat.operators.ordered import whole_part
 from phasebeat.plans import datasets as data
-from phasebeat.plans.online import Saved, visited, watch, watch_ticks
+from phasebeat.plans.online import Saved, visited, visited_ticks, watch, watch_ticks
 from phasebeat.schema import PROCESS, SAMPLES, TIMED_SAMPLES, WORKER_LOG
 from phasebeat.sources import samples as src
 from phasebeat.sources import tables
@@ -223,8 +223,10 @@ def phase_visits_v1(spark, sf):
 def idle_and_first_tick_guards(spark, sf):
     """Profiles that are stored, in both variants, and which of them is the first of its phase."""
     parts = []
+    # The samples are read once for both.
+    found = ticks.measured(*raw(spark, sf), with_counts=True)
     for settings in (DENSE, replace(SHORT, variant="v1", stride=1)):
-        rows, _ = numbered(spark, sf, settings)
+        rows = visited_ticks(ticks.measured_ticks(found, settings, CUT), settings)
         stored = rows.where("counts").select("cluster", "tick_no", "phase_id", (F.col("prior") == 0).alias("first"))
         parts.append(stored.withColumn("variant", F.lit(settings.variant)))
     return parts[0].unionByName(parts[1])

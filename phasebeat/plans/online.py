@@ -69,6 +69,11 @@ def visited(
     return snapshots, named, numbered, cut
 
 
+def visited_ticks(snapshots: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Numbered visits from cluster snapshots on."""
+    return _visited(stored(snapshots, "ticks"), settings, settings.segment_rows, None)[2]
+
+
 def _snapshots(
     samples: DataFrame, expected: DataFrame, settings: Settings, empty_function: bool
 ) -> tuple[DataFrame, int | None]:
