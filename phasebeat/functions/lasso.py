@@ -30,8 +30,8 @@ def with_lasso(df: DataFrame, points: dict[str, list[tuple[str, str, str]]], alp
     ``points[r]`` names the (prev2, prev1, target) columns of each training point of a row.
     Steps are separate projections, so that no expression is evaluated twice.
     """
-    steps: list[dict[str, str]] = [{}, {}, {}, {}, {}, {}]
-    means, moments, single, pairs, fits, result = steps
+    steps: list[dict[str, str]] = [{}, {}, {}, {}, {}, {}, {}, {}]
+    means, moments, single, pairs, costs, fits, weights, result = steps
     for r, rows in points.items():
         n = f"{float(len(rows))}D"
         for k, name in enumerate(("m1", "m2", "my")):
@@ -53,17 +53,19 @@ def with_lasso(df: DataFrame, points: dict[str, list[tuple[str, str, str]]], alp
             pairs[p] = f"CASE WHEN {solvable} THEN ({s22} * {e1} - {s12} * {e2}) / {det} END"
             pairs[q] = f"CASE WHEN {solvable} THEN ({s11} * {e2} - {s12} * {e1}) / {det} END"
             candidates.append((p, q, f"{p} * {g1}D > 0 AND {q} * {g2}D > 0"))
-        ranked = []
         for rank, (u, v, valid) in enumerate(candidates):
             gain = f"({c1} * {u} + {c2} * {v} - {alpha}D * (abs({u}) + abs({v})))"
             cost = f"0.5D * ({s11} * {u} * {u} + 2D * {s12} * {u} * {v} + {s22} * {v} * {v}) - {gain}"
-            ranked.append(f"CASE WHEN {valid} THEN struct({cost} AS cost, {rank} AS rank, {u} AS w1, {v} AS w2) END")
-        fits[f"{r}_fit"] = f"array_min(array({', '.join(ranked)}))"
-        result[f"{r}_w_prev2"], result[f"{r}_w_prev1"] = f"{r}_fit.w1", f"{r}_fit.w2"
-        result[f"{r}_intercept"] = f"{r}_my - {r}_fit.w1 * {r}_m1 - {r}_fit.w2 * {r}_m2"
+            costs[f"{r}_cost{rank}"] = f"CASE WHEN {valid} THEN {cost} END"
+        ranks = range(len(candidates))
+        fits[f"{r}_least"] = f"least({', '.join(f'{r}_cost{rank}' for rank in ranks)})"
+        for k, part in enumerate(("prev2", "prev1")):
+            chosen = " ".join(f"WHEN {r}_cost{rank} = {r}_least THEN {candidates[rank][k]}" for rank in ranks)
+            weights[f"{r}_w_{part}"] = f"CASE {chosen} END"
+        result[f"{r}_intercept"] = f"{r}_my - {r}_w_prev2 * {r}_m1 - {r}_w_prev1 * {r}_m2"
     for step in steps:
         df = df.withColumns({name: F.expr(e) for name, e in step.items()})
-    return df.drop(*[name for step in steps[:-1] for name in step])
+    return df.drop(*[name for step in steps[:-2] for name in step])
 
 
 def fit_points(points: Sequence[tuple[float, float, float]], alpha: float) -> tuple[float, float, float]:

@@ -207,8 +207,10 @@ def measured_ticks(
         sums = {r: F.coalesce(_good_sum(r), F.lit(0.0)) + F.coalesce(f"filled_{r}", F.lit(0.0)) for r in RESOURCES}
     means = [(F.round(c, 9) / F.col("workers")).alias(r) for r, c in sums.items()]
     if v1:
-        return rows.select(*TICK, *means, "malformed", lines.alias("counted")).withColumn("funcs", _without_counts(F.col("counted")))
-    return rows.select(*TICK, *means, lines.alias("funcs"))
+        ticks = rows.select(*TICK, *means, "malformed", lines.alias("counted")).withColumn("funcs", _without_counts(F.col("counted")))
+    else:
+        ticks = rows.select(*TICK, *means, lines.alias("funcs"))
+    return ticks.withColumn("set_id", set_id(set_columns(ticks)))
 
 
 def _without_counts(lines: Column) -> Column:
@@ -280,8 +282,10 @@ def ordered_triplets(
     an earlier run: they serve as history and are not evaluated again.
     """
     sets = set_columns(ticks)
-    ticks = ticks.withColumns({"set_id": set_id(sets)})
-    narrow = ticks.drop(*sets)
+    # Written ticks have their ids and are not written again.
+    if "set_id" not in ticks.columns:
+        ticks = ticks.withColumns({"set_id": set_id(sets)})
+    narrow = narrowed(ticks, *[c for c in ticks.columns if c not in sets])
     if "malformed" in ticks.columns:
         narrow = _complete_pairs(narrow, settings.stride, segment_rows)
     names = ticks.select(*sets)
@@ -331,7 +335,8 @@ def triplets(
 
 
 def last_two(ticks: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """The last two snapshots of each cluster, by aggregation only."""
+    """The last two snapshots of each cluster, by aggregation only, without ids of their sets."""
+    ticks = ticks.drop("set_id")
     if before is not None:
         ticks = ticks.unionByName(before.select(*ticks.columns))
     row = F.struct(*ticks.columns).alias("t")

@@ -11,9 +11,10 @@ from phasebeat import Settings
 from phasebeat.functions import errors, text
 from phasebeat.functions import phases as ph
 from phasebeat.functions.lasso import fit_many, fit_points, with_lasso
-from phasebeat.operators import anomaly, compare, dumps, models, phases, replay, reports, runs, ticks, traffic
+from phasebeat.operators import anomaly, compare, dumps, models, ordered, phases, replay, reports, runs, ticks, traffic
 from phasebeat.operators.ordered import scan
 from phasebeat.schema import SAMPLES
+from phasebeat.workspace import store
 
 
 def column(spark, values, expr, kind="string"):
@@ -530,3 +531,26 @@ def test_one_row_back_needs_no_sorted_ends(spark):
     windows = [d._jdf.queryExecution().sparkPlan().toString().count("Window ") for d in (once, twice)]
     assert windows[0] < windows[1]
     assert sorted(r.v1 for r in once.collect() if r.i) == [float(i) for i in range(8)]
+
+
+def test_written_ticks_are_not_written_again(spark, monkeypatch):
+    """Ticks have the ids of their sets when they are written, so the scan over them starts from that table."""
+    samples, expected = polls(spark, {t: ["30,10", "60,20", "90,30"] for t in range(1, 5)})
+    written = store(ticks.cluster_ticks(samples, expected), "ticks")
+    names = []
+    monkeypatch.setattr(ordered, "stored", lambda df, name: (df if getattr(df, "_phasebeat_stored", None) else names.append(name) or df))
+    rows, sets = ticks.ordered_triplets(written, Settings(stride=1), 2)
+    assert names == [] and rows.count() == 4 and sets.count() == 1
+    assert "set_id" not in ticks.last_two(written).columns
+
+
+def test_lasso_chooses_by_numbers(spark):
+    """No candidate is put into a struct of its own, and of equal ones the first is taken."""
+    points = {"cpu": [(f"a{i}", f"b{i}", f"y{i}") for i in range(3)]}
+    row = [float(v) for v in (1, 1, 1, 2, 2, 2, 4, 4, 4)]
+    df = spark.createDataFrame([tuple(row), (0.0,) * 9], ", ".join(f"{c}{i} double" for i in range(3) for c in "aby"))
+    found = with_lasso(df, points, 0.1)
+    assert "array_min" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.cpu_w_prev2, r.cpu_w_prev1, r.cpu_intercept) for r in found.collect())
+    want = sorted(fit_points([tuple(p[i : i + 3]) for i in (0, 3, 6)], 0.1) for p in (row, [0.0] * 9))
+    assert got == [pytest.approx(w, abs=1e-12) for w in want]
