@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from phasebeat.llm.common import mark_of, text_of
+from phasebeat.llm.common import map_texts, mark_of, text_of
 
 CHUNK_BYTES = 8 << 20
 # Prefix sums are taken over blocks of so many bytes, which fit into a processor's cache.
@@ -79,4 +79,4 @@ def chunks_of(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
     rows = docs.select("doc_id", mark_of(docs).alias("mark"), text_of(docs).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(of, f"chunk long, ids array<{kind}>, marks array<long>, lens array<long>, size long, blob binary")
+    return map_texts(rows, of, f"chunk long, ids array<{kind}>, marks array<long>, lens array<long>, size long, blob binary")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phasebeat.llm.common import mark_of, text_of
+from phasebeat.llm.common import map_texts, mark_of, text_of
 from phasebeat.llm.components import components
 from phasebeat.workspace import store
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", mark_of(docs).alias("mark"), text_of(docs).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(of, f"doc_id {kind}, mark long, fp long")
+    return map_texts(rows, of, f"doc_id {kind}, mark long, fp long")
 
 
 def masks(radius: int = RADIUS, bits: int = BITS, seed: int = 0) -> list[int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phasebeat.llm.common import text_of
+from phasebeat.llm.common import map_texts, text_of
 from phasebeat.llm.wordnames import WordNames
 from phasebeat.workspace import store
 
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, n_features: i
     totals = {bool(r["t"]): r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return None
-    counted = sample.mapInArrow(_count, "feature long, toxic int, n long").groupBy("feature").agg(
+    counted = map_texts(sample, _count, "feature long, toxic int, n long").groupBy("feature").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"),
     )
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED, n_features: i
             ]
             yield pa.RecordBatch.from_arrays(columns, ["toxic", "at", "counts"])
 
-    rows = sample.mapInArrow(design, "toxic int, at array<long>, counts array<double>").collect()
+    rows = map_texts(sample, design, "toxic int, at array<long>, counts array<double>").collect()
     rows = sorted(rows, key=lambda r: (r["toxic"], r["at"], r["counts"]))  # at most ``limit``, in the same order each time
     sizes = [len(r["at"]) for r in rows]
     row = np.repeat(np.arange(len(rows)), sizes)
@@ -192,7 +192,7 @@ def toxicity(docs: DataFrame, model: Model | None) -> DataFrame:
 
     rows = docs.select("doc_id", text_of(docs).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(of, f"doc_id {kind}, p_toxic double, p_severe double, severity double, grade int, toxic boolean")
+    return map_texts(rows, of, f"doc_id {kind}, p_toxic double, p_severe double, severity double, grade int, toxic boolean")
 
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -204,4 +204,4 @@ def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
             texts = [t or "" for t in batch["text"].to_pylist()]
             yield batch.filter(pa.array(_graded(texts, model, names)[:, 0] < TOXIC))
 
-    return docs.mapInArrow(of, docs.schema)
+    return map_texts(docs, of, docs.schema)
