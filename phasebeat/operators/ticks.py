@@ -120,17 +120,30 @@ def function_union(samples: DataFrame, with_counts: bool = False) -> DataFrame:
     return sets.withColumn("funcs", plain)
 
 
-def gathered(samples: DataFrame, with_counts: bool = False) -> DataFrame:
+def unique_by_tick(samples: DataFrame) -> DataFrame:
+    """Mark samples that an aggregation has made, one per worker and tick, out of rows dealt by ``TICK``.
+
+    Nothing in them is equal, and the rows of a tick are together already.
+    """
+    samples._phasebeat_unique = True
+    return samples
+
+
+def gathered(samples: DataFrame, with_counts: bool = False, unique: bool = False) -> DataFrame:
     """``readings`` of the workers and ``lines`` of all their stacks per cluster and tick, from one pass over the samples.
 
     Samples are shuffled once, as they are. Behind that shuffle equal samples become one with a number, by a plain hash aggregation,
     and the rest of a tick is put into arrays: one element per worker, and the union of the distinct lists of functions.
-    Parsed resources are kept beside their text if the samples have them.
+    Parsed resources are kept beside their text if the samples have them.  ``unique`` samples are those of ``unique_by_tick``: they
+    need neither that shuffle nor that aggregation.
     """
     told = ["worker", "resource_data", *[r for r in RESOURCES if r in samples.columns]]
-    samples = samples.select(*TICK, *told, "threaddump_data").repartition(*TICK)
+    if not unique:
+        samples = samples.select(*TICK, *told, "threaddump_data").repartition(*TICK)
     lines = function_lines(samples) if with_counts else F.transform("threaddump_data", text.function_name)
-    distinct = samples.select(*TICK, *told, lines.alias("lines")).groupBy(*TICK, *told, "lines").agg(F.count("*").alias("n"))
+    rows = samples.select(*TICK, *told, lines.alias("lines"))
+    one = F.lit(1).cast("long").alias("n")
+    distinct = rows.select("*", one) if unique else rows.groupBy(*TICK, *told, "lines").agg(F.count("*").alias("n"))
     return distinct.groupBy(*TICK).agg(
         F.collect_list(F.struct(*told, "n")).alias("readings"),
         text.sorted_texts(F.array_distinct(F.flatten(F.collect_set("lines")))).alias("lines"),
@@ -156,7 +169,8 @@ def measured(samples: DataFrame, expected: DataFrame, with_counts: bool = False)
     ``workers`` is their number, ``silent`` says that one of them has no sample, ``strangers`` are workers that are not configured.
     ``lines`` are named ``counted`` if they keep their thread counts.
     """
-    found = gathered(parse_resources(samples), with_counts).where("tick IS NOT NULL").join(expected_by_cluster(expected), "cluster")
+    unique = getattr(samples, "_phasebeat_unique", False)
+    found = gathered(parse_resources(samples), with_counts, unique).where("tick IS NOT NULL").join(expected_by_cluster(expected), "cluster")
     said = F.transform("readings", lambda r: r["worker"])
     rows = found.select(
         *TICK,

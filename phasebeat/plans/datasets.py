@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from phasebeat.functions import text
 from phasebeat.operators.ordered import whole_part
+from phasebeat.operators.ticks import TICK, unique_by_tick
 
 # Ticks are seconds from this date.
 ORIGIN = "2024-01-01"
@@ -97,6 +98,8 @@ def samples(spark: SparkSession, sf_dir: str, with_functions: bool = True, per_t
     found = [F.max_by("line", "event_id").alias("resource_data")]
     if not with_functions:
         return rows.groupBy("cluster", "worker", "tick").agg(*found)
+    # Dealt by tick at once, so that the ticks need no other shuffle, which would be of texts.
+    rows = rows.repartition(*TICK)
     # In every seventh tick no process runs.
     jobs = F.collect_set(F.when(F.col("tick") % 7 != 0, F.col("job"))).alias("jobs")
     rows = rows.groupBy("cluster", "worker", "tick").agg(*found, jobs)
@@ -105,7 +108,7 @@ def samples(spark: SparkSession, sf_dir: str, with_functions: bool = True, per_t
     # An event without a type or a number has functions that are null; one of them comes last.
     unknown = F.when(F.exists("jobs", lambda j: j["head"].isNull() | j["tail"].isNull()), F.array(F.lit(None).cast("string")))
     threaddump_data = F.concat(text.sorted_texts(found), F.coalesce(unknown, F.array().cast("array<string>")))
-    return rows.withColumn("threaddump_data", threaddump_data).drop("jobs")
+    return unique_by_tick(rows.withColumn("threaddump_data", threaddump_data).drop("jobs"))
 
 
 def middle(samples: DataFrame) -> int:

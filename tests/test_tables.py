@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from test_watch import frames, polls_of
 
 from phasebeat import Settings
-from phasebeat.operators import models, phases
+from phasebeat.operators import models, phases, ticks
+from phasebeat.plans import datasets
 from phasebeat.plans.online import visited, watch
 from phasebeat.schema import TIMED_SAMPLES
 from phasebeat.sources import samples as src
@@ -131,3 +132,20 @@ def test_accuracy_is_a_percentage(spark, data):
     samples, expected = frames(spark, data)
     row = watch(samples, expected).scored.agg(F.min("acc_cpu"), F.max("acc_cpu"), F.min("acc_mem"), F.max("acc_mem")).first()
     assert all(0.0 <= v <= 100.0 for v in row)
+
+
+def test_samples_of_events_are_shuffled_once(spark, tmp_path):
+    """What is dealt by tick already gives the same ticks without a shuffle of texts; ids repeat or are missing."""
+    rows = [(i if i % 9 else None, i % 40, ("view", "click", None)[i % 3], float(i), f'{{"k": {i % 11}}}') for i in range(300)]
+    rows += rows[:60] + rows[:5]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    for counts in (False, True):
+        made = ticks.parse_resources(datasets.samples(spark, str(tmp_path)))
+        once, twice = (ticks.gathered(made, counts, unique) for unique in (True, False))
+        assert once._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+        def plain(gathered):
+            return sorted((str(r.cluster), str(r.tick), sorted(map(str, r.readings)), r.lines) for r in gathered.collect())
+
+        assert plain(once) == plain(twice)
+    assert datasets.samples(spark, str(tmp_path))._phasebeat_unique
