@@ -14,12 +14,16 @@ Names of whole strings have 64 bits; a wrong match needs two different candidate
 Documents travel in chunks of some megabytes.  A chunk sends each name once, however often it holds it, and gets back
 one bit per name.  So a passage that a third of all documents share costs one name per chunk.  Of equal
 texts one supports the others, the rest are done once their equality is known.
+
+On request the same two steps run over words as well, whose fingerprints are the symbols then.  They count the words in passages that
+another document has too; a passage counted in words may have far fewer than ``length`` bytes, so nothing of it need be removed.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,11 @@ from phasebeat.llm.chunks import BASE, BLOCK, CHUNK_BYTES, chunks_of, pack, powe
 from phasebeat.workspace import drop, store
 
 LENGTH = 400
+# Passages of over 50 words are counted, whatever their length in bytes.
+PASSAGE_WORDS = 51
 BUCKET_BYTES = 4 << 20
+# Only sizes buckets and names: a word with its space has about so many bytes.
+WORD_BYTES = 6
 SPARE_BITS = 16
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -75,14 +83,53 @@ def cover_for(length: int) -> tuple[int, list[int]]:
     return difference_cover(power) if power else (1, [0])
 
 
+@dataclass(frozen=True)
+class Sampling:
+    """Which suffixes are named first for strings of ``length`` symbols, by how many symbols, and how many buckets the names get."""
+
+    length: int
+    period: int
+    residues: list[int]
+    low_bits: np.uint64
+    buckets: int
+
+    @property
+    def width(self) -> int:
+        return self.length - self.period + 1
+
+
+def sampling_for(length: int, n_symbols: int) -> Sampling:
+    period, residues = cover_for(length)
+    n_names = int(n_symbols * len(residues) / period)
+    # Sampled suffixes only point to candidates: at any size, names this long make one in 2^16 a wrong one.
+    low_bits = np.uint64(max(0, 64 - SPARE_BITS - n_names.bit_length()))
+    return Sampling(length, period, residues, low_bits, max(1, -(-n_names * 8 // BUCKET_BYTES)))
+
+
+def _codes(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _mixed(found: np.ndarray) -> np.ndarray:
+    found ^= found >> np.uint64(29)
+    found *= np.uint64(0xBF58476D1CE4E5B9)
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0x94D049BB133111EB)
+    found ^= found >> np.uint64(31)
+    return found
+
+
 class Names:
-    """Fingerprints of all strings of ``width`` bytes in a text, by prefix sums of a polynomial in each block."""
+    """Fingerprints of all strings of ``width`` bytes in a text, by prefix sums of a polynomial in each block.
+
+    ``of`` takes the fingerprints of words in place of bytes as well.
+    """
 
     def __init__(self, width: int):
         self.width = width
         self.up = powers(BASE, BLOCK + width)
         self.down = powers(pow(BASE, -1, 2**64), BLOCK)
-        self.code = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.code = _codes(20)
 
     def of(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Names at the sorted positions ``starts``."""
@@ -95,17 +142,55 @@ class Names:
             at = starts[lo:hi] - base
             part = data[base : base + int(at[-1]) + self.width]
             sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(self.code[part] * self.up[: len(part)], out=sums[1:])
-            found = (sums[at + self.width] - sums[at]) * self.down[at]
-            found ^= found >> np.uint64(29)
-            found *= np.uint64(0xBF58476D1CE4E5B9)
-            found ^= found >> np.uint64(32)
-            found *= np.uint64(0x94D049BB133111EB)
-            found ^= found >> np.uint64(31)
-            out[lo:hi] = found
+            np.cumsum((self.code[part] if part.dtype == np.uint8 else part) * self.up[: len(part)], out=sums[1:])
+            out[lo:hi] = _mixed((sums[at + self.width] - sums[at]) * self.down[at])
         return out
 
 
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+class Words:
+    """Fingerprints of words, the runs of bytes between white space, in texts that lie one after another."""
+
+    def __init__(self):
+        self.up = powers(BASE, BLOCK)
+        self.down = powers(pow(BASE, -1, 2**64), BLOCK)
+        self.code = np.where(_SPACE, np.uint64(0), _codes(21))
+
+    def of(self, data: np.ndarray, lens: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' fingerprints; before how many of them each text begins, and the number of all."""
+        begins = np.cumsum([0, *lens])
+        inside = ~_SPACE[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        heads = begins[begins < len(data)]
+        first[heads] = inside[heads]
+        starts = np.flatnonzero(first)
+        stops = np.append(starts[1:], len(data))  # white space behind a word adds nothing to its sum
+        out = np.empty(len(starts), np.uint64)
+        lo = 0
+        while lo < len(starts):
+            base = int(starts[lo])
+            hi = int(np.searchsorted(stops, base + BLOCK, "right"))
+            if hi > lo:
+                at = starts[lo:hi] - base
+                part = data[base : stops[hi - 1]]
+                out[lo:hi] = np.add.reduceat(self.code[part] * self.up[: len(part)], at) * self.down[at]
+            else:
+                hi = lo + 1
+                out[lo] = self._long(data[base : stops[lo]])
+            lo = hi
+        return _mixed(out), np.searchsorted(starts, begins)
+
+    def _long(self, part: np.ndarray) -> np.uint64:
+        total = 0
+        for k in range(0, len(part), BLOCK):
+            piece = self.code[part[k : k + BLOCK]]
+            total += int((piece * self.up[: len(piece)]).sum()) * pow(BASE, k, 2**64)
+        return np.uint64(total % 2**64)
+
+
 def _bucket_cuts(names: np.ndarray, n: int) -> np.ndarray:
     """Where each of ``n`` equal ranges of names begins in a sorted list."""
     edges = np.array([(k << 64) // n for k in range(n)], dtype=np.uint64)
@@ -140,6 +225,15 @@ def _sorted(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[np.append(True, ~same)] if len(names) else names, np.unique(names[1:][same])
 
 
+def _each(names: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The distinct names of each document, so that a name comes twice only if two documents have it."""
+    if not len(names):
+        return names
+    order = np.lexsort((names, owner))
+    names, owner = names[order], owner[order]
+    return names[np.append(True, (names[1:] != names[:-1]) | (owner[1:] != owner[:-1]))]
+
+
 def _answered(names: np.ndarray, again: np.ndarray, replies: list[dict], kind: int, n: int) -> np.ndarray:
     """Status of each distinct name of a chunk: 0 alone, 1 repeated, 2 repeated and first in this chunk."""
     status = np.zeros(len(names), np.uint8)
@@ -192,40 +286,48 @@ REQUEST = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.
 REQUEST_SQL = "kind int, bucket int, chunk long, names binary"
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int = CHUNK_BYTES, words: int = 0) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of every row; spans are byte offsets, end exclusive.
 
     Matches never cross documents and are judged on the input.  Null texts count as empty; texts below ``length`` bytes keep
     all; repeated rows are separate documents with equal texts, so long ones lose everything.  An empty table gives no rows.
     One document is the unit of work: a task holds one chunk or one longer document, and names of its repeated parts.
+
+    If ``words`` is given, ``n_shared_words`` counts the words of the document that lie in a run of so many words, of any length
+    in bytes, which another row has too; what is removed does not depend on it.
     """
     spark = docs.sparkSession
-    period, residues = cover_for(length)
-    width = length - period + 1
     chunks = store(chunks_of(docs, chunk_bytes), "chunks")
     total = chunks.agg(F.sum("size")).first()[0] or 0
-    n_names = int(total * len(residues) / period)
-    n_sampled = max(1, -(-n_names * 8 // BUCKET_BYTES))
-    # Sampled suffixes only point to candidates: at any size, names this long make one in 2^16 a wrong one.
-    low_bits = np.uint64(max(0, 64 - SPARE_BITS - n_names.bit_length()))
+    by_bytes = sampling_for(length, total)
+    by_words = sampling_for(words, total // WORD_BYTES) if words else None
+    n_texts = 1 + by_bytes.buckets // 64
     ids = chunks.schema["ids"].dataType.simpleString()
 
-    def sampled(data: np.ndarray, lens: list[int], names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def sampled(parts: list[np.ndarray], names: Names, by: Sampling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Names of the sampled suffixes of a chunk, where they start, and the document each belongs to."""
-        tile = np.asarray(residues, np.int64)
-        found, places, owner, at = [], [], [], 0
-        for d, n in enumerate(lens):
-            if n >= length:
-                starts = (np.arange(-(-n // period), dtype=np.int64)[:, None] * period + tile).ravel()
-                starts = starts[starts <= n - width]
-                found.append(names.of(data[at : at + n], starts) >> low_bits << low_bits)
+        tile = np.asarray(by.residues, np.int64)
+        found, places, owner = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
+        for d, part in enumerate(parts):
+            n = len(part)
+            if n >= by.length:
+                starts = (np.arange(-(-n // by.period), dtype=np.int64)[:, None] * by.period + tile).ravel()
+                starts = starts[starts <= n - by.width]
+                found.append(names.of(part, starts) >> by.low_bits << by.low_bits)
                 places.append(starts)
                 owner.append(np.full(len(starts), d, np.int32))
-            at += n
-        if not found:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
         return np.concatenate(found), np.concatenate(places), np.concatenate(owner)
 
+    def texts_of(data: np.ndarray, lens: list[int]) -> list[np.ndarray]:
+        at = np.cumsum([0, *lens])
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def words_of(data: np.ndarray, lens: list[int]) -> list[np.ndarray]:
+        if not words:
+            return [np.empty(0, np.uint64)] * len(lens)
+        prints, at = Words().of(data, lens)
+        return [prints[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def whole_names(data: np.ndarray, lens: list[int]) -> tuple[np.ndarray, list[str]]:
         digests, at = [], 0
         for n in lens:
@@ -234,134 +336,168 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, chunk_bytes: int =
         return np.array([int.from_bytes(d[:8], "big") for d in digests], np.uint64), [d.hex() for d in digests]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(width)
+        names, word_names = Names(by_bytes.width), by_words and Names(by_words.width)
         for batch in batches:
             for row in batch.to_pylist():
                 data = unpack(row["blob"], row["size"])
-                own, _ = _sorted(sampled(data, row["lens"], names)[0])
+                own, _ = _sorted(sampled(texts_of(data, row["lens"]), names, by_bytes)[0])
                 texts, _ = whole_names(data, row["lens"])
                 texts, _ = _sorted(texts[np.asarray(row["lens"]) >= length])
-                rows = _requests(row["chunk"], 0, own, n_sampled) + _requests(row["chunk"], 1, texts, 1 + n_sampled // 64)
+                rows = _requests(row["chunk"], 0, own, by_bytes.buckets) + _requests(row["chunk"], 1, texts, n_texts)
+                if words:
+                    found, _, owner = sampled(words_of(data, row["lens"]), word_names, by_words)
+                    rows += _requests(row["chunk"], 3, _sorted(_each(found, owner))[0], by_words.buckets)
                 yield _batch(rows)
 
     replies = _compare(chunks.select("chunk", "lens", "size", "blob").mapInArrow(ask, REQUEST_SQL))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Settle documents without a candidate and copies; keep the others with the starts that may be repeated."""
-        names = Names(width)
+        names, word_names = Names(by_bytes.width), by_words and Names(by_words.width)
         for batch in batches:
             kind = batch["ids"].type
             for row in batch.to_pylist():
                 lens, found = row["lens"], row["replies"] or []
                 data = unpack(row["blob"], row["size"])
-                own, places, owner = sampled(data, lens, names)
+                parts, word_parts = texts_of(data, lens), words_of(data, lens)
+                own, places, owner = sampled(parts, names, by_bytes)
                 distinct, again = _sorted(own)
-                status = _answered(distinct, again, found, 0, n_sampled)
-                hit = status[np.searchsorted(distinct, own)] > 0
+                hit = _answered(distinct, again, found, 0, by_bytes.buckets)[np.searchsorted(distinct, own)] > 0
+                mine_of = np.split(places[hit], np.searchsorted(owner[hit], np.arange(1, len(lens))))
+                word_mine_of = [np.empty(0, np.int64)] * len(lens)
+                if words:
+                    own, places, owner = sampled(word_parts, word_names, by_words)
+                    distinct, again = _sorted(_each(own, owner))
+                    hit = _answered(distinct, again, found, 3, by_words.buckets)[np.searchsorted(distinct, own)] > 0
+                    word_mine_of = np.split(places[hit], np.searchsorted(owner[hit], np.arange(1, len(lens))))
                 texts, digests = whole_names(data, lens)
                 long = np.asarray(lens) >= length
                 t_distinct, t_again = _sorted(texts[long])
-                t_status = _answered(t_distinct, t_again, found, 1, 1 + n_sampled // 64)
+                t_status = _answered(t_distinct, t_again, found, 1, n_texts)
                 supports: set[int] = set()
                 done: list[tuple] = []
                 left: list[tuple] = []
-                at = 0
-                bounds = np.searchsorted(owner[hit], np.arange(len(lens) + 1))
-                starts = places[hit]
                 for d, n in enumerate(lens):
-                    part = data[at : at + n]
-                    at += n
                     copy = 0 if not long[d] else t_status[np.searchsorted(t_distinct, texts[d])]
+                    n_words = len(word_parts[d])
                     if copy:
-                        done.append((row["ids"][d], n, n, 1, _EMPTY, [0, n]))
+                        done.append((row["ids"][d], n, n, 1, _EMPTY, [0, n], n_words if n_words >= words else 0))
                         if copy == 1 or int(texts[d]) in supports:
                             continue
                         supports.add(int(texts[d]))
-                    mine = starts[bounds[d] : bounds[d + 1]]
-                    if not len(mine):
+                    mine, word_mine = mine_of[d], word_mine_of[d]
+                    if not len(mine) and not len(word_mine):
                         if not copy:
-                            done.append((row["ids"][d], n, 0, 0, digests[d], []))
+                            done.append((row["ids"][d], n, 0, 0, digests[d], [], 0))
                         continue
-                    lo, hi = np.maximum(mine - (length - width), 0), np.minimum(mine, n - length) + 1
-                    left.append((row["ids"][d], n, bool(copy), _merged(lo, hi), part.tobytes()))
-                blob, size = pack([x[4] for x in left])
+                    runs = _candidates(mine, n, by_bytes)
+                    word_runs = _candidates(word_mine, n_words, by_words) if words else []
+                    left.append((row["ids"][d], n, bool(copy), runs, word_runs, parts[d].tobytes()))
+                blob, size = pack([x[5] for x in left])
                 columns = [
                     pa.array([row["chunk"]], pa.int64()),
                     pa.array([[x[0] for x in left]], kind),
                     pa.array([[x[1] for x in left]], pa.list_(pa.int64())),
                     pa.array([[x[2] for x in left]], pa.list_(pa.bool_())),
                     pa.array([[x[3] for x in left]], pa.list_(pa.list_(pa.int64()))),
+                    pa.array([[x[4] for x in left]], pa.list_(pa.list_(pa.int64()))),
                     pa.array([sum(int(sum(x[3][1::2]) - sum(x[3][::2])) for x in left)], pa.int64()),
+                    pa.array([sum(int(sum(x[4][1::2]) - sum(x[4][::2])) for x in left)], pa.int64()),
                     pa.array([size], pa.int64()),
                     pa.array([blob], pa.binary()),
                     pa.array([[dict(zip(_RESULT, x)) for x in done]], pa.list_(_result_type(kind.value_type))),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "lens", "copy", "runs", "n_runs", "size", "blob", "done"])
+                yield pa.RecordBatch.from_arrays(columns, _LEFT)
 
     kind = ids[len("array<") : -1]
-    fields = {"doc_id": kind, "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "spans": "array<long>"}
+    fields = dict(zip(_RESULT, (kind, "long", "long", "long", "string", "array<long>", "long"), strict=True))
     one = ", ".join(f"{n} {t}" for n, t in fields.items())
     done_sql = "array<struct<" + ", ".join(f"{n}: {t}" for n, t in fields.items()) + ">>"
-    left_sql = f"chunk long, ids {ids}, lens array<long>, copy array<boolean>, runs array<array<long>>, n_runs long, size long, blob binary"
+    lists = "copy array<boolean>, runs array<array<long>>, word_runs array<array<long>>"
+    left_sql = f"chunk long, ids {ids}, lens array<long>, {lists}, n_runs long, n_word_runs long, size long, blob binary"
     joined = chunks.join(replies, "chunk", "left")
     left = store(joined.mapInArrow(narrow, f"{left_sql}, done {done_sql}"), "candidates")
     drop(chunks)  # what is still open is in ``left``
-    n_dense = max(1, -(-int((left.agg(F.sum("n_runs")).first()[0] or 0) * 8) // BUCKET_BYTES))
-
-    def dense(row: dict, names: Names) -> tuple[np.ndarray, list[np.ndarray]]:
-        data, at, found, places = unpack(row["blob"], row["size"]), 0, [np.empty(0, np.uint64)], []
-        for n, runs in zip(row["lens"], row["runs"], strict=True):
-            starts = np.concatenate([np.arange(a, b) for a, b in zip(runs[::2], runs[1::2], strict=True)])
-            found.append(names.of(data[at : at + n], starts))
-            places.append(starts)
-            at += n
-        return np.concatenate(found), places
+    n_open = left.agg(F.sum("n_runs"), F.sum("n_word_runs")).first()
+    n_dense, n_word_dense = (max(1, -(-(n or 0) * 8 // BUCKET_BYTES)) for n in n_open)
+
+    def dense(parts: list[np.ndarray], runs: list[list[int]], names: Names) -> tuple[np.ndarray, list[np.ndarray]]:
+        places = [np.concatenate([np.empty(0, np.int64), *map(np.arange, x[::2], x[1::2])]) for x in runs]
+        found = [names.of(part, starts) for part, starts in zip(parts, places, strict=True)]
+        return np.concatenate([np.empty(0, np.uint64), *found]), places
+
+    def dense_words(row: dict, data: np.ndarray, names: Names) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        own, places = dense(words_of(data, row["lens"]), row["word_runs"], names)
+        return own, places, _each(own, np.repeat(np.arange(len(places)), [len(x) for x in places]))
 
     def ask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(length)
+        names, word_names = Names(length), Names(words)
         for batch in batches:
             for row in batch.to_pylist():
-                own, _ = _sorted(dense(row, names)[0])
+                data = unpack(row["blob"], row["size"])
+                own, _ = _sorted(dense(texts_of(data, row["lens"]), row["runs"], names)[0])
                 rows = _requests(row["chunk"], 2, own, n_dense)
+                if words:
+                    rows += _requests(row["chunk"], 4, _sorted(dense_words(row, data, word_names)[2])[0], n_word_dense)
                 yield _batch(rows)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names(length)
+        names, word_names = Names(length), Names(words)
         for batch in batches:
             kind = batch["ids"].type.value_type
             for row in batch.to_pylist():
-                own, places = dense(row, names)
+                data, replies = unpack(row["blob"], row["size"]), row["replies"] or []
+                parts = texts_of(data, row["lens"])
+                own, places = dense(parts, row["runs"], names)
                 distinct, again = _sorted(own)
-                hit = _answered(distinct, again, row["replies"] or [], 2, n_dense)[np.searchsorted(distinct, own)] > 0
-                data, at, seen, rows = unpack(row["blob"], row["size"]), 0, 0, []
-                for i, n, copy, starts in zip(row["ids"], row["lens"], row["copy"], places, strict=True):
-                    part, mine = data[at : at + n], starts[hit[seen : seen + len(starts)]]
-                    at, seen = at + n, seen + len(starts)
+                hit = _answered(distinct, again, replies, 2, n_dense)[np.searchsorted(distinct, own)] > 0
+                shared = [0] * len(parts)
+                if words:
+                    own, word_places, each = dense_words(row, data, word_names)
+                    distinct, again = _sorted(each)
+                    word_hit = _answered(distinct, again, replies, 4, n_word_dense)[np.searchsorted(distinct, own)] > 0
+                    cuts = np.cumsum([0, *map(len, word_places)])
+                    for d, starts in enumerate(word_places):
+                        mine = starts[word_hit[cuts[d] : cuts[d + 1]]]
+                        covered = _merged(mine, mine + words)
+                        shared[d] = sum(covered[1::2]) - sum(covered[::2])
+                seen, rows = 0, []
+                for i, part, copy, starts, n_shared in zip(row["ids"], parts, row["copy"], places, shared, strict=True):
+                    mine = starts[hit[seen : seen + len(starts)]]
+                    seen += len(starts)
                     if copy:
                         continue
                     spans = _merged(mine, mine + length)
-                    cuts = [0, *spans, n]
+                    cuts = [0, *spans, len(part)]
                     kept = hashlib.sha256()
                     for a, b in zip(cuts[::2], cuts[1::2], strict=True):
                         kept.update(part[a:b])
-                    rows.append((i, n, sum(spans[1::2]) - sum(spans[::2]), len(spans) // 2, kept.hexdigest(), spans))
+                    rows.append((i, len(part), sum(spans[1::2]) - sum(spans[::2]), len(spans) // 2, kept.hexdigest(), spans, n_shared))
                 table = [dict(zip(_RESULT, x)) for x in rows]
                 yield pa.RecordBatch.from_struct_array(pa.array(table, _result_type(kind)))
 
-    asked = left.where("n_runs > 0").select("chunk", "lens", "runs", "size", "blob").mapInArrow(ask_all, REQUEST_SQL)
-    open_rows = left.where("n_runs > 0").drop("done").join(_compare(asked), "chunk", "left")
+    still_open = left.where("n_runs + n_word_runs > 0")
+    asked = still_open.select("chunk", "lens", "runs", "word_runs", "size", "blob").mapInArrow(ask_all, REQUEST_SQL)
+    open_rows = still_open.drop("done").join(_compare(asked), "chunk", "left")
     settled = left.select(F.explode("done").alias("r")).select("r.*")
-    return settled.unionByName(open_rows.mapInArrow(remove, one))
+    result = settled.unionByName(open_rows.mapInArrow(remove, one))
+    return result if words else result.drop("n_shared_words")
 
 
-_RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+_RESULT = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "n_shared_words")
+_LEFT = ["chunk", "ids", "lens", "copy", "runs", "word_runs", "n_runs", "n_word_runs", "size", "blob", "done"]
 
 
 def _result_type(kind: pa.DataType) -> pa.StructType:
-    types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+    types = [kind, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64()]
     return pa.struct(list(zip(_RESULT, types, strict=True)))
 
 
+def _candidates(sampled: np.ndarray, n: int, by: Sampling) -> list[int]:
+    """Where strings may start that hold one of these sampled suffixes of a text of ``n`` symbols."""
+    return _merged(np.maximum(sampled - (by.length - by.width), 0), np.minimum(sampled, n - by.length) + 1)
+
+
 def _merged(starts: np.ndarray, ends: np.ndarray) -> list[int]:
     """Sorted intervals, merged where they touch or overlap: start, end, start, end and so on."""
     if not len(starts):
