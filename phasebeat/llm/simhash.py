@@ -135,7 +135,8 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, famili
     for family in range(families):
         keyed = _keyed(rows, radius, family)
         counted = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = store(keyed.join(counted, "key"), "met")
+        # Spark sizes the dealt rows as if each were dealt once, so it would broadcast them all.
+        met = store(keyed.join(counted.hint("merge"), "key"), "met")
         small = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("fps"))
         found.append(_link(small.select("fps", F.lit(None).cast("array<boolean>").alias("left")), radius))
         rows = met.where(F.col("n") > bucket).select("fp", "key", "n")

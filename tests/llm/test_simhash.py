@@ -10,6 +10,7 @@ import xxhash
 from phasebeat.llm import simhash
 from phasebeat.llm.components import components
 from phasebeat.llm.simhash import fingerprint, links, masks, near_duplicates, tree
+from phasebeat.workspace import store
 from tests_llm_help import classes
 
 
@@ -53,6 +54,20 @@ def all_pairs(values, radius=4):
     return classes(range(len(v)), pairs)
 
 
+def test_rows_dealt_to_tables_are_never_broadcast(spark, monkeypatch):
+    """A written table of classes is small, its rows in all tables are not."""
+    plans = {}
+
+    def noted(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(simhash, "store", noted)
+    written = store(spark.createDataFrame([(v,) for v in clustered(random.Random(3), 50)], "fp long"), "classes")
+    links(written)
+    assert "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
+
+
 @pytest.mark.parametrize("bucket", [4096, 6])
 def test_links_join_what_all_pairs_would(spark, bucket):
     """A small bucket size takes the further families and the tiles."""
