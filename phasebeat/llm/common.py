@@ -60,7 +60,10 @@ def mark_of(df: DataFrame, *salt: int) -> Column:
 def joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """``docs`` joined with rows ``doc_id, mark`` (and more, unless ``how`` only filters); null ids equal each other.
 
-    Columns of ``docs`` may have any names: they travel in one struct ``_row``.
+    Columns of ``docs`` may have any names: they travel in one struct ``_row``.  The rows are never broadcast: Spark knows the bytes
+    of their compressed texts only.
     """
     rows = docs.select(F.col("doc_id").alias("_id"), mark_of(docs).alias("_mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    if how == "inner":
+        rows = rows.hint("merge")
     return rows.join(keys, F.col("_id").eqNullSafe(keys["doc_id"]) & (F.col("_mark") == keys["mark"]), how)

@@ -24,6 +24,16 @@ def stages(spark):
     return found
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_near_duplicates, corpus_pipeline.mix_sources])
+def test_whole_documents_are_never_broadcast(spark, stage):
+    """Texts that compress well look small to Spark."""
+    rows = [(i, "a b c " * 50, "en", "s", 300) for i in range(20)]
+    docs = store(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "documents")
+    rows = stage(spark, docs, SF_DIR)
+    joins = [x for x in rows._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [coalesce(_id#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_columns(stages):
     names = list(stages)
     assert names[1:] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
