@@ -41,7 +41,7 @@ def named(
     pairs = ticks.with_sets(rows.select(*ticks.SET_IDS).distinct(), names, "set_id_prev1")
     pairs = phased(pairs, settings).select(*ticks.SET_IDS, "similarity", "phase_changed", "phase", "phase_id")
     pairs = store(pairs, "pairs")
-    return ticks.spread_join(rows, pairs, ticks.SET_IDS, "tick"), pairs
+    return ticks.join_written(rows, pairs, ticks.SET_IDS, "tick"), pairs
 
 
 def phase_names(phased_ticks: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ TICK = ["cluster", "tick"]
 SET_IDS = ["set_id_prev1", "set_id"]
 # Into so many parts the rows of one frequent set are split before they are joined with its texts.
 SALTS = 16
+# So many rows of a written table are sent to every task as they are.
+SENT_ROWS = 1 << 14
 
 
 def latest_samples(samples: DataFrame, order: str = "ts", keys: tuple[str, ...] = ("cluster", "worker")) -> DataFrame:
@@ -322,10 +324,20 @@ def ordered_triplets(
 
 
 def spread_join(rows: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """``rows`` with the columns of ``small``, whose keys are unique; a key that most rows have is dealt over ``SALTS`` parts."""
+    """``rows`` with the columns of ``small``, whose keys are unique; a key that most rows have is dealt over ``SALTS`` parts.
+
+    The join is a merge: Spark sizes the parts of ``small`` as if there were one, and a written table by its compressed bytes.
+    """
     dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return salted.join(dealt, [*keys, "__salt"], "left").drop("__salt")
+    return salted.join(dealt.hint("merge"), [*keys, "__salt"], "left").drop("__salt")
+
+
+def join_written(rows: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``spread_join`` with a table that ``store`` has written; if its rows are counted to be few, ``rows`` are not shuffled."""
+    if small.count() <= SENT_ROWS:
+        return rows.join(F.broadcast(small), keys, "left")
+    return spread_join(rows, small, keys, by)
 
 
 def with_sets(rows: DataFrame, names: DataFrame, by: str) -> DataFrame:

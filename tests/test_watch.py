@@ -7,9 +7,10 @@ import pytest
 from sequential import evaluate
 
 from phasebeat import Settings
-from phasebeat.operators import replay
+from phasebeat.operators import replay, ticks
 from phasebeat.plans.online import watch
 from phasebeat.schema import SAMPLES
+from phasebeat.workspace import store
 
 CLUSTERS = {"a": ["a1", "a2", "a3"], "b": ["b1", "b2"], "c": ["c1"]}
 LINES = ["{c},{m}", "{c},{m}", "{c},{m}", "{c},{m}", " {c} , {m}", "{c},", "{c},x", "{c},{m},1", "", "0,0"]
@@ -137,3 +138,16 @@ def test_stopped_runs_go_on(spark, settings):
         result.state().save(root, part)
         before = Saved.load(spark, root, part)
     assert Saved.load(spark, root, 99) is None
+
+
+def test_parts_of_a_dictionary_are_never_broadcast(spark, monkeypatch):
+    """Spark would size the sixteen parts of each row as one; only rows that were counted to be few are sent as they are."""
+    rows = spark.createDataFrame([(t, f"s{t % 3}", f"s{t % 2}") for t in range(40)], "tick long, set_id_prev1 string, set_id string")
+    small = store(spark.createDataFrame([(f"s{a}", f"s{b}", a * b) for a in range(3) for b in range(2)], "set_id_prev1 string, set_id string, n int"), "pairs")
+    expected = sorted((t, f"s{t % 3}", f"s{t % 2}", (t % 3) * (t % 2)) for t in range(40))
+    for few, join in ((ticks.SENT_ROWS, "BroadcastHashJoin"), (5, "SortMergeJoin")):
+        monkeypatch.setattr(ticks, "SENT_ROWS", few)
+        found = ticks.join_written(rows, small, ticks.SET_IDS, "tick").select("tick", *ticks.SET_IDS, "n")
+        assert sorted(tuple(r) for r in found.collect()) == expected
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert join in plan and plan.count("Join") == 1
