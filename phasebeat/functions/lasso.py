@@ -72,17 +72,18 @@ def fit_points(points: Sequence[tuple[float, float, float]], alpha: float) -> tu
     """The same fit for one small list of points, for the stateful steps."""
     n = float(len(points))
 
-    def mean(values) -> float:
+    def mean(values: Sequence[float]) -> float:
         # Plain adding in order, as the column form does; the built-in sum corrects its rounding.
-        return reduce(add, values) / n
-
-    m1, m2, my = (mean(p[k] for p in points) for k in range(3))
-    centred = [(p[0] - m1, p[1] - m2, p[2] - my) for p in points]
-    s11 = mean(u * u for u, _, _ in centred)
-    s12 = mean(u * v for u, v, _ in centred)
-    s22 = mean(v * v for _, v, _ in centred)
-    c1 = mean(u * y for u, _, y in centred)
-    c2 = mean(v * y for _, v, y in centred)
+        total = values[0]
+        for v in values[1:]:
+            total += v
+        return total / n
+
+    x1, x2, target = zip(*points)
+    m1, m2, my = mean(x1), mean(x2), mean(target)
+    d1, d2, dy = [v - m1 for v in x1], [v - m2 for v in x2], [v - my for v in target]
+    s11, s12, s22 = mean([u * u for u in d1]), mean([u * v for u, v in zip(d1, d2)]), mean([v * v for v in d2])
+    c1, c2 = mean([u * y for u, y in zip(d1, dy)]), mean([v * y for v, y in zip(d2, dy)])
 
     def soft(c: float, s: float) -> float:
         size = max(abs(c) - alpha, 0.0)

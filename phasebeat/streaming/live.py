@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import math
+import json
 import re
 import time
 import uuid
@@ -40,8 +40,11 @@ RESULT_SCHEMA = (
     "confidence long, alert boolean, acc_cpu double, acc_mem double, "
     "predict_seconds double, update_seconds double, detect_seconds double"
 )
-# Phases whose state is held in memory while the ticks of one cluster are evaluated.
+# Phases whose state is held in memory while the ticks of one cluster are evaluated, and sets of names that a task remembers.
 HELD_PHASES = 1024
+HELD_SETS = 4096
+# Ticks are whole numbers of this unit until they are given back.
+TICK_UNIT = "datetime64[us]"
 
 
 def window_mean_stream(
@@ -73,32 +76,54 @@ def end_marker(rows: DataFrame, time: str, after: str) -> DataFrame:
 def tick_stream(
     samples: DataFrame, expected: DataFrame, interval: str = "2 seconds", delay: str = "2 seconds"
 ) -> DataFrame:
-    """Per cluster and interval: the last reading of each worker, the distinct functions, the configured workers.
+    """Per cluster and interval: ``said, cpus, mems`` of the last reading of each worker, the distinct functions, the configured workers.
 
-    Newer samples of a worker overwrite older ones first, then workers are put together, so the text of a
-    function is kept once per cluster and interval however many workers run it.
+    Newer samples of a worker overwrite older ones first, then workers are put together: one element per worker, and the
+    union of their distinct lists of functions.  Names of workers and functions are sorted and travel as JSON texts, which the
+    keyed state takes apart once per text; a malformed reading has null resources.
 
     The join with the configured workers is a merge: Spark sizes a stream by the files of the batch, so the batch of an
     end marker looks tiny while all closed intervals come from the state, and they would be broadcast.
     """
     line = F.col("resource_data")
-    newest = F.struct("resource_data", "threaddump_data")
-    by_worker = (
+    reading = F.struct("worker", *[text.resource_field(line, i).alias(r) for i, r in enumerate(RESOURCES)])
+    functions = text.sorted_texts(F.array_distinct(F.transform("threaddump_data", text.function_name)))
+    newest = F.struct("reading", "functions")
+    rows = (
         samples.withWatermark("ts", delay)
+        .select("cluster", "worker", "ts", reading.alias("reading"), functions.alias("functions"))
         .groupBy("cluster", "worker", F.window("ts", interval).alias("w"))
         .agg(F.max_by(newest, "ts").alias("s"))
-        .select("cluster", "worker", F.window_time("w").alias("at"), "s.*")
+        .select("cluster", F.window_time("w").alias("at"), "s.*")
     )
-    reading = F.struct("worker", *[text.resource_field(line, i).alias(r) for i, r in enumerate(RESOURCES)])
-    functions = F.transform("threaddump_data", lambda f: text.drop_thread_count(text.strip(f)))
-    rows = by_worker.select("cluster", "at", reading.alias("reading"), F.posexplode_outer(functions).alias("pos", "func"))
-    once = F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("reading"))
     live = rows.groupBy("cluster", F.window("at", interval).alias("w")).agg(
-        F.collect_list(once).alias("readings"), F.collect_set("func").alias("functions")
+        F.sort_array(F.collect_list("reading")).alias("readings"), F.collect_set("functions").alias("lists")
     )
-    return live.select("cluster", F.col("w.start").alias("tick"), "readings", "functions").join(
-        expected_by_cluster(expected).hint("merge"), "cluster"
+    ticks = live.select(
+        "cluster",
+        F.col("w.start").alias("tick"),
+        F.to_json("readings.worker").alias("said"),
+        *[F.col(f"readings.{r}").alias(f"{r}s") for r in RESOURCES],
+        F.to_json(text.sorted_texts(F.array_distinct(F.flatten("lists")))).alias("functions"),
     )
+    configured = expected_by_cluster(expected).withColumn("workers", F.to_json("workers"))
+    return ticks.join(configured.hint("merge"), "cluster")
+
+
+def _plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """A frame of ticks with whole numbers and lists, which are sorted, put away and added up as they are."""
+    lists = {f"{r}s": [x.tolist() for x in frame[f"{r}s"]] for r in RESOURCES}
+    return frame.drop(columns="cluster").assign(tick=frame["tick"].astype(TICK_UNIT).astype("int64"), **lists)
+
+
+def _remembered(known: dict, key, make: Callable):
+    """The value of a key, made where it is not known; what is known is forgotten before it grows too large."""
+    found = known.get(key)
+    if found is None:
+        if len(known) >= HELD_SETS:
+            known.clear()
+        found = known[key] = make()
+    return found
 
 
 class _Entries:
@@ -161,100 +186,125 @@ class ClusterWatcher(StatefulProcessor):
             "phases", "phase string", "visits long, pending array<double>, model array<double>"
         )
         self.run_state = handle.getMapState("runs", RUN_KEY, RUN_VALUE)
+        # What texts say and how sets compare, for clusters that follow one another in a task.
+        self.lists, self.sets, self.compared = {}, {}, {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RESULT_SCHEMA.split(", ")]
-        ticks = Runs(self.run_state, "tick").of(rows)
-        yield from in_parts(self._evaluated(key[0], ticks), names)
+        ticks = Runs(self.run_state, "tick").of(map(_plain, rows))
+        for part in in_parts(self._evaluated(key[0], ticks), names):
+            part["tick"] = part["tick"].astype(TICK_UNIT)
+            yield part
 
     def _evaluated(self, cluster: str, ticks: Iterator[tuple]) -> Iterator[tuple]:
         self.last, self.phases = _Entries(self.last_state), _Entries(self.phase_state)
         run = list(self.run.get()) if self.run.exists() else [0, 0.0, 0.0, 0.0, 0.0, [], 0, 0, 0.0, 0.0, None, False]
         if run[10] != self.start:  # a new start of the analysis
             run[6], run[10], run[11] = run[6] if self.keep_confidence else 0, self.start, False
+        # The workers of a cluster, and what they said in the snapshot before; those that were silent there said nothing.
+        named, workers, said = None, frozenset(), None
+        before = frozenset(run[5])
         for tick in ticks:
             if run[11]:
                 continue
-            if self.missing_ends and not {r["worker"] for r in tick.readings}.issuperset(tick.workers):
+            if tick.workers != named:
+                self._keep(workers, said)
+                named, workers, said = tick.workers, self._set_of(tick.workers), None
+            readings = [r for r in zip(self._names(tick.said), tick.cpus, tick.mems) if r[0] in workers]
+            silent = len(readings) < len(workers)
+            if self.missing_ends and silent:
                 run[11] = True
                 blank = dict.fromkeys((c.split()[0] for c in RESULT_SCHEMA.split(", ")))
                 yield tuple((blank | {"cluster": cluster, "tick": tick.tick, "alert": True}).values())
                 continue
-            cpu, mem, functions = self._snapshot(tick)
-            before = set(run[5])
+            cpu = mem = 0.0
+            now = {}
+            for worker, c, m in readings:
+                if c != c or m != m:
+                    old = self.last.get(worker) if said is None else said.get(worker)
+                    c, m = (o if v != v else v for v, o in zip((c, m), old or (0.0, 0.0)))
+                now[worker] = c, m
+                cpu, mem = cpu + c, mem + m
+            said = now
+            cpu, mem = round(cpu, 9) / len(workers), round(mem, 9) / len(workers)
+            functions = self._set_of(tick.functions, silent and self.empty_function)
             run[0] += 1
             if run[0] % self.settings.stride == 0:
                 found = self._evaluate(run, cpu, mem, before, functions)
                 run[11] = self.stop_on_alert and run[6] > self.settings.confidence_limit
                 yield cluster, tick.tick, *found
-            run[1:6] = [cpu, mem, run[1], run[2], sorted(functions)]
+            run[1:5] = cpu, mem, run[1], run[2]
+            before = functions
             if len(self.phases.values) > HELD_PHASES:
                 self.phases.write()
+        run[5] = sorted(before)
+        self._keep(workers, said)
         self.run.update(tuple(run))
         self.last.write()
         self.phases.write()
 
-    def _snapshot(self, tick) -> tuple[float, float, set[str]]:
-        said = {r["worker"]: (r["cpu"], r["mem"]) for r in tick.readings}
-        functions = set(tick.functions)
-        sums = [0.0, 0.0]
-        for worker in tick.workers:
-            if worker in said:
-                old = self.last.get(worker) or (0.0, 0.0)
-                value = tuple(o if s is None or math.isnan(s) else s for s, o in zip(said[worker], old))
-            else:
-                value = (0.0, 0.0)
-                if self.empty_function:
-                    functions.add("")
-            self.last.put(worker, value)
-            sums = [s + v for s, v in zip(sums, value)]
-        cpu, mem = (round(s, 9) / len(tick.workers) for s in sums)
-        return cpu, mem, functions
-
-    def _evaluate(self, run: list, cpu: float, mem: float, before: set[str], now: set[str]) -> tuple:
+    def _keep(self, workers: frozenset[str], said: dict[str, tuple[float, float]] | None) -> None:
+        """Put the last readings of the workers away; a silent one used nothing."""
+        if said is not None:
+            for worker in workers:
+                self.last.put(worker, said.get(worker, (0.0, 0.0)))
+
+    def _names(self, text: str) -> list[str]:
+        """What a JSON text lists."""
+        return _remembered(self.lists, text, lambda: json.loads(text))
+
+    def _set_of(self, text: str, empty_too: bool = False) -> frozenset[str]:
+        """The same as a set, with an empty name if asked for."""
+        return _remembered(self.sets, (text, empty_too), lambda: frozenset(self._names(text) + [""] * empty_too))
+
+    def _phase(self, before: frozenset[str], now: frozenset[str]) -> tuple[str, str]:
+        """Text and id of the phase in which one set follows another."""
+
+        def compared() -> tuple[str, str]:
+            larger, common = max(len(before), len(now)), before & now
+            phase_set = now if larger and len(common) / larger < self.settings.threshold else common
+            phase = "".join(f + ARROW for f in sorted(phase_set))
+            return phase, hashlib.md5(phase.encode()).hexdigest()
+
+        return _remembered(self.compared, (before, now), compared)
+
+    def _evaluate(self, run: list, cpu: float, mem: float, before: frozenset[str], now: frozenset[str]) -> tuple:
         s, began = self.settings, time.perf_counter()
-        prev1, prev2, actual = (run[1], run[2]), (run[3], run[4]), (cpu, mem)
-        larger = max(len(before), len(now))
-        common = before & now
-        phase_set = now if larger and len(common) / larger < s.threshold else common
-        phase = "".join(f + ARROW for f in sorted(phase_set))
+        prev1_cpu, prev1_mem, prev2_cpu, prev2_mem = run[1:5]
+        phase, phase_id = self._phase(before, now)
         idle = phase == ""
         known = None if idle else self.phases.get(phase)
-        visits, pending, model = (known[0], list(known[1]), list(known[2])) if known else (0, [], [])
+        visits, pending, model = (known[0], known[1], list(known[2])) if known else (0, [], [])
         seen = visits > 0
         version = visits // s.cycle
         if idle:
-            predicted = (0.0, 0.0)
+            to_cpu = to_mem = 0.0
         elif model:
-            predicted = tuple(
-                model[3 * k] * prev2[k] + model[3 * k + 1] * prev1[k] + model[3 * k + 2] for k in range(2)
-            )
+            to_cpu = model[0] * prev2_cpu + model[1] * prev1_cpu + model[2]
+            to_mem = model[3] * prev2_mem + model[4] * prev1_mem + model[5]
         else:
-            predicted = prev1
+            to_cpu, to_mem = prev1_cpu, prev1_mem
 
         predicted_at = time.perf_counter()
 
-        def solid(x: float) -> float:
-            return x if x != 0 else ZERO_STAND_IN
-
-        mape = sum(abs((solid(p) - solid(a)) / solid(p)) for p, a in zip(predicted, actual)) / 2.0 * 100.0
+        p, q = to_cpu or ZERO_STAND_IN, to_mem or ZERO_STAND_IN
+        mape = (abs((p - (cpu or ZERO_STAND_IN)) / p) + abs((q - (mem or ZERO_STAND_IN)) / q)) / 2.0 * 100.0
         step = 0 if idle else 1 if (mape > s.mape_limit if seen else cpu < s.cpu_floor) else -1
         run[6] += step
         run[7] += 1
-        for k in range(2):
-            run[8 + k] += abs(actual[k] - predicted[k]) / (abs(actual[k]) + abs(predicted[k]) + SMAPE_EPSILON)
-        accuracy = [100.0 - run[8 + k] / run[7] * 100.0 for k in range(2)]
+        run[8] += abs(cpu - to_cpu) / (abs(cpu) + abs(to_cpu) + SMAPE_EPSILON)
+        run[9] += abs(mem - to_mem) / (abs(mem) + abs(to_mem) + SMAPE_EPSILON)
+        acc_cpu, acc_mem = 100.0 - run[8] / run[7] * 100.0, 100.0 - run[9] / run[7] * 100.0
         detected_at = time.perf_counter()
-        phase_id = hashlib.md5(phase.encode()).hexdigest()
         if not idle:
-            pending += [v for k in range(2) for v in (prev2[k], prev1[k], actual[k])]
+            pending = [*pending, prev2_cpu, prev1_cpu, cpu, prev2_mem, prev1_mem, mem]
             if len(pending) == 6 * s.batch_size:
                 model = self._train(phase_id, version + 1, pending, model)
                 pending = []
             self.phases.put(phase, (visits + 1, pending, model))
         return (
-            run[7], phase_id, idle, seen, 0 if idle else version, cpu, mem, *predicted, mape, step,
-            run[6], run[6] > s.confidence_limit, *accuracy,
+            run[7], phase_id, idle, seen, 0 if idle else version, cpu, mem, to_cpu, to_mem, mape, step,
+            run[6], run[6] > s.confidence_limit, acc_cpu, acc_mem,
             predicted_at - began, time.perf_counter() - detected_at, detected_at - predicted_at,
         )
 

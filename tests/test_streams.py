@@ -3,6 +3,7 @@
 import random
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -169,3 +170,71 @@ def test_closed_intervals_are_not_broadcast(spark):
         plans.append(query._jsq.explainInternal(False))
     assert sorted(r.tick.timestamp() for r in found) == list(range(40))
     assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
+def test_functions_are_not_dealt_as_rows(spark):
+    """A sample stays one row up to its tick, and texts reach the state once sorted: equal sets are equal texts."""
+    rows = [("c", w, t, line, fs) for t in (0, 1) for w, line, fs in (
+        ("w1", "1,2", [" b *** 1\n", " a *** 2\n", "a *** 3"]), ("w2", "x,2", [None, "c"]), (None, "5,5", ["d"]), ("w9", "7,8", None)
+    )]
+    samples = spark.createDataFrame(rows, "cluster string, worker string, s int, resource_data string, threaddump_data array<string>")
+    samples = samples.selectExpr("cluster", "worker", "timestamp_seconds(s) AS ts", "resource_data", "threaddump_data")
+    workers = spark.createDataFrame([("c", "w2"), ("c", "w1"), ("c", "w3")], "cluster string, worker string")
+    ticks = live.tick_stream(samples, workers, "1 second", "0 seconds")
+    assert "Generate" not in ticks._jdf.queryExecution().optimizedPlan().toString()
+    found = ticks.collect()
+    assert len(found) == 2
+    for tick in found:
+        assert (tick.said, tick.workers, tick.functions) == ('[null,"w1","w2","w9"]', '["w1","w2","w3"]', '["a ","b ","c","d"]')
+        assert (tick.cpus, tick.mems) == ([5.0, 1.0, None, 7.0], [5.0, 2.0, 2.0, 8.0])
+
+
+class Value:
+    def __init__(self):
+        self.row = None
+
+    def exists(self):
+        return self.row is not None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+
+class States:
+    """The states of a processor, held in plain dictionaries."""
+
+    def __init__(self):
+        self.value, self.maps = Value(), {}
+
+    def getValueState(self, name, schema):
+        return self.value
+
+    def getMapState(self, name, key, value):
+        state = self.maps[name] = Map()
+        state.containsKey = state.rows.__contains__
+        return state
+
+
+def test_a_text_is_taken_apart_once(monkeypatch):
+    """The work on the ticks of a hot cluster does not grow with its functions where sets come back."""
+    parsed = []
+    loads = live.json.loads
+    monkeypatch.setattr(live.json, "loads", lambda text: parsed.append(text) or loads(text))
+    texts = [f'["f{i}","g"]' for i in range(3)]
+    frame = pd.DataFrame({
+        "cluster": "c", "tick": pd.date_range("2024-01-01", periods=60, freq="s")[::-1], "said": ['["a"]', '["a","b","x"]'] * 30,
+        "cpus": [np.array([float("nan")]), np.array([4.0, 6.0, 100.0])] * 30, "mems": [np.array([3.0]), np.array([1.0, 2.0, 100.0])] * 30,
+        "functions": texts * 20, "workers": '["a","b"]',
+    })
+    states = States()
+    watcher = live.ClusterWatcher(Settings(stride=1, algo="simple"))
+    watcher.init(states)
+    found = pd.concat(watcher.handleInputRows(("c",), iter([frame]), None))
+    assert sorted(parsed) == sorted([*texts, '["a"]', '["a","b","x"]', '["a","b"]'])
+    assert list(found.tick) == list(frame.tick[::-1])
+    # A silent worker adds nothing, a malformed reading repeats the one before, a stranger is not counted.
+    assert found[["cpu", "mem"]].values.tolist() == [[5.0, 1.5], [2.0, 1.5]] * 30
+    assert states.maps["last"].rows == {("a",): (4.0, 3.0), ("b",): (0.0, 0.0)}
