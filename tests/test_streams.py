@@ -238,3 +238,23 @@ def test_a_text_is_taken_apart_once(monkeypatch):
     # A silent worker adds nothing, a malformed reading repeats the one before, a stranger is not counted.
     assert found[["cpu", "mem"]].values.tolist() == [[5.0, 1.5], [2.0, 1.5]] * 30
     assert states.maps["last"].rows == {("a",): (4.0, 3.0), ("b",): (0.0, 0.0)}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_an_empty_function_joins_the_sets_of_ticks_with_a_silent_worker(monkeypatch, empty):
+    """Sets with and without it are told apart, and neither is taken apart again."""
+    parsed = []
+    loads = live.json.loads
+    monkeypatch.setattr(live.json, "loads", lambda text: parsed.append(text) or loads(text))
+    frame = pd.DataFrame({
+        "cluster": "c", "tick": pd.date_range("2024-01-01", periods=40, freq="s"), "said": ['["a"]', '["a"]', '["a","b"]', '["a","b"]'] * 10,
+        "cpus": [np.ones(1), np.ones(1), np.ones(2), np.ones(2)] * 10, "mems": [np.ones(1), np.ones(1), np.ones(2), np.ones(2)] * 10,
+        "functions": '["f","g"]', "workers": '["a","b"]',
+    })
+    watcher = live.ClusterWatcher(Settings(stride=1, algo="simple"), empty_function=empty)
+    watcher.init(States())
+    found = pd.concat(watcher.handleInputRows(("c",), iter([frame]), None))
+    plain, both = (live.hashlib.md5("".join(f + live.ARROW for f in names).encode()).hexdigest() for names in (["f", "g"], ["", "f", "g"]))
+    # Of two neighbouring sets the common functions are the phase; the first tick has no set before it.
+    assert found.phase_id.tolist()[1:] == [both if empty and i % 4 == 1 else plain for i in range(1, 40)]
+    assert sorted(parsed) == sorted(['["f","g"]', '["a"]', '["a","b"]'])
